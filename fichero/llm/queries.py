@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import topk
+from .bpe import op6_bpe
 from .mixing import op1_entropy_mix
+from .rules import op3_weak_rules
+from .topk import op4_topk_impact
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
+    "op3_weak_rules": op3_weak_rules,
+    "op4_topk_impact": op4_topk_impact,
+    "op6_bpe": op6_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_topk_impact": topk.ORACLE}
