@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Fixed values of the public format: Unicode white space (of which \s stands for in its patterns).
-WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
+WHITE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _GAP = re.compile(f"[{WHITE}]+")
 #: Characters that str.split() takes for white space and the format does not.
 _ODD = re.compile("[\x1c-\x1f]")

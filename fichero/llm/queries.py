@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import topk
+from . import licences, topk
 from .bpe import op6_bpe
+from .classifier import op9_knn_quality
+from .html_text import op10_text_density
+from .licences import op7_licence_scan
 from .mixing import op1_entropy_mix
 from .rules import op3_weak_rules
 from .topk import op4_topk_impact
@@ -17,5 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_weak_rules": op3_weak_rules,
     "op4_topk_impact": op4_topk_impact,
     "op6_bpe": op6_bpe,
+    "op7_licence_scan": op7_licence_scan,
+    "op9_knn_quality": op9_knn_quality,
+    "op10_text_density": op10_text_density,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_topk_impact": topk.ORACLE,
+    "op7_licence_scan": licences.oracle(),
 }
-ORACLE_SQL: dict[str, str] = {"op4_topk_impact": topk.ORACLE}

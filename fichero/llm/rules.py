@@ -4,7 +4,7 @@ Each rule votes good (1), bad (-1) or abstains (0) on a document. Expectation-ma
 counts of vote patterns estimates how often each rule votes what on good and on bad documents, without
 labels; a document's posterior probability of being good then decides, instead of "all rules must pass".
 
-With R rules there are at most 3^R patterns, whatever the corpus (RULES has 8: 6,561). Only that table of
+With R rules there are at most 3^R patterns, whatever the corpus (RULES has 9: 19,683). Only that table of
 counts, of proven size, reaches the driver; votes are counted over all documents.
 
 Null and empty texts have no words: they fail the base test. Repeated rows are judged alike. An empty
@@ -29,6 +29,10 @@ _NOT_UPPER = re.compile(r"[^A-ZÀ-ÖØ-Þ]+")
 SYMBOLS = "#*$%&|<>"
 
 
+def _plain_end(word: str) -> bool:
+    return word[-1].isalnum() or (len(word) > 1 and word[-2].isalnum() and word[-1] in ".,;:?!)\"'»”’")
+
+
 def measure(text: str | None) -> dict[str, int]:
     """Counts over a whole text; words are runs of other than ASCII white space."""
     text = text or ""
@@ -39,7 +43,7 @@ def measure(text: str | None) -> dict[str, int]:
     chars = sum(map(len, words))
     return {
         "n_words": n, "word_chars": chars, "n_symbols": sum(map(text.count, SYMBOLS)), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": _in_repeats(words),
-        "n_lines": len(lines), "n_upper": upper, "n_distinct": len(set(words)), "n_lettered": sum(map(str.isalpha, (w[0] for w in words))), "n_shouts": text.count("!!"),
+        "n_lines": len(lines), "n_upper": upper, "n_distinct": len(set(words)), "n_lettered": sum(map(str.isalpha, (w[0] for w in words))), "n_shouts": text.count("!!"), "n_plain_ends": sum(map(_plain_end, words)),
     }
 
 
@@ -79,11 +83,12 @@ def _share(a: str, b: str) -> Callable[[pd.DataFrame], pd.Series]:
 RULES: dict[str, Callable[[pd.DataFrame], np.ndarray]] = {
     "few_symbols": _between(_share("n_symbols", "word_chars"), 0.02, 0.08),
     "usual_word_length": _between(lambda x: (x["word_chars"] / x["n_words"].clip(lower=1) - 6).abs(), 3, 5),
-    "few_equal_lines": lambda x: np.where(x["n_lines"] < 3, 0, _between(_share("n_dup_lines", "n_lines"), 0.1, 0.3)(x)),
+    "few_equal_lines": lambda x: np.where(x["n_lines"] < 5, 0, _between(_share("n_dup_lines", "n_lines"), 0.3, 0.6)(x)),
     "few_repeats": _between(_share("n_repeat_words", "n_words"), 0.1, 0.3),
     "few_capitals": _between(_share("n_upper", "word_chars"), 0.15, 0.4),
     "many_distinct_words": lambda x: np.where(x["n_words"] < 50, 0, _between(_share("n_distinct", "n_words"), 0.15, 0.05)(x)),
     "words_begin_with_letters": _between(_share("n_lettered", "n_words"), 0.9, 0.75),
+    "words_end_plainly": _between(_share("n_plain_ends", "n_words"), 0.85, 0.7),
     "no_shouting": _between(_share("n_shouts", "n_words"), 0.02, 0.15),
 }
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -106,11 +111,12 @@ def vote(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, schema).withColumnRenamed("key", key)
 
 
-def estimate(patterns: dict[str, int], rounds: int = 200, prior_share: float = 0.1, accuracy: float = 0.8) -> dict[str, float]:
+def estimate(patterns: dict[str, int], rounds: int = 200, prior_share: float = 0.02, found: float = 0.25, false: float = 0.01) -> dict[str, float]:
     """Posterior of "good" for each vote pattern, by expectation-maximisation.
 
-    Rules are taken as independent given the quality. Each starts with `accuracy` and keeps that belief with the
-    weight of prior_share of the documents; a rule's odds never turn against its own vote, so "good" stays good.
+    Rules are taken as independent given the quality. Defects differ, so a rule is expected to see one in a share
+    `found` of the bad documents and wrongly in `false` of the good; that belief keeps the weight of prior_share of
+    the documents. A rule's odds never turn against its own vote, so "good" stays good.
     """
     if not patterns:
         return {}
@@ -121,10 +127,9 @@ def estimate(patterns: dict[str, int], rounds: int = 200, prior_share: float = 0
     hot = np.eye(3)[votes]  # pattern, rule, vote
     silent = (counts[:, None] * hot[:, :, 1]).sum(0) / total
     belief = np.empty((2, n_rules, 3))  # quality, rule, vote
-    for y in (0, 1):
-        right, wrong = (1 - silent) * accuracy, (1 - silent) * (1 - accuracy)
-        belief[y] = np.stack([wrong if y else right, silent, right if y else wrong], 1)
-    table_, good = belief.copy(), 0.8
+    for y, bad in ((0, found), (1, false)):
+        belief[y] = np.stack([(1 - silent) * bad, silent, (1 - silent) * (1 - bad)], 1)
+    table_, good = belief.copy(), 0.7
     strength = max(1.0, prior_share * total)
     for _ in range(rounds):
         logs = np.einsum("prv,yrv->py", hot, np.log(np.clip(table_, 1e-9, 1)))
