@@ -12,6 +12,7 @@ from .classifier import op9_knn_quality
 from .html_text import op10_text_density
 from .licences import op7_licence_scan
 from .mixing import op1_entropy_mix
+from .near_dups import op8_minhash_groups
 from .rules import op3_weak_rules
 from .topk import op4_topk_impact
 
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_topk_impact": op4_topk_impact,
     "op6_bpe": op6_bpe,
     "op7_licence_scan": op7_licence_scan,
+    "op8_minhash_groups": op8_minhash_groups,
     "op9_knn_quality": op9_knn_quality,
     "op10_text_density": op10_text_density,
 }
