@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, topk
+from . import licences, tool_calls, topk
 from .bpe import op6_bpe
 from .classifier import op9_knn_quality
 from .html_text import op10_text_density
@@ -14,10 +14,12 @@ from .licences import op7_licence_scan
 from .mixing import op1_entropy_mix
 from .near_dups import op8_minhash_groups
 from .rules import op3_weak_rules
+from .tool_calls import op2_tool_links
 from .topk import op4_topk_impact
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
+    "op2_tool_links": op2_tool_links,
     "op3_weak_rules": op3_weak_rules,
     "op4_topk_impact": op4_topk_impact,
     "op6_bpe": op6_bpe,
@@ -27,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_text_density": op10_text_density,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_tool_links": tool_calls.ORACLE,
     "op4_topk_impact": topk.ORACLE,
     "op7_licence_scan": licences.oracle(),
 }
