@@ -11,6 +11,7 @@ from .bpe import op6_bpe
 from .classifier import op9_knn_quality
 from .html_text import op10_text_density
 from .licences import op7_licence_scan
+from .line_dedup import op5_line_sets
 from .mixing import op1_entropy_mix
 from .near_dups import op8_minhash_groups
 from .rules import op3_weak_rules
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_tool_links": op2_tool_links,
     "op3_weak_rules": op3_weak_rules,
     "op4_topk_impact": op4_topk_impact,
+    "op5_line_sets": op5_line_sets,
     "op6_bpe": op6_bpe,
     "op7_licence_scan": op7_licence_scan,
     "op8_minhash_groups": op8_minhash_groups,
