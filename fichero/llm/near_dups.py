@@ -5,10 +5,12 @@ least id. HASHES universal hash minima of each class are cut into bands of ROWS;
 candidates. At similarity 0.75 a pair shares no band with probability (1 - 0.75^4)^32 < 10^-5. Candidates
 whose sizes or signatures rule out the similarity go; the others are confirmed on their full sets.
 
-Not all pairs of a bucket are made. In each bucket all members are first held against one leader, the most
-central member (that of the fullest buckets). Confirmed links make components. Buckets that still hold several
-components then try other leaders, drawn anew in each round, and in the end every pair of members of different
-components. A pair inside a component adds nothing, so the components are those of all confirmed pairs.
+Pairs of a bucket are not made rows. In each bucket all members are first held against one leader, the most
+central member (that of the fullest buckets). Confirmed links make components. In buckets that still hold
+several components, a task then compares the members' whole sets (as 32-bit hashes) with each other and gives
+out only links that join components; these are confirmed on the full sets too. Buckets of more than BUCKET
+members are cut into blocks, and blocks are compared in pairs. A pair inside a component adds nothing, so the
+components are those of all links between members of a bucket.
 
 Rows without id take no part and stay. Empty texts (no word) have no shingle and no link. Texts of fewer
 words than a shingle have one shingle, their whole sequence. Rows that repeat an id are one document. Ties
@@ -36,10 +38,8 @@ BANDS = HASHES // ROWS
 PERCENT = 75
 #: Least number of equal minima: six standard deviations below what similarity 0.75 gives.
 LEAST_EQUAL = int(HASHES * 0.75 - 6 * (HASHES * 0.75 * 0.25) ** 0.5)
-#: Rounds of drawn leaders before all remaining pairs are held against each other.
-DRAWS = 3
-#: They are as soon as they are at most so many a class.
-LINEAR = 2
+#: Members that one task compares at once.
+BUCKET = 1500
 
 _random = np.random.default_rng(20240607)
 _A = _random.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,20 +121,23 @@ def _linked(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[np.array(good, bool), ["u", "v"]]
 
 
+def _with_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts with the 32-bit hashes of their sets."""
+    of = Shingles()
+    for batch in batches:
+        yield batch.assign(hashes=[np.unique((of.of(t) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch["text"]])
+
+
 class _Candidates:
-    """Confirms candidate pairs of classes; each pair once."""
+    """Confirms candidate pairs of classes."""
 
     def __init__(self, classes: DataFrame, texts: DataFrame, scratch: Scratch):
         self.marks, self.texts, self.scratch = classes.select("rep", "minima"), texts, scratch
-        self.tested: DataFrame | None = None
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """pairs: u, v. Those linked, as a written table."""
         pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["u", "v"], "left_anti")
         pairs = self.scratch.write(pairs)
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         mark = lambda side: self.marks.select(F.col("rep").alias(side), F.col("minima").alias(f"minima_{side}"))
         alike = pairs.join(mark("u"), "u").join(mark("v"), "v").filter(_equal_minima("minima_u", "minima_v") >= LEAST_EQUAL).select("u", "v")
         alike = self.scratch.write(alike)
@@ -147,7 +150,7 @@ class _Candidates:
 
 
 def _mixed(members: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Members (band, rep, n_shingles) of buckets with more than one component, with their component."""
+    """Members (band, rep) of buckets with more than one component, with their component."""
     own = members.withColumn("component", F.col("rep")) if found is None else members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     split = own.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
     return own.join(split, "band", "left_semi")
@@ -158,13 +161,82 @@ def _fits(a: str, b: str) -> F.Column:
     return (F.col(a) * 100 >= F.col(b) * PERCENT) & (F.col(b) * 100 >= F.col(a) * PERCENT)
 
 
-def _against(members: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Pairs of members with their bucket's leader (band, leader, leader_n, leader_component) of another component."""
-    joined = members.join(leaders, "band").filter((F.col("component") != F.col("leader_component")) & _fits("n_shingles", "leader_n"))
-    return joined.select(F.col("rep").alias("u"), F.col("leader").alias("v"))
+def _joins(component: np.ndarray, block: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of members of different components whose sets are similar enough, as few as join them.
+
+    Members of blocks other than 0 are compared with those of another block only.
+    """
+    n = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), n)
+    _, number, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = seen[number] > 1
+    owner, number = owner[shared], number[shared]
+    column = np.full(len(seen), -1)
+    some = np.unique(number)
+    column[some] = np.arange(len(some))
+    number = column[number]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, len(some), 4096):
+        here = (number >= at) & (number < at + 4096)
+        x = np.zeros((len(sets), min(4096, len(some) - at)), np.float32)
+        x[owner[here], number[here] - at] = 1
+        common += x @ x.T
+    linked = 100 * common >= PERCENT * (n[:, None] + n[None, :] - common)
+    linked &= (component[:, None] != component[None, :]) & ((block[:, None] == 0) | (block[:, None] != block[None, :]))
+    u, v = np.nonzero(np.triu(linked, 1))
+    label, out = component.copy(), []
+    while len(u):
+        lead = np.unique(label[u], return_index=True)[1]  # one link of each component
+        for i in lead:
+            a, b = label[u[i]], label[v[i]]
+            if a != b:
+                out.append((u[i], v[i]))
+                label[label == max(a, b)] = min(a, b)
+        apart = label[u] != label[v]
+        u, v = u[apart], v[apart]
+    return out
+
+
+def _scan(members: DataFrame) -> DataFrame:
+    """u, v: links that join components inside (band, part). members: band, part, block, rep, component, hashes."""
+
+    def found(x: pd.DataFrame) -> pd.DataFrame:
+        if x["component"].nunique() < 2:
+            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
+        pairs = _joins(x["component"].to_numpy(), x["block"].to_numpy(), [np.frombuffer(b, "<u4") for b in x["hashes"]])
+        rep = x["rep"].to_numpy()
+        return pd.DataFrame([(rep[i], rep[j]) for i, j in pairs], columns=["u", "v"], dtype="int64")
 
-
-def group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            key = rest["band"].to_numpy(), rest["part"].to_numpy()
+            new = np.nonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]))[0] + 1
+            at = 0
+            for end in new:
+                yield found(rest.iloc[at:end])
+                at = end
+            rest = rest.iloc[at:]
+        if rest is not None and len(rest):
+            yield found(rest)
+
+    names = ["band", "part", "block", "rep", "component", "hashes"]
+    return members.select(*names).repartition("band", "part").sortWithinPartitions("band", "part").mapInPandas(run, "u long, v long")
+
+
+def _rest(live: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """Links, not yet confirmed, that join the components of buckets. live: band, rep, component."""
+    sizes = live.groupBy("band").agg(F.when(F.count(F.lit(1)) > most, F.ceil(F.count(F.lit(1)) / (most // 2))).otherwise(F.lit(1)).cast("int").alias("blocks"))
+    cut = live.join(sizes, "band")
+    own = (F.pmod(F.xxhash64("rep"), F.col("blocks")) + 1).cast("int")
+    cut = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(1), F.col("blocks"))))
+    part = (F.least("own", "other") * 1_000_000 + F.greatest("own", "other")).cast("int")
+    cut = cut.withColumn("part", part).withColumn("block", F.when(F.col("own") == F.col("other"), 0).otherwise(F.col("own")))
+    return _scan(cut.join(texts.select("rep", "hashes"), "rep"))
+
+
+def group(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs."""
     scratch = Scratch(docs.sparkSession)
     narrow = scratch.write(signatures(docs, key, text))
@@ -184,33 +256,14 @@ def group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     nodes = members.select("rep").distinct()
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(nodes, "rep", "left_semi").dropDuplicates(["rep"])
-    texts = scratch.write(texts)
+    texts = scratch.write(texts.mapInPandas(_with_hashes, "rep long, text string, hashes binary"))
     scratch.release()
     candidates = _Candidates(classes, texts, scratch)
-    links = candidates.confirm(first)
-    found = components(links.select("u", "v"), scratch)
-    live, n_classes = members.select("band", "rep", "n_shingles"), classes.count()
-    for turn in range(DRAWS + 1):
-        live = scratch.write(_mixed(live.select("band", "rep", "n_shingles"), found))
-        left = live.groupBy("band").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0]
-        if not left:
-            break
-        last = turn == DRAWS or left <= LINEAR * n_classes
-        if not last:
-            drawn = live.groupBy("band").agg(F.min(F.struct(F.xxhash64("rep", "band", F.lit(turn)).alias("draw"), "rep", "n_shingles", "component")).alias("x"))
-            pairs = _against(live, drawn.select("band", F.col("x.rep").alias("leader"), F.col("x.n_shingles").alias("leader_n"), F.col("x.component").alias("leader_component")))
-        else:
-            other = live.select("band", F.col("rep").alias("leader"), F.col("n_shingles").alias("leader_n"), F.col("component").alias("leader_component"))
-            pairs = _against(live, other).filter("u > v")
-        new = candidates.confirm(pairs)
-        if new.isEmpty():
-            if last:
-                break
-            continue
-        stars = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
-        found = components(stars.unionByName(new), scratch)
-        if last:
-            break
+    found = components(candidates.confirm(first), scratch)
+    live = scratch.write(_mixed(members.select("band", "rep"), found))
+    new = candidates.confirm(_rest(live, texts, bucket))
+    stars = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    found = components(stars.unionByName(new), scratch)
 
     label = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).filter("copies > 1 or component <> rep").select("digest", "component")
     out = narrow.select("doc_id", "n_shingles", "digest").join(label, "digest", "left")
