@@ -21,9 +21,11 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +37,8 @@ WHITE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000
 _GAP = re.compile(f"[{WHITE}]+")
 #: Characters that str.split() takes for white space and the format does not.
 _ODD = re.compile("[\x1c-\x1f]")
-#: Finished chunks that a task keeps.
-KEPT = 300_000
+#: Finished chunks, and finished pieces, that a task keeps.
+KEPT = 1_200_000
 
 
 def byte_alphabet() -> list[str]:
@@ -54,30 +56,37 @@ class Vocabulary:
 
     def __init__(self, spec: dict):
         model = spec["model"]
+        self.key = hashlib.sha256(json.dumps(spec, sort_keys=True).encode()).hexdigest()
         self.ids: dict[str, int] = dict(model["vocab"])
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
+        names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
+        self.names = [names.get(i, "") for i in range(max(names) + 1)]
+        self.numerals = [str(i) for i in range(len(self.names))]
         pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        # pairs by both ids in one number; the merge of each rank
+        self.ranks: dict[int, int] = {}
         for rank, (a, b) in enumerate(pairs):
-            self.ranks.setdefault((self.ids[a], self.ids[b]), (rank, self.ids[a + b]))
+            self.ranks.setdefault(self.ids[a] << 32 | self.ids[b], rank)
+        self.merges = [(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in pairs]
         made = {a + b: r for r, (a, b) in enumerate(pairs)}
         if any(made.get(x, -1) > r for r, pair in enumerate(pairs) for x in pair):
             raise ValueError("a merge comes before the merge that makes its part")
         self.split = regex.compile(_pattern(spec["pre_tokenizer"]))
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.letters = byte_alphabet()
+        letters = byte_alphabet()
+        self.inner, self.last = [self.ids[c] for c in letters], [self.ids[c + self.suffix] for c in letters]
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
         with open(path, encoding="utf-8") as f:
             return cls(json.load(f))
 
-    def symbols(self, piece: str) -> list[int]:
-        chars = [self.letters[b] for b in piece.encode("utf-8")]
-        chars[-1] += self.suffix
-        return [self.ids[c] for c in chars]
+    def symbols(self, piece: bytes) -> list[int]:
+        """The first symbols of a piece: its bytes, the last one with the suffix."""
+        out = [self.inner[b] for b in piece]
+        out[-1] = self.last[piece[-1]]
+        return out
 
 
 def _pattern(spec: dict) -> str:
@@ -97,55 +106,56 @@ def encode_pieces(pieces: list[str], vocab: Vocabulary) -> list[list[int]]:
     before: list[int] = []
     starts = []
     for piece in pieces:
-        chain = vocab.symbols(piece)
+        own = vocab.symbols(piece.encode())
         first = len(symbol)
         starts.append(first)
-        symbol += chain
-        n = len(chain)
+        symbol += own
+        n = len(own)
         after += range(first + 1, first + n)
         after.append(-1)
         before.append(-1)
         before += range(first, first + n - 1)
-    where: dict[tuple[int, int], list[int]] = {}
-    ranks = vocab.ranks
-    for i, j in enumerate(after):
-        if j >= 0:
-            pair = (symbol[i], symbol[j])
-            if pair in ranks:
-                where.setdefault(pair, []).append(i)
-    heap = [(ranks[p][0], p) for p in where]
-    heapq.heapify(heap)
-    while heap:
-        rank, pair = heapq.heappop(heap)
-        positions = where.pop(pair, None)
-        if positions is None:
-            continue
-        a, b = pair
-        joined = ranks[pair][1]
-        positions.sort()
+    rank_of, merges = vocab.ranks.get, vocab.merges
+    where: dict[int, list[int]] = {}  # positions of the left symbol of each pair, by rank
+    for i, (a, b) in enumerate(zip(symbol, symbol[1:])):
+        if after[i] >= 0 and (rank := rank_of(a << 32 | b)) is not None:
+            if rank in where:
+                where[rank].append(i)
+            else:
+                where[rank] = [i]
+    active = list(where)
+    heapq.heapify(active)
+    while active:
+        rank = heapq.heappop(active)
+        a, b, joined = merges[rank]
+        positions = where.pop(rank)
+        if a == b:
+            positions.sort()  # of overlapping pairs the left one comes first
         for i in positions:
             j = after[i]
             if j < 0 or symbol[i] != a or symbol[j] != b:
                 continue  # a neighbour has been merged since
-            symbol[i], symbol[j] = joined, -1
-            k = after[j]
-            after[i] = k
+            symbol[i] = joined
+            symbol[j] = -1
+            k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
-                new = (joined, symbol[k])
-                if new in ranks:
-                    if new not in where:
-                        where[new] = []
-                        heapq.heappush(heap, (ranks[new][0], new))
-                    where[new].append(i)
+                new = rank_of(joined << 32 | symbol[k])
+                if new is not None:
+                    if new in where:
+                        where[new].append(i)
+                    else:
+                        where[new] = [i]
+                        heapq.heappush(active, new)
             h = before[i]
             if h >= 0:
-                new = (symbol[h], joined)
-                if new in ranks:
-                    if new not in where:
-                        where[new] = []
-                        heapq.heappush(heap, (ranks[new][0], new))
-                    where[new].append(h)
+                new = rank_of(symbol[h] << 32 | joined)
+                if new is not None:
+                    if new in where:
+                        where[new].append(h)
+                    else:
+                        where[new] = [h]
+                        heapq.heappush(active, new)
     out = []
     for i in starts:
         ids = []
@@ -161,7 +171,8 @@ class Encoder:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str | int, tuple[int, ...]] = {i: (i,) for i in vocab.special.values()}
+        self.pieces: dict[str, tuple[int, ...]] = {}
 
     def _chunks(self, text: str) -> list:
         """Chunks of a text in order; a special token comes as its id."""
@@ -177,14 +188,15 @@ class Encoder:
         return out
 
     def learn(self, chunks: set[str]) -> None:
-        """Encode new chunks together."""
-        split, pieces, number = self.vocab.split, {}, []
-        for chunk in chunks:
-            found = split.findall(lowered(chunk))
-            number.append((chunk, [pieces.setdefault(p, len(pieces)) for p in found]))
-        ids = encode_pieces(list(pieces), self.vocab)
-        for chunk, own in number:
-            self.known[chunk] = tuple(i for p in own for i in ids[p])
+        """Encode new chunks: those of their pieces that are new go through the index together."""
+        split, pieces = self.vocab.split.findall, self.pieces
+        if len(pieces) > KEPT:
+            pieces.clear()
+        cut = [(c, (low,) if (low := lowered(c)).isascii() and low.isalpha() else split(low)) for c in chunks]
+        new = list({p for _, found in cut for p in found if p not in pieces})
+        pieces.update(zip(new, map(tuple, encode_pieces(new, self.vocab))))
+        for chunk, found in cut:
+            self.known[chunk] = pieces[found[0]] if len(found) == 1 else tuple(i for p in found for i in pieces[p])
 
     def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
         """Ids of each text. Texts are taken together up to some million characters."""
@@ -196,46 +208,60 @@ class Encoder:
                 end += 1
             cut = [self._chunks(t or "") for t in texts[at:end]]
             if len(self.known) > KEPT:
-                self.known = {}
-            new = {c for chunks in cut for c in chunks if c.__class__ is str and c not in self.known}
+                self.known = {i: (i,) for i in self.vocab.special.values()}
+            new = set().union(*cut).difference(self.known)
             self.learn(new)
             known = self.known
             for chunks in cut:
-                ids: list[int] = []
-                for c in chunks:
-                    if c.__class__ is int:
-                        ids.append(c)
-                    else:
-                        ids += known[c]
-                yield ids
+                yield list(chain.from_iterable(map(known.__getitem__, chunks)))
             at = end
 
+    def digest(self, ids: list[int]) -> str:
+        """SHA-256 of the decimal ids, joined by spaces."""
+        return hashlib.sha256(" ".join(map(self.vocab.numerals.__getitem__, ids)).encode()).hexdigest()
+
     def decode(self, ids: list[int]) -> str:
         """The tokens joined by spaces, as a tokenizer without decoder does; special tokens stay."""
         return " ".join(map(self.vocab.names.__getitem__, ids))
 
 
-def encode(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str = "text", output: str = "ids") -> DataFrame:
-    """Per row of docs its key and either `ids` (array<int>) or `digest` (n_tokens, ids_sha256, decoded_sha256)."""
-    kind = docs.schema[key].dataType.simpleString()
-    columns = "ids array<int>" if output == "ids" else "n_tokens long, ids_sha256 string, decoded_sha256 string"
+#: The encoder of this process, kept from task to task.
+_OWN: list[Encoder] = []
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(vocab)
+
+def encoder_of(vocab: Vocabulary) -> Encoder:
+    if not _OWN or _OWN[0].vocab.key != vocab.key:
+        _OWN[:] = [Encoder(vocab)]
+    return _OWN[0]
+
+
+def encode(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str = "text", output: str = "ids", others: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs its key, `others`, n_tokens and either `ids` (array<int>) or digests (ids_sha256, decoded_sha256)."""
+    kept = [key, *others]
+    fields = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)]
+    digests = ["ids_sha256", "decoded_sha256"]
+    schema = ", ".join([*fields, "n_tokens long", *(["ids array<int>"] if output == "ids" else [f"{c} string" for c in digests])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(vocab)
         for batch in batches:
-            keys = batch["key"].to_numpy(dtype=object)
-            rows = []
-            for ids in encoder.encode([t if isinstance(t, str) else None for t in batch["text"]]):
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                own = [part.column(i) for i in range(len(kept))]
+                found = encoder.encode(part.column(len(kept)).to_pylist())
                 if output == "ids":
-                    rows.append((np.array(ids, np.int32),))
+                    rows = [np.array(ids, np.int32) for ids in found]
+                    sizes = [len(r) for r in rows]
+                    flat = np.concatenate([np.zeros(0, np.int32), *rows])
+                    made = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))]
                 else:
-                    rows.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(encoder.decode(ids).encode()).hexdigest()))
-            names = ["ids"] if output == "ids" else ["n_tokens", "ids_sha256", "decoded_sha256"]
-            out = pd.DataFrame.from_records(rows, columns=names)
-            out.insert(0, "key", keys)
-            yield out
+                    rows = [(len(ids), encoder.digest(ids), hashlib.sha256(encoder.decode(ids).encode()).hexdigest()) for ids in found]
+                    sizes = [r[0] for r in rows]
+                    made = [pa.array([r[i] for r in rows], pa.string()) for i in (1, 2)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), *made], [*(f"c{i}" for i in range(len(kept))), "n_tokens", *(["ids"] if output == "ids" else digests)])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, {columns}").withColumnRenamed("key", key)
+    out = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(kept)), F.col(text).alias("text")).mapInArrow(run, schema)
+    return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(kept)})
 
 
 def decode(rows: DataFrame, vocab: Vocabulary, key: str = "doc_id", ids: str = "ids") -> DataFrame:
