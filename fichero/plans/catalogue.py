@@ -1,4 +1,704 @@
-"""Queries by name, with SQL for those that SQL can express."""
+"""The engine's operators as queries over the standard tables, with the same in SQL where SQL can express it.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Each query is a function of (spark, folder). Vectors of `embeddings` stand for chunks, their label for product
+and kind; `documents`, `pages`, `conversations` and the other tables stand for texts, files and sessions.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .. import dims, fixed
+from ..functions import codes, vectors
+from ..functions import text as T
+from ..operators import analysis, chunking, conversation, incremental, metadata, profile, retrieval, sections, tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that the session names (spark.checkpoint.dir), else in a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fichero-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+# ---------------------------------------------------------------------- retrieval over embeddings
+
+_TIPO = "CASE label % 3 WHEN 0 THEN 'texto' WHEN 1 THEN 'tabla' ELSE 'imagen' END"
+_SIM = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
+_RANKED = f"""q AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
+s AS (SELECT e.vec_id AS id, e.label, {_TIPO.replace("label", "e.label")} AS tipo, {_SIM} AS sim FROM embeddings e, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY tipo ORDER BY round(sim, 9) DESC, id) AS rank FROM s),
+c AS (SELECT *, CASE WHEN tipo = 'imagen' THEN sim * 1.2 ELSE sim END AS boosted, CASE tipo WHEN 'texto' THEN 1 WHEN 'tabla' THEN 2 ELSE 3 END AS kind FROM r WHERE rank <= 30)"""
+_ORDER = "ORDER BY round(boosted, 9) DESC, kind, rank, id"
+
+
+def _chunks(spark: SparkSession, folder: str) -> DataFrame:
+    tipo = F.element_at(F.array(*[F.lit(k) for k in fixed.KINDS]), F.col("label") % 3 + 1)
+    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label", tipo.alias("tipo"))
+
+
+def _question(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "embeddings").filter("vec_id = 0").select(F.lit("q").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+def _hits(spark: SparkSession, folder: str, n: int = 15, wanted: str | None = None) -> DataFrame:
+    rows = _chunks(spark, folder)
+    found = retrieval.candidates(_question(spark, folder), rows, 30)
+    if wanted is not None:
+        found = found.join(rows.select("id", F.concat(F.lit("Producto "), "label").alias("producto")), "id").filter(retrieval.product_matches(F.col("producto"), F.lit(wanted)))
+    return retrieval.finish(found, n)
+
+
+@query(f"""WITH {_RANKED.split("c AS")[0].rstrip().rstrip(",")}, t AS (SELECT id, round(sim, 6) AS similarity, row_number() OVER (ORDER BY round(sim, 9) DESC, id) AS rank FROM s)
+SELECT id, similarity, CAST(rank AS INTEGER) AS rank FROM t WHERE rank <= 30""")
+def vector_topk(spark, folder):
+    """The 30 nearest vectors of one question."""
+    rows = _chunks(spark, folder).withColumn("tipo", F.lit("todo"))
+    return vectors.nearest(_question(spark, folder), rows, 30).select("id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query(f"WITH {_RANKED}, f AS (SELECT *, row_number() OVER ({_ORDER}) AS position FROM c) SELECT CAST(position AS INTEGER) AS position, id, tipo, round(boosted, 6) AS similarity FROM f WHERE position <= 15")
+def hybrid_retrieve(spark, folder):
+    """Thirty candidates of each kind, images boosted, the best fifteen."""
+    return _hits(spark, folder).select("position", "id", "tipo", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"WITH {_RANKED}, f AS (SELECT *, row_number() OVER ({_ORDER}) AS position FROM c WHERE contains(lower('Producto ' || label), 'producto 3')) SELECT CAST(position AS INTEGER) AS position, id, tipo, round(boosted, 6) AS similarity FROM f WHERE position <= 15")
+def retrieve_post_filter(spark, folder):
+    """The product filter comes after the candidates, so fewer than fifteen may be left."""
+    return _hits(spark, folder, wanted="PRODUCTO 3").select("position", "id", "tipo", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"WITH {_RANKED}, f AS (SELECT *, row_number() OVER ({_ORDER}) AS position FROM c), g AS (SELECT * FROM f WHERE position <= 15) SELECT round(avg(boosted), 6) AS avg_similarity, round(max(boosted), 6) AS top_similarity, count(*) AS total_chunks FROM g")
+def retrieval_metrics(spark, folder):
+    """Mean and first similarity and number of hits."""
+    out = retrieval.metrics(_hits(spark, folder), _question(spark, folder))
+    return out.select(F.round("avg_similarity", 6).alias("avg_similarity"), F.round("top_similarity", 6).alias("top_similarity"), "total_chunks")
+
+
+@query(f"""WITH q AS (SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT q.qid AS query_id, e.vec_id AS id, {_TIPO.replace("label", "e.label")} AS tipo, {_SIM} AS sim FROM embeddings e, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, tipo ORDER BY round(sim, 9) DESC, id) AS rank FROM s)
+SELECT query_id, id, tipo, round(sim, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+def vector_topk_batch(spark, folder):
+    """The five nearest of each kind for every hundredth vector: many questions in one pass."""
+    asked = table(spark, folder, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return vectors.nearest(asked, _chunks(spark, folder), 5).select("query_id", "id", "tipo", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query("SELECT vec_id AS id, label, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings WHERE vec_id = 7")
+def vector_point_lookup(spark, folder):
+    """One row by id with the length of its vector."""
+    return table(spark, folder, "embeddings").filter("vec_id = 7").select(F.col("vec_id").alias("id"), "label", F.size("embedding").alias("dim"))
+
+
+@query("SELECT vec_id AS id FROM embeddings")
+def id_scan(spark, folder):
+    """Ids only: no other column is read."""
+    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"))
+
+
+@query("SELECT doc_id, lang, source, n_chars FROM documents")
+def projected_scan(spark, folder):
+    """Metadata of all documents without their texts."""
+    return table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")
+
+
+@query("SELECT vec_id AS id, label FROM embeddings ORDER BY vec_id LIMIT 50")
+def limited_scan(spark, folder):
+    """The first fifty by id."""
+    return table(spark, folder, "embeddings").orderBy("vec_id").limit(50).select(F.col("vec_id").alias("id"), "label")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang = 'es' ORDER BY doc_id LIMIT 5")
+def equality_filter(spark, folder):
+    """Five rows where a column has a value: the filter reaches the scan."""
+    return table(spark, folder, "documents").filter("lang = 'es'").orderBy("doc_id").limit(5).select("doc_id", "lang")
+
+
+@query("SELECT page_id, url FROM pages WHERE contains(url, '/es/')")
+def substring_filter(spark, folder):
+    """Rows whose text holds another, case and all."""
+    return table(spark, folder, "pages").filter(F.col("url").contains("/es/")).select("page_id", "url")
+
+
+@query("SELECT 'embeddings' AS name, count(*) AS n FROM embeddings UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'pages', count(*) FROM pages")
+def collection_counts(spark, folder):
+    """Collections with their numbers of rows."""
+    out = None
+    for name in ("embeddings", "documents", "pages"):
+        one = table(spark, folder, name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# ---------------------------------------------------------------------- texts
+
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '(?m)^\s+', '', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, md5({_CLEAN}) AS hash, length({_CLEAN}) AS n FROM documents")
+def clean_text(spark, folder):
+    """Every text cleaned."""
+    return table(spark, folder, "documents").select("doc_id", T.clean("text").alias("t")).select("doc_id", F.md5(F.col("t").cast("binary")).alias("hash"), F.length("t").cast("long").alias("n"))
+
+
+@query("SELECT doc_id, length(text) // 4 AS tokens FROM documents")
+def token_estimate(spark, folder):
+    """Tokens of every text, as characters by four."""
+    return table(spark, folder, "documents").select("doc_id", T.estimate_tokens("text").alias("tokens"))
+
+
+_PARTS = r"SELECT doc_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')) AS body, unnest(range(1, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')) + 1)) - 1 AS pos FROM documents"
+
+
+def _parts(spark, folder) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", F.posexplode(T.paragraphs("text", "\n")).alias("pos", "body"))
+
+
+@query(f"WITH p AS ({_PARTS}) SELECT doc_id, CAST(pos AS INTEGER) AS pos, printf('%s_chunk_%03d_%s', CAST(doc_id AS VARCHAR), CAST(pos AS INTEGER), substr(md5(body), 1, 8)) AS id FROM p")
+def chunk_ids(spark, folder):
+    """An id for every paragraph."""
+    return _parts(spark, folder).select("doc_id", "pos", T.chunk_id(F.col("doc_id").cast("string"), "pos", "body").alias("id"))
+
+
+@query(f"WITH p AS ({_PARTS}) SELECT doc_id, CAST(pos AS INTEGER) AS pos, md5(body) AS hash FROM p")
+def paragraph_explode(spark, folder):
+    """Paragraphs as rows."""
+    return _parts(spark, folder).select("doc_id", "pos", F.md5(F.col("body").cast("binary")).alias("hash"))
+
+
+@query(f"WITH p AS ({_PARTS}) SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(sum(length(body) // 4) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS tokens FROM p")
+def paragraph_running_tokens(spark, folder):
+    """Tokens up to each paragraph."""
+    running = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return _parts(spark, folder).select("doc_id", "pos", F.sum(T.estimate_tokens("body")).over(running).alias("tokens"))
+
+
+@query()
+def chunk_pack_overlap(spark, folder):
+    """Paragraphs packed into chunks of 200 tokens with 60 of overlap."""
+    packed = table(spark, folder, "documents").select("doc_id", F.posexplode(chunking.pack("text", 200, 60, "\n")).alias("part", "body"))
+    return packed.select("doc_id", "part", F.md5(F.col("body").cast("binary")).alias("hash"), T.estimate_tokens("body").alias("tokens"))
+
+
+@query(f"""WITH p AS ({_PARTS}), k AS (SELECT *, CAST(pos // 3 AS INTEGER) AS section FROM p)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section, pos) - 1 AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id, section) AS INTEGER) AS total_chunks FROM k""")
+def chunk_index_total(spark, folder):
+    """Numbers of chunks in a document, totals in a section of three paragraphs."""
+    parts = _parts(spark, folder).select("doc_id", F.lit(0).alias("kind_order"), F.floor(F.col("pos") / 3).cast("int").alias("section_pos"), F.col("pos").alias("part"))
+    return chunking.numbered(parts, "doc_id").select("doc_id", "chunk_index", "total_chunks")
+
+
+@query(r"""WITH l AS (SELECT doc_id, list_slice(string_split(text, chr(10)), 1, 50) AS a FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(a))) AS i, a FROM l), h AS (SELECT doc_id, i, regexp_replace(a[i + 1], '^\s+|\s+$', '', 'g') AS y FROM p WHERE regexp_matches(a[i], '(?i)licen[cs]e|the ') AND length(regexp_replace(a[i + 1], '^\s+|\s+$', '', 'g')) BETWEEN 4 AND 199)
+SELECT d.doc_id, min_by(h.y, h.i) AS value FROM documents d LEFT JOIN h ON h.doc_id = d.doc_id GROUP BY d.doc_id""")
+def next_line_lookup(spark, folder):
+    """The line after the first one of the head that holds a label."""
+    return table(spark, folder, "documents").select("doc_id", T.next_line("text", "(?iu)licen[cs]e|the ").alias("value"))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[\w.]+@[\w.]+'))), ',') AS mails, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[0-9]{2,}(?:-[0-9]+)+'))), ',') AS numbers FROM documents""")
+def regex_extract_codes(spark, folder):
+    """Distinct mails and hyphenated numbers of every text, in order."""
+    found = lambda p: F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(0)))), ",")
+    return table(spark, folder, "documents").select("doc_id", found(r"[\w.]+@[\w.]+").alias("mails"), found(r"[0-9]{2,}(?:-[0-9]+)+").alias("numbers"))
+
+
+_SECTIONED = "SELECT conv_id, string_agg('SECCIÓN ' || (turn + 1) || ': ' || text, chr(10) ORDER BY turn) AS text FROM conversations WHERE turn < 8 GROUP BY conv_id"
+
+
+def _sectioned(spark, folder) -> DataFrame:
+    parts = table(spark, folder, "conversations").filter("turn < 8").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return parts.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(F.lit("SECCIÓN "), (x["turn"] + 1).cast("string"), F.lit(": "), x["text"])), "\n").alias("text"))
+
+
+@query(r"""SELECT conv_id, CASE turn + 1 """ + " ".join(f"WHEN {n} THEN '{s}'" for n, s in fixed.SECTIONS.items() if n <= 8) + r""" END AS name, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS hash FROM conversations WHERE turn < 8 AND length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 50""")
+def section_split(spark, folder):
+    """Numbered sections of texts, by name."""
+    found = _sectioned(spark, folder).select("conv_id", F.inline(sections.numbered("text")))
+    return found.select("conv_id", "name", F.md5(F.col("text").cast("binary")).alias("hash"))
+
+
+@query()
+def section_keywords(spark, folder):
+    """Sections by key words, over texts whose turns are headed by words instead of numbers."""
+    words = F.array(*[F.lit(w) for w in ("Identificación del producto", "Composición", "Primeros auxilios", "Medidas de incendio", "Vertido", "Manejo y almacenamiento", "Transporte", "Otra información")])
+    parts = table(spark, folder, "conversations").filter("turn < 8").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    texts = parts.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(F.element_at(words, (x["turn"] + 1).cast("int")), F.lit("\n"), x["text"])), "\n").alias("text"))
+    return texts.select("conv_id", F.inline(sections.by_keywords("text"))).select("conv_id", "name", F.length("text").alias("n"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\*\*([^\n]+?)\*\*', '\1', 'g'), '\*([^\n]+?)\*', '\1', 'g'), '#+\s*', '', 'g'), '(?m)^-\s+', '', 'g'), '(?m)^[0-9]+\.\s+', '', 'g')) AS hash FROM documents WHERE length(text) >= 400")
+def markdown_strip(spark, folder):
+    """Answers without Markdown."""
+    docs = table(spark, folder, "documents").filter("length(text) >= 400")
+    return docs.select("doc_id", F.md5(T.plain_answer("text").cast("binary")).alias("hash"))
+
+
+@query("SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS hash FROM pages")
+def html_escape(spark, folder):
+    """Pages as text that shows their source."""
+    return table(spark, folder, "pages").select("page_id", F.md5(T.html_escape("html").cast("binary")).alias("hash"))
+
+
+@query("SELECT page_id, url_decode(replace(url, '+', '%2B')) AS url FROM pages")
+def url_decoded(spark, folder):
+    """Addresses without escapes."""
+    return table(spark, folder, "pages").select("page_id", F.url_decode(F.replace("url", F.lit("+"), F.lit("%2B"))).alias("url"))
+
+
+@query("SELECT doc_id, source AS producto, round(n_chars / 7.0, 3) AS similarity, concat(substr(text, 1, 200), '...') AS content_preview FROM documents")
+def source_format_preview(spark, folder):
+    """What a response tells of its sources."""
+    return table(spark, folder, "documents").select("doc_id", F.col("source").alias("producto"), F.round(F.col("n_chars") / 7.0, 3).alias("similarity"), T.preview("text").alias("content_preview"))
+
+
+@query("""SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'llama|fuego|inflamable') THEN 'inflamable' WHEN regexp_matches(lower(text), 'corrosión|tubo|ácido') THEN 'corrosivo' WHEN regexp_matches(lower(text), 'calavera|cráneo|tóxico') THEN 'toxico' WHEN regexp_matches(lower(text), 'signo exclamación|irritante') THEN 'irritante' WHEN regexp_matches(lower(text), 'silueta|cuerpo humano|salud') THEN 'peligro_salud' WHEN regexp_matches(lower(text), 'explosión|bomba') THEN 'explosivo' WHEN regexp_matches(lower(text), 'llama círculo|oxígeno') THEN 'comburente' WHEN regexp_matches(lower(text), 'cilindro|gas|presión') THEN 'gas_presion' WHEN regexp_matches(lower(text), 'árbol|pez|ambiental') THEN 'medio_ambiente' ELSE 'otro' END AS class FROM documents""")
+def classify_ordered_when(spark, folder):
+    """Pictogram class of descriptions: the first that fits."""
+    return table(spark, folder, "documents").select("doc_id", T.pictogram_class("text").alias("class"))
+
+
+@query(r"SELECT page_id, concat(CASE WHEN regexp_matches(s, 'pictograma|ghs') THEN 'Pictograma de seguridad' WHEN regexp_matches(s, 'etiqueta|label|/en/') THEN 'Etiqueta del producto' ELSE 'Imagen' END, '. ', CASE WHEN page_id % 2 = 0 THEN 'Texto visible: ' || page_id ELSE '' END) AS description FROM (SELECT page_id, lower(replace(concat(url, '_img.png'), '/en/', '/label/')) AS s FROM pages)")
+def image_descriptions(spark, folder):
+    """Descriptions of images by file name and text."""
+    name = F.concat(F.replace("url", F.lit("/en/"), F.lit("/label/")), F.lit("_img.png"))
+    return table(spark, folder, "pages").select("page_id", T.image_description(name, F.when(F.col("page_id") % 2 == 0, F.col("page_id").cast("string"))).alias("description"))
+
+
+# ---------------------------------------------------------------------- questions and sessions
+
+_TYPE = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(ws)}') THEN '{t}'" for t, ws in fixed.QUERY_TYPES.items()) + " END"
+_PRODUCT = "CASE " + " ".join(f"WHEN contains(lower(text), '{t}') THEN '{fixed.PRODUCT_TERMS[t]}'" for t in sorted(fixed.PRODUCT_TERMS, key=len, reverse=True)) + " END"
+
+
+@query(f"SELECT conv_id, turn, {_TYPE} AS query_type FROM conversations")
+def query_type_exact(spark, folder):
+    """Query type of every message: the first type with a key word in it."""
+    turns = table(spark, folder, "conversations").withColumn("query_id", F.struct("conv_id", "turn"))
+    return analysis.query_type(turns, fuzzy=False).select("query_id.conv_id", "query_id.turn", "query_type")
+
+
+@query(f"SELECT query_type, coalesce(search_level, 'semantic_only') AS search_level, count(*) AS n FROM (SELECT {_TYPE} AS query_type, CASE WHEN {_TYPE} IS NOT NULL THEN 'hybrid' END AS search_level FROM conversations) GROUP BY ALL")
+def search_levels(spark, folder):
+    """Search level by query type."""
+    turns = table(spark, folder, "conversations").withColumn("query_id", F.struct("conv_id", "turn"))
+    return analysis.query_type(turns, fuzzy=False).groupBy("query_type", analysis.search_level().alias("search_level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH t AS (SELECT DISTINCT p_type AS term FROM part), b AS (SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_brand AS text FROM part),
+h AS (SELECT p_partkey, term, row_number() OVER (PARTITION BY p_partkey ORDER BY length(term) DESC, term DESC) AS r FROM b JOIN t ON contains(' ' || lower(text) || ' ', ' ' || lower(term) || ' '))
+SELECT p_partkey, term FROM h WHERE r = 1""")
+def longest_term_match(spark, folder):
+    """The longest of a list of terms that a text holds."""
+    part = table(spark, folder, "part")
+    rows = part.select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+    return analysis.longest_match(rows, part.select(F.col("p_type").alias("term")).distinct(), "p_partkey", "text", "term")
+
+
+def _phrases(spark, folder) -> DataFrame:
+    """Questions with product names, some misspelt, made from conversations by number."""
+    names = F.array(*[F.lit(x) for x in ("del esmalte epoxico aluminio", "de la pintura texturizada", "del uretanno", "esmalte alquidico", "peligrs", "protección", "propiedade")])
+    return table(spark, folder, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), "turn", F.format_string("%d:%d", "conv_id", "turn").alias("query_id"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("dame "), F.element_at(names, (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(7)) + 1).cast("int")))).otherwise("y eso").alias("text"))
+
+
+_PHRASE = "CASE WHEN turn % 2 = 0 THEN 'dame ' || (['del esmalte epoxico aluminio', 'de la pintura texturizada', 'del uretanno', 'esmalte alquidico', 'peligrs', 'protección', 'propiedade'])[(conv_id + turn) % 7 + 1] ELSE 'y eso' END"
+
+
+@query(f"SELECT conv_id || ':' || turn AS query_id, {_PRODUCT} AS product FROM (SELECT conv_id, turn, {_PHRASE} AS text FROM conversations)")
+def product_exact(spark, folder):
+    """Product that a question names."""
+    return analysis.product(_phrases(spark, folder), fuzzy=False)
+
+
+@query()
+def fuzzy_match(spark, folder):
+    """Query type and product of questions, misspelt words included."""
+    asked = _phrases(spark, folder)
+    return analysis.query_type(asked).join(analysis.product(asked), "query_id")
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, {_PHRASE} AS text FROM conversations), d AS (SELECT conv_id, turn, text, {_PRODUCT} AS product FROM p)
+SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, product, last_value(product IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS context FROM d""")
+def context_carry_forward(spark, folder):
+    """The product of earlier turns of each session."""
+    asked = _phrases(spark, folder)
+    told = asked.join(analysis.product(asked, fuzzy=False), "query_id")
+    return conversation.carried(told, "product").select("session_id", "turn", "product", "context")
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, {_PHRASE} AS text FROM conversations), d AS (SELECT conv_id, turn, text, {_PRODUCT} AS product FROM p),
+c AS (SELECT *, last_value(product IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS context FROM d)
+SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, CASE WHEN context IS NOT NULL AND NOT regexp_matches(lower(text), 'epoxi|uretano|alquid|textur|sika') AND len(string_split(text, ' ')) < 4 THEN text || ' ' || context ELSE text END AS question FROM c""")
+def enrich_query(spark, folder):
+    """Short questions with the product of their session."""
+    asked = _phrases(spark, folder)
+    told = conversation.carried(asked.join(analysis.product(asked, fuzzy=False), "query_id"), "product")
+    return told.select("session_id", "turn", T.enriched("text", "context").alias("question"))
+
+
+@query(f"SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, (string_split(text, ' ')[1] IN ('y','sus','su','ese','este','dame','tambien','cuales','que','es') OR len(string_split(text, ' ')) < 5) AS follow_up FROM (SELECT conv_id, turn, {_PHRASE} AS text FROM conversations)")
+def follow_up_flag(spark, folder):
+    """Whether a question continues the one before."""
+    return _phrases(spark, folder).select("session_id", "turn", T.is_follow_up("text").alias("follow_up"))
+
+
+@query("SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS n FROM conversations WHERE role <> 'system'")
+def session_turn_rank(spark, folder):
+    """Number of each turn in its session."""
+    return conversation.ranked(table(spark, folder, "conversations").filter("role <> 'system'"), "conv_id").select("conv_id", "turn", "n")
+
+
+@query("SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS roles FROM conversations GROUP BY conv_id")
+def session_listing(spark, folder):
+    """Sessions with their turns."""
+    return table(spark, folder, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.countDistinct("role").alias("roles"))
+
+
+# ---------------------------------------------------------------------- dimensions and structured metadata
+
+_CODED = "SELECT doc_id, (['H225','H315','H411','H319','H412','H999'])[doc_id % 6 + 1] AS a, (['H226','H315','H373'])[doc_id % 3 + 1] AS b, source, text FROM documents"
+
+
+def _coded(spark, folder) -> DataFrame:
+    pick = lambda xs, n: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("doc_id") % n + 1).cast("int"))
+    return table(spark, folder, "documents").select("doc_id", pick(["H225", "H315", "H411", "H319", "H412", "H999"], 6).alias("a"), pick(["H226", "H315", "H373"], 3).alias("b"), "source", "text")
+
+
+_H_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in fixed.HAZARDS.items())
+
+
+@query(f"SELECT c.doc_id, c.a AS codigo, coalesce(h.d, 'Descripción no disponible') AS descripcion FROM ({_CODED}) c LEFT JOIN (VALUES {_H_ROWS}) h(k, d) ON h.k = c.a")
+def dim_lookup_default(spark, folder):
+    """Codes with their description, or the text that there is none."""
+    return metadata.with_descriptions(_coded(spark, folder).select("doc_id", F.col("a").alias("codigo")), "H").select("doc_id", "codigo", "descripcion")
+
+
+@query("SELECT n_nationkey, coalesce(s.name, 'seccion_' || n_nationkey) AS name FROM nation LEFT JOIN (VALUES " + ", ".join(f"({n}, '{s}')" for n, s in fixed.SECTIONS.items()) + ") s(n, name) ON s.n = n_nationkey")
+def section_names(spark, folder):
+    """Section names by number, with a made-up name for unknown numbers."""
+    nation = table(spark, folder, "nation")
+    return nation.join(F.broadcast(dims.sections(spark)), F.col("n_nationkey") == F.col("numero"), "left").select("n_nationkey", F.coalesce("nombre", F.concat(F.lit("seccion_"), "n_nationkey")).alias("name"))
+
+
+_PICTO = ", ".join(f"('{k}', '{v}')" for k, v in fixed.PICTOGRAMS.items())
+
+
+@query(f"WITH f AS (SELECT p, min(name) AS file FROM (SELECT DISTINCT v AS p FROM (VALUES {_PICTO}) x(k, v)) JOIN (SELECT 'ghs_' || v || '_' || n || '.png' AS name FROM (VALUES {_PICTO}) y(k, v), range(2) r(n)) ON contains(name, p) GROUP BY p) SELECT c.doc_id, c.a AS codigo, f.file FROM ({_CODED}) c JOIN (VALUES {_PICTO}) m(k, v) ON m.k = c.a JOIN f ON f.p = m.v")
+def pictogram_files(spark, folder):
+    """The file of each code's pictogram; codes without one are left out."""
+    files = dims.pictograms(spark).select(F.explode(F.array(*[F.concat(F.lit("ghs_"), "pictograma", F.lit(f"_{n}.png")) for n in (0, 1)])).alias("name"))
+    first = dims.pictograms(spark).select("pictograma").distinct().join(files, F.expr("contains(name, pictograma)")).groupBy("pictograma").agg(F.min("name").alias("file"))
+    coded = _coded(spark, folder).select("doc_id", F.col("a").alias("codigo"))
+    return coded.join(F.broadcast(dims.pictograms(spark)), "codigo").join(F.broadcast(first), "pictograma").select("doc_id", "codigo", "file")
+
+
+@query(f"""WITH c AS ({_CODED}), u AS (SELECT source, doc_id, a AS codigo, 'a' || doc_id AS d FROM c UNION ALL SELECT source, doc_id, b, 'b' || doc_id FROM c)
+SELECT source, codigo, min_by(d, doc_id * 2 + CASE WHEN d LIKE 'b%' THEN 1 ELSE 0 END) AS descripcion, count(*) AS n FROM u GROUP BY source, codigo""")
+def code_histogram_distinct_first(spark, folder):
+    """Codes of each source: the first description by document, and how often the code occurs."""
+    item = F.array(F.struct(F.col("a").alias("codigo"), F.concat(F.lit("a"), "doc_id").alias("descripcion")), F.struct(F.col("b").alias("codigo"), F.concat(F.lit("b"), "doc_id").alias("descripcion")))
+    rows = _coded(spark, folder).select("source", "doc_id", F.posexplode(item).alias("k", "item")).select("source", (F.col("doc_id") * 2 + F.col("k")).alias("position"), "item")
+    once = metadata.first_of_each(rows.withColumn("items", F.array("item")), "items", "codigo", "codigo", by="source").select("source", F.explode("items").alias("i"))
+    n = rows.groupBy("source", F.col("item.codigo").alias("codigo")).agg(F.count(F.lit(1)).alias("n"))
+    return once.select("source", F.col("i.codigo").alias("codigo"), F.col("i.descripcion").alias("descripcion")).join(n, ["source", "codigo"])
+
+
+@query(f"SELECT source, array_to_string(list_sort(list_distinct(list(a))), ',') AS codes, CAST(sum(doc_id % 5) AS BIGINT) AS total_chunks FROM ({_CODED}) GROUP BY source")
+def metadata_merge(spark, folder):
+    """Metadata of several query types as one per source."""
+    rows = _coded(spark, folder)
+    none, comp = F.array().cast("array<struct<codigo:string,descripcion:string>>"), F.array().cast("array<struct<nombre:string,cas:string,concentracion:string>>")
+    given = rows.select("source", F.lit("peligros").alias("query_type"), F.array(F.struct(F.col("a").alias("codigo"), F.lit("x").alias("descripcion"))).alias("codigos_h"), none.alias("codigos_p"), comp.alias("componentes_cas"), (F.col("doc_id") % 5).alias("total_chunks"))
+    out = metadata.merged(given, by="source")
+    return out.select("source", F.array_join(F.transform("codigos_h", lambda c: c["codigo"]), ",").alias("codes"), "total_chunks")
+
+
+_REPR = "CASE event_id % 4 WHEN 0 THEN 'H315,H319' WHEN 1 THEN '{''codigo'': ''H226'', ''descripcion'': ''x''}' WHEN 2 THEN '[{\"codigo\": \"H226\"}, {\"codigo\": \"H304\"}]' ELSE '[{broken H412 H412 H225' END"
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'H315:Provoca irritación cutánea|H319:Provoca irritación ocular grave' WHEN 1 THEN 'H226:Líquidos y vapores inflamables' WHEN 2 THEN 'H226:Líquidos y vapores inflamables|H304:Puede ser mortal en caso de ingestión' ELSE 'H412:Nocivo para los organismos acuáticos|H225:Líquido y vapores muy inflamables' END AS codes FROM events")
+def repr_parse(spark, folder):
+    """Code lists as plain text, dictionaries, JSON and broken JSON."""
+    given = F.element_at(F.array(F.lit("H315,H319"), F.lit("{'codigo': 'H226', 'descripcion': 'x'}"), F.lit('[{"codigo": "H226"}, {"codigo": "H304"}]'), F.lit("[{broken H412 H412 H225")), (F.col("event_id") % 4 + 1).cast("int"))
+    found = F.transform(codes.parse_hazards(given), lambda c: F.concat_ws(":", c["codigo"], c["descripcion"]))
+    return table(spark, folder, "events").select("event_id", F.array_join(found, "|").alias("codes"))
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(CAST(props->>'$.k' AS INTEGER)) AS BIGINT) AS k FROM events GROUP BY event_type")
+def json_props(spark, folder):
+    """A field of JSON texts, summed by type."""
+    events = table(spark, folder, "events").withColumn("p", F.from_json("props", "k int"))
+    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("p.k").alias("k"))
+
+
+@query("SELECT event_id, coalesce(CAST(props->>'$.k' AS VARCHAR), 'N/A') AS k, coalesce(CAST(props->>'$.absent' AS VARCHAR), 'N/A') AS absent FROM events")
+def map_defaults(spark, folder):
+    """Values of a map, with a default for missing keys."""
+    m = F.from_json("props", "map<string,string>")
+    return table(spark, folder, "events").select("event_id", F.coalesce(F.try_element_at(m, F.lit("k")), F.lit("N/A")).alias("k"), F.coalesce(F.try_element_at(m, F.lit("absent")), F.lit("N/A")).alias("absent"))
+
+
+# ---------------------------------------------------------------------- increments
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 0")
+def incremental_anti_join(spark, folder):
+    """Rows that an index of every third document does not hold."""
+    docs = table(spark, folder, "documents").select("doc_id")
+    return incremental.new_rows(docs, docs.filter("doc_id % 3 = 0"), ["doc_id"])
+
+
+@query("SELECT source, CASE WHEN doc_id % 3 = 0 THEN 'skipped' ELSE 'added' END AS status, count(*) AS count FROM documents GROUP BY ALL")
+def ingest_counters(spark, folder):
+    """Added and skipped rows by source."""
+    docs = table(spark, folder, "documents").select("doc_id", "source")
+    return incremental.added_and_skipped(docs, docs.filter("doc_id % 3 = 0"), ["doc_id"], "source")
+
+
+_CURRENT = "SELECT CAST(doc_id AS VARCHAR) AS name, md5(text) AS hash, n_chars AS size FROM documents WHERE doc_id % 5 <> 1"
+_BEFORE = "SELECT CAST(doc_id AS VARCHAR) AS name, CASE WHEN doc_id % 7 = 2 THEN 'old' ELSE md5(text) END AS hash, n_chars AS size FROM documents WHERE doc_id % 5 <> 3"
+
+
+def _changes(spark, folder) -> DataFrame:
+    docs = table(spark, folder, "documents").select(F.col("doc_id"), F.col("doc_id").cast("string").alias("name"), F.md5(F.col("text").cast("binary")).alias("hash"), F.col("n_chars").alias("size"))
+    before = docs.filter("doc_id % 5 <> 3").withColumn("hash", F.when(F.col("doc_id") % 7 == 2, "old").otherwise(F.col("hash")))
+    return incremental.changes(docs.filter("doc_id % 5 <> 1").drop("doc_id"), before.drop("doc_id"))
+
+
+_STATUS = "CASE WHEN b.name IS NULL THEN 'new' WHEN a.name IS NULL THEN 'deleted' WHEN a.hash = b.hash THEN 'same' ELSE 'modified' END"
+
+
+@query(f"SELECT coalesce(a.name, b.name) AS name, a.hash, {_STATUS} AS status FROM ({_CURRENT}) a FULL JOIN ({_BEFORE}) b ON a.name = b.name")
+def cdc_full_outer(spark, folder):
+    """Status of every document against a manifest."""
+    return _changes(spark, folder).select("name", "hash", "status")
+
+
+@query(f"SELECT {_STATUS} AS status, count(*) AS count FROM ({_CURRENT}) a FULL JOIN ({_BEFORE}) b ON a.name = b.name GROUP BY 1")
+def cdc_counts(spark, folder):
+    """Documents by status."""
+    return incremental.counts(_changes(spark, folder))
+
+
+@query(f"SELECT a.name, a.hash, a.size FROM ({_CURRENT}) a LEFT JOIN ({_BEFORE}) b ON a.name = b.name WHERE b.name IS NULL OR a.hash <> b.hash")
+def cdc_work_list(spark, folder):
+    """Documents to be processed."""
+    return incremental.work_list(_changes(spark, folder))
+
+
+@query("SELECT doc_id FROM documents WHERE source NOT IN (SELECT DISTINCT source FROM documents WHERE doc_id % 50 = 1)")
+def stale_delete(spark, folder):
+    """The index without the chunks of replaced documents."""
+    docs = table(spark, folder, "documents").select("doc_id", "source")
+    return incremental.current_index(docs, docs.filter("doc_id % 50 = 1"), "source").select("doc_id")
+
+
+@query("SELECT min(doc_id) AS doc_id, md5(text) AS hash, count(*) AS copies FROM documents GROUP BY md5(text)")
+def content_dedup(spark, folder):
+    """Of equal contents the first."""
+    docs = table(spark, folder, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("hash"))
+    return docs.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
+@query("SELECT c_mktsegment, c_nationkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS BIGINT) AS i, s_name FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer) c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier) s ON s.s_nationkey = c.c_nationkey AND s.i = c.i")
+def image_chunk_zip(spark, folder):
+    """The i-th row of a group with the i-th of another table; surplus rows stay alone."""
+    c = table(spark, folder, "customer").withColumn("i", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")))
+    s = table(spark, folder, "supplier").withColumn("i", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))).withColumnRenamed("s_nationkey", "c_nationkey")
+    return c.join(s, ["c_nationkey", "i"], "left").select("c_mktsegment", "c_nationkey", F.col("i").cast("long").alias("i"), "s_name")
+
+
+# ---------------------------------------------------------------------- profiles
+
+_EXPECTED = "['src0', 'src3', 'src7', 'none']"
+
+
+@query(f"SELECT lang, array_to_string(list_sort(list_distinct(list(source))), ',') AS sections, array_to_string(list_sort(list_filter({_EXPECTED}, lambda x: NOT list_contains(list(source), x))), ',') AS missing FROM documents WHERE doc_id % 9 = 0 GROUP BY lang")
+def coverage_except(spark, folder):
+    """Sections that a product has, and expected ones that it lacks."""
+    docs = table(spark, folder, "documents").filter("doc_id % 9 = 0")
+    out = profile.coverage(docs, ["lang"], "source", ["src0", "src3", "src7", "none"])
+    return out.select("lang", F.array_join("sections", ",").alias("sections"), F.array_join("missing", ",").alias("missing"))
+
+
+@query("SELECT lang, array_to_string(list_sort(list_distinct(list(source))), ',') AS sections FROM documents GROUP BY lang")
+def group_collect_sections(spark, folder):
+    """Sections of each product."""
+    return profile.sections_of(table(spark, folder, "documents"), ["lang"], "source").select("lang", F.array_join("sections", ",").alias("sections"))
+
+
+@query("SELECT coalesce(source, 'N/A') AS source, count(*) AS count FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def top_sources(spark, folder):
+    """The ten most frequent products."""
+    return profile.histogram(table(spark, folder, "documents"), "source", 10)
+
+
+@query("SELECT coalesce(lang, 'N/A') AS lang, count(*) AS count FROM documents GROUP BY 1")
+def section_histogram(spark, folder):
+    """All sections with their counts."""
+    return profile.histogram(table(spark, folder, "documents"), "lang")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic FROM labels")
+def conditional_counts(spark, folder):
+    """Rows that hold something, by what they hold."""
+    return table(spark, folder, "labels").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("toxic") == 1).alias("toxic"))
+
+
+@query("SELECT lang AS tipo_contenido, count(*) AS count FROM documents GROUP BY ROLLUP (lang)")
+def counts_rollup(spark, folder):
+    """Counts by kind and in all, in one pass."""
+    return profile.totals(table(spark, folder, "documents").withColumnRenamed("lang", "tipo_contenido"))
+
+
+@query(f"SELECT label, count(*) FILTER (tipo = 'texto') AS texto, count(*) FILTER (tipo = 'tabla') AS tabla, count(*) FILTER (tipo = 'imagen') AS imagen FROM (SELECT vec_id % 10 AS label, {_TIPO} AS tipo FROM embeddings) GROUP BY label")
+def modality_pivot(spark, folder):
+    """Chunks of each kind by document."""
+    return profile.by_kind(_chunks(spark, folder).withColumn("label", F.col("id") % 10), "label", "tipo")
+
+
+@query("SELECT l_returnflag, avg(CASE WHEN l_discount = 0 THEN 1 ELSE 0 END) AS null_share, count(nullif(l_discount, 0)) AS filled FROM lineitem GROUP BY l_returnflag")
+def null_ratio(spark, folder):
+    """Share of empty cells, and filled ones."""
+    rows = table(spark, folder, "lineitem").withColumn("v", F.nullif("l_discount", F.lit(0.0)))
+    return rows.groupBy("l_returnflag").agg(F.avg(F.col("v").isNull().cast("int")).alias("null_share"), F.count("v").alias("filled"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 6) AS avg_value, round(max(value), 6) AS top_value FROM events GROUP BY ALL")
+def query_metrics_by_day(spark, folder):
+    """Telemetry by day and type."""
+    return table(spark, folder, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("avg_value"), F.round(F.max("value"), 6).alias("top_value"))
+
+
+@query("SELECT source, lang FROM (SELECT DISTINCT source, lang FROM documents WHERE doc_id % 2 = 0 UNION SELECT source, lang FROM documents WHERE doc_id % 2 = 1)")
+def union_distinct(spark, folder):
+    """Names of two lists, each once."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "lang")
+    return docs.filter("doc_id % 2 = 0").select("source", "lang").union(docs.filter("doc_id % 2 = 1").select("source", "lang")).distinct()
+
+
+@query("SELECT strftime(o_orderdate, '%d.%m.%Y') AS text, strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n FROM orders GROUP BY ALL")
+def date_parse(spark, folder):
+    """Dates of the form dd.mm.yyyy as dates."""
+    texts = table(spark, folder, "orders").select(F.date_format("o_orderdate", "dd.MM.yyyy").alias("text"))
+    return texts.groupBy("text", T.parsed_date("text").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------------- tables
+
+def _cells(spark, folder) -> DataFrame:
+    """Orders as raw tables of one customer each: a title row, a header row, dirty cells."""
+    o = table(spark, folder, "orders").filter("o_custkey % 10 = 1").withColumn("r", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) + 1)
+    body = tables.unpivot(o.select("o_custkey", "r", F.concat(F.lit("  k "), "o_orderkey").alias("0"), F.when(F.col("o_orderstatus") == "F", "-").otherwise(F.col("o_orderstatus")).alias("1"), F.concat_ws(" \n ", F.lit("p"), "o_orderpriority").alias("2"), F.lit(None).cast("string").alias("3")), "o_custkey", "r", ["0", "1", "2", "3"])
+    keys = body.select("doc_key").distinct()
+    top = [(0, 0, "SECCIÓN 14: Transporte"), (0, 1, None), (0, 2, None), (0, 3, None), (1, 0, None), (1, 1, "Estado"), (1, 2, "Prioridad"), (1, 3, None)]
+    heads = keys.select("doc_key", F.lit(0).alias("table_no"), F.inline(F.array(*[F.struct(F.lit(r).alias("row_no"), F.lit(c).alias("col_no"), F.lit(str(c)).alias("col_name"), F.lit(v).cast("string").alias("value")) for r, c, v in top])))
+    return heads.unionByName(body)
+
+
+_ORDERS = "SELECT o_custkey, o_orderstatus, o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders WHERE o_custkey % 10 = 1"
+#: The table's cells once cleaned: the status column stays if a tenth of the rows has one, as the header counts as one.
+_CELLS = f"""SELECT CAST(o_custkey AS VARCHAR) AS doc_key, r - 1 AS row_no, unnest([0, 1, 2]) AS col_no, unnest(['k ' || o_orderkey, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderstatus END, 'p ' || o_orderpriority]) AS value FROM ({_ORDERS})"""
+
+
+@query(f"SELECT doc_key, CAST(row_no AS INTEGER) AS row_no, CAST(col_no AS INTEGER) AS col_no, (['Concepto', 'Estado', 'Prioridad'])[col_no + 1] AS col_name, value FROM ({_CELLS})")
+def table_long_clean(spark, folder):
+    """Raw tables cleaned: titles and empty columns go, the header is promoted, sentinels become null."""
+    return tables.clean_tables(_cells(spark, folder)).select("doc_key", "row_no", "col_no", "col_name", "value")
+
+
+@query(f"""WITH c AS ({_CELLS}), l AS (SELECT doc_key, row_no, string_agg((['Concepto', 'Estado', 'Prioridad'])[col_no + 1] || ': ' || value, ' | ' ORDER BY col_no) AS line FROM c WHERE value IS NOT NULL GROUP BY doc_key, row_no)
+SELECT doc_key, concat('Tabla con ', count(*), ' filas y 3 columnas', chr(10), 'Columnas: Concepto, Estado, Prioridad', chr(10), chr(10), string_agg(line, chr(10) ORDER BY row_no)) AS text FROM l GROUP BY doc_key""")
+def table_to_text(spark, folder):
+    """Cleaned tables as text."""
+    return tables.to_text(tables.clean_tables(_cells(spark, folder))).select("doc_key", "text")
+
+
+@query(f"SELECT doc_key, count(DISTINCT row_no) AS rows, 3 AS columns FROM ({_CELLS}) GROUP BY doc_key")
+def table_shapes(spark, folder):
+    """Rows and columns of cleaned tables."""
+    return tables.shapes(tables.clean_tables(_cells(spark, folder))).select("doc_key", "rows", F.col("columns").cast("int").alias("columns"))
+
+
+@query(f"SELECT doc_key FROM ({_CELLS}) GROUP BY doc_key HAVING count(DISTINCT row_no) >= 2 AND avg(CASE WHEN value IS NULL THEN 1 ELSE 0 END) < 0.75")
+def table_validation(spark, folder):
+    """Tables of two rows and columns that are filled enough."""
+    return tables.valid_tables(tables.clean_tables(_cells(spark, folder))).select("doc_key").distinct()
+
+
+# ---------------------------------------------------------------------- prompts, files, models, streams
+
+@query("""WITH r AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents)
+SELECT source, string_agg(chr(10) || '[Fragmento ' || i || ' - Sección: ' || source || ']' || chr(10) || substr(text, 1, 800) || chr(10), '' ORDER BY i) AS fragments FROM r WHERE i <= 5 GROUP BY source""")
+def prompt_fragments(spark, folder):
+    """The first five fragments of each source as a prompt has them."""
+    first = table(spark, folder, "documents").withColumn("position", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).filter("position <= 5")
+    hits = first.select(F.col("source").alias("query_id"), "position", F.lit("texto").alias("tipo"), F.col("text").alias("content"), F.struct(F.col("source").alias("seccion")).alias("metadata"))
+    from ..operators import answer
+
+    return answer.fragments(hits).withColumnRenamed("query_id", "source")
+
+
+@query("SELECT page_id, url FROM pages WHERE contains(lower(url), 'thth example') OR contains(lower(url), 'thth') OR contains(lower(url), 'example.net')")
+def find_documents(spark, folder):
+    """Files whose name holds a term or one of its words."""
+    from .engine import find_documents as find
+
+    return find(table(spark, folder, "pages").select("page_id", "url"), "thth example.net", "url").select("page_id", "url")
+
+
+@query()
+def hash_embed_topk(spark, folder):
+    """Documents embedded, and the three nearest to each of those whose id is divisible by 100."""
+    docs = table(spark, folder, "documents").filter("n_chars > 0").select(F.col("doc_id").alias("id"), vectors.embed("text", vectors.HashingEmbedder(128)).alias("embedding"), F.lit("texto").alias("tipo"))
+    asked = docs.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return vectors.nearest(asked, docs, 3).select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def answered_questions(spark, folder):
+    """Documents ingested as chunks, and the questions of conversations answered from them."""
+    from ..config import EngineConfig
+    from .engine import Engine
+
+    docs = table(spark, folder, "documents")
+    m = F.struct(F.col("source").alias("nombre_producto"), F.lit("maker").alias("proveedor"), F.col("doc_id").cast("string").alias("codigo"), F.lit("01.02.2020").alias("fecha_emision"), F.array(F.struct(F.lit("H226").alias("codigo"), F.lit("x").alias("descripcion"))).alias("indicaciones_peligro_detalle"), F.array().cast("array<struct<codigo:string,descripcion:string>>").alias("frases_precaucion_detalle"), F.array().cast("array<struct<nombre:string,cas:string,concentracion:string>>").alias("componentes_quimicos"), F.array(F.struct(F.lit(0).alias("pos"), F.col("lang").alias("name"), F.col("text").alias("text"))).alias("secciones"))
+    engine = Engine(spark, EngineConfig(scratch_path(spark, "engine")), vectors.HashingEmbedder(64))
+    engine.ingest(engine.chunk(docs.select(F.col("doc_id").cast("string").alias("doc_key"), m.alias("metadata")), size=200, overlap=60, separator="\n"))
+    asked = table(spark, folder, "conversations").filter("role = 'user'").select(F.format_string("%d:%d", "conv_id", "turn").alias("query_id"), F.col("conv_id").cast("string").alias("session_id"), "turn", "text", F.lit(True).alias("use_context"))
+    out = engine.chat(asked, n_candidates=15, n_final=5)
+    return out.select("query_id", "query_type", "product", F.size("sources").alias("n_sources"), F.round(F.col("metrics")["top_similarity"], 4).alias("top"), F.length("answer").alias("n_answer"))
+
+
+@query("SELECT doc_id, source FROM documents")
+def streaming_sync(spark, folder):
+    """All documents taken in by a stream of files that stops when none is left."""
+    from ..streaming import sync
+
+    base = scratch_path(spark, "sync")
+    docs = table(spark, folder, "documents").select("doc_id", "source")
+    docs.repartition(3, "doc_id").write.parquet(f"{base}/in")
+    sync.sync(sync.arrivals(spark, f"{base}/in", docs.schema), f"{base}/out", f"{base}/state", ["doc_id"]).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("doc_id", "source")
