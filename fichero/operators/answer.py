@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 from .. import fixed
 from ..functions import text as T
 from ..functions import vectors
+from ..shared import settled
 from . import conversation, metadata, retrieval
 
 #: What the model is asked to keep to; a parameter of `prompts`.
@@ -92,16 +93,16 @@ def pictograms(merged: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def answer(requests: DataFrame, chunks: DataFrame, embedder: vectors.Embedder | None = None, generator: Generator | None = None, files: DataFrame | None = None, n_candidates: int = fixed.CANDIDATES, n_final: int = 15, fold: bool = False, fuzzy: bool = True) -> DataFrame:
-    """Responses to requests (schemas.REQUEST), as one plan for any number of them.
+    """Responses to any number of requests (schemas.REQUEST).
 
     query_id, answer, sources, structured_metadata, pictogramas, metrics, fds_reference, product, query_type.
     """
     spark = requests.sparkSession
-    # a few rows a request, read by every part of the response
-    asked = conversation.understood(requests, fuzzy).withColumn("query_vector", vectors.embed("question", embedder)).persist()
-    hits = retrieval.retrieve(asked, chunks, n_candidates, n_final, fold).persist()
-    merged = metadata.merged(metadata.structured(hits, asked))
-    info = retrieval.product_info(hits, asked, fold)
+    # a few rows a request, read by every part of the response: written once, so that plans stay small
+    asked = settled(conversation.understood(requests, fuzzy).withColumn("query_vector", vectors.embed("question", embedder)), "asked")
+    hits = settled(retrieval.retrieve(asked, chunks, n_candidates, n_final, fold), "hits")
+    merged = settled(metadata.merged(settled(metadata.structured(hits, asked), "metadata")), "merged")
+    info = settled(retrieval.product_info(hits, asked, fold), "info")
     files = files if files is not None else spark.createDataFrame([], "name string")
     drawn = pictograms(merged, files).unionByName(retrieval.images(hits).groupBy("query_id").agg(F.array_sort(F.collect_set("imagen_nombre")).alias("pictogramas")))
     drawn = drawn.groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pictogramas")))).alias("pictogramas"))

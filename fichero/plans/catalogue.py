@@ -6,8 +6,6 @@ and kind; `documents`, `pages`, `conversations` and the other tables stand for t
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +15,7 @@ from .. import dims, fixed
 from ..functions import codes, vectors
 from ..functions import text as T
 from ..operators import analysis, chunking, conversation, incremental, metadata, profile, retrieval, sections, tables
+from ..shared import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -32,12 +31,6 @@ def query(sql: str | None = None):
     return add
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the session names (spark.checkpoint.dir), else in a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fichero-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
