@@ -30,6 +30,7 @@ from pyspark.sql.types import IntegerType
 
 from .common import Scratch, table
 from .components import components
+from .hashing import word_hashes
 
 WORDS = 5
 HASHES, ROWS = 128, 4
@@ -47,33 +48,19 @@ _B = _random.integers(0, 2**63, HASHES, dtype=np.uint64)
 _C = _random.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class Shingles:
-    """Hashes of the shingles of texts; keeps hashes of words met, in bounded number."""
-
-    def __init__(self, most: int = 500_000):
-        self.known: dict[bytes, int] = {}
-        self.most = most
-
-    def of(self, text: str | None) -> np.ndarray:
-        """Distinct 64-bit hashes of a text's shingles, ascending."""
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # ASCII white space and letters only
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        k = min(WORDS, len(h))
-        n = len(h) - k + 1
-        total = np.full(n, k * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
-        for i in range(k):
-            total += h[i : i + n] * _C[i]
-            total ^= total >> np.uint64(29)
-            total *= np.uint64(0xBF58476D1CE4E5B9)
-        return np.unique(total ^ (total >> np.uint64(32)))
+def shingles(text: str | None) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's shingles, ascending."""
+    h, _ = word_hashes(text.encode("utf-8", "surrogatepass") if text else b"")
+    if not len(h):
+        return np.zeros(0, np.uint64)
+    k = min(WORDS, len(h))
+    n = len(h) - k + 1
+    total = np.full(n, k * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
+    for i in range(k):
+        total += h[i : i + n] * _C[i]
+        total ^= total >> np.uint64(29)
+        total *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(total ^ (total >> np.uint64(32)))
 
 
 def minima(hashes: np.ndarray) -> bytes:
@@ -88,11 +75,10 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """doc_id, n_shingles, digest (of the set) and minima of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = Shingles()
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.iloc[at : at + 2000]
-                sets = [of.of(t) for t in part["text"]]
+                sets = [shingles(t) for t in part["text"]]
                 yield pd.DataFrame({"doc_id": part["key"].astype("Int64"), "n_shingles": [len(s) for s in sets], "digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "minima": [minima(s) if len(s) else None for s in sets]})
 
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, n_shingles long, digest binary, minima binary")
@@ -108,14 +94,13 @@ def _equal_minima(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def _linked(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs (u, v, text_u, text_v) whose full sets are similar enough."""
-    of = Shingles()
     last: tuple = (None, None)
     for batch in pairs:
         good = []
         for a, b in zip(batch["text_u"], batch["text_v"]):
             if last[0] != a:
-                last = (a, of.of(a))
-            x, y = last[1], of.of(b)
+                last = (a, shingles(a))
+            x, y = last[1], shingles(b)
             common = len(np.intersect1d(x, y, assume_unique=True))
             good.append(100 * common >= PERCENT * (len(x) + len(y) - common))
         yield batch.loc[np.array(good, bool), ["u", "v"]]
@@ -123,9 +108,8 @@ def _linked(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _with_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Texts with the 32-bit hashes of their sets."""
-    of = Shingles()
     for batch in batches:
-        yield batch.assign(hashes=[np.unique((of.of(t) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch["text"]])
+        yield batch.assign(hashes=[np.unique((shingles(t) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch["text"]])
 
 
 class _Candidates:
