@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,6 +188,22 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, score double").withColumnRenamed("key", key)
 
 
+def keep(docs: DataFrame, model: Model, text: str = "text", threshold: float | None = None) -> DataFrame:
+    """docs without the rows that score below `threshold` (THRESHOLD)."""
+    shared, least = docs.sparkSession.sparkContext.broadcast(model), THRESHOLD if threshold is None else threshold
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Terms()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                good = shared.value.score([of.counts(t) for t in part.column(names.index(text)).to_pylist()]) >= least
+                yield part.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 THRESHOLD = 0.3
 
 

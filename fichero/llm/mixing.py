@@ -120,6 +120,12 @@ def mix(docs: DataFrame, *, source: str = "source", key: str = "doc_id", size: s
     return out
 
 
+def repeat(docs: DataFrame, **options) -> DataFrame:
+    """docs in as many copies as the mix takes; options as for `mix`."""
+    mixed = mix(docs, **options).filter("mix_copies > 0")
+    return mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(docs.columns)
+
+
 def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed with weights 3, 1, 2 to 150 % of their words, at most twice each."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
