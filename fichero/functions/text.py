@@ -91,7 +91,7 @@ def described(text: Column | str, codes: Column, letter: str, combined: bool = T
     def of(code: Column) -> Column:
         quoted = F.concat(F.lit(r"\Q"), code, F.lit(r"\E")) if combined else code
         hit = F.concat(F.lit(r"(?iuU)"), quoted, F.lit(rf"[\s]+(.*?)(?:\n|{letter}[0-9]{{3}}|$)"))
-        return F.struct(code.alias("codigo"), F.when(F.regexp_like(_col(text), hit), strip(F.regexp_extract(_col(text), hit, 1))).alias("descripcion"))
+        return F.struct(code.alias("codigo"), F.when(F.regexp_like(_col(text), hit), strip(F.call_function("regexp_extract", _col(text), hit, F.lit(1)))).alias("descripcion"))
 
     return F.filter(F.transform(codes, of), lambda x: x["descripcion"].isNotNull())
 

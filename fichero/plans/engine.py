@@ -7,6 +7,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..config import EngineConfig
 from ..functions import text as T
 from ..functions import vectors
@@ -42,10 +43,10 @@ class Engine:
         return incremental.changes(current, self._manifest())
 
     def _manifest(self) -> DataFrame:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.config.path("manifest"))
-        if where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
-            return self.spark.read.parquet(self.config.path("manifest"))
-        return self.spark.createDataFrame([], "name string, hash string, size long")
+        path = self.config.path("manifest")
+        if sinks.exists(self.spark, f"{path}/_SUCCESS"):
+            return self.spark.read.schema(schemas.MANIFEST).parquet(path)
+        return self.spark.createDataFrame([], schemas.MANIFEST)
 
     def commit(self, pattern: str = "*.pdf") -> None:
         """Take the present files as done; to be called after their ingestion has succeeded."""

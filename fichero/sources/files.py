@@ -33,7 +33,7 @@ def manifest(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFram
 
 def texts(spark: SparkSession, path: str, suffix: str = "_texto_limpio", pattern: str = "*.txt") -> DataFrame:
     """doc_key, text: one row a file."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", pattern).text(path)
+    files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
     return files.select(T.stem(F.url_decode("_metadata.file_path"), suffix).alias("doc_key"), F.col("value").alias("text"))
 
 

@@ -37,12 +37,16 @@ def write_chunks(chunks: DataFrame, path: str, mode: str = "append") -> None:
     chunks.withColumn("tipo_contenido", F.coalesce("metadata.tipo_contenido", F.lit("texto"))).filter(F.col("tipo_contenido").isin(fixed.KINDS)).write.mode(mode).partitionBy("tipo_contenido").parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """The index; empty where none has been written yet."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    if not exists(spark, f"{path}/_SUCCESS"):
         return spark.createDataFrame([], schemas.CHUNK).withColumn("tipo_contenido", F.lit(None).cast("string"))
-    return spark.read.parquet(path)
+    return spark.read.schema(f"{schemas.CHUNK}, tipo_contenido string").parquet(path)
 
 
 def flattened(chunks: DataFrame) -> DataFrame:

@@ -38,10 +38,11 @@ def sync(stream: DataFrame, target: str, checkpoint: str, key: list[str], prepar
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def session_products(turns: DataFrame, minutes: int = 60) -> DataFrame:
+def session_products(turns: DataFrame, minutes: int | None = None) -> DataFrame:
     """session_id, turn, product, context of a stream of turns (session_id, turn, product, reset): keyed state with expiry.
 
-    Turns of one batch are taken in order of turn. A session without turns for `minutes` is forgotten.
+    Turns of one batch are taken in order of turn. A session without turns for `minutes` is forgotten; by
+    default none is. (A query with expiry goes on until it is stopped, also with trigger availableNow.)
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -57,8 +58,9 @@ def session_products(turns: DataFrame, minutes: int = 60) -> DataFrame:
             out.append((key[0], turn, product, known))
             known = product if isinstance(product, str) else known
         state.update((known,))
-        state.setTimeoutDuration(minutes * 60_000)
+        if minutes is not None:
+            state.setTimeoutDuration(minutes * 60_000)
         yield pd.DataFrame(out, columns=["session_id", "turn", "product", "context"])
 
     schema = "session_id string, turn long, product string, context string"
-    return turns.groupBy("session_id").applyInPandasWithState(run, schema, "product string", "append", "ProcessingTimeTimeout")
+    return turns.groupBy("session_id").applyInPandasWithState(run, schema, "product string", "append", "NoTimeout" if minutes is None else "ProcessingTimeTimeout")
