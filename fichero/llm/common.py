@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: White space and words, as every operator here understands them (ASCII white space only).
 SPACE_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch while a scratch table is written.
+ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +54,14 @@ class Scratch:
 
     def write(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
         path = f"{self.root}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", codec).parquet(path)
+        # whole texts pass through Python workers: few rows at a time bound their memory
+        rows, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", self.spark.conf
+        before = conf.get(rows)
+        conf.set(rows, str(min(ROWS, int(before))) if int(before) > 0 else str(ROWS))
+        try:
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            conf.set(rows, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._fichero_path = path
