@@ -38,7 +38,7 @@ _GAP = re.compile(f"[{WHITE}]+")
 #: Characters that str.split() takes for white space and the format does not.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Finished chunks, and finished pieces, that a task keeps.
-KEPT = 1_200_000
+KEPT = 800_000
 
 
 def byte_alphabet() -> list[str]:
