@@ -13,6 +13,10 @@ from fichero.llm import bpe, classifier, line_dedup, mixing, near_dups
 from fichero.llm.common import Scratch, table
 
 
+#: What a worker of the last stage keeps: little, as it stays while other stages run in the same session.
+KEPT = 150_000
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents that score below classifier.THRESHOLD go. Labels of held-out rows are not learned from."""
     model = classifier.fit(docs, table(spark, sf_dir, "labels"))
@@ -36,7 +40,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: doc_id, source, n_tokens and ids of every row."""
-    return bpe.encode(docs, bpe.Vocabulary.read(bpe.default_path()), others=("source",))
+    return bpe.encode(docs, bpe.Vocabulary.read(bpe.default_path()), others=("source",), kept=KEPT)
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mixture", mixture), ("tokens", tokens)]

@@ -169,8 +169,8 @@ def encode_pieces(pieces: list[str], vocab: Vocabulary) -> list[list[int]]:
 class Encoder:
     """Encodes texts; keeps what it has found for chunks (runs without white space)."""
 
-    def __init__(self, vocab: Vocabulary):
-        self.vocab = vocab
+    def __init__(self, vocab: Vocabulary, kept: int = KEPT):
+        self.vocab, self.kept = vocab, kept
         self.known: dict[str | int, tuple[int, ...]] = {i: (i,) for i in vocab.special.values()}
         self.pieces: dict[str, tuple[int, ...]] = {}
 
@@ -190,7 +190,7 @@ class Encoder:
     def learn(self, chunks: set[str]) -> None:
         """Encode new chunks: those of their pieces that are new go through the index together."""
         split, pieces = self.vocab.split.findall, self.pieces
-        if len(pieces) > KEPT:
+        if len(pieces) > self.kept:
             pieces.clear()
         cut = [(c, (low,) if (low := lowered(c)).isascii() and low.isalpha() else split(low)) for c in chunks]
         new = list({p for _, found in cut for p in found if p not in pieces})
@@ -207,7 +207,7 @@ class Encoder:
                 size += len(texts[end] or "")
                 end += 1
             cut = [self._chunks(t or "") for t in texts[at:end]]
-            if len(self.known) > KEPT:
+            if len(self.known) > self.kept:
                 self.known = {i: (i,) for i in self.vocab.special.values()}
             new = set().union(*cut).difference(self.known)
             self.learn(new)
@@ -229,26 +229,30 @@ class Encoder:
 _OWN: list[Encoder] = []
 
 
-def encoder_of(vocab: Vocabulary) -> Encoder:
+def encoder_of(vocab: Vocabulary, kept: int) -> Encoder:
     if not _OWN or _OWN[0].vocab.key != vocab.key:
         _OWN[:] = [Encoder(vocab)]
+    _OWN[0].kept = kept
     return _OWN[0]
 
 
-def encode(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str = "text", output: str = "ids", others: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of docs its key, `others`, n_tokens and either `ids` (array<int>) or digests (ids_sha256, decoded_sha256)."""
-    kept = [key, *others]
-    fields = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)]
+def encode(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str = "text", output: str = "ids", others: tuple[str, ...] = (), kept: int = KEPT) -> DataFrame:
+    """Per row of docs its key, `others`, n_tokens and either `ids` (array<int>) or digests (ids_sha256, decoded_sha256).
+
+    kept: finished chunks, and pieces, that a worker keeps (about 400 bytes each), also after its task.
+    """
+    own_columns = [key, *others]
+    fields = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(own_columns)]
     digests = ["ids_sha256", "decoded_sha256"]
     schema = ", ".join([*fields, "n_tokens long", *(["ids array<int>"] if output == "ids" else [f"{c} string" for c in digests])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(vocab)
+        encoder = encoder_of(vocab, kept)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                own = [part.column(i) for i in range(len(kept))]
-                found = encoder.encode(part.column(len(kept)).to_pylist())
+                own = [part.column(i) for i in range(len(own_columns))]
+                found = encoder.encode(part.column(len(own_columns)).to_pylist())
                 if output == "ids":
                     rows = [np.array(ids, np.int32) for ids in found]
                     sizes = [len(r) for r in rows]
@@ -258,10 +262,10 @@ def encode(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str =
                     rows = [(len(ids), encoder.digest(ids), hashlib.sha256(encoder.decode(ids).encode()).hexdigest()) for ids in found]
                     sizes = [r[0] for r in rows]
                     made = [pa.array([r[i] for r in rows], pa.string()) for i in (1, 2)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), *made], [*(f"c{i}" for i in range(len(kept))), "n_tokens", *(["ids"] if output == "ids" else digests)])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), *made], [*(f"c{i}" for i in range(len(own_columns))), "n_tokens", *(["ids"] if output == "ids" else digests)])
 
-    out = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(kept)), F.col(text).alias("text")).mapInArrow(run, schema)
-    return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(kept)})
+    out = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(own_columns)), F.col(text).alias("text")).mapInArrow(run, schema)
+    return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(own_columns)})
 
 
 def decode(rows: DataFrame, vocab: Vocabulary, key: str = "doc_id", ids: str = "ids") -> DataFrame:
