@@ -1,7 +1,7 @@
 """Operator 5: near-duplicate lines by an exact set-similarity join.
 
-A line's set holds its distinct words, lower-cased (ASCII). Lines of at least MIN_TOKENS distinct words take
-part; those of equal sets form a class, at the place (doc_id, line number) of the first. A line is removed if
+A line's set holds its distinct words, lower-cased (ASCII). Lines of at least `least` distinct words take part
+(the query and drop_repeated_lines take every line with a word, ANY); those of equal sets form a class, at the place (doc_id, line number) of the first. A line is removed if
 an earlier line, by place, has a Jaccard similarity of at least THRESHOLD. So all but the first line of a
 class go, and that one goes too if an earlier class matches.
 
@@ -38,6 +38,8 @@ from .hashing import word_hashes
 
 THRESHOLD = 0.8
 MIN_TOKENS = 5
+#: Distinct words from which lines take part in the query and in drop_repeated_lines: all lines that have a word.
+ANY = 1
 SLOTS = 1 << 16
 LIST = 20_000
 #: Lines of more tokens than these have bitmaps of 128 and 256 bits; folded, they are those of shorter lines.
@@ -331,7 +333,8 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     classes = lines.groupBy("digest").agg(F.min(F.struct(*place, "n", *BITS, "prefix")).alias("x"), F.count(F.lit(1)).alias("copies"))
     classes = scratch.write(classes.select("digest", "x.*", "copies"))
     scratch.release()
-    postings = classes.select(*place, "n", *BITS, F.posexplode("prefix").alias("i", "token"))
+    # a set of n matches none but its equals if n of n + 1 is too little: up to three words, the digest alone decides
+    postings = classes.filter(F.col("n") >= threshold * (F.col("n") + 1) - 1e-9).select(*place, "n", *BITS, F.posexplode("prefix").alias("i", "token"))
     lists = _partners(postings, threshold, most, scratch)
     to = F.struct("to_doc", "to_line")
     best = lists.groupBy(*place).agg(F.min(F.struct("differ", "to_doc", "to_line")).alias("x"), F.sum("partners").alias("partners"), ((F.max("partners") > 1) | (F.min(to) != F.max(to))).alias("more"))
@@ -378,7 +381,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
 
 def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """docs without removed lines; documents of which no word is left go. `length` is set to the new length."""
-    gone = judge(docs, key, text).filter("removed").groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line_no").alias("__gone"))  # lines of one document
+    gone = judge(docs, key, text, least=ANY).filter("removed").groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line_no").alias("__gone"))  # lines of one document
     joined = docs.join(gone, key, "left")
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("__gone", i.cast("int"))), "\n")
     joined = joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left))
@@ -389,5 +392,5 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
 
 def op5_line_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict on every line of every document."""
-    return judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Verdict on every line of every document, unless it has no word."""
+    return judge(table(spark, sf_dir, "documents").select("doc_id", "text"), least=ANY)

@@ -58,3 +58,19 @@ def test_hashes_are_of_words():
 def test_runs_on_tables(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
     assert line_dedup.judge(docs).filter("removed").count() == sum(plain([(r[0], r[1]) for r in docs.select("doc_id", "text").collect()]).values())
+
+
+def test_short_lines(spark, tmp_path):
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(9)]
+    rows = [(i, "\n".join(" ".join(rnd.choice(words) for _ in range(rnd.choice((0, 1, 2, 3, 4, 5, 6, 12)))) for _ in range(5))) for i in range(60)]
+    rows += [(100, "All rights reserved\nread on"), (101, "a a b b a b a\nALL RIGHTS reserved\none two three four"), (102, "b a\none two three four five\nread more"), (103, "\n \n")]
+    frame = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_chars long")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    want = plain(rows, least=1)
+    got = {(r["doc_id"], r["line_no"]): r["removed"] for r in line_dedup.op5_line_sets(spark, str(tmp_path)).collect()}
+    assert got == want
+    assert got[101, 1] and got[102, 0] and got[102, 1] and not got[102, 2]
+    kept = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(frame).collect()}
+    assert all(line in kept[i].split("\n") for i, t in rows if i in kept for k, line in enumerate(t.split("\n")) if line.split() and not want[i, k])
+    assert kept[101] == "a a b b a b a\none two three four" and kept[102] == "read more" and kept[103] == "\n \n"
