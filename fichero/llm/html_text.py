@@ -4,8 +4,9 @@ A page's tags become a tree, without parts that are never main text (by tag, rol
 class and id). Every node gets its composite text density: characters per tag, adjusted by the share of
 characters and tags in links. A node's sum is that of its children's densities; text runs count as children.
 The container with the greatest sum is the centre of the main text. The least density on the path from it to
-the body is the threshold: the selection grows from the centre towards the body while the parent is at
-least as dense and not mostly links, and stops at an element that the page itself declares as its article.
+the body is the threshold: of the parts beside the path, up to the body or to an ancestor that is mostly links,
+those at least as dense stay, and in these the same holds again; the centres stay whole, headings stay with what
+follows them. An element that the page itself declares as its article around the centre is taken whole instead.
 
 Text comes by block: white space inside a block becomes one space, blocks are joined by an empty line.
 
@@ -215,11 +216,60 @@ def main_node(root: Node) -> Node:
         return declared
     threshold = min(n.density for n in path)
     at = best
-    while at.parent is not None and at.parent.density >= threshold and at.parent.link_chars <= 0.4 * max(1, at.parent.chars):
+    while at.parent is not None and at.parent.link_chars <= 0.4 * max(1, at.parent.chars):
         at = at.parent
+    _keep_dense(at, order, containers, threshold)
     return at
 
 
+def _keep_dense(top: Node, order: list[Node], containers: list[Node], threshold: float) -> None:
+    """Cut from below `top` what is less dense than the threshold, but for the centres of what stays.
+
+    Of every part that stays the container with the greatest sum stays whole; its other parts are judged alike. Inline
+    parts in a row are judged as one. Headings stay with the part that follows them.
+    """
+    share = order[0].link_chars / max(1, order[0].chars)
+    kinds, centre, blocky = set(containers), {}, set()
+    for n in reversed(order):
+        below = [c for c in n.children if c.__class__ is Node]
+        found = [x for x in ([n] if n in kinds else []) + [centre[c] for c in below] if x is not None]
+        centre[n] = max(found, key=lambda x: x.total, default=None)
+        if n.tag in BLOCK or any(c in blocky for c in below):
+            blocky.add(n)
+
+    def density(run: list) -> float:
+        nodes = [c for c in run if c.__class__ is Node]
+        chars = sum(c.chars if c.__class__ is Node else _length(c) for c in run)
+        tags, links = (sum(getattr(c, k) + (c.tag == "a") for c in nodes) for k in ("tags", "link_tags"))
+        return _density(chars, tags, sum(c.link_chars for c in nodes), links, share)
+
+    todo = [top]
+    while todo:
+        node = todo.pop()
+        if centre[node] is None or centre[node] is node:
+            continue
+        parts: list[list] = []
+        for c in node.children:
+            if c in blocky:
+                parts.append([c])
+            elif parts and parts[-1][0] not in blocky:
+                parts[-1].append(c)
+            else:
+                parts.append([c])
+        kept: list = []
+        heads: list = []
+        for part in parts:
+            c = part[0]
+            if c in blocky and (centre[c] is centre[node] or c.density >= threshold):
+                todo.append(c)
+            elif c in blocky or density(part) < threshold:
+                heads = [*heads, c] if c in blocky and c.tag in HEADINGS else heads if all(x.__class__ is str and not x.strip() for x in part) else []
+                continue
+            kept += heads + part
+            heads = []
+        node.children = kept
+
+
 def blocks(node: Node) -> list[str]:
     """The texts of blocks below a node, in page order."""
     out: list[str] = []

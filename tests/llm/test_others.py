@@ -62,6 +62,18 @@ text.<br>After a break<p>Second one &lt;here&gt;, unclosed<ul><li>Item one<li>It
 <div class="ad">Buy!</div><footer>&copy; us</footer></body></html>"""
 
 
+def test_html_threshold():
+    words = lambda n: " ".join(["word"] * n)
+    text = "".join(f"<p>{words(n)}</p>" for n in (60, 70, 50))
+    body = "\n\n".join(words(n) for n in (60, 70, 50))
+    few = "<div>All content is owned by the city.</div><div><p>Read what others wrote.</p><a href=x>More</a></div>"
+    assert html_text.extract(f"<body><h1>Title</h1> <div>{text}</div>{few}</body>") == f"Title\n\n{body}"
+    assert html_text.extract(f"<body><div>{few}<div>{text}</div></div>some <b>small</b> print</body>") == body
+    # beside the path, a part as dense stays
+    also = f"<div>Short note.</div><div><p>{words(80)}</p></div>"
+    assert html_text.extract(f"<body><div>{text}{text}</div>{also}</body>") == f"{body}\n\n{body}\n\n{words(80)}"
+
+
 def test_html(spark):
     want = "A & B\n\nFirst paragraph with a link and bold text. After a break\n\nSecond one <here>, unclosed\n\nItem one\n\nItem two\n\nx\n\ny"
     assert html_text.extract(PAGE) == want
