@@ -39,8 +39,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: doc_id, source, n_tokens and ids of every row."""
-    return bpe.encode(docs, bpe.Vocabulary.read(bpe.default_path()), others=("source",), kept=KEPT)
+    """Operator 6: doc_id, source, n_tokens, ids and digest of the decoded text (decoded_sha256) of every row."""
+    return bpe.encode(docs, bpe.Vocabulary.read(bpe.default_path()), output="both", others=("source",), kept=KEPT)
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mixture", mixture), ("tokens", tokens)]

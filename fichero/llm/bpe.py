@@ -237,14 +237,15 @@ def encoder_of(vocab: Vocabulary, kept: int) -> Encoder:
 
 
 def encode(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str = "text", output: str = "ids", others: tuple[str, ...] = (), kept: int = KEPT) -> DataFrame:
-    """Per row of docs its key, `others`, n_tokens and either `ids` (array<int>) or digests (ids_sha256, decoded_sha256).
+    """Per row of docs its key, `others`, n_tokens and either `ids` (array<int>), digests (ids_sha256, decoded_sha256) or,
+    for output "both", ids and decoded_sha256.
 
     kept: finished chunks, and pieces, that a worker keeps (about 400 bytes each), also after its task.
     """
     own_columns = [key, *others]
     fields = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(own_columns)]
-    digests = ["ids_sha256", "decoded_sha256"]
-    schema = ", ".join([*fields, "n_tokens long", *(["ids array<int>"] if output == "ids" else [f"{c} string" for c in digests])])
+    names = {"ids": ["ids"], "both": ["ids", "decoded_sha256"]}.get(output, ["ids_sha256", "decoded_sha256"])
+    schema = ", ".join([*fields, "n_tokens long", *(f"{c} {'array<int>' if c == 'ids' else 'string'}" for c in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(vocab, kept)
@@ -253,16 +254,15 @@ def encode(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str =
                 part = batch.slice(at, 1000)
                 own = [part.column(i) for i in range(len(own_columns))]
                 found = encoder.encode(part.column(len(own_columns)).to_pylist())
-                if output == "ids":
-                    rows = [np.array(ids, np.int32) for ids in found]
-                    sizes = [len(r) for r in rows]
-                    flat = np.concatenate([np.zeros(0, np.int32), *rows])
-                    made = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))]
-                else:
-                    rows = [(len(ids), encoder.digest(ids), hashlib.sha256(encoder.decode(ids).encode()).hexdigest()) for ids in found]
-                    sizes = [r[0] for r in rows]
-                    made = [pa.array([r[i] for r in rows], pa.string()) for i in (1, 2)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), *made], [*(f"c{i}" for i in range(len(own_columns))), "n_tokens", *(["ids"] if output == "ids" else digests)])
+                made: dict[str, list] = {c: [] for c in names}
+                sizes = []
+                for ids in found:
+                    sizes.append(len(ids))
+                    for c in names:
+                        made[c].append(np.array(ids, np.int32) if c == "ids" else encoder.digest(ids) if c == "ids_sha256" else hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
+                lists = lambda rows: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))  # noqa: B023, E731
+                columns = [lists(rows) if c == "ids" else pa.array(rows, pa.string()) for c, rows in made.items()]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), *columns], [*(f"c{i}" for i in range(len(own_columns))), "n_tokens", *names])
 
     out = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(own_columns)), F.col(text).alias("text")).mapInArrow(run, schema)
     return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(own_columns)})

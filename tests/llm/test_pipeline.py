@@ -1,5 +1,8 @@
+import hashlib
+
 import corpus_pipeline
 from conftest import DATA
+from fichero.llm import bpe
 
 
 def test_stages(spark):
@@ -20,3 +23,12 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, f"{DATA}/sf0.001").count() > 0
+
+
+def test_tokens_are_decoded(spark):
+    docs = spark.createDataFrame([(1, "One text, twice over.", "a"), (2, None, "b"), (3, "Ünï [SEP] 12,5", None)], "doc_id long, text string, source string")
+    encoder = bpe.Encoder(bpe.Vocabulary.read(bpe.default_path()))
+    rows = corpus_pipeline.tokens(spark, docs, "").collect()
+    assert len(rows) == 3 and all(r["decoded_sha256"] == hashlib.sha256(encoder.decode(r["ids"]).encode()).hexdigest() for r in rows)
+    digests = {r["doc_id"]: r["decoded_sha256"] for r in bpe.encode(docs, encoder.vocab, output="digest").collect()}
+    assert digests == {r["doc_id"]: r["decoded_sha256"] for r in rows}
