@@ -7,7 +7,7 @@ whose sizes or signatures rule out the similarity go; the others are confirmed o
 
 Pairs of a bucket are not made rows. In each bucket all members are first held against one leader, the most
 central member (that of the fullest buckets). Confirmed links make components. In buckets that still hold
-several components, a task then compares the members' whole sets (as 32-bit hashes) with each other and gives
+several components, a task then compares the members' whole sets (as 64-bit hashes) with each other and gives
 out only links that join components; these are confirmed on the full sets too. Buckets of more than BUCKET
 members are cut into blocks, and blocks are compared in pairs. A pair inside a component adds nothing, so the
 components are those of all links between members of a bucket.
@@ -107,9 +107,9 @@ def _linked(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _with_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts with the 32-bit hashes of their sets."""
+    """Texts with the hashes of their sets."""
     for batch in batches:
-        yield batch.assign(hashes=[np.unique((shingles(t) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch["text"]])
+        yield batch.assign(hashes=[shingles(t).astype("<u8").tobytes() for t in batch["text"]])
 
 
 class _Candidates:
@@ -165,6 +165,7 @@ def _joins(component: np.ndarray, block: np.ndarray, sets: list[np.ndarray]) ->
         x = np.zeros((len(sets), min(4096, len(some) - at)), np.float32)
         x[owner[here], number[here] - at] = 1
         common += x @ x.T
+    common = common.astype(np.float64)
     linked = 100 * common >= PERCENT * (n[:, None] + n[None, :] - common)
     linked &= (component[:, None] != component[None, :]) & ((block[:, None] == 0) | (block[:, None] != block[None, :]))
     u, v = np.nonzero(np.triu(linked, 1))
@@ -187,7 +188,7 @@ def _scan(members: DataFrame) -> DataFrame:
     def found(x: pd.DataFrame) -> pd.DataFrame:
         if x["component"].nunique() < 2:
             return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        pairs = _joins(x["component"].to_numpy(), x["block"].to_numpy(), [np.frombuffer(b, "<u4") for b in x["hashes"]])
+        pairs = _joins(x["component"].to_numpy(), x["block"].to_numpy(), [np.frombuffer(b, "<u8") for b in x["hashes"]])
         rep = x["rep"].to_numpy()
         return pd.DataFrame([(rep[i], rep[j]) for i, j in pairs], columns=["u", "v"], dtype="int64")
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from fichero.llm import near_dups
 from fichero.llm.components import components
 from fichero.llm.common import Scratch
@@ -60,3 +62,16 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 102), (101, 102), (102, 103), (7, 7), (200, 201), (201, 200)]
     got = {r[0]: r[1] for r in components(spark.createDataFrame(links, "u long, v long"), Scratch(spark)).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {101: 100, 102: 100, 103: 100, 201: 200}
+
+
+def test_members_are_compared_by_whole_hashes(spark, monkeypatch):
+    import pandas as pd
+
+    # six hashes of eight are common, of which two share their upper half
+    common = [1 << 40, (1 << 40) + 1, *(k << 40 for k in range(2, 6))]
+    sets = {f"t{i}": np.array(sorted([*common, own << 50]), np.uint64) for i, own in ((1, 7), (2, 9))}
+    monkeypatch.setattr(near_dups, "shingles", sets.get)
+    made = next(near_dups._with_hashes(iter([pd.DataFrame({"rep": [1, 2], "text": ["t1", "t2"]})])))
+    rows = [(0, 0, 0, rep, rep, h) for rep, h in zip(made["rep"].tolist(), made["hashes"])]
+    members = spark.createDataFrame(rows, "band long, part int, block int, rep long, component long, hashes binary")
+    assert [tuple(r) for r in near_dups._scan(members).collect()] == [(1, 2)]
