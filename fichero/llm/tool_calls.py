@@ -27,6 +27,7 @@ import hashlib
 import json
 import math
 from collections.abc import Callable, Iterator
+from itertools import count
 from typing import Any
 
 import pandas as pd
@@ -151,8 +152,11 @@ def asked(conversation: Any, turn: Any, role: str | None, text: str | None, tool
 ASK = {"ask": {"type": "object", "required": ["text"], "properties": {"text": {"type": "string", "minLength": 1}}, "additionalProperties": False}}
 
 
-def link(messages: DataFrame, tools: dict[str, dict] | None = None, read: Callable = elements, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", most: int = 1000) -> DataFrame:
-    """conv_id, turn, part, kind, call_id, name, linked, at, level, problem, json: one row per element."""
+def link(messages: DataFrame, tools: dict[str, dict] | None = None, read: Callable = elements, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", most: int | None = None) -> DataFrame:
+    """conv_id, turn, part, kind, call_id, name, linked, at, level, problem, json: one row per element.
+
+    most: rounds after which to give up with an error (None: as many as the longest chain takes).
+    """
     scratch = Scratch(messages.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,7 +198,7 @@ def link(messages: DataFrame, tools: dict[str, dict] | None = None, read: Callab
     return out.withColumn("problem", problem).select("conv_id", "turn", "part", "kind", "call_id", "name", linked.alias("linked"), at.alias("at"), level.cast("int").alias("level"), "problem", "json")
 
 
-def _ordered(sides: DataFrame, scratch: Scratch, most: int) -> DataFrame:
+def _ordered(sides: DataFrame, scratch: Scratch, most: int | None) -> DataFrame:
     """sides with call_at and call_level of each call (null in circles), and whether it waits for an unknown id."""
     calls = sides.filter("call is not null")
     waits = calls.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("before"))
@@ -207,13 +211,15 @@ def _ordered(sides: DataFrame, scratch: Scratch, most: int) -> DataFrame:
         state = base
     else:
         ready = scratch.write(base.join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti"))
-        for _ in range(most):
+        for rounds in count():
             done = ready.select("conv_id", F.col("call_id").alias("before"), F.col("call_at").alias("before_at"), F.col("call_level").alias("before_level"))
             fed = edges.join(ready.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").join(done, ["conv_id", "before"], "left")
             full = fed.groupBy("conv_id", "call_id").agg(F.max(F.greatest("before_at", F.coalesce("answered", "before_at"))).alias("before_at"), F.max("before_level").alias("before_level"), F.count("before_level").alias("n"), F.count(F.lit(1)).alias("need")).filter("n = need")
             new = scratch.write(full.join(base, ["conv_id", "call_id"]).select("conv_id", "call_id", F.greatest("call_at", "before_at").alias("call_at"), (F.col("before_level") + 2).cast("int").alias("call_level")))
             if new.isEmpty():
                 break
+            if rounds == most:
+                raise RuntimeError(f"calls still become ready after {most} rounds")
             ready = scratch.write(ready.unionByName(new))
         state = ready
     out = sides.join(state, ["conv_id", "call_id"], "left").join(unknown, ["conv_id", "call_id"], "left")

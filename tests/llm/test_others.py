@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
@@ -37,6 +38,18 @@ def test_tool_calls(spark):
     assert tool_calls.link(frame.limit(0), tools).count() == 0
 
 
+def test_tool_calls_in_long_chains(spark):
+    import inspect
+
+    call = lambda i: {"id": f"c{i}", "name": "f", "arguments": {}, "after": [f"c{i - 1}"] if i else []}
+    frame = spark.createDataFrame([(1, 0, "assistant", json.dumps({"content": None, "tool_calls": [call(i) for i in range(5)]}))], "conv_id long, turn long, role string, text string")
+    assert [r["level"] for r in sorted(tool_calls.link(frame).collect(), key=lambda r: r["part"]) if r["kind"] == "call"] == [0, 2, 4, 6, 8]
+    assert tool_calls.link(frame, most=4).filter("problem = 'circle'").isEmpty()
+    with pytest.raises(RuntimeError):
+        tool_calls.link(frame, most=2)
+    assert inspect.signature(tool_calls.link).parameters["most"].default is None
+
+
 def test_classifier(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
     docs = docs.unionByName(spark.createDataFrame([(-1, None, None, None, None), (-2, "", None, None, None), (-2, "", None, None, None)], docs.schema))
