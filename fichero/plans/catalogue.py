@@ -223,7 +223,7 @@ _SECTIONED = "SELECT conv_id, string_agg('SECCIÓN ' || (turn + 1) || ': ' || te
 
 
 def _sectioned(spark, folder) -> DataFrame:
-    parts = table(spark, folder, "conversations").filter("turn < 8").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    parts = table(spark, folder, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
     return parts.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(F.lit("SECCIÓN "), (x["turn"] + 1).cast("string"), F.lit(": "), x["text"])), "\n").alias("text"))
 
 
@@ -237,9 +237,12 @@ def section_split(spark, folder):
 @query()
 def section_keywords(spark, folder):
     """Sections by key words, over texts whose turns are headed by words instead of numbers."""
-    words = F.array(*[F.lit(w) for w in ("Identificación del producto", "Composición", "Primeros auxilios", "Medidas de incendio", "Vertido", "Manejo y almacenamiento", "Transporte", "Otra información")])
-    parts = table(spark, folder, "conversations").filter("turn < 8").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    texts = parts.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(F.element_at(words, (x["turn"] + 1).cast("int")), F.lit("\n"), x["text"])), "\n").alias("text"))
+    heads = ("Identificación del producto", "Composición", "Primeros auxilios", "Medidas de incendio", "Vertido", "Manejo y almacenamiento", "Transporte", "Otra información")
+    heads += ("Identificación de peligros", "Protección personal", "Propiedades físicas y químicas", "Estabilidad y reactividad", "Información toxicológica", "Información ecológica", "Eliminación", "Información reglamentaria")
+    words = F.array(*[F.lit(w) for w in heads])
+    parts = table(spark, folder, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    # turns beyond the last name belong to the section before
+    texts = parts.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(F.coalesce(F.concat(F.get(words, x["turn"].cast("int")), F.lit("\n")), F.lit("")), x["text"])), "\n").alias("text"))
     return texts.select("conv_id", F.inline(sections.by_keywords("text"))).select("conv_id", "name", F.length("text").alias("n"))
 
 
