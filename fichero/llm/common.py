@@ -52,16 +52,17 @@ class Scratch:
         where = jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
-    def write(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
+    def write(self, df: DataFrame, codec: str = "zstd", rows: int = ROWS) -> DataFrame:
+        """df as a written table. rows: most rows of a batch that Python workers get meanwhile."""
         path = f"{self.root}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
         # whole texts pass through Python workers: few rows at a time bound their memory
-        rows, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", self.spark.conf
-        before = conf.get(rows)
-        conf.set(rows, str(min(ROWS, int(before))) if int(before) > 0 else str(ROWS))
+        name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", self.spark.conf
+        before = conf.get(name)
+        conf.set(name, str(min(rows, int(before))) if int(before) > 0 else str(rows))
         try:
             df.write.option("compression", codec).parquet(path)
         finally:
-            conf.set(rows, before)
+            conf.set(name, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._fichero_path = path

@@ -1,37 +1,44 @@
 """Operator 5: near-duplicate lines by an exact set-similarity join.
 
 A line's set holds its distinct words, lower-cased (ASCII). Lines of at least `least` distinct words take part
-(the query and drop_repeated_lines take every line with a word, ANY); those of equal sets form a class, at the place (doc_id, line number) of the first. A line is removed if
-an earlier line, by place, has a Jaccard similarity of at least THRESHOLD. So all but the first line of a
-class go, and that one goes too if an earlier class matches.
+(the query and drop_repeated_lines take every line with a word, ANY); those of equal sets form a class, at the
+place (doc_id, line number) of the first. A line is removed if an earlier line, by place, has a Jaccard
+similarity of at least THRESHOLD. So all but the first line of a class go, and that one goes too if an earlier
+class matches.
 
 The join: tokens of each class in order of rarity; two sets that reach the threshold share a token among the
 first n - ceil(threshold * n) + 1 of each (prefix filter), so only postings of prefixes are compared. A pair
-passes if the lengths allow the threshold (length filter), if the tokens from the shared one on do (positional
-filter: at the first token that a matching pair shares, they do), and if the sets' bitmaps (64 bits, of longer lines 128 or 256) do not differ in more bits than it
-allows. Tokens of
-lists are compared in order, inside a task, without making pairs rows: each class leaves a list with its
-likeliest earlier partner and whether others may pass. The likeliest of all lists is verified on
-the full sets. Classes without a match but with further partners are then held against all of these, few at
-first, unless all are few. Lists longer than LIST are cut into blocks, and blocks are compared in pairs.
-
-Rarity is counted over all lines, in SLOTS hashed slots (equal counts and collisions only cost time: any
-order of tokens gives the same result); that table of fixed size is all that is broadcast.
-
-Rows without id take no part. Rows that repeat an id are one document: none of its lines counts as later than
-the same line of the other. Null and empty texts have no lines; an empty table gives an empty result.
+passes if the lengths allow the threshold (length filter: lists are in order of length, and a comparison ends
+where the lengths do not fit), if the tokens from the shared one on do (positional filter: at the first token
+that a matching pair shares, they do), and if bitmaps of the sets do not differ in more bits than it allows.
+Lists are compared inside tasks, without making pairs rows: each posting leaves its list with its likeliest
+earlier partner and whether others passed. The likeliest of all lists is verified on the words. A class whose
+likeliest partner fails while others passed is held against all of these, again inside tasks, by lists that
+carry the lines themselves, until one matches: at most one row per class and list comes out.
+
+Rarity is counted over all lines, in SLOTS hashed slots (the order of tokens does not change the result);
+that table of fixed size goes to every task. A token that its slot counts once has no list. Tokens that their
+slots count at most LIST times travel in packed buckets, whose number grows with the postings; the others are
+counted, and lists longer than LIST are cut into blocks that are compared in pairs.
+
+Rows without id take no part. Rows that repeat an id and a text are one document; rows that repeat an id with
+another text are judged one by one (of lines at the same place, that of lesser digest counts as earlier). Null
+and empty texts have no lines; an empty table gives an empty result; very long lines have as many tokens as
+words. Ties go to the lesser place. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import Scratch, table
 from .hashing import word_hashes
@@ -40,19 +47,24 @@ THRESHOLD = 0.8
 MIN_TOKENS = 5
 #: Distinct words from which lines take part in the query and in drop_repeated_lines: all lines that have a word.
 ANY = 1
-SLOTS = 1 << 16
+#: Slots of the rarity table, a byte each: the upper bits of a word's hash.
+SLOT_BITS = 22
+#: Slots that travel and are added up at once.
+BLOCK_BITS = 16
+#: Postings of a list that one task compares.
 LIST = 20_000
-#: Lines of more tokens than these have bitmaps of 128 and 256 bits; folded, they are those of shorter lines.
-WIDE = (40, 100)
-BITS = ["b0", "b1", "b2", "b3"]
-#: Earlier postings that each one is compared with at least; those without a partner are compared with all.
-SOON = 32
-#: Partners that an unmatched class is held against in the rounds before the last.
-TURNS = (4, 32)
-
-
+#: Bytes of lines that one task compares when lists carry lines.
+LIST_BYTES = 16 << 20
+#: Postings that a packed bucket holds about, and that a task packs at once.
+BUCKET, PACK = 400_000, 300_000
+#: Bits of the table that names wanted lines ahead of a join.
+WANTED_BITS = 25
 #: Bytes of text whose words are hashed at once (more where one text is longer), and lines sorted at once.
 BYTES, LINES = 1 << 20, 1 << 14
+#: Words of the bitmap of a set.
+BITS = ["b0", "b1"]
+#: A place is doc_id and `at`: line number and, to tell rows of one id apart, so many bits of the digest.
+DIGEST_BITS = 24
 
 
 def _pieces(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
@@ -69,256 +81,500 @@ def _pieces(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield first, run
 
 
+def _level(total: np.ndarray) -> np.ndarray:
+    """Level of frequency, 0: once at most, then a factor of 2^(1/4) each."""
+    return np.where(total > 1, np.minimum(255, 1 + 4 * np.log2(np.maximum(total, 1))), 0).astype(np.uint8)
+
+
 def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Level of frequency (of a factor 2^(1/2) each, 63 at most) of every slot of words, over all texts."""
+    """Level of frequency of every slot of words, over all texts."""
+    blocks, size = 1 << (SLOT_BITS - BLOCK_BITS), 1 << BLOCK_BITS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(blocks * size, np.uint32)
         for batch in batches:
             for _, texts in _pieces(batch.column(0)):
-                total += np.bincount((word_hashes(b"\n".join(texts))[0] >> np.uint64(48)).astype(np.int64), minlength=SLOTS)
-        at = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["slot", "n"])
+                np.add.at(total, (word_hashes(b"\n".join(texts))[0] >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
+        total = total.reshape(blocks, size)
+        some = np.flatnonzero(total.any(1))
+        often = [np.flatnonzero(total[b] > 254) for b in some]  # others fit a byte
+        columns = [
+            pa.array(some, pa.int32()),
+            pa.array([zlib.compress(np.minimum(total[b], 255).astype(np.uint8).tobytes(), 1) for b in some], pa.binary()),
+            pa.array([o.astype("<i4").tobytes() for o in often], pa.binary()),
+            pa.array([total[b][o].astype("<i8").tobytes() for b, o in zip(some, often)], pa.binary()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["block", "counts", "often", "often_n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts, often, often_n in zip(*(c.to_pylist() for c in batch.columns)):
+                one = np.frombuffer(zlib.decompress(counts), np.uint8).astype(np.int64)
+                one[np.frombuffer(often, "<i4")] = np.frombuffer(often_n, "<i8")
+                sums[block] = sums[block] + one if block in sums else one
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_level(s).tobytes() for s in sums.values()], pa.binary())], ["block", "level"])
+
+    counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "block int, counts binary, often binary, often_n binary")
+    out = np.zeros((blocks, size), np.uint8)
+    for r in counted.repartition("block").mapInArrow(add, "block int, level binary").collect():  # SLOTS bytes at most
+        out[r["block"]] = np.frombuffer(r["level"], np.uint8)
+    return out.reshape(-1)
+
+
+class _Lines:
+    """Lines of texts and the sorted sets of those that take part, up to LINES at once."""
+
+    def __init__(self, texts: list[bytes], level: np.ndarray, least: int):
+        joined = b"\n".join(texts)
+        h, start = word_hashes(joined)
+        breaks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
+        line = np.searchsorted(breaks, start)
+        size = np.bincount(line, minlength=len(breaks) + 1)
+        first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])[:-1]  # of each text
+        begins = np.concatenate([[0], breaks + 1])  # of each line
+        owner = np.searchsorted(first, begins, "right") - 1
+        number = np.arange(len(begins)) - np.searchsorted(begins, first)[owner]
+        take = np.flatnonzero(size >= least)
+        self.level, self.least = level, least
+        self.h = h[(size >= least)[line]]
+        self.size, self.owner, self.number = size[take], owner[take], number[take]
+
+    def sets(self) -> Iterator[tuple]:
+        """(text number, place within the text, digests of 2 x 64 bits, tokens, their levels, first of each line, sizes)."""
+        ends = np.concatenate([[0], np.cumsum(self.size)])
+        for a in range(0, len(self.size), LINES):
+            b = min(a + LINES, len(self.size))
+            yield self._sorted(self.h[ends[a] : ends[b]], a, b)
+
+    def _sorted(self, h: np.ndarray, a: int, b: int) -> tuple:
+        line = np.repeat(np.arange(b - a, dtype=np.uint64), self.size[a:b])
+        level = self.level[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+        key = line << np.uint64(50) | level.astype(np.uint64) << np.uint64(42) | (h & np.uint64((1 << 42) - 1))
+        order = np.argsort(key)
+        key, h = key[order], h[order]
+        first = np.ones(len(key), bool)
+        first[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
+        key, h, level = key[first], h[first], level[order][first]
+        n = np.bincount((key >> np.uint64(50)).astype(np.int64), minlength=b - a)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        raw = memoryview(h).cast("B")
+        sums = np.add.reduceat(h, ends[:-1]) if b > a else np.zeros(0, np.uint64)
+        digest = b"".join([xxhash.xxh3_128_digest(raw[8 * x : 8 * y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())])
+        return self.owner[a:b], _at(self.number[a:b], sums), np.frombuffer(digest, "<i8").reshape(-1, 2), h, level, ends[:-1], n
+
+
+def _at(number: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Line number and upper bits of the sum of the set's hashes."""
+    return number.astype(np.int64) << DIGEST_BITS | (sums >> np.uint64(64 - DIGEST_BITS)).astype(np.int64)
+
+
+def _sums(lines: list[bytes]) -> np.ndarray:
+    """Sum of the hashes of each line's set."""
+    joined = b"\n".join(lines)
+    h, start = word_hashes(joined)
+    line = np.searchsorted(np.flatnonzero(np.frombuffer(joined, np.uint8) == 10), start)
+    order = np.lexsort((h, line))
+    h, line = h[order], line[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+    out = np.zeros(len(lines), np.uint64)
+    np.add.at(out, line[first], h[first])
+    return out
 
-    counted = docs.select(F.col(text).alias("text")).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # SLOTS rows at most
-    level = np.zeros(SLOTS, np.uint64)
-    for r in counted:
-        level[r["slot"]] = min(63, int(2 * np.log2(r["n"] + 1)))
-    return level
 
+_LINE = "doc_id long, at long, n int, d0 long, d1 long, b0 long, b1 long, skip int, n_rare int, n_hot int, prefix binary"
 
-def _sets(texts: list[bytes], level: np.ndarray, least: int, threshold: float) -> Iterator[tuple]:
-    """For lines of texts: (text number, line number, n, digest, words of the bitmap, prefix tokens, prefix lengths).
 
-    Tokens sort as one number of 64 bits: line (14), level of frequency (6) and hash (44), so at most LINES lines are
-    taken at once.
+def line_sets(docs: DataFrame, level: np.ndarray, key: str = "doc_id", text: str = "text", least: int = MIN_TOKENS, threshold: float = THRESHOLD, most: int = LIST) -> DataFrame:
+    """One row per line that takes part: its place, size, digest and bitmap of its set, and the tokens of its prefix that may have lists.
+
+    Tokens are in order of rarity: after `skip` ones that occur once, n_rare and n_hot (which may be in more than `most` lines).
     """
-    joined = b"\n".join(texts)
-    h, start = word_hashes(joined)
-    breaks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
-    line = np.searchsorted(breaks, start)
-    size = np.bincount(line, minlength=len(breaks) + 1)
-    first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])[:-1]  # of each text
-    begins = np.concatenate([[0], breaks + 1])  # of each line
-    owner = np.searchsorted(first, begins, "right") - 1
-    number = np.arange(len(begins)) - np.searchsorted(begins, first)[owner]
-    take = np.flatnonzero(size >= least)
-    h = h[(size >= least)[line]]
-    size, owner, number = size[take], owner[take], number[take]
-    ends = np.concatenate([[0], np.cumsum(size)])
-    for at in range(0, len(take), LINES):
-        to = min(at + LINES, len(take))
-        yield _sorted_sets(h[ends[at] : ends[to]], owner[at:to], number[at:to], size[at:to], level, least, threshold)
-
-
-def _sorted_sets(h: np.ndarray, owner: np.ndarray, number: np.ndarray, size: np.ndarray, level: np.ndarray, least: int, threshold: float) -> tuple:
-    line = np.repeat(np.arange(len(owner), dtype=np.uint64), size)
-    key = line << np.uint64(50) | level[(h >> np.uint64(48)).astype(np.int64)] << np.uint64(44) | (h & np.uint64((1 << 44) - 1))
-    key.sort()
-    first = np.ones(len(key), bool)
-    first[1:] = key[1:] != key[:-1]
-    key = key[first]
-    line = (key >> np.uint64(50)).astype(np.int64)
-    n = np.bincount(line, minlength=len(owner))
-    start = np.concatenate([[0], np.cumsum(n)[:-1]])
-    keep = np.nonzero(n >= least)[0]
-    body = key & np.uint64((1 << 50) - 1)
-    width = np.where(n > WIDE[1], 3, np.where(n > WIDE[0], 1, 0)).astype(np.uint64)[line]
-    word, one = body >> np.uint64(6) & width, np.uint64(1) << (body & np.uint64(63))
-    bits = [np.bitwise_or.reduceat(np.where(word == w, one, np.uint64(0)), start).view(np.int64)[keep] for w in range(4)]
-    raw = memoryview(body).cast("B")
-    digest = [xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(start[keep].tolist(), (start + n)[keep].tolist())]
-    prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-    used = (np.arange(len(body)) - start[line] < prefix[line]) & (n >= least)[line]
-    tokens = (body[used] >> np.uint64(8)).astype(np.uint32).view(np.int32)
-    return owner[keep], number[keep], n[keep], digest, bits, tokens, prefix[keep]
-
-
-_LINE = "doc_id long, line_no int, n int, digest binary, b0 long, b1 long, b2 long, b3 long, prefix array<int>"
-
-
-def line_sets(docs: DataFrame, level: np.ndarray, key: str = "doc_id", text: str = "text", least: int = MIN_TOKENS, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per line that takes part: its place, size, digest of its set, bitmap and prefix tokens."""
+    hot = _level(np.array([most]))[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for at, texts in _pieces(batch.column(1)):
-                for owner, number, n, digest, bits, tokens, lengths in _sets(texts, level, least, threshold):
-                    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                    columns = [pa.array(ids[at + owner], pa.int64()), pa.array(number, pa.int32()), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), *(pa.array(b, pa.int64()) for b in bits), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "n", "digest", *BITS, "prefix"])
+            for first, texts in _pieces(batch.column(1)):
+                for owner, at, digest, h, levels, start, n in _Lines(texts, level, least).sets():
+                    keep = n >= least
+                    # a set of n matches none but its equals if n of n + 1 is too little: up to three words, the digest alone decides
+                    prefix = np.where(keep & (n >= threshold * (n + 1) - 1e-9), n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, 0)
+                    i = np.arange(len(h)) - np.repeat(start, n)
+                    inside = i < np.repeat(prefix, n)
+                    used = inside & (levels > 0)
+                    often = used & (levels > hot)
+                    count = lambda what: np.add.reduceat(what.astype(np.int32), start) if len(start) else np.zeros(0, np.int32)  # noqa: E731, B023
+                    n_used, n_hot = count(used), count(often)
+                    one, half = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6) & np.uint64(1)).astype(bool)
+                    bits = [np.bitwise_or.reduceat(np.where(half == w, one, np.uint64(0)), start).view(np.int64) if len(start) else np.zeros(0, np.int64) for w in (False, True)]
+                    offsets = np.concatenate([[0], np.cumsum(8 * n_used[keep])]).astype(np.int32)
+                    tokens = pa.Array.from_buffers(pa.binary(), int(keep.sum()), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(h[used].tobytes())])
+                    numbers = ((ids[first + owner], pa.int64()), (at, pa.int64()), (n, pa.int32()), (digest[:, 0], pa.int64()), (digest[:, 1], pa.int64()), *((b, pa.int64()) for b in bits), (prefix - n_used, pa.int32()), (n_used - n_hot, pa.int32()), (n_hot, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(v[keep], kind) for v, kind in numbers), tokens], ["doc_id", "at", "n", "d0", "d1", *BITS, "skip", "n_rare", "n_hot", "prefix"])
 
     return docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, _LINE)
 
 
-def _need(n, m, threshold: float):
-    """Tokens that sets of n and m must share to reach the threshold."""
-    return np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
+#: Columns of packed postings, in this order: token, place, size, position, bitmap.
+_PACKED = (("token", "<u4"), ("doc_id", "<i8"), ("at", "<i8"), ("n", "<i4"), ("i", "<i4"), ("b0", "<u8"), ("b1", "<u8"))
+_PACKED_BYTES = sum(np.dtype(kind).itemsize for _, kind in _PACKED)
 
 
-def passing(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, threshold: float):
-    """Length, positional and bitmap filters for postings a and b of x; and the number of differing bits."""
-    n, m, i, j = x["n"][a], x["n"][b], x["i"][a], x["i"][b]
-    need = _need(n, m, threshold)
-    fits = (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (np.minimum(n - i, m - j) >= need)
-    differ = np.bitwise_count(x["f"][a] ^ x["f"][b]).astype(np.int64)
-    for least, words in ((WIDE[0], ("f0", "f1")), (WIDE[1], BITS)):
-        wide = np.nonzero(fits & (np.minimum(n, m) > least))[0]
-        if len(wide):
-            differ[wide] = sum(np.bitwise_count(x[w][a[wide]] ^ x[w][b[wide]]).astype(np.int64) for w in words)
-    return fits & (differ <= n + m - 2 * need), differ
+def _postings(batch: pa.RecordBatch, hot: bool) -> dict[str, np.ndarray]:
+    """Postings of a batch of classes (doc_id, at, n, b0, b1, skip, n_rare, n_hot, prefix): the rare or the hot ones."""
+    x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "at", "n", *BITS, "skip", "n_rare", "n_hot")}
+    tokens = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), "<u8")
+    count = (x["n_rare"] + x["n_hot"]).astype(np.int64)
+    ends = np.cumsum(count)
+    nth = np.arange(len(tokens)) - np.repeat(ends - count, count)
+    rare = nth < np.repeat(x["n_rare"], count)
+    use = ~rare if hot else rare
+    out = {c: np.repeat(x[c], count)[use] for c in ("doc_id", "at", "n", *BITS)}
+    return out | {"token": tokens[use], "i": (nth + np.repeat(x["skip"], count))[use]}
 
 
-def _compare(x: dict[str, np.ndarray], rank: np.ndarray, block: np.ndarray, threshold: float):
-    """For postings in order of list and place: likeliest earlier partner (-1: none), its differing bits, partners.
+_CLASS = ["doc_id", "at", "n", *BITS, "skip", "n_rare", "n_hot", "prefix"]
 
-    block: postings of one block are compared only with those of another (0: with all), as blocks of a cut list
-    are compared among themselves elsewhere.
-    """
-    size = len(rank)
-    best, bits, count = np.full(size, -1), np.full(size, 1 << 30), np.zeros(size, np.int64)
-    x = x | {w: x[w].view(np.uint64) for w in BITS}
-    x |= {"f0": x["b0"] | x["b2"], "f1": x["b1"] | x["b3"]}
-    x["f"] = x["f0"] | x["f1"]
-    live = np.nonzero(rank >= 1)[0]
-    gap = 1
-    while len(live):
-        other = live - gap
-        ok, differ = passing(x, live, other, threshold)
-        ok &= (block[live] == 0) | (block[live] != block[other])
-        ok &= (x["doc_id"][live] != x["doc_id"][other]) | (x["line_no"][live] != x["line_no"][other])
-        hit = live[ok]
-        count[hit] += 1
-        nearer = differ[ok] <= bits[hit]
-        best[hit[nearer]], bits[hit[nearer]] = other[ok][nearer], differ[ok][nearer]
-        gap += 1
-        if gap > SOON:  # one with a partner looks no further; whether it has more is not known
-            count[live[(best[live] >= 0) & (rank[live] >= gap)]] += 1
-            live = live[best[live] < 0]
-        live = live[rank[live] >= gap]
-    return best, bits, count
-
-
-_PARTNER = "doc_id long, line_no int, to_doc long, to_line int, differ int, partners long, long_list int"
-#: Postings travel in few numbers: token and line, document, size and position, bitmap.
-_POSTING = ["token_line", "doc_id", "n_i", *BITS]
-
-
-def _packed(postings: DataFrame) -> list[F.Column]:
-    low = (1 << 32) - 1
-    both = lambda a, b: F.shiftleft(F.col(a).cast("long"), 32).bitwiseOR(F.col(b).cast("long").bitwiseAND(F.lit(low)))
-    return [both("token", "line_no").alias("token_line"), F.col("doc_id"), both("n", "i").alias("n_i"), *map(F.col, BITS)]
-
-
-def _scan(postings: DataFrame, threshold: float, most: int | None) -> DataFrame:
-    """Packed postings, compared within lists: partners of each posting that has any (_PARTNER).
-
-    Lists of more than `most` are not compared but named, by their token in long_list. With block and part columns,
-    lists are those of (token, part).
+
+def _packed(classes: DataFrame, buckets: int) -> DataFrame:
+    """bucket, blob: the rare postings of classes. A token is its bucket (by its lower half) and its upper half."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+
+        def packed() -> pa.RecordBatch:
+            x = {c: np.concatenate([h[c] for h in held]) for c, _ in _PACKED}
+            held.clear()
+            bucket = ((x["token"] & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket = bucket[order]
+            x["token"] = x["token"] >> np.uint64(32)
+            x = {c: x[c][order].astype(kind) for c, kind in _PACKED}
+            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+            blobs = [b"".join(x[c][a:b].tobytes() for c, _ in _PACKED) for a, b in zip(cuts, cuts[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+        size = 0
+        for batch in batches:
+            step = max(1, PACK // 32)
+            for a in range(0, batch.num_rows, step):
+                held.append(_postings(batch.slice(a, step), hot=False))
+                size += len(held[-1]["token"])
+                if size >= PACK:
+                    yield packed()
+                    size = 0
+        if size:
+            yield packed()
+
+    return classes.filter("n_rare > 0").select(*_CLASS).mapInArrow(run, "bucket int, blob binary")
+
+
+def _unpacked(blobs: list[bytes]) -> dict[str, np.ndarray]:
+    out: dict[str, list[np.ndarray]] = {c: [] for c, _ in _PACKED}
+    for blob in blobs:
+        n, a = len(blob) // _PACKED_BYTES, 0
+        for c, kind in _PACKED:
+            b = a + n * np.dtype(kind).itemsize
+            out[c].append(np.frombuffer(blob[a:b], kind))
+            a = b
+    return {c: np.concatenate(v) for c, v in out.items()}
+
+
+class _Near:
+    """Postings in order of token and size, and the pairs of a list that pass the filters."""
+
+    def __init__(self, x: dict[str, np.ndarray], threshold: float, new: np.ndarray):
+        """new: where a list begins. Postings of one block (but 0) are not compared with each other."""
+        self.x, self.threshold = x, threshold
+        start = np.flatnonzero(new)
+        self.rank = np.arange(len(new)) - np.repeat(start, np.diff(np.append(start, len(new))))
+        order = np.lexsort((x["at"], x["doc_id"]))
+        doc, at = x["doc_id"][order], x["at"][order]
+        other = np.ones(len(order), bool)
+        other[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])
+        #: Number of each posting's place, in order; and a posting of each place.
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.cumsum(other) - 1
+        self.sample = order[other]
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(later, earlier, differing bits) by place; in a turn, no posting is twice the later or twice the earlier one."""
+        x, n = self.x, self.x["n"].astype(np.int64)
+        bits, block, rest = [x[b].view(np.uint64) for b in BITS], x.get("block"), n - x["i"]
+        live, gap = np.flatnonzero(self.rank >= 1), 1
+        while len(live):
+            other = live - gap
+            fits = n[other] >= self.threshold * n[live] - 1e-9
+            live, other = live[fits], other[fits]
+            both = n[live] + n[other]
+            need = np.ceil(self.threshold / (1 + self.threshold) * both - 1e-9).astype(np.int64)
+            ok = np.flatnonzero(np.minimum(rest[live], rest[other]) >= need)
+            if len(ok):
+                a, b = live[ok], other[ok]
+                differ = sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in bits)
+                ok = (differ <= both[ok] - 2 * need[ok]) & (self.place[a] != self.place[b])
+                if block is not None:
+                    ok &= (block[a] == 0) | (block[a] != block[b])
+                a, b, differ = a[ok], b[ok], differ[ok]
+                late = self.place[a] > self.place[b]
+                for one, two, which in ((a, b, late), (b, a, ~late)):
+                    if which.any():
+                        yield one[which], two[which], differ[which]
+            gap += 1
+            live = live[self.rank[live] >= gap]
+
+
+_PARTNER = "list long, doc_id long, at long, n int, i int, b0 long, b1 long, to_doc long, to_at long, differ int, more boolean"
+
+
+def _partners(x: dict[str, np.ndarray], new: np.ndarray, threshold: float) -> pa.RecordBatch:
+    """Postings that passed with another: likeliest earlier partner (null: none) and whether others passed too."""
+    near = _Near(x, threshold, new)
+    best = np.full(len(new), np.iinfo(np.int64).max)
+    count = np.zeros(len(new), np.int64)
+    part = np.zeros(len(new), bool)
+    for later, earlier, differ in near.pairs():
+        best[later] = np.minimum(best[later], differ << 40 | near.place[earlier])
+        count[later] += 1
+        part[later] = part[earlier] = True
+    at = np.flatnonzero(part)
+    found = count[at] > 0
+    to = near.sample[np.where(found, best[at] & ((1 << 40) - 1), 0)] if len(at) else at
+    numbers = ((x["list"][at], pa.int64()), (x["doc_id"][at], pa.int64()), (x["at"][at], pa.int64()), (x["n"][at], pa.int32()), (x["i"][at], pa.int32()), *((x[b][at].view(np.int64), pa.int64()) for b in BITS))
+    partner = ((x["doc_id"][to], pa.int64()), (x["at"][to], pa.int64()), (np.where(found, best[at] >> 40, 0), pa.int32()), (count[at] > 1, pa.bool_()))
+    columns = [pa.array(v, kind) for v, kind in numbers] + [pa.array(v, kind, mask=~found) for v, kind in partner]
+    return pa.RecordBatch.from_arrays(columns, ["list", "doc_id", "at", "n", "i", *BITS, "to_doc", "to_at", "differ", "more"])
+
+
+def _scan_packed(packed: DataFrame, threshold: float, partitions: int) -> DataFrame:
+    """Partners (_PARTNER) in lists of packed postings; list: bucket and token."""
+
+    def compared(bucket: int, blobs: list[bytes]) -> pa.RecordBatch:
+        x = _unpacked(blobs)
+        order = np.lexsort((x["at"], x["doc_id"], x["n"], x["token"]))
+        x = {c: v[order] for c, v in x.items()}
+        new = np.ones(len(order), bool)
+        new[1:] = x["token"][1:] != x["token"][:-1]
+        size = np.diff(np.append(np.flatnonzero(new), len(new)))
+        several = np.repeat(size > 1, size)
+        x = {c: v[several] for c, v in x.items()} | {"list": np.int64(bucket) << 32 | x["token"][several].astype(np.int64)}
+        return _partners(x, new[several], threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, blobs = -1, []
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if bucket != last and blobs:
+                    yield compared(last, blobs)
+                    blobs = []
+                last = bucket
+                blobs.append(blob.as_py())
+        if blobs:
+            yield compared(last, blobs)
+
+    return packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _PARTNER)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str], keys: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
+    """Rows of whole groups, in order of keys, of many groups at once."""
+    rest: dict[str, np.ndarray] = {}
+    for batch in batches:
+        x = {c: batch.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(names)}
+        x = {c: np.concatenate([rest[c], v]) for c, v in x.items()} if rest else x
+        other = np.zeros(len(x[names[0]]), bool)
+        for c in keys:
+            other |= x[c] != x[c][-1:]
+        end = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+        if end:
+            yield {c: v[:end] for c, v in x.items()}
+        rest = {c: v[end:] for c, v in x.items()}
+    if rest and len(rest[names[0]]):
+        yield rest
+
+
+def _begins(x: dict[str, np.ndarray], keys: tuple[str, ...]) -> np.ndarray:
+    new = np.zeros(len(x[keys[0]]), bool)
+    new[:1] = True
+    for c in keys:
+        new[1:] |= x[c][1:] != x[c][:-1]
+    return new
+
+
+def _cut(rows: DataFrame, blocks: Column) -> DataFrame:
+    """rows with columns part and block: lists that `blocks` (an aggregate) gives more than one block are compared in pairs of blocks.
+
+    Each posting goes to the pairs of its own block with every block; in a pair of two blocks only postings of
+    different ones are compared.
     """
-    cut = "part" in postings.columns
-    names = [*_POSTING, *(["part", "block"] if cut else [])]
+    sizes = rows.groupBy("list").agg(blocks.cast("int").alias("blocks")).filter("blocks > 1")
+    own = (F.pmod(F.xxhash64("doc_id", "at"), F.coalesce("blocks", F.lit(1))) + 1).cast("int")
+    cut = rows.join(sizes, "list", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(1), F.coalesce("blocks", F.lit(1)))))
+    part = F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")
+    return cut.withColumn("part", part).withColumn("block", F.when(F.col("own") == F.col("other"), 0).otherwise(F.col("own"))).drop("own", "other", "blocks")
+
+
+def _hot_partners(classes: DataFrame, threshold: float, most: int, scratch: Scratch) -> DataFrame | None:
+    """Partners (_PARTNER) in lists of tokens that may be long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def unpacked(raw: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-            x = {w: raw[w] for w in BITS} | {"doc_id": raw["doc_id"]}
-            for pair, (high, low) in (("token_line", ("token", "line_no")), ("n_i", ("n", "i"))):
-                x[high], x[low] = raw[pair] >> 32, raw[pair] & 0xFFFFFFFF
-            zero = np.zeros(len(raw["doc_id"]), np.int64)
-            return x | {"part": raw.get("part", zero), "block": raw.get("block", zero)}
-
-        def found(raw: dict[str, np.ndarray]) -> pa.RecordBatch:
-            x = unpacked(raw)
-            new = np.ones(len(x["token"]), bool)
-            new[1:] = (x["token"][1:] != x["token"][:-1]) | (x["part"][1:] != x["part"][:-1])
-            start = np.nonzero(new)[0]
-            size = np.diff(np.append(start, len(new)))
-            rank = np.arange(len(new)) - np.repeat(start, size)
-            over = np.zeros(0, np.int64)
-            if most is not None:
-                rank[np.repeat(size > most, size)] = 0
-                over = x["token"][start[size > most]]
-            # what is left from its token on fits only partners up to a size: without one so small, a posting is out
-            fit = (x["n"] - x["i"]) * ((1 + threshold) / threshold) - x["n"] + 1e-6
-            used = np.flatnonzero((fit >= np.repeat(np.minimum.reduceat(x["n"], start), size)) & (np.repeat(size, size) > 1))
-            group = np.repeat(np.arange(len(start)), size)[used]
-            x, rank = {c: v[used] for c, v in x.items()}, np.where(rank[used] > 0, np.arange(len(used)) - np.searchsorted(group, group), 0)
-            best, bits, count = _compare(x, rank, x["block"], threshold)
-            at = np.nonzero(best >= 0)[0]
-            to = best[at]
-            none = [None] * len(over)
-            columns = [pa.array([*v.tolist(), *none], t) for v, t in ((x["doc_id"][at], pa.int64()), (x["line_no"][at], pa.int32()), (x["doc_id"][to], pa.int64()), (x["line_no"][to], pa.int32()), (bits[at], pa.int32()), (count[at], pa.int64()))]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([*[None] * len(at), *over.tolist()], pa.int32())], ["doc_id", "line_no", "to_doc", "to_line", "differ", "partners", "long_list"])
-
-        rest: dict[str, np.ndarray] | None = None
         for batch in batches:
-            x = {c: batch.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(names)}
-            if rest is not None:
-                x = {c: np.concatenate([rest[c], x[c]]) for c in names}
-            size = len(x["doc_id"])
-            if not size:
-                continue
-            other = x["token_line"] >> 32 != x["token_line"][-1] >> 32
-            if cut:
-                other |= x["part"] != x["part"][-1]
-            end = int(np.nonzero(other)[0][-1]) + 1 if other.any() else 0
-            rest = {c: v[end:] for c, v in x.items()}
-            if end:
-                yield found({c: v[:end] for c, v in x.items()})
-        if rest is not None and len(rest["doc_id"]):
-            yield found(rest)
-
-    token, line = F.shiftright("token_line", 32), F.col("token_line").bitwiseAND(F.lit((1 << 32) - 1))
-    keys = [token, *(["part"] if cut else [])]
-    return postings.select(*names).repartition(*keys).sortWithinPartitions(*keys, "doc_id", line).mapInArrow(run, _PARTNER)
-
-
-def _partners(postings: DataFrame, threshold: float, most: int, scratch: Scratch) -> DataFrame:
-    """Per class and list: likeliest earlier partner and number of partners that passed."""
-    lists = scratch.write(_scan(postings.select(*_packed(postings)), threshold, most))
-    scratch.release()
-    short, long = lists.filter("long_list is null").drop("long_list"), lists.filter("long_list is not null").select(F.col("long_list").alias("token")).distinct()
-    if long.isEmpty():
-        return short
-    # a long list is cut into blocks; each posting goes to the pairs of its own block with every block
-    cut = postings.join(long, "token")
-    sizes = cut.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / max(1, most // 2)).cast("int").alias("blocks"))
-    own = (F.pmod(F.xxhash64("doc_id", "line_no"), F.col("blocks")) + 1).cast("int")
-    pairs = cut.join(sizes, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(1), F.col("blocks"))))
-    part = (F.least("own", "other").cast("long") * 1_000_000 + F.greatest("own", "other")).alias("part")
-    block = F.when(F.col("own") == F.col("other"), 0).otherwise(F.col("own")).cast("long").alias("block")
-    return short.unionByName(scratch.write(_scan(pairs.select(*_packed(pairs), part, block), threshold, None).drop("long_list")))
-
-
-def _narrowed(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
-    """rows without most of those whose key is not wanted, ahead of a join: by a broadcast of at most 2^22 hashed slots."""
-    slot = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(1 << 22)).cast("int")
-    slots = wanted.select(slot(wanted_key).alias("__slot")).distinct()
-    return rows.withColumn("__slot", slot(key)).join(F.broadcast(slots), "__slot", "left_semi").drop("__slot")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, key: str, text: str, threshold: float) -> DataFrame:
-    """Of pairs (doc_id, line_no, to_doc, to_line), those whose full sets reach the threshold."""
-    places = pairs.select("doc_id", "line_no").unionByName(pairs.select(F.col("to_doc").alias("doc_id"), F.col("to_line").alias("line_no"))).distinct()
-    wanted = scratch.write(places.groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted")))  # lines of one document
-    cut = _narrowed(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", wanted, "doc_id").join(wanted, "doc_id")
-    some = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.cast("int").alias("line_no"), x.alias("line"))), lambda x: F.array_contains("wanted", x["line_no"]))
-    texts = scratch.write(cut.select("doc_id", F.inline(some)))
-    scratch.release()
-    near = pairs.join(texts, ["doc_id", "line_no"])
-    both = near.join(texts.select(F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"), F.col("line").alias("to_text")), ["to_doc", "to_line"])
+            x = _postings(batch, hot=True)
+            columns = [pa.array(v.astype(np.uint64).view(np.int64) if kind == pa.int64() and v.dtype.kind == "u" else v, kind) for v, kind in ((x["token"], pa.int64()), (x["doc_id"], pa.int64()), (x["at"], pa.int64()), (x["n"], pa.int32()), (x["i"], pa.int32()), *((x[b], pa.int64()) for b in BITS))]
+            yield pa.RecordBatch.from_arrays(columns, ["list", "doc_id", "at", "n", "i", *BITS])
+
+    # the sign tells these lists from packed ones
+    rows = classes.filter("n_hot > 0").select(*_CLASS).mapInArrow(run, "list long, doc_id long, at long, n int, i int, b0 long, b1 long")
+    rows = scratch.write(rows.withColumn("list", F.col("list").bitwiseOR(F.lit(-1 << 63))))
+    names, keys = ["list", "part", "block", "doc_id", "at", "n", "i", *BITS], ("list", "part")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _groups(batches, names, keys):
+            yield _partners(x, _begins(x, keys), threshold)
+
+    cut = _cut(rows, F.ceil(2 * F.count(F.lit(1)) / most - 1))
+    return cut.select(*names).repartition(*keys).sortWithinPartitions(*keys, "n", "doc_id", "at").mapInArrow(scan, _PARTNER)
+
+
+def _slots(doc, number, mod=np.mod):
+    """Slot of a line in the table of wanted lines."""
+    return mod(mod(doc, 1 << WANTED_BITS) * 40503 + number * 26544357, 1 << WANTED_BITS)
+
+
+def _texts(docs: DataFrame, places: DataFrame, key: str, text: str) -> DataFrame:
+    """doc_id, at, line: the lines at places (doc_id, at), and a few others. Which to take is told by a table of 2^WANTED_BITS bits."""
+    size = 1 << 15
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slot = batch.column(0).to_numpy(zero_copy_only=False)
+            block = slot // size
+            for b in np.unique(block):
+                bits.setdefault(int(b), np.zeros(size, bool))[slot[block == b] % size] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int32()), pa.array([np.packbits(v).tobytes() for v in bits.values()], pa.binary())], ["block", "bits"])
+
+    slot = _slots(F.col("doc_id"), F.shiftright("at", DIGEST_BITS), lambda a, b: F.pmod(a, F.lit(b)))
+    marked = places.select(slot.cast("long").alias("slot")).repartition(F.floor(F.col("slot") / size)).mapInArrow(mark, "block int, bits binary")
+    wanted = np.zeros((1 << WANTED_BITS) // 8, np.uint8)
+    for r in marked.collect():  # 2^WANTED_BITS bits at most
+        wanted[r["block"] * size // 8 :][: size // 8] = np.frombuffer(r["bits"], np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for first, texts in _pieces(batch.column(1)):
+                count = np.array([t.count(b"\n") + 1 for t in texts])
+                owner = np.repeat(np.arange(len(texts)), count)
+                number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+                slots = _slots(ids[first + owner].astype(np.int64), number)
+                take = np.flatnonzero(wanted[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1)
+                lines: list[bytes] = []
+                ends = np.searchsorted(owner[take], np.arange(len(texts) + 1)).tolist()
+                for text, a, b in zip(texts, ends, ends[1:]):
+                    if b > a:
+                        split = text.split(b"\n")
+                        lines += [split[k] for k in number[take[a:b]].tolist()]
+                if lines:
+                    columns = [pa.array(ids[first + owner[take]], pa.int64()), pa.array(_at(number[take], _sums(lines)), pa.int64()), pa.array(lines, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "line"])
+
+    return docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, at long, line binary")
+
+
+def _words(line: bytes) -> frozenset:
+    return frozenset(line.lower().split())
+
+
+def _similar(a: frozenset, b: frozenset, threshold: float) -> bool:
+    common = len(a & b)
+    return common >= threshold * (len(a) + len(b) - common) - 1e-9
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs (doc_id, at, to_doc, to_at), those whose words reach the threshold."""
+    near = pairs.join(texts, ["doc_id", "at"])
+    both = near.join(texts.select(F.col("doc_id").alias("to_doc"), F.col("at").alias("to_at"), F.col("line").alias("to_line")), ["to_doc", "to_at"])
+    names = ["doc_id", "at", "to_doc", "to_at"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            good = []
-            for a, b in zip(batch["line"], batch["to_text"]):
-                x, y = (set(s.encode("utf-8", "surrogatepass").lower().split()) for s in (a, b))
-                common = len(x & y)
-                good.append(common >= threshold * (len(x) + len(y) - common) - 1e-9)
-            yield batch.loc[np.array(good, bool), ["doc_id", "line_no", "to_doc", "to_line"]]
+            good = [_similar(_words(a), _words(b), threshold) for a, b in zip(batch["line"], batch["to_line"])]
+            yield batch.loc[np.array(good, bool), names]
+
+    return both.select(*names, "line", "to_line").mapInPandas(run, "doc_id long, at long, to_doc long, to_at long")
 
-    return both.select("doc_id", "line_no", "to_doc", "to_line", "line", "to_text").mapInPandas(run, "doc_id long, line_no int, to_doc long, to_line int")
+
+def _open_matches(rows: DataFrame, open_: DataFrame, texts: DataFrame, threshold: float, most: int) -> DataFrame:
+    """For open classes, an earlier one of rows (_PARTNER) that matches on the words: at most one for each list."""
+    lists = rows.join(open_, ["doc_id", "at"], "left_semi").filter("to_doc is not null").select("list").distinct()
+    rows = rows.join(lists, "list", "left_semi").dropDuplicates(["list", "doc_id", "at"]).select("list", "doc_id", "at", "n", "i", *BITS)
+    rows = rows.join(open_.select("doc_id", "at", F.lit(True).alias("open")), ["doc_id", "at"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    rows = rows.join(texts, ["doc_id", "at"])
+    rows = _cut(rows, F.ceil(2 * F.greatest(F.count(F.lit(1)) / F.lit(most), F.sum(F.length("line")) / F.lit(LIST_BYTES)) - 1))
+    names, keys = ["list", "part", "block", "doc_id", "at", "n", "i", *BITS, "open", "line"], ("list", "part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _groups(batches, names, keys):
+            near, sets, match = _Near(x, threshold, _begins(x, keys)), {}, {}
+
+            def words(i: int) -> frozenset:
+                if i not in sets:  # noqa: B023
+                    sets[i] = _words(x["line"][i])  # noqa: B023
+                return sets[i]  # noqa: B023
+
+            for later, earlier, _ in near.pairs():
+                probe = x["open"][later].astype(bool)
+                for a, b in zip(later[probe].tolist(), earlier[probe].tolist()):
+                    if a not in match and _similar(words(a), words(b), threshold):
+                        match[a] = b
+            at, to = np.array(list(match), np.int64), np.array(list(match.values()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (x["doc_id"][at], x["at"][at], x["doc_id"][to], x["at"][to])], ["doc_id", "at", "to_doc", "to_at"])
+
+    found = rows.select(*names).repartition(*keys).sortWithinPartitions(*keys, "n", "doc_id", "at").mapInArrow(run, "doc_id long, at long, to_doc long, to_at long")
+    return found.groupBy("doc_id", "at").agg(F.min(F.struct("to_doc", "to_at")).alias("x")).select("doc_id", "at", "x.*")
+
+
+def _judged(docs: DataFrame, key: str, text: str, threshold: float, least: int, most: int) -> DataFrame:
+    """As judge, with the places as (doc_id, at), (class_doc, class_at) and (match_doc, match_at)."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    docs = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text)
+    level = rarity(docs, text)
+    lines = scratch.write(line_sets(docs, level, key, text, least, threshold, most))
+    rest = ["n", *BITS, "skip", "n_rare", "n_hot", "prefix"]
+    classes = lines.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "at", *rest)).alias("x"), F.count(F.lit(1)).alias("copies"))
+    classes = scratch.write(classes.select("d0", "d1", "x.*", "copies"))
+    scratch.release()
+    rare, hot = classes.agg(F.coalesce(F.sum("n_rare"), F.lit(0)), F.coalesce(F.sum("n_hot"), F.lit(0))).first()
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rare // BUCKET + 1)
+    partners = scratch.write(_scan_packed(_packed(classes, 3 * partitions), threshold, partitions), rows=64)
+    scratch.release()
+    if hot:
+        partners = partners.unionByName(scratch.write(_hot_partners(classes, threshold, most, scratch)))
+        scratch.release()
+
+    found = partners.filter("to_doc is not null").groupBy("doc_id", "at")
+    to = F.struct("to_doc", "to_at")
+    best = found.agg(F.min(F.struct("differ", "to_doc", "to_at")).alias("x"), (F.max("more") | (F.min(to) != F.max(to))).alias("more"))
+    best = scratch.write(best.select("doc_id", "at", "x.to_doc", "x.to_at", "more"))
+    places = partners.select("doc_id", "at")  # both of a pair are in this table
+    texts = scratch.write(_texts(docs, places, key, text).join(places.distinct(), ["doc_id", "at"], "left_semi").dropDuplicates(["doc_id", "at"]))
+    scratch.release()
+    matches = scratch.write(_verified(best.drop("more"), texts, threshold))
+    open_ = scratch.write(best.filter("more").join(matches, ["doc_id", "at"], "left_anti").select("doc_id", "at"))
+    matches = scratch.write(matches.unionByName(_open_matches(partners, open_, texts, threshold, most)))
+    for done in (texts, best, open_):
+        scratch.drop(done)
+    scratch.release()
+
+    verdict = classes.select("d0", "d1", F.col("doc_id").alias("class_doc"), F.col("at").alias("class_at"), "copies")
+    verdict = verdict.join(matches.toDF("class_doc", "class_at", "match_doc", "match_at"), ["class_doc", "class_at"], "left")
+    verdict = verdict.filter("copies > 1 or match_doc is not null")
+    out = lines.select("doc_id", "at", "n", "d0", "d1").join(verdict, ["d0", "d1"], "left").drop("d0", "d1")
+    first = F.col("class_doc").isNull() | ((F.col("doc_id") == F.col("class_doc")) & (F.col("at") == F.col("class_at")))
+    return out.withColumn("removed", ~first | F.col("match_doc").isNotNull())
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, least: int = MIN_TOKENS, most: int = LIST) -> DataFrame:
@@ -327,67 +583,40 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     class_*: place of the first line of the same set; copies: how many lines have it; match_*: an earlier class
     that the class matches (null: none).
     """
-    scratch = Scratch(docs.sparkSession)
-    place = ["doc_id", "line_no"]
-    lines = scratch.write(line_sets(docs, rarity(docs.filter(F.col(key).isNotNull()), text), key, text, least, threshold))
-    classes = lines.groupBy("digest").agg(F.min(F.struct(*place, "n", *BITS, "prefix")).alias("x"), F.count(F.lit(1)).alias("copies"))
-    classes = scratch.write(classes.select("digest", "x.*", "copies"))
-    scratch.release()
-    # a set of n matches none but its equals if n of n + 1 is too little: up to three words, the digest alone decides
-    postings = classes.filter(F.col("n") >= threshold * (F.col("n") + 1) - 1e-9).select(*place, "n", *BITS, F.posexplode("prefix").alias("i", "token"))
-    lists = _partners(postings, threshold, most, scratch)
-    to = F.struct("to_doc", "to_line")
-    best = lists.groupBy(*place).agg(F.min(F.struct("differ", "to_doc", "to_line")).alias("x"), F.sum("partners").alias("partners"), ((F.max("partners") > 1) | (F.min(to) != F.max(to))).alias("more"))
-    best = scratch.write(best.select(*place, "x.to_doc", "x.to_line", "partners", "more"))
-    matches = scratch.write(_verified(best.drop("partners", "more"), docs, scratch, key, text, threshold))
-    scratch.release()
-    open_ = scratch.write(best.filter("more").join(matches.select(*place), place, "left_anti").select(*place, F.col("to_doc").alias("tried_doc"), F.col("to_line").alias("tried_line"), "partners"))
-    for turn in (*TURNS, None):
-        left = open_.agg(F.sum("partners")).first()[0]
-        if not left:
-            break
-        if left <= 2_000_000:
-            turn = None
-        mine = scratch.write(postings.join(open_.select(*place), place, "left_semi"))
-        others = _narrowed(postings, "token", mine, "token")
-        mine = mine.select("token", "n", "i", *BITS, F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
-        near = mine.join(others.withColumnsRenamed({"n": "m", "i": "j", **{w: f"o{w}" for w in BITS}}), "token").filter(F.struct("doc_id", "line_no") < F.struct(F.col("d").alias("doc_id"), F.col("l").alias("line_no")))
-        need = F.ceil(threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-9)
-        fold = lambda p, *words: F.expr(" | ".join(f"{p}{w}" for w in words))
-        count = lambda *sets: sum((F.bit_count(fold("", *w).bitwiseXOR(fold("o", *w))) for w in sets), F.lit(0))
-        differ = F.when(F.least("n", "m") > WIDE[1], count(*([w] for w in BITS))).when(F.least("n", "m") > WIDE[0], count(("b0", "b2"), ("b1", "b3"))).otherwise(count(BITS))
-        ahead = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
-        near = near.filter((F.least("n", "m") >= F.greatest("n", "m") * threshold - 1e-9) & (ahead >= need) & (differ <= F.col("n") + F.col("m") - 2 * need))
-        near = near.select(F.col("d").alias("doc_id"), F.col("l").alias("line_no"), F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"), differ.alias("differ")).distinct()
-        near = near.join(open_.select(*place, F.col("tried_doc").alias("to_doc"), F.col("tried_line").alias("to_line")), [*place, "to_doc", "to_line"], "left_anti")
-        if turn is not None:
-            order = Window.partitionBy(*place).orderBy("differ", "to_doc", "to_line")
-            near = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= turn)
-        near = scratch.write(near.select(*place, "to_doc", "to_line"))
-        new = _verified(near, docs, scratch, key, text, threshold)
-        matches = scratch.write(matches.unionByName(new.groupBy(*place).agg(F.min(F.struct("to_doc", "to_line")).alias("x")).select(*place, "x.*")))
-        if turn is None:
-            break
-        open_ = scratch.write(open_.join(matches.select(*place), place, "left_anti"))
-
-    verdict = classes.select("digest", F.col("doc_id").alias("class_doc_id"), F.col("line_no").alias("class_line_no"), "copies")
-    verdict = verdict.join(matches.select(F.col("doc_id").alias("class_doc_id"), F.col("line_no").alias("class_line_no"), F.col("to_doc").alias("match_doc_id"), F.col("to_line").alias("match_line_no")), ["class_doc_id", "class_line_no"], "left")
-    verdict = scratch.write(verdict.filter("copies > 1 or match_doc_id is not null"))
-    out = lines.select(*place, F.col("n").alias("n_tokens"), "digest").join(verdict, "digest", "left")
-    out = out.withColumn("class_doc_id", F.coalesce("class_doc_id", "doc_id")).withColumn("class_line_no", F.coalesce("class_line_no", "line_no")).withColumn("copies", F.coalesce("copies", F.lit(1)))
-    first = (F.col("doc_id") == F.col("class_doc_id")) & (F.col("line_no") == F.col("class_line_no"))
-    return out.select(*place, "n_tokens", "class_doc_id", "class_line_no", "copies", "match_doc_id", "match_line_no", (~first | F.col("match_doc_id").isNotNull()).alias("removed"))
+    line = lambda c: F.shiftright(c, DIGEST_BITS).cast("int")
+    out = _judged(docs, key, text, threshold, least, most)
+    return out.select("doc_id", line("at").alias("line_no"), F.col("n").alias("n_tokens"), F.coalesce("class_doc", "doc_id").alias("class_doc_id"), line(F.coalesce("class_at", "at")).alias("class_line_no"), F.coalesce("copies", F.lit(1)).alias("copies"), F.col("match_doc").alias("match_doc_id"), line("match_at").alias("match_line_no"), "removed")
+
+
+@F.pandas_udf(StringType())
+def _without(texts: pd.Series, places: pd.Series) -> pd.Series:
+    """Texts without the lines at places (null: no text changes)."""
+    split = [t.split("\n") if t is not None and p is not None else [] for t, p in zip(texts, places)]
+    which = [(k, at) for k, (lines, p) in enumerate(zip(split, places)) for at in (p if lines else ()) if at >> DIGEST_BITS < len(lines)]
+    lines = [split[k][at >> DIGEST_BITS].encode("utf-8", "surrogatepass") for k, at in which]
+    ats = np.array([at for _, at in which], np.int64)
+    for (k, at), same in zip(which, (_at(ats >> DIGEST_BITS, _sums(lines)) == ats).tolist() if lines else ()):
+        if same:
+            split[k][at >> DIGEST_BITS] = None
+    return pd.Series(["\n".join(x for x in s if x is not None) if s else None for s in split], dtype="object")
 
 
 def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
-    """docs without removed lines; documents of which no word is left go. `length` is set to the new length."""
-    gone = judge(docs, key, text, least=ANY).filter("removed").groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line_no").alias("__gone"))  # lines of one document
-    joined = docs.join(gone, key, "left")
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("__gone", i.cast("int"))), "\n")
-    joined = joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left))
-    joined = joined.filter(F.col("__gone").isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+    """docs without removed lines; documents of which no word is left go. `length` is set to the new length.
+
+    Other columns, whatever their names, pass through unchanged; so do rows without id, and rows of empty texts.
+    """
+    own = "__gone"
+    while {own, f"{own}_id"} & set(docs.columns):
+        own += "_"
+    gone = _judged(docs, key, text, THRESHOLD, ANY, LIST).filter("removed")
+    gone = gone.groupBy(F.col("doc_id").alias(f"{own}_id")).agg(F.collect_set("at").alias(own))  # lines of one document
+    joined = docs.join(gone, F.col(key).cast("long") == F.col(f"{own}_id"), "left")
+    cut = F.col(own).isNotNull()
+    joined = joined.withColumn(text, F.when(cut, _without(F.when(cut, F.col(text)), F.col(own))).otherwise(F.col(text)))
+    joined = joined.filter(~cut | F.col(text).isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
     if length and length in docs.columns:
-        joined = joined.withColumn(length, F.when(F.col("__gone").isNull(), F.col(length)).otherwise(F.length(text)).cast(docs.schema[length].dataType))
+        joined = joined.withColumn(length, F.when(cut, F.length(text)).otherwise(F.col(length)).cast(docs.schema[length].dataType))
     return joined.select(docs.columns)
 
 
