@@ -1,9 +1,12 @@
 """Operator 10: main text of web pages by composite text density.
 
-A page's tags become a tree, without parts that are never main text (by tag, role, hiding or the words of
-class and id). Every node gets its composite text density: characters per tag, adjusted by the share of
-characters and tags in links. A node's sum is that of its children's densities; text runs count as children.
-The container with the greatest sum is the centre of the main text. The least density on the path from it to
+A page's tags become a tree, without parts that are never text (scripts, controls, what is hidden). Every node
+gets its composite text density: characters per tag, adjusted by the share of characters and tags in links. A
+node's sum is that of its children's densities; text runs count as children. Parts that tag, role or class mark
+as menu, header, footer, sidebar, notice, advert, form or comments are left out, unless the text is in them:
+where what is left has little density beside the greatest sum of the whole page, marks of the nodes around that
+sum are void, the outermost first, until it has. The container with the greatest sum of what is left is
+the centre of the main text. The least density on the path from it to
 the body is the threshold: of the parts beside the path, up to the body or to an ancestor that is mostly links,
 those at least as dense stay, and in these the same holds again; the centres stay whole, headings stay with what
 follows them. An element that the page itself declares as its article around the centre is taken whole instead.
@@ -11,7 +14,8 @@ follows them. An element that the page itself declares as its article around the
 Text comes by block: white space inside a block becomes one space, blocks are joined by an empty line.
 
 Null and empty pages, and pages without text, give an empty text. Unclosed, misnested and unknown tags are
-read as browsers do, in outline. Repeated rows are extracted alike.
+read as browsers do, in outline; a tag that never ends takes the rest of the page. Reading takes time in
+proportion to the length of a page. Repeated rows are extracted alike.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,15 +37,26 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements that are never main text, roles likewise, and words of class or id that say so.
-NEVER = frozenset("head nav footer aside form script style noscript template iframe svg button select textarea input object embed canvas audio video dialog menu title option datalist".split())
-NEVER_ROLE = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
-NEVER_WORD = frozenset(
+_DECLARED = frozenset(["article", "main"])
+#: Elements that are never text.
+NEVER = frozenset("head script style noscript template iframe svg button select textarea input object embed canvas audio video dialog title option datalist".split())
+#: Elements and roles that mark parts beside the main text.
+MARKED = frozenset("nav footer aside form menu".split())
+MARKED_ROLE = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
+#: Words of class or id that mark such parts, if all other words of the name are neutral.
+MARKED_WORD = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion promoted banner sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist replies disqus cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup paywall share sharing social related recommended recommendations widget widgets pagination pager toolbar".split()
 )
 HEADER_WORD = frozenset("header topbar".split())
+NEUTRAL_WORD = frozenset(
+    "area article bar block body bottom box button buttons center col column container content desktop entry fixed form global google group icon icons inner item items js left link links list main mobile module outer page panel post posts primary reader region respond right secondary section site slot small sticky text thread top unit user wrap wrapper x".split()
+)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: A tag as most are written; it fails where _tag_end would have to look further.
+_PLAIN_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)([^>=\"']*+(?:=\"[^\"]*+\"[^>=\"']*+)*+)>")
+#: What comes before a value or the end of a tag.
+_TO_VALUE = re.compile(r"[^>=]*(?:=\s*)?")
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: A start tag of the key closes an open element of the second set, unless one of the third stands between.
@@ -65,60 +81,114 @@ class Node:
         return {m[1].lower(): _html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(self.attrs)}
 
 
+def _tag_end(page: str, at: int) -> int:
+    """Where the ">" of a tag stands, from after its name on; -1 if nowhere. Values in quotes may hold any character."""
+    while True:
+        at = _TO_VALUE.match(page, at).end()
+        if at >= len(page):
+            return -1
+        if page[at] == ">":
+            return at
+        if page[at] in "\"'" and page[at - 1] in "= \t\n\r\f":
+            at = page.find(page[at], at + 1) + 1
+            if not at:
+                return -1
+
+
+def _raw(page: str, tag: str, at: int) -> tuple[list[tuple[str, str, str]], int, int]:
+    """Tokens inside an element whose content is not read, from after its tag on; and (twice) where it ends."""
+    found = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+    inner = [("text", page[at : found.start() if found else len(page)], "")] if tag in ("textarea", "title") else []
+    stop = page.find(">", found.end()) if found else -1
+    at = stop + 1 if stop >= 0 else len(page)
+    return [*inner, ("close", tag, "")], at, at
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, text or name, attributes) of a page; kind: text, raw (no references), open, close."""
+    at, text, end = 0, 0, len(page)
+    while True:
+        start = page.find("<", at)
+        if start < 0:
+            break
+        at = start + 1
+        plain = _PLAIN_TAG.match(page, at)
+        if plain is not None:
+            if start > text:
+                yield "text", page[text:start], ""
+            slash, tag, attrs = plain.groups()
+            tag, at = tag.lower(), plain.end()
+            yield "close" if slash else "open", tag, attrs
+            text = at
+            if tag in RAW and not slash:
+                inner, at, text = _raw(page, tag, at)
+                yield from inner
+            continue
+        name = None
+        if page.startswith(("!--", "![CDATA[", "!", "?"), at):
+            open_, close = next(x for x in (("!--", "-->"), ("![CDATA[", "]]>"), ("!", ">"), ("?", ">")) if page.startswith(x[0], at))
+            stop = page.find(close, at + len(open_))
+        else:
+            slash = page.startswith("/", at)
+            name = _NAME.match(page, at + slash)
+            if name is None:
+                continue
+            stop, close = _tag_end(page, name.end()), ">"
+        if start > text:
+            yield "text", page[text:start], ""
+        if name is None:
+            if open_ == "![CDATA[":
+                yield "raw", page[at + len(open_) : stop if stop >= 0 else end], ""
+        elif stop >= 0:
+            yield "close" if slash else "open", name[0].lower(), page[name.end() : stop]
+        at = text = stop + len(close) if stop >= 0 else end
+        if name is not None and not slash and stop >= 0 and (tag := name[0].lower()) in RAW:
+            inner, at, text = _raw(page, tag, at)
+            yield from inner
+    if text < end:
+        yield "text", page[text:], ""
+
+
 def parse(page: str) -> Node:
     """The tree of a page; its root is a body without attributes."""
     root = Node("body")
-    stack, at, end = [root], 0, len(page)
+    stack, n_open = [root], Counter(["body"])
+
+    def cut(i: int) -> None:
+        n_open.subtract(n.tag for n in stack[i:])
+        del stack[i:]
 
     def close(kinds: frozenset, stop: frozenset) -> None:
-        for i in range(len(stack) - 1, 0, -1):
+        i = len(stack) - 1
+        while i > 0 and any(n_open[k] for k in kinds):
             if stack[i].tag in kinds:
-                del stack[i:]
-                return close(kinds, stop) if len(kinds) > 1 else None
-            if stack[i].tag in stop:
-                return None
-
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            stack[-1].children.append(_html.unescape(page[at:]))
-            break
-        if m.start() > at:
-            stack[-1].children.append(_html.unescape(page[at : m.start()]))
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                stack[-1].children.append(m[0][9:-3])
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag == "br" or (tag == "p" and not any(n.tag == "p" for n in stack)):
+                cut(i)
+                if len(kinds) == 1:
+                    return
+            elif stack[i].tag in stop:
+                return
+            i -= 1
+
+    for kind, tag, attrs in tokens(page):
+        if kind in ("text", "raw"):
+            stack[-1].children.append(_html.unescape(tag) if kind == "text" else tag)
+        elif kind == "close":
+            if tag == "br" or (tag == "p" and not n_open["p"]):
                 stack[-1].children.append(Node(tag, "", stack[-1]))
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-            continue
-        if tag in ("html", "body"):
-            continue
-        if tag in BLOCK:
-            close(_P, _P_STOP)
-        if tag in CLOSES:
-            close(*CLOSES[tag])
-        if tag in HEADINGS and stack[-1].tag in HEADINGS:
-            stack.pop()
-        node = Node(tag, m[3], stack[-1])
-        stack[-1].children.append(node)
-        if tag in RAW:
-            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            if tag in ("textarea", "title"):
-                node.children.append(_html.unescape(page[at : stop.start() if stop else end]))
-            at = stop.end() if stop else end
-        elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
-        elif tag not in VOID and tag not in ("svg", "path"):
-            stack.append(node)  # a slash closes only void and foreign elements
+            elif n_open[tag] and tag != "body":
+                cut(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
+        elif tag not in ("html", "body"):
+            if tag in BLOCK:
+                close(_P, _P_STOP)
+            if tag in CLOSES:
+                close(*CLOSES[tag])
+            if tag in HEADINGS and stack[-1].tag in HEADINGS:
+                cut(len(stack) - 1)
+            node = Node(tag, attrs, stack[-1])
+            stack[-1].children.append(node)
+            if tag not in VOID and not (tag in ("svg", "path") and attrs.endswith("/")):  # a slash closes only void and foreign elements
+                stack.append(node)
+                n_open[tag] += 1
     return root
 
 
@@ -132,32 +202,97 @@ def _holds(node: Node, tags: frozenset) -> bool:
     return False
 
 
-_H1 = frozenset(["h1"])
-
-
-def never_text(node: Node, in_article: bool) -> bool:
-    """Whether a node with all below it is left out."""
+def never_text(node: Node) -> bool:
+    """Whether a node with all below it is no text at all, or hidden."""
     if node.tag in NEVER:
         return True
-    header = node.tag == "header"
-    if node.attrs:
-        a = node.attributes()
-        if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in NEVER_ROLE or "display:none" in a.get("style", "").replace(" ", "").lower():
-            return True
-        words = {w.lower() for w in _WORDS.findall(f"{a.get('class', '')} {a.get('id', '')}")}
-        if node.tag != "main" and words & NEVER_WORD:
+    if not node.attrs:
+        return False
+    a = node.attributes()
+    return "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
+
+
+def _named(attributes: dict[str, str], words: frozenset) -> bool:
+    """Whether a name in class or id consists of some of `words` and neutral ones."""
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        own = [w.lower() for w in _WORDS.findall(name)]
+        if any(w in words for w in own) and all(w in words or w in NEUTRAL_WORD or w.isdigit() for w in own):
             return True
-        header = header or bool(words & HEADER_WORD)
-    return header and not (in_article and _holds(node, _H1))
+    return False
 
 
-def prune(root: Node) -> None:
-    todo = [(root, False)]
+def marked(node: Node, in_article: bool) -> bool:
+    """Whether tag, role or class mark a node as a part beside the main text."""
+    a = node.attributes() if node.attrs else {}
+    if node.tag in MARKED or a.get("role", "").lower() in MARKED_ROLE or (node.tag != "main" and _named(a, MARKED_WORD)):
+        return True
+    if in_article or not (node.tag == "header" or _named(a, HEADER_WORD)):
+        return False
+    # a header among paragraphs is that of the text
+    return not (_holds(node, HEADINGS) and sum(c.__class__ is Node and c.tag == "p" for c in node.parent.children) > 1)
+
+
+def _strip(root: Node) -> list[Node]:
+    """Cut what is never text; the marked nodes of what is left, parents first."""
+    found, todo = [], [(root, False)]
     while todo:
         node, inside = todo.pop()
-        kept = [c for c in node.children if c.__class__ is str or not never_text(c, inside)]
-        node.children = kept
-        todo += [(c, inside or c.tag in ("article", "main")) for c in kept if c.__class__ is Node]
+        node.children = [c for c in node.children if c.__class__ is str or not never_text(c)]
+        for c in node.children:
+            if c.__class__ is Node:
+                if marked(c, inside):
+                    found.append(c)
+                todo.append((c, inside or c.tag in _DECLARED))
+    return found
+
+
+#: What is left without marked parts is too little beside the greatest sum of the page: below the first share of it, or below the second with fewer characters than this.
+LITTLE, LITTLE_SHORT, SHORT = 0.1, 0.3, 140
+
+
+def prune(root: Node) -> None:
+    """Cut marked parts, but for those around the text (see above)."""
+    marks = _strip(root)
+    if not marks:
+        return
+    whole, out = {n.parent: n.parent.children for n in marks}, set(marks)
+
+    def without() -> Node:
+        for parent, children in whole.items():
+            parent.children = [c for c in children if c not in out]
+        return _centre(weigh(root), root)[0]
+
+    left = without()
+    if left.chars - left.link_chars >= sum(map(_raw_length, marks)) or (left.chars and any(n.tag == "article" for n in _upwards(left))):
+        return  # most of the page's text, or an article
+    for parent, children in whole.items():
+        parent.children = children
+    best, _ = _centre(weigh(root), root)
+    total = best.total
+    on_path = [n for n in reversed(_upwards(best)) if n in out]  # outermost first
+    while True:
+        left = without()
+        if not on_path or not (left.total < LITTLE * total or (left.total < LITTLE_SHORT * total and left.chars - left.link_chars < SHORT)):
+            return
+        out.discard(on_path.pop(0))
+
+
+def _upwards(node: Node) -> list[Node]:
+    path = [node]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    return path
+
+
+def _raw_length(node: Node) -> int:
+    total, todo = 0, [node]
+    while todo:
+        for c in todo.pop().children:
+            if c.__class__ is str:
+                total += len(c)
+            else:
+                todo.append(c)
+    return total
 
 
 def _length(text: str) -> int:
@@ -200,17 +335,17 @@ def _density(chars: int, tags: int, link_chars: int, link_tags: int, page_share:
     return chars / t * max(0.0, math.log(max(1.0, chars / lc * t / lt) + 1e-9)) / max(base, 1e-9) if link_chars else chars / t * max(1.0, math.log(chars * t + math.e) / base)
 
 
-_DECLARED = frozenset(["article", "main"])
+def _centre(order: list[Node], root: Node) -> tuple[Node, list[Node]]:
+    """The container with the greatest sum, and all containers."""
+    containers = [n for n in order if n.tag in BLOCK and (n is root or n.tag in _DECLARED or any(c.__class__ is Node and c.tag in BLOCK for c in n.children))]
+    return max(containers, key=lambda n: n.total), containers
 
 
 def main_node(root: Node) -> Node:
     """The subtree that holds the main text."""
     order = weigh(root)
-    containers = [n for n in order if n.tag in BLOCK and (n is root or any(c.__class__ is Node and c.tag in BLOCK for c in n.children) or n.tag in _DECLARED)]
-    best = max(containers, key=lambda n: n.total)
-    path = [best]
-    while path[-1].parent is not None:
-        path.append(path[-1].parent)
+    best, containers = _centre(order, root)
+    path = _upwards(best)
     declared = next((n for n in path if n.tag == "article"), None) or next((n for n in path if n.tag == "main"), None)
     if declared is not None:
         return declared
