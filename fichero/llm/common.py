@@ -14,6 +14,9 @@ SPACE_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch while a scratch table is written.
 ROWS = 2000
+#: Bytes of such a batch, but for a single row.
+BYTES = 16 << 20
+_BATCH_ROWS, _BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,8 +34,11 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The folder named by spark.checkpoint.dir; a temporary one where it is unset and all runs on this machine, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or _own_folder()
 
 
 class Scratch:
@@ -56,13 +62,16 @@ class Scratch:
         """df as a written table. rows: most rows of a batch that Python workers get meanwhile."""
         path = f"{self.root}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
         # whole texts pass through Python workers: few rows at a time bound their memory
-        name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", self.spark.conf
-        before = conf.get(name)
-        conf.set(name, str(min(rows, int(before))) if int(before) > 0 else str(rows))
+        conf = self.spark.conf
+        before = {name: conf.get(name) for name in (_BATCH_ROWS, _BATCH_BYTES)}
+        most = int(before[_BATCH_ROWS])
+        conf.set(_BATCH_ROWS, str(min(rows, most) if most > 0 else rows))
+        conf.set(_BATCH_BYTES, str(BYTES))
         try:
             df.write.option("compression", codec).parquet(path)
         finally:
-            conf.set(name, before)
+            for name, value in before.items():
+                conf.set(name, value)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._fichero_path = path

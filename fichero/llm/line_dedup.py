@@ -14,7 +14,8 @@ that a matching pair shares, they do), and if bitmaps of the sets do not differ
 Lists are compared inside tasks, without making pairs rows: each posting leaves its list with its likeliest
 earlier partner and whether others passed. The likeliest of all lists is verified on the words. A class whose
 likeliest partner fails while others passed is held against all of these, again inside tasks, by lists that
-carry the lines themselves, until one matches: at most one row per class and list comes out.
+carry the lines themselves, until one matches: at most one row per class and list comes out. (The likeliest
+NAMED ones of each list are tried before that.)
 
 Rarity is counted over all lines, in SLOTS hashed slots (the order of tokens does not change the result);
 that table of fixed size goes to every task. A token that its slot counts once has no list. Tokens that their
@@ -29,13 +30,12 @@ words. Ties go to the lesser place. Other columns are not read.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -48,7 +48,7 @@ MIN_TOKENS = 5
 #: Distinct words from which lines take part in the query and in drop_repeated_lines: all lines that have a word.
 ANY = 1
 #: Slots of the rarity table, a byte each: the upper bits of a word's hash.
-SLOT_BITS = 22
+SLOT_BITS = 24
 #: Slots that travel and are added up at once.
 BLOCK_BITS = 16
 #: Postings of a list that one task compares.
@@ -58,7 +58,7 @@ LIST_BYTES = 16 << 20
 #: Postings that a packed bucket holds about, and that a task packs at once.
 BUCKET, PACK = 400_000, 300_000
 #: Bits of the table that names wanted lines ahead of a join.
-WANTED_BITS = 25
+WANTED_BITS = 27
 #: Bytes of text whose words are hashed at once (more where one text is longer), and lines sorted at once.
 BYTES, LINES = 1 << 20, 1 << 14
 #: Words of the bitmap of a set.
@@ -71,8 +71,8 @@ def _pieces(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
     """Texts of a column as UTF-8, null as empty, in runs of about BYTES; and the number of each run's first."""
     run: list[bytes] = []
     size = first = 0
-    for i, t in enumerate(column):
-        run.append((t.as_py() or "").encode("utf-8", "surrogatepass"))
+    for i, t in enumerate(column.cast(pa.binary()).to_pylist()):
+        run.append(t or b"")
         size += len(run[-1])
         if size >= BYTES:
             yield first, run
@@ -94,13 +94,16 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
         total = np.zeros(blocks * size, np.uint32)
         for batch in batches:
             for _, texts in _pieces(batch.column(0)):
-                np.add.at(total, (word_hashes(b"\n".join(texts))[0] >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
+                slot = (word_hashes(b"\n".join(texts))[0] >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
+                slot.sort()  # words repeat, so few slots of the table are touched
+                first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])[: len(slot)])
+                total[slot[first]] += np.diff(np.append(first, len(slot))).astype(np.uint32)
         total = total.reshape(blocks, size)
         some = np.flatnonzero(total.any(1))
         often = [np.flatnonzero(total[b] > 254) for b in some]  # others fit a byte
         columns = [
             pa.array(some, pa.int32()),
-            pa.array([zlib.compress(np.minimum(total[b], 255).astype(np.uint8).tobytes(), 1) for b in some], pa.binary()),
+            pa.array([pa.compress(np.minimum(total[b], 255).astype(np.uint8).tobytes(), codec="zstd", asbytes=True) for b in some], pa.binary()),
             pa.array([o.astype("<i4").tobytes() for o in often], pa.binary()),
             pa.array([total[b][o].astype("<i8").tobytes() for b, o in zip(some, often)], pa.binary()),
         ]
@@ -110,7 +113,7 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts, often, often_n in zip(*(c.to_pylist() for c in batch.columns)):
-                one = np.frombuffer(zlib.decompress(counts), np.uint8).astype(np.int64)
+                one = np.frombuffer(pa.decompress(counts, size, codec="zstd", asbytes=True), np.uint8).astype(np.int64)
                 one[np.frombuffer(often, "<i4")] = np.frombuffer(often_n, "<i8")
                 sums[block] = sums[block] + one if block in sums else one
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_level(s).tobytes() for s in sums.values()], pa.binary())], ["block", "level"])
@@ -158,19 +161,25 @@ class _Lines:
         key, h, level = key[first], h[first], level[order][first]
         n = np.bincount((key >> np.uint64(50)).astype(np.int64), minlength=b - a)
         ends = np.concatenate([[0], np.cumsum(n)])
-        raw = memoryview(h).cast("B")
-        sums = np.add.reduceat(h, ends[:-1]) if b > a else np.zeros(0, np.uint64)
-        digest = b"".join([xxhash.xxh3_128_digest(raw[8 * x : 8 * y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())])
-        return self.owner[a:b], _at(self.number[a:b], sums), np.frombuffer(digest, "<i8").reshape(-1, 2), h, level, ends[:-1], n
+        digest = _digests(h, ends[:-1])
+        return self.owner[a:b], _at(self.number[a:b], digest[0]), digest, h, level, ends[:-1], n
 
 
-def _at(number: np.ndarray, sums: np.ndarray) -> np.ndarray:
-    """Line number and upper bits of the sum of the set's hashes."""
-    return number.astype(np.int64) << DIGEST_BITS | (sums >> np.uint64(64 - DIGEST_BITS)).astype(np.int64)
+def _digests(h: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    """Two digests of 64 bits of each set, of which h holds the distinct hashes from start on: sums, whatever the order."""
+    if not len(start):
+        return [np.zeros(0, np.int64)] * 2
+    other = (h ^ (h >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+    return [np.add.reduceat(x, start).view(np.int64) for x in (h, other ^ (other >> np.uint64(28)))]
 
 
-def _sums(lines: list[bytes]) -> np.ndarray:
-    """Sum of the hashes of each line's set."""
+def _at(number: np.ndarray, d0: np.ndarray) -> np.ndarray:
+    """Line number and the upper bits of the first digest."""
+    return number.astype(np.int64) << DIGEST_BITS | (d0.view(np.uint64) >> np.uint64(64 - DIGEST_BITS)).astype(np.int64)
+
+
+def _line_digests(lines: list[bytes]) -> list[np.ndarray]:
+    """Digests of the sets of lines (0 of lines without a word)."""
     joined = b"\n".join(lines)
     h, start = word_hashes(joined)
     line = np.searchsorted(np.flatnonzero(np.frombuffer(joined, np.uint8) == 10), start)
@@ -178,8 +187,11 @@ def _sums(lines: list[bytes]) -> np.ndarray:
     h, line = h[order], line[order]
     first = np.ones(len(h), bool)
     first[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    out = np.zeros(len(lines), np.uint64)
-    np.add.at(out, line[first], h[first])
+    h, line = h[first], line[first]
+    some, begin = np.unique(line, return_index=True)
+    out = [np.zeros(len(lines), np.int64) for _ in range(2)]
+    for o, d in zip(out, _digests(h, begin)):
+        o[some] = d
     return out
 
 
@@ -211,13 +223,13 @@ def line_sets(docs: DataFrame, level: np.ndarray, key: str = "doc_id", text: str
                     bits = [np.bitwise_or.reduceat(np.where(half == w, one, np.uint64(0)), start).view(np.int64) if len(start) else np.zeros(0, np.int64) for w in (False, True)]
                     offsets = np.concatenate([[0], np.cumsum(8 * n_used[keep])]).astype(np.int32)
                     tokens = pa.Array.from_buffers(pa.binary(), int(keep.sum()), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(h[used].tobytes())])
-                    numbers = ((ids[first + owner], pa.int64()), (at, pa.int64()), (n, pa.int32()), (digest[:, 0], pa.int64()), (digest[:, 1], pa.int64()), *((b, pa.int64()) for b in bits), (prefix - n_used, pa.int32()), (n_used - n_hot, pa.int32()), (n_hot, pa.int32()))
+                    numbers = ((ids[first + owner], pa.int64()), (at, pa.int64()), (n, pa.int32()), (digest[0], pa.int64()), (digest[1], pa.int64()), *((b, pa.int64()) for b in bits), (prefix - n_used, pa.int32()), (n_used - n_hot, pa.int32()), (n_hot, pa.int32()))
                     yield pa.RecordBatch.from_arrays([*(pa.array(v[keep], kind) for v, kind in numbers), tokens], ["doc_id", "at", "n", "d0", "d1", *BITS, "skip", "n_rare", "n_hot", "prefix"])
 
     return docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, _LINE)
 
 
-#: Columns of packed postings, in this order: token, place, size, position, bitmap.
+#: Columns of packed postings, in this order: token, place, size, position, bitmap. A column is packed by planes of bytes, as most are zero.
 _PACKED = (("token", "<u4"), ("doc_id", "<i8"), ("at", "<i8"), ("n", "<i4"), ("i", "<i4"), ("b0", "<u8"), ("b1", "<u8"))
 _PACKED_BYTES = sum(np.dtype(kind).itemsize for _, kind in _PACKED)
 
@@ -248,12 +260,12 @@ def _packed(classes: DataFrame, buckets: int) -> DataFrame:
             x = {c: np.concatenate([h[c] for h in held]) for c, _ in _PACKED}
             held.clear()
             bucket = ((x["token"] & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bucket = bucket[order]
             x["token"] = x["token"] >> np.uint64(32)
+            order = np.argsort(bucket.astype(np.uint64) << np.uint64(32) | x["token"], kind="stable")
+            bucket = bucket[order]
             x = {c: x[c][order].astype(kind) for c, kind in _PACKED}
             cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
-            blobs = [b"".join(x[c][a:b].tobytes() for c, _ in _PACKED) for a, b in zip(cuts, cuts[1:])]
+            blobs = [b"".join(x[c][a:b].view(np.uint8).reshape(b - a, -1).T.tobytes() for c, _ in _PACKED) for a, b in zip(cuts, cuts[1:])]
             return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
         size = 0
@@ -277,7 +289,7 @@ def _unpacked(blobs: list[bytes]) -> dict[str, np.ndarray]:
         n, a = len(blob) // _PACKED_BYTES, 0
         for c, kind in _PACKED:
             b = a + n * np.dtype(kind).itemsize
-            out[c].append(np.frombuffer(blob[a:b], kind))
+            out[c].append(np.ascontiguousarray(np.frombuffer(blob[a:b], np.uint8).reshape(-1, n).T).view(kind).reshape(-1))
             a = b
     return {c: np.concatenate(v) for c, v in out.items()}
 
@@ -443,7 +455,7 @@ def _slots(doc, number, mod=np.mod):
 
 
 def _texts(docs: DataFrame, places: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, at, line: the lines at places (doc_id, at), and a few others. Which to take is told by a table of 2^WANTED_BITS bits."""
+    """doc_id, at, d0, d1, line: the lines at places (doc_id, at), and some others. Which to take is told by a table of 2^WANTED_BITS bits."""
     size = 1 << 15
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -477,10 +489,11 @@ def _texts(docs: DataFrame, places: DataFrame, key: str, text: str) -> DataFrame
                         split = text.split(b"\n")
                         lines += [split[k] for k in number[take[a:b]].tolist()]
                 if lines:
-                    columns = [pa.array(ids[first + owner[take]], pa.int64()), pa.array(_at(number[take], _sums(lines)), pa.int64()), pa.array(lines, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "line"])
+                    d0, d1 = _line_digests(lines)
+                    columns = [*(pa.array(v, pa.int64()) for v in (ids[first + owner[take]], _at(number[take], d0), d0, d1)), pa.array(lines, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "d0", "d1", "line"])
 
-    return docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, at long, line binary")
+    return docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, at long, d0 long, d1 long, line binary")
 
 
 def _words(line: bytes) -> frozenset:
@@ -492,59 +505,104 @@ def _similar(a: frozenset, b: frozenset, threshold: float) -> bool:
     return common >= threshold * (len(a) + len(b) - common) - 1e-9
 
 
+_MATCH = "doc_id long, at long, d0 long, d1 long, to_doc long, to_at long"
+_MATCHED = [c.split()[0] for c in _MATCH.split(", ")]
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (doc_id, at, to_doc, to_at), those whose words reach the threshold."""
-    near = pairs.join(texts, ["doc_id", "at"])
-    both = near.join(texts.select(F.col("doc_id").alias("to_doc"), F.col("at").alias("to_at"), F.col("line").alias("to_line")), ["to_doc", "to_at"])
+    """Of pairs (doc_id, at, to_doc, to_at), those whose words reach the threshold, with the digests of the first (_MATCH)."""
     names = ["doc_id", "at", "to_doc", "to_at"]
+    pair = F.struct(*names).alias("pair")
+    ends = pairs.select("doc_id", "at", pair, F.lit(True).alias("own")).unionByName(pairs.select(F.col("to_doc").alias("doc_id"), F.col("to_at").alias("at"), pair, F.lit(False).alias("own")))
+    side = lambda own, *c: F.max(F.when(F.col("own") if own else ~F.col("own"), F.struct(*c)))
+    both = ends.join(texts, ["doc_id", "at"]).groupBy("pair").agg(side(True, "d0", "d1", "line").alias("x"), side(False, "line").alias("y"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             good = [_similar(_words(a), _words(b), threshold) for a, b in zip(batch["line"], batch["to_line"])]
-            yield batch.loc[np.array(good, bool), names]
+            yield batch.loc[np.array(good, bool), _MATCHED]
 
-    return both.select(*names, "line", "to_line").mapInPandas(run, "doc_id long, at long, to_doc long, to_at long")
+    return both.select("pair.*", "x.*", F.col("y.line").alias("to_line")).mapInPandas(run, _MATCH)
 
 
-def _open_matches(rows: DataFrame, open_: DataFrame, texts: DataFrame, threshold: float, most: int) -> DataFrame:
-    """For open classes, an earlier one of rows (_PARTNER) that matches on the words: at most one for each list."""
-    lists = rows.join(open_, ["doc_id", "at"], "left_semi").filter("to_doc is not null").select("list").distinct()
-    rows = rows.join(lists, "list", "left_semi").dropDuplicates(["list", "doc_id", "at"]).select("list", "doc_id", "at", "n", "i", *BITS)
+_POSTING = ["list", "doc_id", "at", "n", "i", *BITS, "open"]
+#: Candidates of a list that an open posting names; those of postings with more are compared inside tasks.
+NAMED = 8
+
+
+def _open_postings(rows: DataFrame, open_: DataFrame, threshold: float, most: int) -> DataFrame:
+    """Of rows (_PARTNER) those that passed with another of which the later is of an open class; a row may come twice.
+
+    `near` has the likeliest earlier ones, NAMED at most, of a row of an open class, and `more` tells whether others passed.
+    """
+    lists = rows.filter("to_doc is not null").join(open_, ["doc_id", "at"], "left_semi").select("list").distinct()
+    rows = rows.select(*_POSTING[:-1]).join(lists, "list", "left_semi")
+    rows = rows.filter("list >= 0").unionByName(rows.filter("list < 0").dropDuplicates(["list", "doc_id", "at"]))  # cut lists name a posting for each part
     rows = rows.join(open_.select("doc_id", "at", F.lit(True).alias("open")), ["doc_id", "at"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
-    rows = rows.join(texts, ["doc_id", "at"])
-    rows = _cut(rows, F.ceil(2 * F.greatest(F.count(F.lit(1)) / F.lit(most), F.sum(F.length("line")) / F.lit(LIST_BYTES)) - 1))
-    names, keys = ["list", "part", "block", "doc_id", "at", "n", "i", *BITS, "open", "line"], ("list", "part")
+    names, keys = [*_POSTING, "part", "block"], ("list", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _groups(batches, names, keys):
-            near, sets, match = _Near(x, threshold, _begins(x, keys)), {}, {}
+            near, part, probe = _Near(x, threshold, _begins(x, keys)), np.zeros(len(x["list"]), bool), x["open"].astype(bool)
+            count, none = np.zeros(len(part), np.int64), np.iinfo(np.int64).max
+            best = np.full((len(part), NAMED), none)
+            for later, earlier, differ in near.pairs():
+                later, earlier, differ = later[probe[later]], earlier[probe[later]], differ[probe[later]]
+                part[later] = part[earlier] = True
+                count[later] += 1
+                score = differ << 40 | near.place[earlier]
+                for k in range(NAMED):
+                    best[later, k], score = np.minimum(best[later, k], score), np.maximum(best[later, k], score)
+            at = np.flatnonzero(part)
+            columns = [pa.array(x[c][at], kind) for c, kind in zip(_POSTING, (*[pa.int64()] * 3, *[pa.int32()] * 2, *[pa.int64()] * 2, pa.bool_()))]
+            to = [near.sample[b[b < none] & ((1 << 40) - 1)] for b in best[at]]
+            columns.append(pa.array([[{"to_doc": int(x["doc_id"][t]), "to_at": int(x["at"][t])} for t in one] for one in to], pa.list_(pa.struct([("to_doc", pa.int64()), ("to_at", pa.int64())]))))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(count[at] > NAMED, pa.bool_())], [*_POSTING, "near", "more"])
 
-            def words(i: int) -> frozenset:
-                if i not in sets:  # noqa: B023
-                    sets[i] = _words(x["line"][i])  # noqa: B023
-                return sets[i]  # noqa: B023
+    cut = _cut(rows, F.ceil(2 * F.count(F.lit(1)) / most - 1))
+    found = cut.select(*names).repartition(*keys).sortWithinPartitions(*keys, "n", "doc_id", "at")
+    return found.mapInArrow(run, "list long, doc_id long, at long, n int, i int, b0 long, b1 long, open boolean, near array<struct<to_doc:long,to_at:long>>, more boolean")
 
+
+def _open_matches(rows: DataFrame, open_: DataFrame, texts: DataFrame, threshold: float, most: int) -> DataFrame:
+    """For open classes, an earlier one of rows (_open_postings) that matches on the words (_MATCH): at most one for each list."""
+    lists = rows.filter("more").join(open_, ["doc_id", "at"], "left_semi").select("list").distinct()
+    rows = rows.join(lists, "list", "left_semi").dropDuplicates(["list", "doc_id", "at"]).drop("open", "near", "more")
+    rows = rows.join(open_.select("doc_id", "at", F.lit(True).alias("open")), ["doc_id", "at"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    rows = rows.join(texts.dropDuplicates(["doc_id", "at"]), ["doc_id", "at"])
+    rows = _cut(rows, F.ceil(2 * F.greatest(F.count(F.lit(1)) / F.lit(most), F.sum(F.length("line")) / F.lit(LIST_BYTES)) - 1))
+    names, keys = [*_POSTING, "d0", "d1", "line", "part", "block"], ("list", "part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _groups(batches, names, keys):
+            near, probe, match = _Near(x, threshold, _begins(x, keys)), x["open"].astype(bool), {}
+            words = lru_cache(len(probe))(lambda i, line=x["line"]: _words(line[i]))
             for later, earlier, _ in near.pairs():
-                probe = x["open"][later].astype(bool)
-                for a, b in zip(later[probe].tolist(), earlier[probe].tolist()):
+                for a, b in zip(later[probe[later]].tolist(), earlier[probe[later]].tolist()):
                     if a not in match and _similar(words(a), words(b), threshold):
                         match[a] = b
             at, to = np.array(list(match), np.int64), np.array(list(match.values()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (x["doc_id"][at], x["at"][at], x["doc_id"][to], x["at"][to])], ["doc_id", "at", "to_doc", "to_at"])
+            columns = [x[c][at] for c in _MATCHED[:4]] + [x[c][to] for c in ("doc_id", "at")]
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], _MATCHED)
+
+    return rows.select(*names).repartition(*keys).sortWithinPartitions(*keys, "n", "doc_id", "at").mapInArrow(run, _MATCH)
+
 
-    found = rows.select(*names).repartition(*keys).sortWithinPartitions(*keys, "n", "doc_id", "at").mapInArrow(run, "doc_id long, at long, to_doc long, to_at long")
-    return found.groupBy("doc_id", "at").agg(F.min(F.struct("to_doc", "to_at")).alias("x")).select("doc_id", "at", "x.*")
+def _once(matches: DataFrame) -> DataFrame:
+    """One match of each class."""
+    return matches.groupBy("doc_id", "at").agg(F.min(F.struct(*_MATCHED[2:])).alias("x")).select("doc_id", "at", "x.d0", "x.d1", F.struct("x.to_doc", "x.to_at").alias("x")).select("doc_id", "at", "d0", "d1", "x.*")
 
 
 def _judged(docs: DataFrame, key: str, text: str, threshold: float, least: int, most: int) -> DataFrame:
     """As judge, with the places as (doc_id, at), (class_doc, class_at) and (match_doc, match_at)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
+    place = ["doc_id", "at"]
     docs = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text)
     level = rarity(docs, text)
     lines = scratch.write(line_sets(docs, level, key, text, least, threshold, most))
     rest = ["n", *BITS, "skip", "n_rare", "n_hot", "prefix"]
-    classes = lines.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "at", *rest)).alias("x"), F.count(F.lit(1)).alias("copies"))
+    classes = lines.groupBy("d0", "d1").agg(F.min(F.struct(*place, *rest)).alias("x"), F.count(F.lit(1)).alias("copies"))
     classes = scratch.write(classes.select("d0", "d1", "x.*", "copies"))
     scratch.release()
     rare, hot = classes.agg(F.coalesce(F.sum("n_rare"), F.lit(0)), F.coalesce(F.sum("n_hot"), F.lit(0))).first()
@@ -555,24 +613,28 @@ def _judged(docs: DataFrame, key: str, text: str, threshold: float, least: int,
         partners = partners.unionByName(scratch.write(_hot_partners(classes, threshold, most, scratch)))
         scratch.release()
 
-    found = partners.filter("to_doc is not null").groupBy("doc_id", "at")
+    found = partners.filter("to_doc is not null").groupBy(*place)
     to = F.struct("to_doc", "to_at")
     best = found.agg(F.min(F.struct("differ", "to_doc", "to_at")).alias("x"), (F.max("more") | (F.min(to) != F.max(to))).alias("more"))
-    best = scratch.write(best.select("doc_id", "at", "x.to_doc", "x.to_at", "more"))
-    places = partners.select("doc_id", "at")  # both of a pair are in this table
-    texts = scratch.write(_texts(docs, places, key, text).join(places.distinct(), ["doc_id", "at"], "left_semi").dropDuplicates(["doc_id", "at"]))
-    scratch.release()
+    best = scratch.write(best.select(*place, "x.to_doc", "x.to_at", "more"))
+    texts = scratch.write(_texts(docs, partners.select(*place), key, text))  # both of a pair are among the partners
     matches = scratch.write(_verified(best.drop("more"), texts, threshold))
-    open_ = scratch.write(best.filter("more").join(matches, ["doc_id", "at"], "left_anti").select("doc_id", "at"))
-    matches = scratch.write(matches.unionByName(_open_matches(partners, open_, texts, threshold, most)))
-    for done in (texts, best, open_):
+    scratch.release()
+    open_ = scratch.write(best.filter("more").join(matches, place, "left_anti").select(*place))
+    again = scratch.write(_open_postings(partners, open_, threshold, most))
+    scratch.release()
+    named = again.filter("open").select(*place, F.explode("near").alias("x")).select(*place, "x.*").distinct()
+    named = named.join(best, [*place, "to_doc", "to_at"], "left_anti")
+    more = scratch.write(_once(_verified(named, texts, threshold)))
+    left = scratch.write(open_.join(more, place, "left_anti"))
+    matches = matches.unionByName(more).unionByName(scratch.write(_once(_open_matches(again, left, texts, threshold, most))))
+    for done in (texts, best, open_, again, left):
         scratch.drop(done)
     scratch.release()
 
-    verdict = classes.select("d0", "d1", F.col("doc_id").alias("class_doc"), F.col("at").alias("class_at"), "copies")
-    verdict = verdict.join(matches.toDF("class_doc", "class_at", "match_doc", "match_at"), ["class_doc", "class_at"], "left")
-    verdict = verdict.filter("copies > 1 or match_doc is not null")
-    out = lines.select("doc_id", "at", "n", "d0", "d1").join(verdict, ["d0", "d1"], "left").drop("d0", "d1")
+    verdict = classes.filter("copies > 1").select("d0", "d1", F.col("doc_id").alias("class_doc"), F.col("at").alias("class_at"), "copies")
+    verdict = verdict.join(matches.select("d0", "d1", F.col("to_doc").alias("match_doc"), F.col("to_at").alias("match_at")), ["d0", "d1"], "full_outer")
+    out = lines.select(*place, "n", "d0", "d1").join(verdict, ["d0", "d1"], "left").drop("d0", "d1")
     first = F.col("class_doc").isNull() | ((F.col("doc_id") == F.col("class_doc")) & (F.col("at") == F.col("class_at")))
     return out.withColumn("removed", ~first | F.col("match_doc").isNotNull())
 
@@ -595,7 +657,7 @@ def _without(texts: pd.Series, places: pd.Series) -> pd.Series:
     which = [(k, at) for k, (lines, p) in enumerate(zip(split, places)) for at in (p if lines else ()) if at >> DIGEST_BITS < len(lines)]
     lines = [split[k][at >> DIGEST_BITS].encode("utf-8", "surrogatepass") for k, at in which]
     ats = np.array([at for _, at in which], np.int64)
-    for (k, at), same in zip(which, (_at(ats >> DIGEST_BITS, _sums(lines)) == ats).tolist() if lines else ()):
+    for (k, at), same in zip(which, (_at(ats >> DIGEST_BITS, _line_digests(lines)[0]) == ats).tolist() if lines else ()):
         if same:
             split[k][at >> DIGEST_BITS] = None
     return pd.Series(["\n".join(x for x in s if x is not None) if s else None for s in split], dtype="object")
