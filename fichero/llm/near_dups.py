@@ -8,13 +8,14 @@ whose sizes or signatures rule out the similarity go; the others are confirmed o
 Pairs of a bucket are not made rows. In each bucket all members are first held against one leader, the most
 central member (that of the fullest buckets). Confirmed links make components. In buckets that still hold
 several components, a task then compares the members' whole sets (as 64-bit hashes) with each other and gives
-out only links that join components; these are confirmed on the full sets too. Buckets of more than BUCKET
-members are cut into blocks, and blocks are compared in pairs. A pair inside a component adds nothing, so the
+out only links that join components; these are confirmed too. Links are confirmed on the words themselves.
+Buckets of more than BUCKET members, or SHINGLES in all, are cut into blocks, and blocks are compared in pairs. A pair inside a component adds nothing, so the
 components are those of all links between members of a bucket.
 
 Rows without id take no part and stay. Empty texts (no word) have no shingle and no link. Texts of fewer
-words than a shingle have one shingle, their whole sequence. Rows that repeat an id are one document. Ties
-(equal similarity) do not matter, as all links count. An empty table gives an empty result.
+words than a shingle have one shingle, their whole sequence. Rows that repeat an id are one document, with the
+least of their texts. Ties (equal similarity) do not matter, as all links count. Very long texts fill blocks of
+their own. An empty table gives an empty result. Columns other than key and text are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -39,8 +40,8 @@ BANDS = HASHES // ROWS
 PERCENT = 75
 #: Least number of equal minima: six standard deviations below what similarity 0.75 gives.
 LEAST_EQUAL = int(HASHES * 0.75 - 6 * (HASHES * 0.75 * 0.25) ** 0.5)
-#: Members that one task compares at once.
-BUCKET = 1500
+#: Members that one task compares at once, and shingles of them.
+BUCKET, SHINGLES = 1500, 1_500_000
 
 _random = np.random.default_rng(20240607)
 _A = _random.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,6 +64,12 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(total ^ (total >> np.uint64(32)))
 
 
+def _word_sets(text: str) -> frozenset:
+    """A text's shingles, as words."""
+    w = text.encode("utf-8", "surrogatepass").lower().split()
+    return frozenset(zip(*(w[i:] for i in range(WORDS)))) if len(w) >= WORDS else frozenset([tuple(w)] if w else [])
+
+
 def minima(hashes: np.ndarray) -> bytes:
     """HASHES minima of a set, four bytes each."""
     least = np.full(HASHES, 2**64 - 1, np.uint64)
@@ -94,14 +101,14 @@ def _equal_minima(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def _linked(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs (u, v, text_u, text_v) whose full sets are similar enough."""
-    last: tuple = (None, None)
+    last: tuple = (None, frozenset())
     for batch in pairs:
         good = []
         for a, b in zip(batch["text_u"], batch["text_v"]):
             if last[0] != a:
-                last = (a, shingles(a))
-            x, y = last[1], shingles(b)
-            common = len(np.intersect1d(x, y, assume_unique=True))
+                last = (a, _word_sets(a))
+            x, y = last[1], _word_sets(b)
+            common = len(x & y)
             good.append(100 * common >= PERCENT * (len(x) + len(y) - common))
         yield batch.loc[np.array(good, bool), ["u", "v"]]
 
@@ -211,12 +218,13 @@ def _scan(members: DataFrame) -> DataFrame:
 
 
 def _rest(live: DataFrame, texts: DataFrame, most: int) -> DataFrame:
-    """Links, not yet confirmed, that join the components of buckets. live: band, rep, component."""
-    sizes = live.groupBy("band").agg(F.when(F.count(F.lit(1)) > most, F.ceil(F.count(F.lit(1)) / (most // 2))).otherwise(F.lit(1)).cast("int").alias("blocks"))
+    """Links, not yet confirmed, that join the components of buckets. live: band, rep, n_shingles, component."""
+    share = F.greatest(F.count(F.lit(1)) / F.lit(most), F.sum("n_shingles") / F.lit(SHINGLES))
+    sizes = live.groupBy("band").agg(F.when(share > 1, F.ceil(2 * share)).otherwise(F.lit(1)).cast("int").alias("blocks"))
     cut = live.join(sizes, "band")
     own = (F.pmod(F.xxhash64("rep"), F.col("blocks")) + 1).cast("int")
     cut = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(1), F.col("blocks"))))
-    part = (F.least("own", "other") * 1_000_000 + F.greatest("own", "other")).cast("int")
+    part = F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")
     cut = cut.withColumn("part", part).withColumn("block", F.when(F.col("own") == F.col("other"), 0).otherwise(F.col("own")))
     return _scan(cut.join(texts.select("rep", "hashes"), "rep"))
 
@@ -224,7 +232,22 @@ def _rest(live: DataFrame, texts: DataFrame, most: int) -> DataFrame:
 def group(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs."""
     scratch = Scratch(docs.sparkSession)
-    narrow = scratch.write(signatures(docs, key, text))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    narrow = scratch.write(signatures(rows, "doc_id", "text"))
+    given = narrow.filter("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.count("digest").alias("n"), F.count(F.lit(1)).alias("rows"))
+    unlike = given.filter("rows > 1 and (low <> high or n not in (0, rows))").select("doc_id")
+    if unlike.isEmpty():
+        return _grouped(rows, narrow, bucket, scratch)
+    unlike = scratch.write(unlike)
+    least = rows.join(unlike, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    single = rows.join(unlike, "doc_id", "left_anti").unionByName(least)
+    found = _grouped(single, scratch.write(signatures(single, "doc_id", "text")), bucket, scratch)
+    named = found.filter("doc_id is not null").distinct()
+    return rows.select("doc_id").filter("doc_id is not null").join(named, "doc_id").select(found.columns).unionByName(found.filter("doc_id is null"))
+
+
+def _grouped(docs: DataFrame, narrow: DataFrame, bucket: int, scratch: Scratch) -> DataFrame:
+    """As group, of docs (doc_id, text) and their signatures; rows of one id are alike."""
     some = narrow.filter("doc_id is not null and n_shingles > 0")
     classes = scratch.write(some.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "minima")).alias("x"), F.count(F.lit(1)).alias("copies")).select("digest", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n_shingles"), F.col("x.minima").alias("minima"), "copies"))
     scratch.release()
@@ -240,13 +263,15 @@ def group(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket: int
     first = members.join(leaders, "band").filter((F.col("rep") != F.col("leader")) & _fits("n_shingles", "leader_n")).select(F.col("rep").alias("u"), F.col("leader").alias("v"))
 
     nodes = members.select("rep").distinct()
-    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(nodes, "rep", "left_semi").dropDuplicates(["rep"])
+    texts = docs.withColumnRenamed("doc_id", "rep").join(nodes, "rep", "left_semi").dropDuplicates(["rep"])
     texts = scratch.write(texts.mapInPandas(_with_hashes, "rep long, text string, hashes binary"))
     scratch.release()
     candidates = _Candidates(classes, texts, scratch)
     found = components(candidates.confirm(first), scratch)
-    live = scratch.write(_mixed(members.select("band", "rep"), found))
+    live = scratch.write(_mixed(members.select("band", "rep", "n_shingles"), found))
     new = candidates.confirm(_rest(live, texts, bucket))
+    for done in (texts, live, members):
+        scratch.drop(done)
     stars = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
     found = components(stars.unionByName(new), scratch)
 
@@ -257,10 +282,23 @@ def group(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket: int
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without near duplicates: of each component the document of least id stays, once."""
-    kept = group(docs, key, text).filter("kept and doc_id is not null").select(F.col("doc_id").alias(key))
-    unnamed = docs.filter(F.col(key).isNull())
-    return docs.join(kept.distinct(), key, "left_semi").dropDuplicates([key]).select(docs.columns).unionByName(unnamed)
+    """docs without near duplicates: of each component the document of least id stays, once.
+
+    Of rows that repeat an id, that of the least text stays. Other columns, whatever their names, pass through.
+    """
+    own = "__kept"
+    while own in docs.columns:
+        own += "_"
+    kept = group(docs, key, text).filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias(own)).agg(F.count(F.lit(1)).alias("n"))
+    kept = Scratch(docs.sparkSession).write(kept)
+    named = lambda ids: docs.join(ids.select(own), F.col(key).cast("long") == F.col(own), "left_semi")
+    out = named(kept.filter("n = 1")).unionByName(docs.filter(F.col(key).isNull()))
+    several = kept.filter("n > 1")
+    if several.isEmpty():
+        return out
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and kind not in ("variant", "void")]
+    order = Window.partitionBy(key).orderBy(F.col(text).asc_nulls_last(), F.xxhash64(*plain))
+    return out.unionByName(named(several).withColumn(own, F.row_number().over(order)).filter(F.col(own) == 1).drop(own))
 
 
 def op8_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
