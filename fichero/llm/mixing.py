@@ -67,7 +67,7 @@ def multipliers(hist: DataFrame, goals: DataFrame, cap: float, scratch: Scratch,
     same = F.col("h.source").eqNullSafe(F.col("s.source"))
     for _ in range(most):
         if state.filter(~F.col("done")).isEmpty():
-            break
+            return state
         units = _rate(cap)
         at = hist.alias("h").join(state.filter(~F.col("done")).alias("s"), same).select("s.*", "size", "n")
         whole = (F.col("n") * F.col("size")).cast("decimal(38,0)")
@@ -83,47 +83,49 @@ def multipliers(hist: DataFrame, goals: DataFrame, cap: float, scratch: Scratch,
         step = F.when(done, F.col("multiplier")).otherwise(F.round(F.when(inside, newton).otherwise(middle), 13))
         moved = sums.select(*keys[:6], step.alias("multiplier"), low.alias("low"), high.alias("high"), done.alias("done"))
         ready = state.filter("done")
-        last, state = state, scratch.write(moved.unionByName(ready).coalesce(1))
+        last, state = state, scratch.write(moved.unionByName(ready))
         scratch.drop(last)
+    if not state.filter(~F.col("done")).isEmpty():
+        raise RuntimeError(f"the mix did not settle in {most} rounds")
     return state
 
 
+def _mixed(docs: DataFrame, source: str, key: str, size: str | None, text: str, weights: Sequence[float], share: float, cap: float) -> DataFrame:
+    """row (a struct of docs' columns), size, source_size, target, units taken and copies of every row."""
+    scratch = Scratch(docs.sparkSession)
+    # a null id says nothing: the rest of the row deals it out (equal rows are equal wherever they go)
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and kind not in ("variant", "void")]
+    dealt = F.when(F.col(key).isNull(), F.xxhash64(*plain)).otherwise(F.xxhash64(key))
+    counted = F.coalesce(F.col(size).cast("long"), F.lit(0)) if size else word_count(F.col(text))
+    rows = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), F.col(key).alias("key"), dealt.alias("hash"), counted.alias("size"))
+    hist = scratch.write(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
+    goals = targets(hist.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, cap).drop("n_docs")
+    n_docs = hist.groupBy("source").agg(F.sum("n").alias("n_docs"))
+    goals = goals.alias("g").join(n_docs.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source"))).select("g.*", "n_docs")
+    solved = multipliers(hist, goals, cap, scratch).withColumn("groups", F.ceil(F.col("n_docs") / GROUP))
+    joined = rows.alias("r").join(solved.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", "source_size", "target", "mean", "multiplier", "full", "groups")
+    joined = joined.withColumn("units", _rate(cap)).withColumn("part", F.pmod(F.shiftright("hash", 3), F.col("groups")))
+    order = Window.partitionBy("source", "part").orderBy(F.col("size").desc(), "hash", "key").rowsBetween(Window.unboundedPreceding, 0)
+    joined = joined.withColumn("run", F.sum("units").over(order) + UNIT // 2)
+    copies = F.floor(F.col("run") / F.lit(UNIT)) - F.floor((F.col("run") - F.col("units")) / F.lit(UNIT))
+    return joined.select("row", "size", "source_size", "target", "units", copies.cast("int").alias("copies"))
+
+
 def mix(docs: DataFrame, *, source: str = "source", key: str = "doc_id", size: str | None = None, text: str = "text", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """`docs` with mix_size, mix_source_size, mix_target, mix_rate and mix_copies (0 to cap) appended.
 
-    size: a column with the number of words; without it, the words of `text` count.
-    Own columns start with mix_; input columns of other names pass through unchanged.
+    size: a column with the number of words (null: 0); without it, the words of `text` count.
+    Input columns of these five names are replaced; all others, whatever their names, pass through unchanged.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    sized = docs.withColumn("mix_size", F.col(size).cast("long") if size else word_count(F.col(text)))
-    hist = scratch.write(sized.groupBy(F.col(source).alias("source"), F.col("mix_size").alias("size")).agg(F.count(F.lit(1)).alias("n")))
-    per = hist.select("source", (F.col("size") * F.col("n")).alias("size"), "n")
-    goals = targets(hist.select("source", "size", "n").withColumn("size", F.col("size") * F.col("n")), weights, share, cap)
-    goals = goals.drop("n_docs").alias("g").join(per.groupBy("source").agg(F.sum("n").alias("n_docs")).alias("c"), F.col("g.source").eqNullSafe(F.col("c.source"))).select("g.*", "n_docs")
-    solved = multipliers(hist, goals, cap, scratch)
-    rates = solved.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "mean", "multiplier", "full", F.ceil(F.col("n_docs") / GROUP).alias("mix_groups"))
-    joined = sized.join(rates, F.col(source).eqNullSafe(F.col("mix_source"))).withColumn("size", F.col("mix_size")) if "size" not in docs.columns else None
-    if joined is None:
-        joined = sized.withColumnRenamed("size", "mix_kept_size").join(rates, F.col(source).eqNullSafe(F.col("mix_source"))).withColumn("size", F.col("mix_size"))
-    joined = joined.withColumn("mix_units", _rate(cap)).withColumn("mix_hash", F.xxhash64(F.col(key)))
-    joined = joined.withColumn("mix_group", F.pmod(F.shiftright("mix_hash", 3), F.col("mix_groups")))
-    run = Window.partitionBy("mix_source", "mix_group").orderBy(F.col("mix_size").desc(), "mix_hash", key).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("mix_units").over(run) + UNIT // 2
-    joined = joined.withColumn("mix_run", total)
-    unit = F.lit(UNIT)
-    copies = F.floor(F.col("mix_run") / unit) - F.floor((F.col("mix_run") - F.col("mix_units")) / unit)
-    out = joined.withColumn("mix_copies", copies.cast("int")).withColumn("mix_rate", F.col("mix_units") / unit)
-    out = out.drop("size", "mix_source", "mean", "multiplier", "full", "mix_groups", "mix_units", "mix_hash", "mix_group", "mix_run")
-    if "mix_kept_size" in out.columns:
-        out = out.withColumnRenamed("mix_kept_size", "size")
-    return out
-
-
-def repeat(docs: DataFrame, **options) -> DataFrame:
-    """docs in as many copies as the mix takes; options as for `mix`."""
-    mixed = mix(docs, **options).filter("mix_copies > 0")
-    return mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(docs.columns)
+    own = {"mix_size": F.col("size"), "mix_source_size": F.col("source_size"), "mix_target": F.col("target"), "mix_rate": F.col("units") / F.lit(UNIT), "mix_copies": F.col("copies")}
+    out = _mixed(docs, source, key, size, text, weights, share, cap)
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in own], *[x.alias(c) for c, x in own.items()])
+
+
+def repeat(docs: DataFrame, *, source: str = "source", key: str = "doc_id", size: str | None = None, text: str = "text", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """docs in as many copies as the mix takes, with all their columns unchanged; parameters as for `mix`."""
+    mixed = _mixed(docs, source, key, size, text, weights, share, cap).filter("copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
