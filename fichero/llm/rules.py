@@ -130,6 +130,7 @@ def estimate(patterns: dict[str, int], rounds: int = 200, prior_share: float = 0
     for y, bad in ((0, found), (1, false)):
         belief[y] = np.stack([(1 - silent) * bad, silent, (1 - silent) * (1 - bad)], 1)
     table_, good = belief.copy(), 0.7
+    least = 1 / (total + 2)  # either kind is possible, however rare
     strength = max(1.0, prior_share * total)
     for _ in range(rounds):
         logs = np.einsum("prv,yrv->py", hot, np.log(np.clip(table_, 1e-9, 1)))
@@ -144,7 +145,7 @@ def estimate(patterns: dict[str, int], rounds: int = 200, prior_share: float = 0
             new[:, against, v] = mean[against]
         new /= new.sum(2, keepdims=True)
         moved, table_ = np.abs(new - table_).max(), new
-        good = float(np.clip((counts * post).sum() / total, 0.5, 0.995))
+        good = float(np.clip((counts * post).sum() / total, least, 1 - least))
         if moved < 1e-9:
             break
     return dict(zip(names, map(float, post)))
