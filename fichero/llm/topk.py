@@ -28,8 +28,8 @@ from .common import Scratch, table
 
 SCALE = 256
 SHARD = 4096
-#: Queries of a block: with `dims` components of 8 bytes each, the only thing sent to all executors.
-BLOCK = 4096
+#: Queries of a block, and blocks whose best rows a task keeps while it goes over shards.
+BLOCK, HELD = 1024, 64
 #: A query leaves score-at-a-time processing in a shard once at most this many of its rows remain possible.
 FEW = 32
 _EXACT = 2**53
@@ -175,56 +175,76 @@ def _dense(row, n: int, dims: int, segments) -> np.ndarray:
 def search(built: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of the index for each query but the query's own id.
 
-    Queries go to the executors in blocks of at most `block`; each block passes over the whole index.
+    Queries are packed into rows of at most `block`, which meet the rows of the index inside tasks: none passes
+    through the driver, and the plan does not grow with their number.
     """
-    spark = built.sparkSession
     asked = queries.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).groupBy(F.col(key).cast("long").alias("key")).agg(F.min(vector).alias("vector"))
-    found = None
-    for own, weights in _blocks(asked, block):
-        part = built.mapInPandas(_searcher(own, weights, k), "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    # few rows on either side, each a block: Spark sends the smaller side to all tasks if its size allows
+    pairs = _blocks(asked, block).withColumn("block", F.monotonically_increasing_id()).crossJoin(built)
+    found = pairs.mapInPandas(_searcher(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _blocks(asked: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of queries, one partition of them at a time on the driver."""
-    ids, rows = [], []
-    for r in asked.repartition(max(1, -(-asked.count() // block))).toLocalIterator():
-        keep, x = _impacts([r["vector"]])
-        if keep[0]:
-            ids.append(r["key"])
-            rows.append(x[0])
-        if len(ids) == block:
-            yield np.array(ids, np.int64), _padded(rows, max(map(len, rows)))
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids, np.int64), _padded(rows, max(map(len, rows)))
-
-
-def _searcher(own: np.ndarray, weights: np.ndarray, k: int):
-    small = weights.dtype == object or not weights.size or np.abs(weights).max() < 2**31 - 1
-    sent = weights.astype(np.int32) if small and weights.dtype != object else weights
+def _blocks(asked: DataFrame, block: int) -> DataFrame:
+    """own (ids), width, weights (their impacts, padded): blocks of at most `block` queries; as text where 64 bits may not do."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        queries = sent if sent.dtype == object else sent.astype(np.int64)
-        best = _Best(len(own), k)
+        for wide, ids, rows in _gathered(batches, block):
+            if wide:
+                yield pd.DataFrame({"own": [ids], "width": [max(map(len, rows))], "weights": [b""], "text": [[" ".join(map(str, r)) for r in rows]]})
+            else:
+                m = _padded(rows, max(map(len, rows)))
+                yield pd.DataFrame({"own": [ids], "width": [m.shape[1]], "weights": [m.astype("<i8").tobytes()], "text": [[]]})
+
+    return asked.mapInPandas(run, "own array<bigint>, width int, weights binary, text array<string>")
+
+
+def _gathered(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[bool, list[int], list[np.ndarray]]]:
+    """(whether 64 bits may not do, ids, impacts) of runs of at most `most` queries."""
+    held: dict[bool, tuple[list, list]] = {False: ([], []), True: ([], [])}
+    for batch in batches:
+        keep, rows = _impacts(list(batch["vector"]))
+        for i, r in zip(batch["key"].to_numpy()[keep].tolist(), rows):
+            ids, own = held[r.dtype == object]
+            ids.append(i)
+            own.append(r)
+            if len(ids) == most:
+                yield r.dtype == object, ids, own
+                held[r.dtype == object] = ([], [])
+    for wide, (ids, own) in held.items():
+        if ids:
+            yield wide, ids, own
+
+
+def _searcher(k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, tuple] = {}
         for batch in batches:
             for row in batch.itertuples():
+                if row.block not in held:
+                    if len(held) == HELD:
+                        yield _rows(*held.pop(next(iter(held))))
+                    held[row.block] = (np.asarray(row.own, np.int64), _Best(len(row.own), k))
+                own, best = held[row.block]
+                queries = _padded([np.array([int(x) for x in t.split()], dtype=object) for t in row.text], row.width) if len(row.text) else np.frombuffer(row.weights, "<i8").reshape(len(own), row.width)
                 for at in range(0, len(own), 512):  # bounds the scores held at once
                     part = _Best(0, k)
                     part.rows = best.rows[at : at + 512]
                     search_shard(row, own[at : at + 512], queries[at : at + 512], part)
                     best.rows[at : at + 512] = part.rows
-        top = 2**63 - 1
-        out = [(int(own[q]), int(i), int(min(max(s, -top - 1), top))) for q, rows in enumerate(best.rows) for s, i in rows]
-        yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+        for own, best in held.values():
+            yield _rows(own, best)
 
     return run
 
 
+def _rows(own: np.ndarray, best: _Best) -> pd.DataFrame:
+    top = 2**63 - 1
+    out = [(int(own[q]), int(i), int(min(max(s, -top - 1), top))) for q, rows in enumerate(best.rows) for s, i in rows]
+    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+
+
 def op4_topk_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors, by integer inner product, of every vector whose id is divisible by 50."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
