@@ -2,8 +2,8 @@
 
 Messages become elements: plain messages, calls (id, name, arguments, ids they wait for) and results (id,
 content). A hash join on (conversation, id) links results to calls; arguments are validated against the tool's
-schema; elements get a topological order; each is serialised as canonical JSON (RFC 8785 in outline: sorted
-keys, no spaces, whole numbers without fraction).
+schema; elements get a topological order; each is serialised as canonical JSON (RFC 8785: keys in order of their
+UTF-16 code units, no spaces, numbers as ECMAScript writes them; integers beyond 2^53 keep their digits).
 
 Order: a result comes after its call, a call after the results it waits for. An element's `at` is the latest
 turn among itself and all it depends on, its `level` the length of the longest chain before it; sorting a
@@ -48,18 +48,45 @@ TYPES: dict[str, Callable[[Any], bool]] = {
 
 
 def canonical(value: Any) -> str:
-    """Canonical JSON of a value."""
-    return json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
-
-
-def _plain(x: Any) -> Any:
-    if isinstance(x, dict):
-        return {str(k): _plain(v) for k, v in x.items()}
-    if isinstance(x, list):
-        return [_plain(v) for v in x]
-    if isinstance(x, float):
-        return None if not math.isfinite(x) else int(x) if x.is_integer() and abs(x) < 2**53 else x
-    return x
+    """Canonical JSON of a value. Numbers that are not finite, which JSON has not, raise ValueError."""
+    if isinstance(value, dict):
+        keys = sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
+        return "{" + ",".join(f"{_text(k)}:{canonical(value[k])}" for k in keys) + "}"
+    if isinstance(value, (list, tuple)):
+        return "[" + ",".join(map(canonical, value)) + "]"
+    if isinstance(value, float):
+        return _number(value)
+    return _text(value) if isinstance(value, str) else json.dumps(value)
+
+
+def _text(x: str) -> str:
+    return json.dumps(x, ensure_ascii=False)
+
+
+def _number(x: float) -> str:
+    """A number as ECMAScript writes it: the shortest digits that read back, with an exponent below 1e-6 and from 1e21 on."""
+    if not math.isfinite(x):
+        raise ValueError("not a number of JSON")
+    if x == 0:
+        return "0"
+    mantissa, _, exponent = f"{abs(x)!r}".partition("e")
+    whole, _, part = mantissa.partition(".")
+    digits = (whole + part.rstrip("0") if part.strip("0") else whole).lstrip("0")
+    point = len(whole) + int(exponent or 0)  # places before the point
+    if whole == "0":
+        part = part.rstrip("0")
+        point -= 1 + len(part) - len(part.lstrip("0"))
+        digits = part.lstrip("0")
+    stripped = digits.rstrip("0")
+    sign, k = "-" if x < 0 else "", len(stripped)
+    if k <= point <= 21:
+        return sign + stripped + "0" * (point - k)
+    if 0 < point <= 21:
+        return f"{sign}{stripped[:point]}.{stripped[point:]}"
+    if -6 < point <= 0:
+        return f"{sign}0.{'0' * -point}{stripped}"
+    e = point - 1
+    return f"{sign}{stripped[0]}{'.' + stripped[1:] if k > 1 else ''}e{'+' if e > 0 else '-'}{abs(e)}"
 
 
 def invalid(value: Any, schema: dict, path: str = "$") -> str | None:
@@ -94,10 +121,21 @@ def invalid(value: Any, schema: dict, path: str = "$") -> str | None:
     return None
 
 
+def _no_constant(name: str) -> None:
+    raise ValueError(f"{name} is not JSON")
+
+
+def _finite(text: str) -> float:
+    x = float(text)
+    if not math.isfinite(x):
+        raise ValueError("a number beyond all doubles")
+    return x
+
+
 def _object(text: Any) -> dict | None:
     if isinstance(text, str) and text.lstrip()[:1] == "{":
         try:
-            found = json.loads(text)
+            found = json.loads(text, parse_constant=_no_constant, parse_float=_finite)
         except (ValueError, RecursionError):
             return None
         if not isinstance(found, dict):
@@ -199,29 +237,41 @@ def link(messages: DataFrame, tools: dict[str, dict] | None = None, read: Callab
 
 
 def _ordered(sides: DataFrame, scratch: Scratch, most: int | None) -> DataFrame:
-    """sides with call_at and call_level of each call (null in circles), and whether it waits for an unknown id."""
+    """sides with call_at and call_level of each call (null in circles), and whether it waits for an unknown id.
+
+    A round looks only at edges from calls that became ready in the last one, and adds to what their waiting calls
+    have gathered; it ends when no call becomes ready.
+    """
     calls = sides.filter("call is not null")
     waits = calls.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("before"))
     known = calls.select("conv_id", F.col("call_id").alias("before"), F.col("result.turn").alias("answered"))
-    edges = waits.join(known, ["conv_id", "before"], "left_semi").join(known, ["conv_id", "before"])
+    edges = scratch.write(waits.join(known, ["conv_id", "before"]))
     unknown = waits.join(known, ["conv_id", "before"], "left_anti").select("conv_id", "call_id").distinct().withColumn("unknown", F.lit(True))
-    base = calls.select("conv_id", "call_id", F.col("call.turn").alias("call_at"), F.lit(0).alias("call_level"))
-    edges = scratch.write(edges)
-    if edges.isEmpty():
-        state = base
-    else:
-        ready = scratch.write(base.join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti"))
+    base = calls.select("conv_id", "call_id", F.col("call.turn").alias("call_at"))
+    state = base.withColumn("call_level", F.lit(0))
+    if not edges.isEmpty():
+        key = ["conv_id", "call_id"]
+        need = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("need"))
+        # what a call still waits for, and the latest turn and level that it has gathered
+        waiting = scratch.write(base.join(need, key).withColumn("call_level", F.lit(0)))
+        fresh, old = scratch.write(state.join(need, key, "left_anti")), [waiting]
+        state = fresh
         for rounds in count():
-            done = ready.select("conv_id", F.col("call_id").alias("before"), F.col("call_at").alias("before_at"), F.col("call_level").alias("before_level"))
-            fed = edges.join(ready.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").join(done, ["conv_id", "before"], "left")
-            full = fed.groupBy("conv_id", "call_id").agg(F.max(F.greatest("before_at", F.coalesce("answered", "before_at"))).alias("before_at"), F.max("before_level").alias("before_level"), F.count("before_level").alias("n"), F.count(F.lit(1)).alias("need")).filter("n = need")
-            new = scratch.write(full.join(base, ["conv_id", "call_id"]).select("conv_id", "call_id", F.greatest("call_at", "before_at").alias("call_at"), (F.col("before_level") + 2).cast("int").alias("call_level")))
-            if new.isEmpty():
+            done = fresh.select("conv_id", F.col("call_id").alias("before"), F.col("call_at").alias("before_at"), F.col("call_level").alias("before_level"))
+            fed = edges.join(done, ["conv_id", "before"]).groupBy(*key)
+            fed = scratch.write(fed.agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("before_at", F.coalesce("answered", "before_at"))).alias("before_at"), F.max("before_level").alias("before_level")))
+            if fed.isEmpty():
                 break
             if rounds == most:
                 raise RuntimeError(f"calls still become ready after {most} rounds")
-            ready = scratch.write(ready.unionByName(new))
-        state = ready
+            at, level = F.greatest("call_at", F.coalesce("before_at", "call_at")), F.greatest("call_level", F.coalesce(F.col("before_level") + 2, F.lit(0)))
+            moved = scratch.write(waiting.join(fed, key, "left").select(*key, at.alias("call_at"), (F.col("need") - F.coalesce("n", F.lit(0))).alias("need"), level.cast("int").alias("call_level")))
+            for one in old:
+                scratch.drop(one)
+            fresh, old, waiting = scratch.write(moved.filter("need = 0").drop("need")), [moved, fed], moved.filter("need > 0")
+            state = state.unionByName(fresh)
+            if rounds % 16 == 15:  # bounds the plan
+                state = scratch.write(state)
     out = sides.join(state, ["conv_id", "call_id"], "left").join(unknown, ["conv_id", "call_id"], "left")
     return out.select("conv_id", "call_id", "call", "result", "call_at", "call_level", F.coalesce("unknown", F.lit(False)).alias("unknown"), F.col("call.turn").alias("link_call"), F.col("result.turn").alias("link_result"))
 
