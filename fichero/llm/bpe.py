@@ -197,6 +197,9 @@ class Encoder:
         pieces.update(zip(new, map(tuple, encode_pieces(new, self.vocab))))
         for chunk, found in cut:
             self.known[chunk] = pieces[found[0]] if len(found) == 1 else tuple(i for p in found for i in pieces[p])
+        for piece in new:
+            if len(piece) > LONG:
+                del pieces[piece]
 
     def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
         """Ids of each text. Texts are taken together up to some million characters."""
@@ -214,6 +217,9 @@ class Encoder:
             known = self.known
             for chunks in cut:
                 yield list(chain.from_iterable(map(known.__getitem__, chunks)))
+            for chunk in new:
+                if len(chunk) > LONG:
+                    del known[chunk]
             at = end
 
     def digest(self, ids: list[int]) -> str:
@@ -225,6 +231,8 @@ class Encoder:
         return " ".join(map(self.vocab.names.__getitem__, ids))
 
 
+#: Characters beyond which chunks and pieces are not kept for later texts, so that the number of those kept bounds their bytes.
+LONG = 200
 #: The encoder of this process, kept from task to task.
 _OWN: list[Encoder] = []
 
@@ -240,7 +248,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str =
     """Per row of docs its key, `others`, n_tokens and either `ids` (array<int>), digests (ids_sha256, decoded_sha256) or,
     for output "both", ids and decoded_sha256.
 
-    kept: finished chunks, and pieces, that a worker keeps (about 400 bytes each), also after its task.
+    kept: finished chunks, and pieces, that a worker keeps (about 400 bytes each; none of more than LONG characters), also after its task.
     """
     own_columns = [key, *others]
     fields = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(own_columns)]
