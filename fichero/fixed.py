@@ -45,6 +45,33 @@ SECTION_PATTERNS = {
     16: [r"otra.*informaci[oó]n", r"other.*information"],
 }
 
+#: Fixed value: the header of a numbered section.
+SECTION_HEADER = r"\s*(?:SECCI[ÓO]N|SECTION)\s+([0-9]{1,2})\s*:"
+
+#: Labels whose next line names the product and its supplier.
+PRODUCT_LABEL = r"nombre\s+del\s+producto|product\s+name"
+SUPPLIER_LABEL = r"fabricante|distribuidor|manufacturer|supplier"
+#: Patterns of fields of a sheet, and the length of the head that is searched (None: all).
+PRODUCT_CODE = r"c[óo]digo[:\s]+(\S+)"
+ISSUE_DATE = r"(?:fecha\s+de\s+emisi[óo]n|revision\s+date)[:\s]+([0-9./-]+)"
+PRODUCT_USE = r"uso\s+del\s+producto[:\s]+(.*?)(?:\n\n|\n[A-Z]|$)"
+CODE_HEAD, DATE_HEAD, USE_HEAD = 2000, 2000, 3000
+#: Hazard codes; precaution codes and combinations; the end of a code's description.
+HAZARD_CODE = r"H\d{3}\b"
+PRECAUTION_CODE = r"P\d{3}(?:\s*\+\s*P\d{3})*"
+#: A component with its CAS number; its concentration, with and without need of a percent sign.
+COMPONENT = r"(.*?)\s+CAS:\s*([0-9]+-[0-9]+-[0-9]+)"
+CONCENTRATION = r"([0-9,.-]+%\s*-?\s*[0-9,.-]*%?)"
+LOOSE_CONCENTRATION = r"([0-9,.-]+%?\s*-?\s*[0-9,.-]*%?)"
+#: Physical properties.
+PROPERTIES = {
+    "estado_fisico": r"Estado\s+f[íi]sico[:\s]+(.*?)(?:\n|$)",
+    "color": r"Color[:\s]+(.*?)(?:\n|$)",
+    "ph": r"pH[:\s]+([\d.,\s±]+)",
+    "punto_inflamacion": r"Punto\s+de\s+inflamaci[óo]n[:\s]+(.*?)(?:\n|$)",
+    "densidad": r"Densidad(?:\s+aparente)?[:\s]+([\d.,\s±]+\s*g/cm3)",
+}
+
 #: Sections that a complete product has.
 EXPECTED_SECTIONS = ["identificacion_producto", "identificacion_peligros", "composicion_componentes", "primeros_auxilios", "controles_exposicion_proteccion"]
 
@@ -103,14 +130,43 @@ PICTOGRAMS = {"H225": "flame", "H226": "flame", "H304": "health_hazard", "H315":
 
 #: Query types in order of priority, with their key words.
 QUERY_TYPES = {
-    "peligros": "peligro|peligros|riesgo|riesgos|codigo h|codigos h|h315|h319|h317|h225|h226|h304|h336|h412|clasificacion|categoria|pictograma|simbolo|inflamable|toxico|irritante|corrosivo|nocivo|toxicidad".split("|"),
-    "proteccion": "proteccion|precaucion|precauciones|codigo p|codigos p|p280|p210|p233|p260|p264|p270|p273|p303|p305|p333|p337|p370|p378|p403|p405|p501|epp|equipo|guantes|gafas|mascara|respirador|ropa|traje|botas|ventilacion|medidas|seguridad".split("|"),
-    "emergencias": "primeros auxilios|emergencia|emergencias|accidente|contacto piel|contacto ojos|contacto con la piel|contacto con los ojos|inhalacion|ingestion|tragar|respirar|incendio|fuego|llama|combustion|extincion|derrame|vertido|fuga|escape|liberacion|que hacer|tratamiento|sintomas|efectos".split("|"),
-    "componentes": "componente|componentes|composicion|ingrediente|ingredientes|cas|numero cas|sustancia|sustancias|concentracion|porcentaje|xileno|acetato|solvente|resina|pigmento|formula|quimico".split("|"),
-    "manipulacion": "manipulacion|manejo|usar|uso|aplicacion|almacenamiento|almacenar|guardar|conservar|temperatura|temperatura almacenamiento|conservacion|ventilacion|lugar seco|lugar fresco|incompatibilidad|incompatible|reacciones|estabilidad|eliminacion|disposicion|desecho|residuo|caducidad|vida util|vencimiento".split("|"),
-    "propiedades": "propiedad|propiedades|fisico|quimico|densidad|viscosidad|ph|color|olor|aspecto|estado|punto inflamacion|punto ebullicion|punto de inflamacion|solubilidad|soluble|miscible|liquido|solido|pastoso|viscoso|caracteristicas".split("|"),
-    "identificacion": "identificacion|producto|nombre|codigo|codigo producto|fabricante|proveedor|distribuidor|sika|uso|aplicacion|para que sirve|fecha|fecha emision|version".split("|"),
-}
+    "peligros": [
+        "peligro", "peligros", "riesgo", "riesgos", "codigo h", "codigos h", "h315", "h319", "h317", "h225", "h226",
+        "h304", "h336", "h412", "clasificacion", "categoria", "pictograma", "simbolo", "inflamable", "toxico",
+        "irritante", "corrosivo", "nocivo", "toxicidad",
+    ],
+    "proteccion": [
+        "proteccion", "precaucion", "precauciones", "codigo p", "codigos p", "p280", "p210", "p233", "p260", "p264",
+        "p270", "p273", "p303", "p305", "p333", "p337", "p370", "p378", "p403", "p405", "p501", "epp", "equipo",
+        "guantes", "gafas", "mascara", "respirador", "ropa", "traje", "botas", "ventilacion", "medidas", "seguridad",
+    ],
+    "emergencias": [
+        "primeros auxilios", "emergencia", "emergencias", "accidente", "contacto piel", "contacto ojos",
+        "contacto con la piel", "contacto con los ojos", "inhalacion", "ingestion", "tragar", "respirar", "incendio",
+        "fuego", "llama", "combustion", "extincion", "derrame", "vertido", "fuga", "escape", "liberacion", "que hacer",
+        "tratamiento", "sintomas", "efectos",
+    ],
+    "componentes": [
+        "componente", "componentes", "composicion", "ingrediente", "ingredientes", "cas", "numero cas", "sustancia",
+        "sustancias", "concentracion", "porcentaje", "xileno", "acetato", "solvente", "resina", "pigmento", "formula",
+        "quimico",
+    ],
+    "manipulacion": [
+        "manipulacion", "manejo", "usar", "uso", "aplicacion", "almacenamiento", "almacenar", "guardar", "conservar",
+        "temperatura", "temperatura almacenamiento", "conservacion", "ventilacion", "lugar seco", "lugar fresco",
+        "incompatibilidad", "incompatible", "reacciones", "estabilidad", "eliminacion", "disposicion", "desecho",
+        "residuo", "caducidad", "vida util", "vencimiento",
+    ],
+    "propiedades": [
+        "propiedad", "propiedades", "fisico", "quimico", "densidad", "viscosidad", "ph", "color", "olor", "aspecto",
+        "estado", "punto inflamacion", "punto ebullicion", "punto de inflamacion", "solubilidad", "soluble", "miscible",
+        "liquido", "solido", "pastoso", "viscoso", "caracteristicas",
+    ],
+    "identificacion": [
+        "identificacion", "producto", "nombre", "codigo", "codigo producto", "fabricante", "proveedor", "distribuidor",
+        "sika", "uso", "aplicacion", "para que sirve", "fecha", "fecha emision", "version",
+    ],
+}
 
 #: Sections of a query type, by number.
 QUERY_SECTIONS = {"peligros": [2, 11], "proteccion": [2, 8], "emergencias": [4, 5, 6], "componentes": [3], "manipulacion": [7, 13, 10], "propiedades": [9], "identificacion": [1]}

@@ -53,14 +53,12 @@ def chunk_id(document: Column | str, index: Column | str, content: Column | str)
 
 
 def product_code(text: Column | str) -> Column:
-    return blank_to_null(F.regexp_extract(F.substring(_col(text), 1, 2000), r"(?iuU)c[óo]digo[:\s]+(\S+)", 1))
+    return blank_to_null(F.regexp_extract(F.substring(_col(text), 1, fixed.CODE_HEAD), "(?iuU)" + fixed.PRODUCT_CODE, 1))
 
 
 def issue_date(text: Column | str) -> Column:
     """Date after its Spanish or English label, as text."""
-    head = F.substring(_col(text), 1, 2000)
-    found = r"(?iuU)(?:fecha\s+de\s+emisi[óo]n|revision\s+date)[:\s]+([0-9./-]+)"
-    return blank_to_null(F.regexp_extract(head, found, 1))
+    return blank_to_null(F.regexp_extract(F.substring(_col(text), 1, fixed.DATE_HEAD), "(?iuU)" + fixed.ISSUE_DATE, 1))
 
 
 def parsed_date(date: Column | str) -> Column:
@@ -70,16 +68,16 @@ def parsed_date(date: Column | str) -> Column:
 
 def product_use(text: Column | str) -> Column:
     """What follows its label, up to an empty line or a line that begins with a letter."""
-    return blank_to_null(strip(F.regexp_extract(F.substring(_col(text), 1, 3000), r"(?isuU)uso\s+del\s+producto[:\s]+(.*?)(?:\n\n|\n[A-Z]|$)", 1)))
+    return blank_to_null(strip(F.regexp_extract(F.substring(_col(text), 1, fixed.USE_HEAD), "(?isuU)" + fixed.PRODUCT_USE, 1)))
 
 
 def hazard_codes(text: Column | str) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(_col(text), F.lit(r"(?U)H\d{3}\b"), F.lit(0))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(_col(text), F.lit("(?U)" + fixed.HAZARD_CODE), F.lit(0))))
 
 
 def precaution_codes(text: Column | str) -> Column:
     """Single codes and combinations (P301 + P310), distinct, in order."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(_col(text), F.lit(r"(?U)P\d{3}(?:\s*\+\s*P\d{3})*"), F.lit(0))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(_col(text), F.lit("(?U)" + fixed.PRECAUTION_CODE), F.lit(0))))
 
 
 def described(text: Column | str, codes: Column, letter: str, combined: bool = True) -> Column:
@@ -101,22 +99,15 @@ def components(text: Column | str, percent: bool = True) -> Column:
 
     percent: a concentration needs a percent sign; otherwise it may swallow the first digit of the next name.
     """
-    amount = r"([0-9,.-]+%\s*-?\s*[0-9,.-]*%?)" if percent else r"([0-9,.-]+%?\s*-?\s*[0-9,.-]*%?)"
-    pattern = F.lit(rf"(?U)(.*?)\s+CAS:\s*([0-9]+-[0-9]+-[0-9]+)(?:\s+{amount})?")
+    amount = fixed.CONCENTRATION if percent else fixed.LOOSE_CONCENTRATION
+    pattern = F.lit(rf"(?U){fixed.COMPONENT}(?:\s+{amount})?")
     each = F.arrays_zip(*[F.regexp_extract_all(_col(text), pattern, F.lit(i)).alias(n) for i, n in ((1, "a"), (2, "b"), (3, "c"))])
     return F.transform(each, lambda x: F.struct(strip(x["a"]).alias("nombre"), x["b"].alias("cas"), blank_to_null(strip(F.coalesce(x["c"], F.lit("")))).alias("concentracion")))
 
 
 def properties(text: Column | str) -> Column:
     """Physical properties: first mention of each; empty ones are null."""
-    found = {
-        "estado_fisico": r"Estado\s+f[íi]sico[:\s]+(.*?)(?:\n|$)",
-        "color": r"Color[:\s]+(.*?)(?:\n|$)",
-        "ph": r"pH[:\s]+([\d.,\s±]+)",
-        "punto_inflamacion": r"Punto\s+de\s+inflamaci[óo]n[:\s]+(.*?)(?:\n|$)",
-        "densidad": r"Densidad(?:\s+aparente)?[:\s]+([\d.,\s±]+\s*g/cm3)",
-    }
-    return F.struct(*[blank_to_null(strip(F.regexp_extract(_col(text), "(?iuU)" + p, 1))).alias(n) for n, p in found.items()])
+    return F.struct(*[blank_to_null(strip(F.regexp_extract(_col(text), "(?iuU)" + p, 1))).alias(n) for n, p in fixed.PROPERTIES.items()])
 
 
 def next_line(text: Column | str, label: str, lines: int = 50) -> Column:
@@ -127,8 +118,8 @@ def next_line(text: Column | str, label: str, lines: int = 50) -> Column:
     return strip(F.get(hits, F.lit(0))["y"])
 
 
-PRODUCT_LABEL = r"(?iuU)nombre\s+del\s+producto|product\s+name"
-SUPPLIER_LABEL = r"(?iu)fabricante|distribuidor|manufacturer|supplier"
+PRODUCT_LABEL = "(?iuU)" + fixed.PRODUCT_LABEL
+SUPPLIER_LABEL = "(?iu)" + fixed.SUPPLIER_LABEL
 
 
 def mentions(text: Column, words: list[str]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import text as T
 
-HEADER = r"\s*(?:SECCI[ÓO]N|SECTION)\s+([0-9]{1,2})\s*:"
+HEADER = fixed.SECTION_HEADER
 _MARK = "\x01"
 
 
@@ -30,7 +30,8 @@ def numbered(text: Column | str, least: int = 50) -> Column:
     """
     x = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     marked = F.regexp_replace(x, rf"(?iuU)(?:^|\n)(?={HEADER})", _MARK)
-    parts = F.slice(F.split(marked, _MARK), 2, 1_000_000)
+    parts = F.split(marked, _MARK)
+    parts = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
     found = F.transform(parts, lambda p, i: F.struct(i.cast("int").alias("pos"), _name(F.regexp_extract(p, "(?iuU)^" + HEADER, 1)).alias("name"), T.strip(F.regexp_replace(p, "(?iuU)^" + HEADER, "")).alias("text")))
     return _first_of_each(F.filter(found, lambda p: F.length(p["text"]) > least))
 
