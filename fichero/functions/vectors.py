@@ -56,56 +56,99 @@ def embed(text: Column | str, embedder: Embedder | None = None) -> Column:
     return run(F.col(text) if isinstance(text, str) else text)
 
 
-#: Queries sent to the tasks at once.
-BLOCK = 1024
+#: Queries of a block, and bytes of vectors of a shard.
+BLOCK, SHARD_BYTES = 1024, 16 << 20
+#: Blocks whose best rows a task keeps while it goes over shards.
+HELD = 64
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "query_id", query_vector: str = "query_vector", row_id: str = "id", vector: str = "embedding", kind: str = "tipo") -> DataFrame:
-    """query_id, id, tipo, similarity: for each query the k rows of each kind with the greatest cosine.
+def _packed(rows: DataFrame, most: int | None) -> DataFrame:
+    """Rows (id, v, tipo) packed: ids, tipos, dim, vectors (of unit length). A packed row holds vectors of one length, `most` or SHARD_BYTES of them.
 
-    Blocks of at most BLOCK queries are sent to the tasks; each task keeps k rows per query and kind, so only
-    these are shuffled for the final ranks. No pair becomes a row. Ties (to 9 decimals) go to the lesser id.
+    Vectors that are null or empty, or hold a null or non-finite component, take no part.
     """
-    from pyspark.sql import Window
+    kind = rows.schema["id"].dataType.simpleString()
 
-    id_type = rows.schema[row_id].dataType.simpleString()
-    q_type = queries.schema[query_id].dataType.simpleString()
-    schema = f"query_id {q_type}, id {id_type}, tipo string, similarity double"
-    found, block = None, []
-    for r in queries.select(query_id, query_vector).toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == BLOCK:
-            part = _block(block, rows, k, row_id, vector, kind, schema)
-            found, block = part if found is None else found.unionByName(part), []
-    if block or found is None:
-        part = _block(block, rows, k, row_id, vector, kind, schema)
-        found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id", "tipo").orderBy(F.round("similarity", 9).desc(), F.col("id"))
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[tuple]] = {}
+
+        def row(dim: int) -> pd.DataFrame:
+            ids, kinds, vs = zip(*held.pop(dim))
+            return pd.DataFrame({"ids": [list(ids)], "tipos": [list(kinds)], "dim": [dim], "vectors": [_unit(np.stack(vs)).tobytes()]})
 
+        for batch in batches:
+            for i, v, t in zip(batch["id"], batch["v"], batch["tipo"]):
+                x = np.asarray(v if v is not None else [], float)
+                if len(x) and np.isfinite(x).all():
+                    own = held.setdefault(len(x), [])
+                    own.append((i, t, x))
+                    if len(own) >= (most or max(1, SHARD_BYTES // (8 * len(x)))):
+                        yield row(len(x))
+        for dim in list(held):
+            yield row(dim)
+
+    return rows.filter("id is not null and v is not null").mapInPandas(run, f"ids array<{kind}>, tipos array<string>, dim int, vectors binary")
+
+
+class _Best:
+    """The k nearest rows of each kind of a block of queries so far."""
+
+    def __init__(self, ids, dim: int, vectors: bytes):
+        self.ids, self.dim = list(ids), dim
+        self.unit = np.frombuffer(vectors).reshape(len(self.ids), dim)
+        self.rows: pd.DataFrame | None = None
+
+    def offer(self, ids, tipos, vectors: bytes, k: int) -> None:
+        cosines = self.unit @ np.frombuffer(vectors).reshape(len(ids), self.dim).T
+        shown, keys, kinds = np.round(cosines, 9), np.asarray(ids), np.array([t if t is not None else "" for t in tipos], object)
+        null = np.array([t is None for t in tipos])
+        parts = [] if self.rows is None else [self.rows]
+        for name, none in {(t, n) for t, n in zip(kinds.tolist(), null.tolist())}:
+            at = np.flatnonzero((kinds == name) & (null == none))
+            own = shown[:, at]
+            # the k greatest, with all ties of the last
+            q, j = np.nonzero(own >= np.partition(own, len(at) - k, 1)[:, [len(at) - k]]) if len(at) > k else np.nonzero(np.ones(own.shape, bool))
+            parts.append(pd.DataFrame({"q": q, "id": keys[at[j]], "tipo": None if none else name, "shown": -own[q, j], "similarity": cosines[q, at[j]]}))
+        self.rows = pd.concat(parts, ignore_index=True).sort_values(["q", "shown", "id"], kind="stable").groupby(["q", "tipo"], dropna=False).head(k)
+
+    def result(self) -> pd.DataFrame:
+        r = self.rows
+        return pd.DataFrame({"query_id": [self.ids[q] for q in r["q"]], "id": r["id"].to_numpy(), "tipo": r["tipo"].to_numpy(), "similarity": r["similarity"].to_numpy()})
 
-def _block(block: list, rows: DataFrame, k: int, row_id: str, vector: str, kind: str, schema: str) -> DataFrame:
-    ids = [b[0] for b in block]
-    unit = _unit(np.array([b[1] for b in block], float)) if block else np.zeros((0, 0))
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "query_id", query_vector: str = "query_vector", row_id: str = "id", vector: str = "embedding", kind: str = "tipo") -> DataFrame:
+    """query_id, id, tipo, similarity, rank: for each query the k rows of each kind with the greatest cosine.
+
+    Blocks of at most BLOCK queries meet shards of vectors, each packed into one row; Spark sends the smaller side
+    to all tasks if its size allows, and else reads pairs of partitions. A task keeps k rows per query and kind, so
+    only these are shuffled for the final ranks: no pair of vectors becomes a row, and none passes through the driver.
+    Vectors of other length, null ones and those with null or non-finite components take no part. Ties (to 9
+    decimals) go to the lesser id.
+    """
+    from pyspark.sql import Window
+
+    id_type, q_type = (f.schema[c].dataType.simpleString() for f, c in ((rows, row_id), (queries, query_id)))
+    asked = _packed(queries.select(F.col(query_id).alias("id"), F.col(query_vector).alias("v"), F.lit(None).cast("string").alias("tipo")), BLOCK).drop("tipos")
+    held = _packed(rows.select(F.col(row_id).alias("id"), F.col(vector).alias("v"), F.col(kind).cast("string").alias("tipo")), None)
+    pairs = asked.select(F.monotonically_increasing_id().alias("block"), F.col("ids").alias("asked"), F.col("dim").alias("size"), F.col("vectors").alias("weights")).crossJoin(held)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: pd.DataFrame | None = None
+        best: dict[int, _Best] = {}
         for batch in batches:
-            batch = batch[[v is not None and len(v) == unit.shape[1] for v in batch["v"]]]
-            if not len(batch) or not len(ids):
-                continue
-            parts = [] if kept is None else [kept]
-            cosines = unit @ _unit(np.array(list(batch["v"]), float)).T
-            for name, at in batch.groupby("tipo", dropna=False).indices.items():
-                own, keys = cosines[:, at], batch["id"].to_numpy()[at]
-                for q in range(len(ids)):
-                    best = np.lexsort((keys, -np.round(own[q], 9)))[:k]
-                    parts.append(pd.DataFrame({"q": q, "id": keys[best], "tipo": name, "similarity": own[q][best]}))
-            kept = pd.concat(parts).sort_values("id").sort_values("similarity", ascending=False, kind="stable", key=lambda s: s.round(9)).groupby(["q", "tipo"], dropna=False).head(k)
-        if kept is not None:
-            yield pd.DataFrame({"query_id": [ids[q] for q in kept["q"]], "id": kept["id"].to_numpy(), "tipo": kept["tipo"].to_numpy(), "similarity": kept["similarity"].to_numpy()})
-
-    return rows.select(F.col(row_id).alias("id"), F.col(vector).alias("v"), F.col(kind).cast("string").alias("tipo")).mapInPandas(run, schema)
+            for r in batch.itertuples(index=False):
+                if r.size != r.dim:
+                    continue
+                if r.block not in best:
+                    if len(best) == HELD:
+                        yield best.pop(next(iter(best))).result()
+                    best[r.block] = _Best(r.asked, r.dim, r.weights)
+                best[r.block].offer(r.ids, r.tipos, r.vectors, k)
+        for one in best.values():
+            yield one.result()
+
+    found = pairs.mapInPandas(run, f"query_id {q_type}, id {id_type}, tipo string, similarity double")
+    order = Window.partitionBy("query_id", "tipo").orderBy(F.round("similarity", 9).desc(), F.col("id"))
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
