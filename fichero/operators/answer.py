@@ -118,7 +118,23 @@ def answer(requests: DataFrame, chunks: DataFrame, embedder: vectors.Embedder |
     out = asked.select("query_id", "session_id", "turn", "question", "query_type", "product")
     for part in (answers, listed, held, drawn, counted, reference):
         out = out.join(part, "query_id", "left")
-    return out.withColumn("answer", F.coalesce("answer", F.lit(fixed.NO_TEXT_ANSWER))).withColumn("pictogramas", F.coalesce("pictogramas", F.array().cast("array<string>")))
+    return normalised(out.withColumn("answer", F.coalesce("answer", F.lit(fixed.NO_TEXT_ANSWER))))
+
+
+def normalised(responses: DataFrame) -> DataFrame:
+    """Responses as clients may rely on them: no list is null, names read N/A, numbers 0, previews have RESPONSE_CHARS at most."""
+    na, kind = F.lit("N/A"), responses.schema["sources"].dataType.simpleString()
+
+    def source(s: Column) -> Column:
+        return F.struct(F.coalesce(s["producto"], na).alias("producto"), F.coalesce(s["seccion"], na).alias("seccion"), F.coalesce(s["similarity"], F.lit(0.0)).alias("similarity"), F.coalesce(s["tipo"], na).alias("tipo"), F.coalesce(s["chunk_id"], F.lit("")).alias("chunk_id"), F.substring(F.coalesce(s["content_preview"], F.lit("")), 1, fixed.RESPONSE_CHARS).alias("content_preview"))
+
+    numbers = F.array(*[F.lit(x) for x in ("avg_similarity", "top_similarity", "total_chunks")])
+    metric = F.map_from_arrays(numbers, F.transform(numbers, lambda n: F.coalesce(F.try_element_at(F.col("metrics"), n), F.lit(0.0))))
+    out = responses.withColumn("answer", F.coalesce("answer", F.lit("")))
+    out = out.withColumn("sources", F.transform(F.coalesce("sources", F.array().cast(kind)), source)).withColumn("pictogramas", F.coalesce("pictogramas", F.array().cast("array<string>")))
+    r = F.col("fds_reference")
+    reference = F.when(r.isNotNull(), F.struct(*[F.coalesce(r[c], na).alias(c) for c in ("producto", "fabricante", "codigo", "fecha")]))
+    return out.withColumn("metrics", metric).withColumn("fds_reference", reference)
 
 
 def logged(responses: DataFrame, requests: DataFrame, latency_ms: float) -> DataFrame:

@@ -50,7 +50,7 @@ def numbered(chunks: DataFrame, document: str = "doc_key", section: str = "secti
 
 
 def build(documents: DataFrame, tables: DataFrame | None = None, images: DataFrame | None = None, size: int = fixed.CHUNK_TOKENS, overlap: int = fixed.OVERLAP_TOKENS, separator: str = "\n\n", last_section: bool = False) -> DataFrame:
-    """Chunks (schemas.CHUNK without vectors) of extracted documents.
+    """Chunks (schemas.CHUNK without vectors, and doc_key) of extracted documents.
 
     documents: doc_key, metadata. tables: doc_key, table_no, text. images: doc_key, image_no, path, name, description.
     last_section: tables and images carry the document's last section instead of "general".
@@ -81,20 +81,24 @@ def build(documents: DataFrame, tables: DataFrame | None = None, images: DataFra
         component.alias("componentes_cas"), m["indicaciones_peligro_detalle"].alias("codigos_h"), m["frases_precaucion_detalle"].alias("codigos_p"),
         F.lit(None).cast("string").alias("pictograma_tipo"), F.col("path").alias("imagen_path"), F.col("image").alias("imagen_nombre"),
     )
-    return chunks.select("id", "content", F.lit(None).cast("array<float>").alias("embedding"), fields.cast(CHUNK_METADATA).alias("metadata"))
+    return chunks.select("id", "content", F.lit(None).cast("array<float>").alias("embedding"), fields.cast(CHUNK_METADATA).alias("metadata"), "doc_key")
 
 
-def describe_images(chunks: DataFrame, files: DataFrame, description: Column, version: str = "version") -> DataFrame:
-    """Image chunks with the i-th file of their document (both in order), its description and pictogram class.
+def describe_images(chunks: DataFrame, files: DataFrame, description: Column, status: str = "status") -> DataFrame:
+    """Image chunks with the i-th file of their document (both in order), its description and pictogram class; others as they are.
 
-    files: doc_key, path. Chunks without a file stay as they are. `description` may use the columns of both.
+    files: doc_key, path and what `description` uses besides the columns of chunks. status: "updated"; "skipped" for
+    images without a file, "error" for those whose description is null, which both stay as they are; null for others.
     """
     is_image = F.col("metadata.tipo_contenido") == "imagen"
     numbered_chunks = chunks.filter(is_image).withColumn("_i", F.row_number().over(Window.partitionBy("doc_key").orderBy("metadata.chunk_index")))
     numbered_files = files.withColumn("_i", F.row_number().over(Window.partitionBy("doc_key").orderBy("path"))).withColumnRenamed("path", "_path")
     joined = numbered_chunks.join(numbered_files, ["doc_key", "_i"], "left").withColumn("_text", F.when(F.col("_path").isNotNull(), description))
+    done = F.col("_text").isNotNull()
     m = F.col("metadata")
-    m = m.withField("pictograma_tipo", F.when(F.col("_path").isNotNull(), T.pictogram_class("_text")).otherwise(m["pictograma_tipo"]))
-    m = m.withField("imagen_path", F.coalesce("_path", F.col("metadata.imagen_path"))).withField("imagen_nombre", F.coalesce(F.regexp_extract("_path", r"([^/]*)$", 1), F.col("metadata.imagen_nombre")))
-    new = joined.select(*[c for c in chunks.columns if c not in ("content", "metadata")], F.coalesce("_text", "content").alias("content"), m.alias("metadata"), F.col("_path").isNotNull().cast("int").alias(version))
-    return chunks.filter(~is_image).withColumn(version, F.lit(0)).unionByName(new)
+    m = m.withField("pictograma_tipo", F.when(done, T.pictogram_class("_text")).otherwise(m["pictograma_tipo"]))
+    m = m.withField("imagen_path", F.when(done, F.col("_path")).otherwise(F.col("metadata.imagen_path")))
+    m = m.withField("imagen_nombre", F.when(done, F.regexp_extract("_path", r"([^/]*)$", 1)).otherwise(F.col("metadata.imagen_nombre")))
+    told = F.when(done, "updated").when(F.col("_path").isNull(), "skipped").otherwise("error")
+    new = joined.select(*[c for c in chunks.columns if c not in ("content", "metadata")], F.coalesce("_text", "content").alias("content"), m.alias("metadata"), told.alias(status))
+    return chunks.filter(~F.coalesce(is_image, F.lit(False))).withColumn(status, F.lit(None).cast("string")).unionByName(new)

@@ -11,27 +11,56 @@ from . import incremental
 
 
 class Index:
-    """Chunks below a path, in folders by kind. A chunk is known by id and content, so changed content is taken in."""
+    """Chunks below a path, in folders by kind. Of chunks of one id the latest version counts.
+
+    A generation is a folder; the file CURRENT names the one that counts. Ingestion appends to it. What rewrites the
+    index writes a new generation and then replaces that file, so a failure in between leaves the old one in place.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def _generation(self) -> str:
+        return sinks.read_word(self.spark, f"{self.path}/CURRENT") or "0"
+
+    def _folder(self, generation: str | None = None) -> str:
+        return f"{self.path}/generation-{generation or self._generation()}"
+
+    def _rows(self) -> DataFrame:
+        return sinks.read_chunks(self.spark, self._folder(), schemas.INDEXED)
+
+    def _latest(self, rows: DataFrame) -> DataFrame:
+        """rows without superseded ones. Ids and versions alone say which those are."""
+        last = rows.groupBy("id").agg(F.max("version").alias("_last"), F.min("version").alias("_first")).filter("_first < _last")
+        old = rows.select("id", "version").join(last, "id").filter("version < _last").select("id", "version").distinct()
+        return rows.join(old, ["id", "version"], "left_anti")
+
     def chunks(self) -> DataFrame:
-        return sinks.read_chunks(self.spark, self.path)
+        """All chunks (schemas.CHUNK, doc_key, tipo_contenido), each id once."""
+        return self._latest(self._rows()).select(*schemas.CHUNK_COLUMNS, "doc_key", "tipo_contenido")
 
     def ingest(self, chunks: DataFrame, skip_existing: bool = True) -> DataFrame:
-        """Append what is new; returns kind, status (added, skipped), count. Kinds that are not known are left out."""
-        rows = chunks.withColumn("tipo_contenido", F.coalesce("metadata.tipo_contenido", F.lit("texto"))).filter(F.col("tipo_contenido").isin(fixed.KINDS)).withColumn("_hash", F.md5(F.col("content").cast("binary")))
-        held = self.chunks().select("id", F.md5(F.col("content").cast("binary")).alias("_hash"))
-        told = incremental.added_and_skipped(rows, held, ["id", "_hash"], "tipo_contenido") if skip_existing else rows.groupBy("tipo_contenido", F.lit("added").alias("status")).count()
+        """Append what is new or changed; returns kind, status (added, skipped), count. Kinds that are not known are left out.
+
+        A chunk is known by id and content; changed content becomes the next version of its id. Of the index only
+        ids and stored hashes are read.
+        """
+        rows = chunks.withColumn("tipo_contenido", F.coalesce("metadata.tipo_contenido", F.lit("texto"))).filter(F.col("tipo_contenido").isin(fixed.KINDS))
+        rows = rows.withColumn("content_hash", F.md5(F.col("content").cast("binary")))
+        rows = rows if "doc_key" in rows.columns else rows.withColumn("doc_key", F.lit(None).cast("string"))
+        key = ["id", "content_hash"]
+        held = self._latest(self._rows().select(*key, "version"))
+        told = incremental.added_and_skipped(rows, held, key, "tipo_contenido") if skip_existing else rows.groupBy("tipo_contenido", F.lit("added").alias("status")).count()
         told = self.spark.createDataFrame(told.collect(), told.schema)  # kinds by two
-        new = incremental.new_rows(rows, held, ["id", "_hash"]) if skip_existing else rows
-        sinks.write_chunks(new.select(*schemas.CHUNK_COLUMNS), self.path)
+        version = (held.agg(F.max("version")).first()[0] or 0) + 1
+        new = incremental.new_rows(rows, held, key) if skip_existing else rows
+        sinks.write_chunks(new.withColumn("version", F.lit(version).cast("long")).select(*schemas.INDEX_COLUMNS), self._folder())
         return told
 
     def get(self, chunk_id: str) -> DataFrame:
         """id, content, metadata and length of the vector of one chunk; empty if there is none."""
-        return self.chunks().filter(F.col("id") == chunk_id).select("id", "content", "metadata", F.size("embedding").alias("dim"))
+        found = self._latest(self._rows().filter(F.col("id") == chunk_id))
+        return found.select("id", "content", "metadata", F.size("embedding").alias("dim"))
 
     def ids(self) -> DataFrame:
         return self.chunks().select("id")
@@ -48,19 +77,22 @@ class Index:
         return self.chunks().join(F.broadcast(first), "id").select("id", "content", "metadata", F.size("embedding").alias("dim"))  # one row
 
     def where_section(self, section: str, n: int = 5) -> DataFrame:
-        return self.chunks().filter(F.col("metadata.seccion") == section).limit(n)
+        """The first chunks, by id, of a section."""
+        return self.chunks().filter(F.col("metadata.seccion") == section).orderBy("id").limit(n)
 
-    def where_product(self, part: str, n: int = 5) -> DataFrame:
-        return self.chunks().filter(F.col("metadata.producto").contains(part)).limit(n)
+    def where_product(self, part: str, n: int | None = 5) -> DataFrame:
+        """The first chunks, by id, whose product holds a text, case and all (n None: all of them)."""
+        found = self.chunks().filter(F.col("metadata.producto").contains(part))
+        return found if n is None else found.orderBy("id").limit(n)
 
     def forget(self, documents: DataFrame) -> None:
-        """Rewrite the index without the chunks of documents (codigo_producto), into a new folder that then takes its place."""
-        kept = self.chunks().withColumn("codigo_producto", F.col("metadata.codigo_producto"))
-        kept = kept.join(documents.select("codigo_producto").distinct(), "codigo_producto", "left_anti").drop("codigo_producto")
-        fresh = f"{self.path}.new"
-        sinks.write_chunks(kept.select(*schemas.CHUNK_COLUMNS), fresh, "overwrite")
-        jvm = self.spark._jvm
-        old, new = jvm.org.apache.hadoop.fs.Path(self.path), jvm.org.apache.hadoop.fs.Path(fresh)
-        fs = old.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(old, True)
-        fs.rename(new, old)
+        """Leave out the chunks of documents: by doc_key, or by codigo_producto if that is the column."""
+        by = "doc_key" if "doc_key" in documents.columns else "codigo_producto"
+        rows = self._latest(self._rows())
+        gone = documents.select(F.col(by).alias("_gone")).filter("_gone is not null").distinct()
+        kept = rows.join(gone, (F.col("doc_key") if by == "doc_key" else F.col("metadata.codigo_producto")) == F.col("_gone"), "left_anti")
+        old = self._generation()
+        fresh = str(int(old) + 1)
+        sinks.write_chunks(kept.select(*schemas.INDEX_COLUMNS), self._folder(fresh), "overwrite")
+        sinks.write_word(self.spark, f"{self.path}/CURRENT", fresh)
+        sinks.remove(self.spark, self._folder(old))

@@ -14,6 +14,9 @@ CHUNK_METADATA = (
 )
 CHUNK_COLUMNS = ["id", "content", "embedding", "metadata"]
 CHUNK = f"id string, content string, embedding array<float>, metadata {CHUNK_METADATA}"
+#: What the index keeps of a chunk besides: its document, the hash of its content, and the version of its id (the latest counts).
+INDEX_COLUMNS = [*CHUNK_COLUMNS, "doc_key", "content_hash", "version"]
+INDEXED = f"{CHUNK}, doc_key string, content_hash string, version long"
 CHUNK_FILE = f"total_chunks int, chunks array<struct<id:string,content:string,embedding:array<float>,metadata:{CHUNK_METADATA}>>"
 TABLE_CELL = "doc_key string, table_no int, row_no int, col_no int, col_name string, value string"
 MANIFEST = "name string, hash string, size long"

@@ -15,8 +15,11 @@ def _own_folder() -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir; in a temporary folder only where that is unset. It goes when the driver ends."""
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or _own_folder()}/{name}-{uuid.uuid4().hex}"
+    """A new path in spark.checkpoint.dir; in a temporary folder only where that is unset and all runs on this machine. It goes when the driver ends."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{named or _own_folder()}/{name}-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path

@@ -42,11 +42,52 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The index; empty where none has been written yet."""
+def remove(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
+
+
+def read_word(spark: SparkSession, path: str) -> str | None:
+    """The content of a file of one word; null where it is missing."""
+    if not exists(spark, path):
+        return None
+    return spark.read.text(path, wholetext=True).first()[0].strip()
+
+
+def write_word(spark: SparkSession, path: str, word: str) -> None:
+    """Write a file of one word; it takes the place of the last one in one step."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fresh, target = jvm.org.apache.hadoop.fs.Path(f"{path}.{word}"), jvm.org.apache.hadoop.fs.Path(path)
+    out = fresh.getFileSystem(conf).create(fresh, True)
+    out.write(bytearray(word.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(fresh, target, options)
+
+
+def read_chunks(spark: SparkSession, path: str, schema: str = schemas.CHUNK) -> DataFrame:
+    """Chunks written by kind; empty where none has been written yet."""
     if not exists(spark, f"{path}/_SUCCESS"):
-        return spark.createDataFrame([], schemas.CHUNK).withColumn("tipo_contenido", F.lit(None).cast("string"))
-    return spark.read.schema(f"{schemas.CHUNK}, tipo_contenido string").parquet(path)
+        return spark.createDataFrame([], schema).withColumn("tipo_contenido", F.lit(None).cast("string"))
+    return spark.read.schema(f"{schema}, tipo_contenido string").parquet(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest of the last successful run; empty where there is none."""
+    current = read_word(spark, f"{path}/CURRENT")
+    return spark.createDataFrame([], schemas.MANIFEST) if current is None else spark.read.schema(schemas.MANIFEST).parquet(f"{path}/run-{current}")
+
+
+def write_manifest(rows: DataFrame, path: str) -> None:
+    """The next manifest; the last one stays in force until it is whole."""
+    spark = rows.sparkSession
+    last = read_word(spark, f"{path}/CURRENT")
+    fresh = str(int(last or 0) + 1)
+    rows.write.mode("overwrite").parquet(f"{path}/run-{fresh}")
+    write_word(spark, f"{path}/CURRENT", fresh)
+    if last is not None:
+        remove(spark, f"{path}/run-{last}")
 
 
 def flattened(chunks: DataFrame) -> DataFrame:
