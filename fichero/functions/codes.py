@@ -53,4 +53,4 @@ def parse_components(text: Column | str) -> Column:
 def flattened(items: Column | str) -> Column:
     """An array of structs as one text (JSON objects, comma between them), empty for null."""
     x = F.col(items) if isinstance(items, str) else items
-    return F.coalesce(F.array_join(F.transform(x, F.to_json), ","), F.lit(""))
+    return F.coalesce(F.array_join(F.transform(x, lambda c: F.to_json(c)), ","), F.lit(""))

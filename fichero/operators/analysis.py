@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +17,11 @@ def query_type(questions: DataFrame, key: str = "query_id", text: str = "text",
 
     The types are a fixed list, so the exact pass is a projection and joins nothing.
     """
-    low, exact = F.lower(F.coalesce(F.col(text), F.lit(""))), None
+    low, exact = F.col("_low"), None
     for name, words in fixed.QUERY_TYPES.items():
-        hit = low.rlike("|".join(words))
+        hit = reduce(lambda a, b: a | b, map(low.contains, words))
         exact = F.when(hit, name) if exact is None else exact.when(hit, name)
-    found = questions.withColumn("query_type", exact)
+    found = questions.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit("")))).withColumn("query_type", exact).drop("_low")
     if not fuzzy:
         return found.select(key, "query_type")
     near = _nearest(found.filter("query_type is null"), key, text, [(t, k, t) for t, ks in fixed.QUERY_TYPES.items() for k in ks], fixed.TYPE_WORD, fixed.TYPE_RATIO)

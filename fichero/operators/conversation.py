@@ -24,9 +24,13 @@ def understood(requests: DataFrame, fuzzy: bool = True) -> DataFrame:
 
     A question is enriched with the product of earlier turns; the product that filters is the one detected, else
     that of the context. Enriching adds a name that is itself a term of the same product, so products are first
-    detected in the words as given and carried forward, then found again in the enriched question.
+    detected in the words as given and carried forward, then found again in the enriched question. Requests are known
+    by their ids: rows without one are left out, of rows that repeat one the least (by session, turn and text) counts.
     """
-    given = requests.withColumn("text", F.coalesce("text", F.lit("")))
+    rest = [c for c in requests.columns if c != "query_id"]
+    first = sorted(rest, key=lambda c: {"session_id": 0, "turn": 1, "text": 2}.get(c, 3))
+    once = requests.filter("query_id is not null").groupBy("query_id").agg(F.min(F.struct(*first)).alias("r")).select("query_id", "r.*")
+    given = once.select(requests.columns).withColumn("text", F.coalesce("text", F.lit("")))
     detected = given.join(analysis.product(given, fuzzy=fuzzy).withColumnRenamed("product", "_own"), "query_id")
     told = carried(detected, "_own").withColumn("context", F.when(F.coalesce("use_context", F.lit(True)), F.col("context")))
     told = told.withColumn("question", T.enriched("text", "context"))

@@ -41,8 +41,8 @@ def clean_tables(cells: DataFrame, sparse: float = 0.1, header: float = 0.6) ->
     first = F.first(F.when(F.col("col_no") == 0, F.col("value")), ignorenulls=True).over(_per("row_no"))
     title = F.coalesce(F.col("_first").rlike(r"(?iuU)SECCI[ÓO]N\s*\d+"), F.lit(False)) | F.coalesce(F.col("_first").rlike(r"^[0-9]+$"), F.lit(False))
     cells = cells.withColumn("_first", first).filter(~title).drop("_first")
-    rows = F.size(F.collect_set("row_no").over(_per()))
-    cells = cells.withColumn("_rows", rows).withColumn("_n", F.count("value").over(_per("col_no"))).filter(F.col("_n") >= sparse * F.col("_rows")).drop("_n")
+    cells = cells.withColumn("_rows", F.dense_rank().over(_per().orderBy("row_no"))).withColumn("_rows", F.max("_rows").over(_per()))
+    cells = cells.withColumn("_n", F.count("value").over(_per("col_no"))).filter(F.col("_n") >= sparse * F.col("_rows")).drop("_n")
     cells = _renumber(_renumber(cells, "row_no"), "col_no")
 
     top = F.col("row_no") == 0
