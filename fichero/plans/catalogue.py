@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import dims, fixed
 from ..functions import codes, vectors
 from ..functions import text as T
-from ..operators import analysis, chunking, conversation, incremental, metadata, profile, retrieval, sections, tables
+from ..operators import analysis, answer, chunking, conversation, incremental, metadata, profile, retrieval, sections, tables
 from ..shared import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,15 +219,12 @@ def regex_extract_codes(spark, folder):
     return table(spark, folder, "documents").select("doc_id", found(r"[\w.]+@[\w.]+").alias("mails"), found(r"[0-9]{2,}(?:-[0-9]+)+").alias("numbers"))
 
 
-_SECTIONED = "SELECT conv_id, string_agg('SECCIÓN ' || (turn + 1) || ': ' || text, chr(10) ORDER BY turn) AS text FROM conversations WHERE turn < 8 GROUP BY conv_id"
-
-
 def _sectioned(spark, folder) -> DataFrame:
     parts = table(spark, folder, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
     return parts.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(F.lit("SECCIÓN "), (x["turn"] + 1).cast("string"), F.lit(": "), x["text"])), "\n").alias("text"))
 
 
-@query(r"""SELECT conv_id, CASE turn + 1 """ + " ".join(f"WHEN {n} THEN '{s}'" for n, s in fixed.SECTIONS.items() if n <= 8) + r""" END AS name, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS hash FROM conversations WHERE turn < 8 AND length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 50""")
+@query(r"""SELECT conv_id, CASE turn + 1 """ + " ".join(f"WHEN {n} THEN '{s}'" for n, s in fixed.SECTIONS.items()) + r""" ELSE 'seccion_' || (turn + 1) END AS name, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS hash FROM conversations WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 50""")
 def section_split(spark, folder):
     """Numbered sections of texts, by name."""
     found = _sectioned(spark, folder).select("conv_id", F.inline(sections.numbered("text")))
@@ -246,11 +243,11 @@ def section_keywords(spark, folder):
     return texts.select("conv_id", F.inline(sections.by_keywords("text"))).select("conv_id", "name", F.length("text").alias("n"))
 
 
-@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\*\*([^\n]+?)\*\*', '\1', 'g'), '\*([^\n]+?)\*', '\1', 'g'), '#+\s*', '', 'g'), '(?m)^-\s+', '', 'g'), '(?m)^[0-9]+\.\s+', '', 'g')) AS hash FROM documents WHERE length(text) >= 400")
+@query(r"""WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\*\*([^\n]+?)\*\*', '\1', 'g'), '\*([^\n]+?)\*', '\1', 'g'), '#+\s*', '', 'g'), '(?m)^-\s+', '', 'g'), '(?m)^[0-9]+\.\s+', '', 'g') AS t FROM documents)
+SELECT doc_id, CASE WHEN length(regexp_replace(t, '^\s+|\s+$', '', 'g')) < 50 THEN md5('Error: La base de datos no tiene información suficiente.') ELSE md5(t) END AS hash FROM m""")
 def markdown_strip(spark, folder):
-    """Answers without Markdown."""
-    docs = table(spark, folder, "documents").filter("length(text) >= 400")
-    return docs.select("doc_id", F.md5(T.plain_answer("text").cast("binary")).alias("hash"))
+    """Answers without Markdown; too short ones as the error text."""
+    return table(spark, folder, "documents").select("doc_id", F.md5(T.plain_answer("text").cast("binary")).alias("hash"))
 
 
 @query("SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS hash FROM pages")
@@ -265,10 +262,12 @@ def url_decoded(spark, folder):
     return table(spark, folder, "pages").select("page_id", F.url_decode(F.replace("url", F.lit("+"), F.lit("%2B"))).alias("url"))
 
 
-@query("SELECT doc_id, source AS producto, round(n_chars / 7.0, 3) AS similarity, concat(substr(text, 1, 200), '...') AS content_preview FROM documents")
+@query("SELECT doc_id, coalesce(source, 'N/A') AS producto, coalesce(lang, 'N/A') AS seccion, 'c' || doc_id AS chunk_id, round_even(n_chars / 7.0, 3) AS similarity, concat(substr(text, 1, 200), '...') AS content_preview FROM documents")
 def source_format_preview(spark, folder):
     """What a response tells of its sources."""
-    return table(spark, folder, "documents").select("doc_id", F.col("source").alias("producto"), F.round(F.col("n_chars") / 7.0, 3).alias("similarity"), T.preview("text").alias("content_preview"))
+    docs = table(spark, folder, "documents")
+    hits = docs.select(F.col("doc_id").alias("query_id"), F.lit(1).alias("position"), F.concat(F.lit("c"), "doc_id").alias("id"), F.lit("texto").alias("tipo"), (F.col("n_chars") / 7.0).alias("similarity"), F.col("text").alias("content"), F.struct(F.col("source").alias("producto"), F.col("lang").alias("seccion"), F.lit(None).cast("string").alias("chunk_id")).alias("metadata"))
+    return retrieval.sources(hits).select(F.col("query_id").alias("doc_id"), "producto", "seccion", "chunk_id", "similarity", "content_preview")
 
 
 @query("""SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'llama|fuego|inflamable') THEN 'inflamable' WHEN regexp_matches(lower(text), 'corrosión|tubo|ácido') THEN 'corrosivo' WHEN regexp_matches(lower(text), 'calavera|cráneo|tóxico') THEN 'toxico' WHEN regexp_matches(lower(text), 'signo exclamación|irritante') THEN 'irritante' WHEN regexp_matches(lower(text), 'silueta|cuerpo humano|salud') THEN 'peligro_salud' WHEN regexp_matches(lower(text), 'explosión|bomba') THEN 'explosivo' WHEN regexp_matches(lower(text), 'llama círculo|oxígeno') THEN 'comburente' WHEN regexp_matches(lower(text), 'cilindro|gas|presión') THEN 'gas_presion' WHEN regexp_matches(lower(text), 'árbol|pez|ambiental') THEN 'medio_ambiente' ELSE 'otro' END AS class FROM documents""")
@@ -406,9 +405,9 @@ _PICTO = ", ".join(f"('{k}', '{v}')" for k, v in fixed.PICTOGRAMS.items())
 def pictogram_files(spark, folder):
     """The file of each code's pictogram; codes without one are left out."""
     files = dims.pictograms(spark).select(F.explode(F.array(*[F.concat(F.lit("ghs_"), "pictograma", F.lit(f"_{n}.png")) for n in (0, 1)])).alias("name"))
-    first = dims.pictograms(spark).select("pictograma").distinct().join(files, F.expr("contains(name, pictograma)")).groupBy("pictograma").agg(F.min("name").alias("file"))
-    coded = _coded(spark, folder).select("doc_id", F.col("a").alias("codigo"))
-    return coded.join(F.broadcast(dims.pictograms(spark)), "codigo").join(F.broadcast(first), "pictograma").select("doc_id", "codigo", "file")
+    merged = _coded(spark, folder).select(F.col("doc_id").alias("query_id"), F.col("a").alias("codigo"), F.array(F.struct(F.col("a").alias("codigo"), F.lit("x").alias("descripcion"))).alias("codigos_h"))
+    found = answer.pictograms(merged, files).select("query_id", F.explode("pictogramas").alias("file"))
+    return merged.join(found, "query_id").select(F.col("query_id").alias("doc_id"), "codigo", "file")
 
 
 @query(f"""WITH c AS ({_CODED}), u AS (SELECT source, doc_id, a AS codigo, 'a' || doc_id AS d FROM c UNION ALL SELECT source, doc_id, b, 'b' || doc_id FROM c)
@@ -531,11 +530,10 @@ def image_chunk_zip(spark, folder):
 _EXPECTED = "['src0', 'src3', 'src7', 'none']"
 
 
-@query(f"SELECT lang, array_to_string(list_sort(list_distinct(list(source))), ',') AS sections, array_to_string(list_sort(list_filter({_EXPECTED}, lambda x: NOT list_contains(list(source), x))), ',') AS missing FROM documents WHERE doc_id % 9 = 0 GROUP BY lang")
+@query(f"SELECT lang, array_to_string(list_sort(list_distinct(list(source))), ',') AS sections, array_to_string(list_sort(list_filter({_EXPECTED}, lambda x: NOT list_contains(list(source), x))), ',') AS missing FROM documents GROUP BY lang")
 def coverage_except(spark, folder):
     """Sections that a product has, and expected ones that it lacks."""
-    docs = table(spark, folder, "documents").filter("doc_id % 9 = 0")
-    out = profile.coverage(docs, ["lang"], "source", ["src0", "src3", "src7", "none"])
+    out = profile.coverage(table(spark, folder, "documents"), ["lang"], "source", ["src0", "src3", "src7", "none"])
     return out.select("lang", F.array_join("sections", ",").alias("sections"), F.array_join("missing", ",").alias("missing"))
 
 
@@ -606,7 +604,7 @@ def date_parse(spark, folder):
 
 def _cells(spark, folder) -> DataFrame:
     """Orders as raw tables of one customer each: a title row, a header row, dirty cells."""
-    o = table(spark, folder, "orders").filter("o_custkey % 10 = 1").withColumn("r", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) + 1)
+    o = table(spark, folder, "orders").withColumn("r", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) + 1)
     body = tables.unpivot(o.select("o_custkey", "r", F.concat(F.lit("  k "), "o_orderkey").alias("0"), F.when(F.col("o_orderstatus") == "F", "-").otherwise(F.col("o_orderstatus")).alias("1"), F.concat_ws(" \n ", F.lit("p"), "o_orderpriority").alias("2"), F.lit(None).cast("string").alias("3")), "o_custkey", "r", ["0", "1", "2", "3"])
     keys = body.select("doc_key").distinct()
     top = [(0, 0, "SECCIÓN 14: Transporte"), (0, 1, None), (0, 2, None), (0, 3, None), (1, 0, None), (1, 1, "Estado"), (1, 2, "Prioridad"), (1, 3, None)]
@@ -614,7 +612,7 @@ def _cells(spark, folder) -> DataFrame:
     return heads.unionByName(body)
 
 
-_ORDERS = "SELECT o_custkey, o_orderstatus, o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders WHERE o_custkey % 10 = 1"
+_ORDERS = "SELECT o_custkey, o_orderstatus, o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders"
 #: The table's cells once cleaned: the status column stays if a tenth of the rows has one, as the header counts as one.
 _CELLS = f"""SELECT CAST(o_custkey AS VARCHAR) AS doc_key, r - 1 AS row_no, unnest([0, 1, 2]) AS col_no, unnest(['k ' || o_orderkey, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderstatus END, 'p ' || o_orderpriority]) AS value FROM ({_ORDERS})"""
 
@@ -652,8 +650,6 @@ def prompt_fragments(spark, folder):
     """The first five fragments of each source as a prompt has them."""
     first = table(spark, folder, "documents").withColumn("position", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).filter("position <= 5")
     hits = first.select(F.col("source").alias("query_id"), "position", F.lit("texto").alias("tipo"), F.col("text").alias("content"), F.struct(F.col("source").alias("seccion")).alias("metadata"))
-    from ..operators import answer
-
     return answer.fragments(hits).withColumnRenamed("query_id", "source")
 
 
@@ -668,7 +664,7 @@ def find_documents(spark, folder):
 @query()
 def hash_embed_topk(spark, folder):
     """Documents embedded, and the three nearest to each of those whose id is divisible by 100."""
-    docs = table(spark, folder, "documents").filter("n_chars > 0").select(F.col("doc_id").alias("id"), vectors.embed("text", vectors.HashingEmbedder(128)).alias("embedding"), F.lit("texto").alias("tipo"))
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), vectors.embed("text", vectors.HashingEmbedder(128)).alias("embedding"), F.lit("texto").alias("tipo"))
     asked = docs.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return vectors.nearest(asked, docs, 3).select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity"))
 
@@ -698,3 +694,6 @@ def streaming_sync(spark, folder):
     docs.repartition(3, "doc_id").write.parquet(f"{base}/in")
     sync.sync(sync.arrivals(spark, f"{base}/in", docs.schema), f"{base}/out", f"{base}/state", ["doc_id"]).awaitTermination()
     return spark.read.parquet(f"{base}/out").select("doc_id", "source")
+
+
+from . import sheets  # noqa: E402, F401  registers its queries
