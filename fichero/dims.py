@@ -27,7 +27,3 @@ def query_types(spark: SparkSession) -> DataFrame:
     """type_order, type, field, search_level, sections, keyword: one row per key word."""
     rows = [(i, t, fixed.QUERY_FIELD.get(t), fixed.SEARCH_LEVEL, [fixed.SECTIONS[n] for n in fixed.QUERY_SECTIONS[t]], k) for i, (t, words) in enumerate(fixed.QUERY_TYPES.items()) for k in words]
     return spark.createDataFrame(rows, "type_order int, type string, field string, search_level string, sections array<string>, keyword string")
-
-
-def product_terms(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(fixed.PRODUCT_TERMS.items()), "term string, product string")

@@ -189,7 +189,15 @@ def paragraph_running_tokens(spark, folder):
     return _parts(spark, folder).select("doc_id", "pos", F.sum(T.estimate_tokens("body")).over(running).alias("tokens"))
 
 
-@query()
+#: A chunk is a run of paragraphs (s to e); cs[k + 1] are the tokens of the first k paragraphs.
+@query(r"""WITH RECURSIVE b AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM documents),
+c AS (SELECT doc_id, ps, len(ps) AS n, list_prepend(0, list_transform(range(1, len(ps) + 1), lambda k: CAST(list_sum(list_transform(ps[1:k], lambda x: length(x) // 4)) AS BIGINT))) AS cs FROM b WHERE len(ps) > 0),
+r AS (SELECT doc_id, CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS s, CAST(-1 AS BIGINT) AS f FROM c UNION ALL
+  SELECT r.doc_id, r.i + 1, CASE WHEN cs[r.i + 2] - cs[r.s + 1] > 200 AND r.i > r.s THEN list_min(list_filter(range(r.s, r.i + 1), lambda j: cs[r.i + 1] - cs[j + 1] <= 60)) ELSE r.s END, CASE WHEN cs[r.i + 2] - cs[r.s + 1] > 200 AND r.i > r.s THEN r.s ELSE -1 END
+  FROM r JOIN c ON c.doc_id = r.doc_id WHERE r.i < c.n),
+k AS (SELECT doc_id, f AS s, i - 2 AS e FROM r WHERE f >= 0 UNION ALL SELECT r.doc_id, r.s, c.n - 1 FROM r JOIN c ON c.doc_id = r.doc_id AND r.i = c.n),
+t AS (SELECT k.doc_id, CAST(row_number() OVER (PARTITION BY k.doc_id ORDER BY e) - 1 AS INTEGER) AS part, array_to_string(ps[s + 1:e + 1], chr(10)) AS body FROM k JOIN c ON c.doc_id = k.doc_id)
+SELECT doc_id, part, md5(body) AS hash, length(body) // 4 AS tokens FROM t""")
 def chunk_pack_overlap(spark, folder):
     """Paragraphs packed into chunks of 200 tokens with 60 of overlap."""
     packed = table(spark, folder, "documents").select("doc_id", F.posexplode(chunking.pack("text", 200, 60, "\n")).alias("part", "body"))
