@@ -10,7 +10,9 @@ Reads tokenizer files (JSON) of type BPE with an end-of-word suffix, a normalise
 space and lower case, and a byte-level alphabet. The file is read by the driver and sent to the tasks: its
 size is that of the vocabulary, whatever the corpus.
 
-Null texts count as empty: no tokens, decoded to the empty text. Texts of any length are encoded whole.
+Null texts count as empty: no tokens, decoded to the empty text. Texts of any length are encoded whole. Repeated
+rows, and rows without key, are encoded one by one; columns that are not asked for are not read. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, trimmed
 
 #: Fixed values of the public format: Unicode white space (of which \s stands for in its patterns).
 WHITE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -166,6 +168,10 @@ def encode_pieces(pieces: list[str], vocab: Vocabulary) -> list[list[int]]:
     return out
 
 
+#: Characters of texts that are encoded together.
+TOGETHER = 4_000_000
+
+
 class Encoder:
     """Encodes texts; keeps what it has found for chunks (runs without white space)."""
 
@@ -201,12 +207,12 @@ class Encoder:
             if len(piece) > LONG:
                 del pieces[piece]
 
-    def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
-        """Ids of each text. Texts are taken together up to some million characters."""
+    def encode(self, texts: list[str | None], together: int = TOGETHER) -> Iterator[list[int]]:
+        """Ids of each text. Texts are taken together up to `together` characters."""
         at = 0
         while at < len(texts):
             end, size = at, 0
-            while end < len(texts) and (end == at or size < 4_000_000):
+            while end < len(texts) and (end == at or size < together):
                 size += len(texts[end] or "")
                 end += 1
             cut = [self._chunks(t or "") for t in texts[at:end]]
@@ -244,24 +250,26 @@ def encoder_of(vocab: Vocabulary, kept: int) -> Encoder:
     return _OWN[0]
 
 
-def encode(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str = "text", output: str = "ids", others: tuple[str, ...] = (), kept: int = KEPT) -> DataFrame:
+def encode(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str = "text", output: str = "ids", others: tuple[str, ...] = (), kept: int = KEPT, together: int = TOGETHER, hold: bool = True) -> DataFrame:
     """Per row of docs its key, `others`, n_tokens and either `ids` (array<int>), digests (ids_sha256, decoded_sha256) or,
     for output "both", ids and decoded_sha256.
 
-    kept: finished chunks, and pieces, that a worker keeps (about 400 bytes each; none of more than LONG characters), also after its task.
+    kept: finished chunks, and pieces, that a worker keeps (about 400 bytes each; none of more than LONG characters), also after its task if `hold`.
+    together: characters of texts whose new chunks go through the index at once.
     """
     own_columns = [key, *others]
     fields = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(own_columns)]
     names = {"ids": ["ids"], "both": ["ids", "decoded_sha256"]}.get(output, ["ids_sha256", "decoded_sha256"])
     schema = ", ".join([*fields, "n_tokens long", *(f"{c} {'array<int>' if c == 'ids' else 'string'}" for c in names)])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(vocab, kept)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 own = [part.column(i) for i in range(len(own_columns))]
-                found = encoder.encode(part.column(len(own_columns)).to_pylist())
+                found = encoder.encode(part.column(len(own_columns)).to_pylist(), together)
                 made: dict[str, list] = {c: [] for c in names}
                 sizes = []
                 for ids in found:
@@ -271,6 +279,8 @@ def encode(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str =
                 lists = lambda rows: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))  # noqa: B023, E731
                 columns = [lists(rows) if c == "ids" else pa.array(rows, pa.string()) for c, rows in made.items()]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), *columns], [*(f"c{i}" for i in range(len(own_columns))), "n_tokens", *names])
+        if not hold:
+            _OWN.clear()
 
     out = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(own_columns)), F.col(text).alias("text")).mapInArrow(run, schema)
     return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(own_columns)})
@@ -280,6 +290,7 @@ def decode(rows: DataFrame, vocab: Vocabulary, key: str = "doc_id", ids: str = "
     """Per row its key and the decoded text; null ids decode to the empty text."""
     kind = rows.schema[key].dataType.simpleString()
 
+    @trimmed
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(vocab)
         for batch in batches:

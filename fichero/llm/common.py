@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,29 @@ def shared_folder(spark: SparkSession) -> str:
     return named or _own_folder()
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches that gives freed memory back to the machine when its task ends: workers live on."""
+
+    @wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+        if trim is not None:
+            trim(0)
+
+    return whole
+
+
+def small_batches(spark: SparkSession, rows: int = ROWS) -> dict[str, str]:
+    """Let Python workers get batches of few rows and bytes from now on; the settings before. Whole texts are in them."""
+    before = {name: spark.conf.get(name) for name in (_BATCH_ROWS, _BATCH_BYTES)}
+    most = int(before[_BATCH_ROWS])
+    spark.conf.set(_BATCH_ROWS, str(min(rows, most) if most > 0 else rows))
+    spark.conf.set(_BATCH_BYTES, str(BYTES))
+    return before
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage: they outlive lost executors.
 
@@ -61,17 +87,12 @@ class Scratch:
     def write(self, df: DataFrame, codec: str = "zstd", rows: int = ROWS) -> DataFrame:
         """df as a written table. rows: most rows of a batch that Python workers get meanwhile."""
         path = f"{self.root}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
-        # whole texts pass through Python workers: few rows at a time bound their memory
-        conf = self.spark.conf
-        before = {name: conf.get(name) for name in (_BATCH_ROWS, _BATCH_BYTES)}
-        most = int(before[_BATCH_ROWS])
-        conf.set(_BATCH_ROWS, str(min(rows, most) if most > 0 else rows))
-        conf.set(_BATCH_BYTES, str(BYTES))
+        before = small_batches(self.spark, rows)  # bounds the workers' memory
         try:
             df.write.option("compression", codec).parquet(path)
         finally:
             for name, value in before.items():
-                conf.set(name, value)
+                self.spark.conf.set(name, value)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._fichero_path = path

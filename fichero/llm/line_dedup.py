@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import Scratch, table
+from .common import Scratch, table, trimmed
 from .hashing import word_hashes
 
 THRESHOLD = 0.8
@@ -90,31 +90,42 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Level of frequency of every slot of words, over all texts."""
     blocks, size = 1 << (SLOT_BITS - BLOCK_BITS), 1 << BLOCK_BITS
 
+    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(blocks * size, np.uint32)
+        total = np.zeros(blocks * size, np.uint8)
+        over: dict[int, int] = {}  # what has left a full byte of the table
         for batch in batches:
             for _, texts in _pieces(batch.column(0)):
                 slot = (word_hashes(b"\n".join(texts))[0] >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
                 slot.sort()  # words repeat, so few slots of the table are touched
                 first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])[: len(slot)])
-                total[slot[first]] += np.diff(np.append(first, len(slot))).astype(np.uint32)
+                n = np.diff(np.append(first, len(slot))) + total[slot[first]]
+                full = n > 255
+                for s, x in zip(slot[first[full]].tolist(), n[full].tolist()):
+                    over[s] = over.get(s, 0) + x
+                total[slot[first]] = np.where(full, 0, n)
         total = total.reshape(blocks, size)
-        some = np.flatnonzero(total.any(1))
-        often = [np.flatnonzero(total[b] > 254) for b in some]  # others fit a byte
-        columns = [
-            pa.array(some, pa.int32()),
-            pa.array([pa.compress(np.minimum(total[b], 255).astype(np.uint8).tobytes(), codec="zstd", asbytes=True) for b in some], pa.binary()),
-            pa.array([o.astype("<i4").tobytes() for o in often], pa.binary()),
-            pa.array([total[b][o].astype("<i8").tobytes() for b, o in zip(some, often)], pa.binary()),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, ["block", "counts", "often", "often_n"])
-
+        often: dict[int, list[int]] = {}
+        for s in over:
+            often.setdefault(s >> BLOCK_BITS, []).append(s)
+        some = sorted({*np.flatnonzero(total.any(1)).tolist(), *often})
+        for b in some:
+            own = np.array(sorted(often.get(b, [])), np.int64)
+            columns = [
+                pa.array([b], pa.int32()),
+                pa.array([pa.compress(total[b].tobytes(), codec="zstd", asbytes=True)], pa.binary()),
+                pa.array([(own % size).astype("<i4").tobytes()], pa.binary()),
+                pa.array([np.array([over[s] for s in own.tolist()], "<i8").tobytes()], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "counts", "often", "often_n"])
+
+    @trimmed
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts, often, often_n in zip(*(c.to_pylist() for c in batch.columns)):
                 one = np.frombuffer(pa.decompress(counts, size, codec="zstd", asbytes=True), np.uint8).astype(np.int64)
-                one[np.frombuffer(often, "<i4")] = np.frombuffer(often_n, "<i8")
+                one[np.frombuffer(often, "<i4")] += np.frombuffer(often_n, "<i8")
                 sums[block] = sums[block] + one if block in sums else one
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_level(s).tobytes() for s in sums.values()], pa.binary())], ["block", "level"])
 
@@ -205,6 +216,7 @@ def line_sets(docs: DataFrame, level: np.ndarray, key: str = "doc_id", text: str
     """
     hot = _level(np.array([most]))[0]
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -253,6 +265,7 @@ _CLASS = ["doc_id", "at", "n", *BITS, "skip", "n_rare", "n_hot", "prefix"]
 def _packed(classes: DataFrame, buckets: int) -> DataFrame:
     """bucket, blob: the rare postings of classes. A token is its bucket (by its lower half) and its upper half."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
 
@@ -374,6 +387,7 @@ def _scan_packed(packed: DataFrame, threshold: float, partitions: int) -> DataFr
         x = {c: v[several] for c, v in x.items()} | {"list": np.int64(bucket) << 32 | x["token"][several].astype(np.int64)}
         return _partners(x, new[several], threshold)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, blobs = -1, []
         for batch in batches:
@@ -430,6 +444,7 @@ def _cut(rows: DataFrame, blocks: Column) -> DataFrame:
 def _hot_partners(classes: DataFrame, threshold: float, most: int, scratch: Scratch) -> DataFrame | None:
     """Partners (_PARTNER) in lists of tokens that may be long."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _postings(batch, hot=True)
@@ -441,6 +456,7 @@ def _hot_partners(classes: DataFrame, threshold: float, most: int, scratch: Scra
     rows = scratch.write(rows.withColumn("list", F.col("list").bitwiseOR(F.lit(-1 << 63))))
     names, keys = ["list", "part", "block", "doc_id", "at", "n", "i", *BITS], ("list", "part")
 
+    @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _groups(batches, names, keys):
             yield _partners(x, _begins(x, keys), threshold)
@@ -458,6 +474,7 @@ def _texts(docs: DataFrame, places: DataFrame, key: str, text: str) -> DataFrame
     """doc_id, at, d0, d1, line: the lines at places (doc_id, at), and some others. Which to take is told by a table of 2^WANTED_BITS bits."""
     size = 1 << 15
 
+    @trimmed
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -473,6 +490,7 @@ def _texts(docs: DataFrame, places: DataFrame, key: str, text: str) -> DataFrame
     for r in marked.collect():  # 2^WANTED_BITS bits at most
         wanted[r["block"] * size // 8 :][: size // 8] = np.frombuffer(r["bits"], np.uint8)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -517,6 +535,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     side = lambda own, *c: F.max(F.when(F.col("own") if own else ~F.col("own"), F.struct(*c)))
     both = ends.join(texts, ["doc_id", "at"]).groupBy("pair").agg(side(True, "d0", "d1", "line").alias("x"), side(False, "line").alias("y"))
 
+    @trimmed
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             good = [_similar(_words(a), _words(b), threshold) for a, b in zip(batch["line"], batch["to_line"])]
@@ -541,6 +560,7 @@ def _open_postings(rows: DataFrame, open_: DataFrame, threshold: float, most: in
     rows = rows.join(open_.select("doc_id", "at", F.lit(True).alias("open")), ["doc_id", "at"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
     names, keys = [*_POSTING, "part", "block"], ("list", "part")
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _groups(batches, names, keys):
             near, part, probe = _Near(x, threshold, _begins(x, keys)), np.zeros(len(x["list"]), bool), x["open"].astype(bool)
@@ -573,6 +593,7 @@ def _open_matches(rows: DataFrame, open_: DataFrame, texts: DataFrame, threshold
     rows = _cut(rows, F.ceil(2 * F.greatest(F.count(F.lit(1)) / F.lit(most), F.sum(F.length("line")) / F.lit(LIST_BYTES)) - 1))
     names, keys = [*_POSTING, "d0", "d1", "line", "part", "block"], ("list", "part")
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _groups(batches, names, keys):
             near, probe, match = _Near(x, threshold, _begins(x, keys)), x["open"].astype(bool), {}

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .common import Scratch, table
+from .common import Scratch, table, trimmed
 from .components import components
 from .hashing import word_hashes
 
@@ -41,7 +41,7 @@ PERCENT = 75
 #: Least number of equal minima: six standard deviations below what similarity 0.75 gives.
 LEAST_EQUAL = int(HASHES * 0.75 - 6 * (HASHES * 0.75 * 0.25) ** 0.5)
 #: Members that one task compares at once, and shingles of them.
-BUCKET, SHINGLES = 1500, 1_500_000
+BUCKET, SHINGLES = 1500, 800_000
 
 _random = np.random.default_rng(20240607)
 _A = _random.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -81,6 +81,7 @@ def minima(hashes: np.ndarray) -> bytes:
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, digest (of the set) and minima of every row."""
 
+    @trimmed
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 2000):
@@ -99,6 +100,7 @@ def _equal_minima(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).sum(1).astype("int32"))
 
 
+@trimmed
 def _linked(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs (u, v, text_u, text_v) whose full sets are similar enough."""
     last: tuple = (None, frozenset())
@@ -113,6 +115,7 @@ def _linked(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[np.array(good, bool), ["u", "v"]]
 
 
+@trimmed
 def _with_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Texts with the hashes of their sets."""
     for batch in batches:
@@ -199,6 +202,7 @@ def _scan(members: DataFrame) -> DataFrame:
         rep = x["rep"].to_numpy()
         return pd.DataFrame([(rep[i], rep[j]) for i, j in pairs], columns=["u", "v"], dtype="int64")
 
+    @trimmed
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for batch in batches:
