@@ -1,7 +1,8 @@
 """Corpus pipeline: documents of quality, without repeated lines and near duplicates, mixed and encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `docs` is all that the stage before kept. All
-stages but the last return the columns of `documents`. Empty tables, nulls, repeated rows and very long texts
+stages but the last return the columns of `documents`. Stages whose result passes through Python workers set the
+session's Arrow batches to few rows, as whole texts are in them. Empty tables, nulls, repeated rows and very long texts
 pass through as the operators' docstrings say; extra columns pass through all stages but the last.
 """
 
@@ -10,15 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fichero.llm import bpe, classifier, line_dedup, mixing, near_dups
-from fichero.llm.common import Scratch, table
+from fichero.llm.common import Scratch, small_batches, table
 
-
-#: What a worker of the last stage keeps: little, as it stays while other stages run in the same session.
-KEPT = 150_000
+#: What a worker of the last stage keeps, and only in its task: little, as workers serve other stages of the session too.
+KEPT, TOGETHER = 60_000, 1_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents that score below classifier.THRESHOLD go. Labels of held-out rows are not learned from."""
+    small_batches(spark)
     model = classifier.fit(docs, table(spark, sf_dir, "labels"))
     return classifier.keep(docs, model)
 
@@ -40,7 +41,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: doc_id, source, n_tokens, ids and digest of the decoded text (decoded_sha256) of every row."""
-    return bpe.encode(docs, bpe.Vocabulary.read(bpe.default_path()), output="both", others=("source",), kept=KEPT)
+    small_batches(spark)
+    return bpe.encode(docs, bpe.Vocabulary.read(bpe.default_path()), output="both", others=("source",), kept=KEPT, together=TOGETHER, hold=False)
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mixture", mixture), ("tokens", tokens)]
