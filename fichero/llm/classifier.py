@@ -13,7 +13,8 @@ every corpus. Label counts are of all labels.
 
 Null and empty texts have no terms; they get the share of label 1. Labels other than 0 and 1 are not used; of
 several labels of one id the least counts. Without any label of one kind the score is that of the other, and
-1/2 without labels. Repeated rows score alike; an empty table gives an empty result.
+1/2 without labels. Repeated rows score alike; of neighbours equally near at the last place any may vote. Texts of
+any length are read whole; columns other than key and text are not. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, trimmed
 
 SAMPLE = 4096
 RANK = 48
@@ -159,6 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chosen = [known.filter(F.col("label") == y).orderBy(*order).limit(sample // 2) for y in (0, 1)]
     drawn = chosen[0].unionByName(chosen[1])
 
+    @trimmed
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = Terms()
         for batch in batches:
@@ -178,6 +180,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """key and score of every row of docs, from whole texts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @trimmed
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = Terms()
         for batch in batches:
@@ -193,6 +196,7 @@ def keep(docs: DataFrame, model: Model, text: str = "text", threshold: float | N
     shared, least = docs.sparkSession.sparkContext.broadcast(model), THRESHOLD if threshold is None else threshold
     names = docs.columns
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Terms()
         for batch in batches:

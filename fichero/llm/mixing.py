@@ -12,7 +12,8 @@ Rounding into whole copies carries the remainder along documents of like size, i
 GROUP documents dealt by the hash of the id, so that no source needs one task.
 
 Null, empty and word-free texts have size 0: rate 1, nothing taken. A null source is a source of its
-own. Repeated rows are mixed one by one. An empty table gives an empty mix.
+own. Repeated rows, and rows without id, are mixed one by one, in order of a hash of all their columns where
+ids are equal, so reruns agree. Very long texts are counted whole. An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -95,9 +96,10 @@ def _mixed(docs: DataFrame, source: str, key: str, size: str | None, text: str,
     scratch = Scratch(docs.sparkSession)
     # a null id says nothing: the rest of the row deals it out (equal rows are equal wherever they go)
     plain = [c for c, kind in docs.dtypes if "map<" not in kind and kind not in ("variant", "void")]
-    dealt = F.when(F.col(key).isNull(), F.xxhash64(*plain)).otherwise(F.xxhash64(key))
+    rest = F.xxhash64(*plain)
+    dealt = F.when(F.col(key).isNull(), rest).otherwise(F.xxhash64(key))
     counted = F.coalesce(F.col(size).cast("long"), F.lit(0)) if size else word_count(F.col(text))
-    rows = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), F.col(key).alias("key"), dealt.alias("hash"), counted.alias("size"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), F.col(key).alias("key"), dealt.alias("hash"), rest.alias("rest"), counted.alias("size"))
     hist = scratch.write(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     goals = targets(hist.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, cap).drop("n_docs")
     n_docs = hist.groupBy("source").agg(F.sum("n").alias("n_docs"))
@@ -105,7 +107,7 @@ def _mixed(docs: DataFrame, source: str, key: str, size: str | None, text: str,
     solved = multipliers(hist, goals, cap, scratch).withColumn("groups", F.ceil(F.col("n_docs") / GROUP))
     joined = rows.alias("r").join(solved.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", "source_size", "target", "mean", "multiplier", "full", "groups")
     joined = joined.withColumn("units", _rate(cap)).withColumn("part", F.pmod(F.shiftright("hash", 3), F.col("groups")))
-    order = Window.partitionBy("source", "part").orderBy(F.col("size").desc(), "hash", "key").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("source", "part").orderBy(F.col("size").desc(), "hash", "key", "rest").rowsBetween(Window.unboundedPreceding, 0)
     joined = joined.withColumn("run", F.sum("units").over(order) + UNIT // 2)
     copies = F.floor(F.col("run") / F.lit(UNIT)) - F.floor((F.col("run") - F.col("units")) / F.lit(UNIT))
     return joined.select("row", "size", "source_size", "target", "units", copies.cast("int").alias("copies"))

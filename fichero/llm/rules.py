@@ -7,8 +7,9 @@ labels; a document's posterior probability of being good then decides, instead o
 With R rules there are at most 3^R patterns, whatever the corpus (RULES has 9: 19,683). Only that table of
 counts, of proven size, reaches the driver; votes are counted over all documents.
 
-Null and empty texts have no words: they fail the base test. Repeated rows are judged alike. An empty
-table gives an empty result.
+Null and empty texts have no words: they fail the base test. Repeated rows are judged alike. Very long texts
+are counted whole. Columns other than key and text are not read, so their names do not matter. Posteriors equal
+to the threshold keep a document. An empty table gives an empty result.
 """
 
 from __future__ import annotations
