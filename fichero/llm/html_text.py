@@ -49,7 +49,7 @@ MARKED_WORD = frozenset(
 )
 HEADER_WORD = frozenset("header topbar".split())
 NEUTRAL_WORD = frozenset(
-    "area article bar block body bottom box button buttons center col column container content desktop entry fixed form global google group icon icons inner item items js left link links list main mobile module outer page panel post posts primary reader region respond right secondary section site slot small sticky text thread top unit user wrap wrapper x".split()
+    "area article articles author avatar badge bar block body bottom box button buttons card cards center col column container content date desktop entry feed fixed form global google group head header heading icon icons image images img inner item items js label left link links list main message meta mobile module more name news outer page panel photo policy post posts primary reader region reply respond right secondary section site sitewide slot small sticky stories story subtitle tag tags text thread title tools top unit user wrap wrapper x".split()
 )
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
