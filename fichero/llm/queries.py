@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, tool_calls, topk
+from . import exponion, licences, tool_calls, topk
 from .bpe import op6_bpe
 from .classifier import op9_knn_quality
+from .exponion import op11_exponion
 from .html_text import op10_text_density
 from .licences import op7_licence_scan
 from .line_dedup import op5_line_sets
@@ -29,9 +30,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_groups": op8_minhash_groups,
     "op9_knn_quality": op9_knn_quality,
     "op10_text_density": op10_text_density,
+    "op11_exponion": op11_exponion,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_tool_links": tool_calls.ORACLE,
     "op4_topk_impact": topk.ORACLE,
     "op7_licence_scan": licences.oracle(),
+    "op11_exponion": exponion.oracle(),
 }
