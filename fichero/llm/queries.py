@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exponion, licences, tool_calls, topk
+from . import exponion, licences, tool_calls, topk, treaps
 from .bpe import op6_bpe
 from .classifier import op9_knn_quality
 from .exponion import op11_exponion
@@ -18,6 +18,7 @@ from .near_dups import op8_minhash_groups
 from .rules import op3_weak_rules
 from .tool_calls import op2_tool_links
 from .topk import op4_topk_impact
+from .treaps import op12_treap_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
@@ -31,10 +32,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_knn_quality": op9_knn_quality,
     "op10_text_density": op10_text_density,
     "op11_exponion": op11_exponion,
+    "op12_treap_search": op12_treap_search,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_tool_links": tool_calls.ORACLE,
     "op4_topk_impact": topk.ORACLE,
     "op7_licence_scan": licences.oracle(),
     "op11_exponion": exponion.oracle(),
+    "op12_treap_search": treaps.ORACLE,
 }
