@@ -72,6 +72,6 @@ def test_members_are_compared_by_whole_hashes(spark, monkeypatch):
     sets = {f"t{i}": np.array(sorted([*common, own << 50]), np.uint64) for i, own in ((1, 7), (2, 9))}
     monkeypatch.setattr(near_dups, "shingles", sets.get)
     made = next(near_dups._with_hashes(iter([pd.DataFrame({"rep": [1, 2], "text": ["t1", "t2"]})])))
-    rows = [(0, 0, 0, rep, rep, h) for rep, h in zip(made["rep"].tolist(), made["hashes"])]
-    members = spark.createDataFrame(rows, "band long, part int, block int, rep long, component long, hashes binary")
-    assert [tuple(r) for r in near_dups._scan(members).collect()] == [(1, 2)]
+    rows = [(0, 0, 0, 0, False, rep, rep, h) for rep, h in zip(made["rep"].tolist(), made["hashes"])]
+    members = spark.createDataFrame(rows, "band long, level long, part int, block int, upper boolean, rep long, component long, hashes binary")
+    assert [tuple(r) for r in near_dups.scan(members).collect()] == [(1, 2)]
