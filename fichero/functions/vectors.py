@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from ..shared import settled
+
 
 def cosine(a: Column | str, b: Column | str) -> Column:
     """Cosine of two arrays in double precision, in the JVM; 0 where one has no length. For single pairs, not for search."""
@@ -58,6 +60,8 @@ def embed(text: Column | str, embedder: Embedder | None = None) -> Column:
 
 #: Queries of a block, and bytes of vectors of a shard.
 BLOCK, SHARD_BYTES = 1024, 16 << 20
+#: Bytes of queries up to which they are sent to all tasks.
+SENT_BYTES = 16 << 20
 #: Blocks whose best rows a task keeps while it goes over shards.
 HELD = 64
 
@@ -74,7 +78,7 @@ def _packed(rows: DataFrame, most: int | None) -> DataFrame:
 
         def row(dim: int) -> pd.DataFrame:
             ids, kinds, vs = zip(*held.pop(dim))
-            return pd.DataFrame({"ids": [list(ids)], "tipos": [list(kinds)], "dim": [dim], "vectors": [_unit(np.stack(vs)).tobytes()]})
+            return pd.DataFrame({"ids": [list(ids)], "tipos": [list(kinds)], "dim": [dim], "vectors": [unit(np.stack(vs)).tobytes()]})
 
         for batch in batches:
             for i, v, t in zip(batch["id"], batch["v"], batch["tipo"]):
@@ -119,8 +123,8 @@ class _Best:
 def nearest(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "query_id", query_vector: str = "query_vector", row_id: str = "id", vector: str = "embedding", kind: str = "tipo") -> DataFrame:
     """query_id, id, tipo, similarity, rank: for each query the k rows of each kind with the greatest cosine.
 
-    Blocks of at most BLOCK queries meet shards of vectors, each packed into one row; Spark sends the smaller side
-    to all tasks if its size allows, and else reads pairs of partitions. A task keeps k rows per query and kind, so
+    Blocks of at most BLOCK queries meet shards of vectors, each packed into one row; up to SENT_BYTES of queries
+    are sent to all tasks, beyond that pairs of partitions are read. A task keeps k rows per query and kind, so
     only these are shuffled for the final ranks: no pair of vectors becomes a row, and none passes through the driver.
     Vectors of other length, null ones and those with null or non-finite components take no part. Ties (to 9
     decimals) go to the lesser id.
@@ -128,9 +132,13 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "query_
     from pyspark.sql import Window
 
     id_type, q_type = (f.schema[c].dataType.simpleString() for f, c in ((rows, row_id), (queries, query_id)))
-    asked = _packed(queries.select(F.col(query_id).alias("id"), F.col(query_vector).alias("v"), F.lit(None).cast("string").alias("tipo")), BLOCK).drop("tipos")
+    # written first, as vectors may come from a model
+    asked = settled(_packed(queries.select(F.col(query_id).alias("id"), F.col(query_vector).alias("v"), F.lit(None).cast("string").alias("tipo")), BLOCK).drop("tipos"), "asked")
     held = _packed(rows.select(F.col(row_id).alias("id"), F.col(vector).alias("v"), F.col(kind).cast("string").alias("tipo")), None)
-    pairs = asked.select(F.monotonically_increasing_id().alias("block"), F.col("ids").alias("asked"), F.col("dim").alias("size"), F.col("vectors").alias("weights")).crossJoin(held)
+    bytes_asked = asked.agg(F.sum(F.length("vectors"))).first()[0] or 0
+    asked = asked.select(F.monotonically_increasing_id().alias("block"), F.col("ids").alias("asked"), F.col("dim").alias("size"), F.col("vectors").alias("weights"))
+    # beyond that, pairs of partitions are read, each side many times: so the vectors are packed and written once
+    pairs = held.crossJoin(F.broadcast(asked)) if bytes_asked <= SENT_BYTES else settled(held, "held").crossJoin(asked)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[int, _Best] = {}
@@ -151,5 +159,5 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "query_
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)

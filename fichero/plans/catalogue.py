@@ -15,6 +15,7 @@ from .. import dims, fixed
 from ..functions import codes, vectors
 from ..functions import text as T
 from ..operators import analysis, answer, chunking, conversation, incremental, metadata, profile, retrieval, sections, tables
+from ..operators.vector_index import VectorIndex
 from ..shared import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +101,14 @@ def vector_topk_batch(spark, folder):
     return vectors.nearest(asked, _chunks(spark, folder), 5).select("query_id", "id", "tipo", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@query(ORACLE_SQL["vector_topk_batch"])
+def vector_index_topk(spark, folder):
+    """The same by an inverted file of cells, built, written and searched with proof."""
+    asked = table(spark, folder, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    built = VectorIndex(spark, scratch_path(spark, "vectors")).build(_chunks(spark, folder))
+    return built.search(asked, 5)[0].select("query_id", "id", "tipo", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 @query("SELECT vec_id AS id, label, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings WHERE vec_id = 7")
 def vector_point_lookup(spark, folder):
     """One row by id with the length of its vector."""
