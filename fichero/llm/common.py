@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache, wraps
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +68,28 @@ def small_batches(spark: SparkSession, rows: int = ROWS) -> dict[str, str]:
     return before
 
 
+def marked_slots(slots: DataFrame, bits: int) -> np.ndarray:
+    """A table of 2^bits bits, packed, in which the slots (a column of numbers) are set."""
+    size = 1 << 15
+
+    @trimmed
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slot = batch.column(0).to_numpy(zero_copy_only=False)
+            block = slot // size
+            for b in np.unique(block):
+                own.setdefault(int(b), np.zeros(size, bool))[slot[block == b] % size] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([np.packbits(v).tobytes() for v in own.values()], pa.binary())], ["block", "bits"])
+
+    slot = F.col(slots.columns[0]).cast("long")
+    marked = slots.select(slot.alias("slot")).repartition(F.floor(F.col("slot") / size)).mapInArrow(mark, "block int, bits binary")
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in marked.collect():  # 2^bits bits at most
+        out[r["block"] * size // 8 :][: size // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage: they outlive lost executors.
 

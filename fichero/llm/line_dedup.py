@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import Scratch, table, trimmed
+from .common import Scratch, marked_slots, table, trimmed
 from .hashing import word_hashes
 
 THRESHOLD = 0.8
@@ -472,23 +472,8 @@ def _slots(doc, number, mod=np.mod):
 
 def _texts(docs: DataFrame, places: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id, at, d0, d1, line: the lines at places (doc_id, at), and some others. Which to take is told by a table of 2^WANTED_BITS bits."""
-    size = 1 << 15
-
-    @trimmed
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits: dict[int, np.ndarray] = {}
-        for batch in batches:
-            slot = batch.column(0).to_numpy(zero_copy_only=False)
-            block = slot // size
-            for b in np.unique(block):
-                bits.setdefault(int(b), np.zeros(size, bool))[slot[block == b] % size] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int32()), pa.array([np.packbits(v).tobytes() for v in bits.values()], pa.binary())], ["block", "bits"])
-
     slot = _slots(F.col("doc_id"), F.shiftright("at", DIGEST_BITS), lambda a, b: F.pmod(a, F.lit(b)))
-    marked = places.select(slot.cast("long").alias("slot")).repartition(F.floor(F.col("slot") / size)).mapInArrow(mark, "block int, bits binary")
-    wanted = np.zeros((1 << WANTED_BITS) // 8, np.uint8)
-    for r in marked.collect():  # 2^WANTED_BITS bits at most
-        wanted[r["block"] * size // 8 :][: size // 8] = np.frombuffer(r["bits"], np.uint8)
+    wanted = marked_slots(places.select(slot.alias("slot")), WANTED_BITS)
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

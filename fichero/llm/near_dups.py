@@ -231,6 +231,24 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     return common.astype(np.float64)
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Groups of equal keys, one by one, of batches in order of keys."""
+    rest = None
+    for batch in batches:
+        rest = batch if rest is None or not len(rest) else pd.concat([rest, batch], ignore_index=True)
+        other = np.zeros(max(0, len(rest) - 1), bool)
+        for c in keys:
+            key = rest[c].to_numpy()
+            other |= key[1:] != key[:-1]
+        at = 0
+        for end in (np.nonzero(other)[0] + 1).tolist():
+            yield rest.iloc[at:end]
+            at = end
+        rest = rest.iloc[at:]
+    if rest is not None and len(rest):
+        yield rest
+
+
 def scan(members: DataFrame, percent: int = PERCENT, filtered: Callable[[list[np.ndarray]], np.ndarray] | None = None) -> DataFrame:
     """u, v: links that join components inside (band, level, part). members: band, level, part, block, upper, rep, component, hashes.
 
@@ -250,20 +268,8 @@ def scan(members: DataFrame, percent: int = PERCENT, filtered: Callable[[list[np
 
     @trimmed
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for batch in batches:
-            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            other = np.zeros(len(rest) - 1, bool)
-            for c in keys:
-                key = rest[c].to_numpy()
-                other |= key[1:] != key[:-1]
-            at = 0
-            for end in np.nonzero(other)[0] + 1:
-                yield found(rest.iloc[at:end])
-                at = end
-            rest = rest.iloc[at:]
-        if rest is not None and len(rest):
-            yield found(rest)
+        for x in whole_groups(batches, keys):
+            yield found(x)
 
     keys = ["band", "level", "part"]
     return members.select(*keys, "block", "upper", "rep", "component", "hashes").repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "u long, v long")
