@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -23,3 +24,39 @@ def ratio(word: pd.Series, term: pd.Series) -> pd.Series:
         return matcher.ratio()
 
     return pd.Series([known[p] if p in known else known.setdefault(p, of(*p)) for p in zip(word, term)], dtype="float64")
+
+
+#: Letters of Spanish and English from rare to frequent; others count as rarer. Any order gives right results, this one short lists.
+_LETTERS = "qjkxzwvyfghbpmuldcrntsioae"
+
+
+def characters(word: Column) -> Column:
+    """The characters of a word, each numbered among its like, rare ones first: the common part of two such lists counts what two words share."""
+    letters = F.filter(F.split(word, ""), lambda c: c != "")
+    numbered = F.transform(letters, lambda c, i: F.struct((-F.size(F.filter(F.slice(letters, F.lit(1), i), lambda d: d == c))).alias("nth"), F.position(c, F.lit(_LETTERS)).alias("rank"), c.alias("c")))
+    return F.transform(F.array_sort(numbered), lambda x: F.concat(x["c"], x["nth"].cast("string")))
+
+
+def candidates(left: DataFrame, right: DataFrame, a: str, b: str, cutoff: float) -> DataFrame:
+    """Pairs (a, b) of distinct words whose lengths and characters allow a ratio of `cutoff`.
+
+    A ratio is twice the matched characters by all, and matched ones are common ones. So words that reach it share
+    at least cutoff * n / (2 - cutoff) of their n characters, and hence one among the first n - that + 1 of each in any fixed
+    order: pairs come from an equality join on these, and no word meets all others.
+    """
+
+    def side(df: DataFrame, word: str, prefix: str) -> DataFrame:
+        own = df.select(F.col(word).alias(word)).filter(F.length(word) > 0).distinct().select(word, characters(F.col(word)).alias(prefix))
+        n = F.size(prefix)
+        return own.select(word, prefix, F.explode(F.slice(prefix, F.lit(1), n - F.ceil(cutoff * n / (2 - cutoff) - 1e-9).cast("int") + 1)).alias("_token"))
+
+    x, y = side(left, a, "_x"), side(right, b, "_y")
+    m, n = F.size("_x"), F.size("_y")
+    fits = 2 * F.least(m, n) >= cutoff * (m + n) - 1e-9
+    common = 2 * F.size(F.array_intersect("_x", "_y")) >= cutoff * (m + n) - 1e-9
+    return x.join(y, "_token").filter(fits).filter(common).select(a, b).distinct()
+
+
+def fuzzy_join(left: DataFrame, right: DataFrame, a: str, b: str, cutoff: float) -> DataFrame:
+    """a, b, ratio of all pairs of distinct words, null and empty ones left out, whose ratio is at least `cutoff` (above 0, 1 at most)."""
+    return candidates(left, right, a, b, cutoff).withColumn("ratio", ratio(a, b)).filter(F.col("ratio") >= cutoff)

@@ -2,55 +2,59 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims, fixed
 from ..functions import text as T
-from ..functions.fuzzy import ratio
+from ..functions import patterns
+from ..functions.fuzzy import fuzzy_join
+from ..shared import settled
 
 
-def query_type(questions: DataFrame, key: str = "query_id", text: str = "text", fuzzy: bool = True) -> DataFrame:
-    """key, query_type: the first type, in order, of which the text holds a key word; else the nearest by words.
+_TYPE_WORDS = [(t, w) for t, words in fixed.QUERY_TYPES.items() for w in words]
 
-    The types are a fixed list, so the exact pass is a projection and joins nothing.
-    """
-    low, exact = F.col("_low"), None
-    for name, words in fixed.QUERY_TYPES.items():
-        hit = reduce(lambda a, b: a | b, map(low.contains, words))
-        exact = F.when(hit, name) if exact is None else exact.when(hit, name)
-    found = questions.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit("")))).withColumn("query_type", exact).drop("_low")
+
+def query_type(questions: DataFrame, key: str = "query_id", text: str = "text", fuzzy: bool = True) -> DataFrame:
+    """key, query_type: the first type, in order, of which the text holds a key word; else the nearest by words."""
+    words = [w for _, w in _TYPE_WORDS]
+    found = _exact(questions, text, words, [t for t, _ in _TYPE_WORDS], "query_type")  # words are in order of types
     if not fuzzy:
         return found.select(key, "query_type")
-    near = _nearest(found.filter("query_type is null"), key, text, [(t, k, t) for t, ks in fixed.QUERY_TYPES.items() for k in ks], fixed.TYPE_WORD, fixed.TYPE_RATIO)
-    return found.join(near.withColumnRenamed("value", "near"), key, "left").select(key, F.coalesce("query_type", "near").alias("query_type"))
+    return _or_nearest(found, key, text, "query_type", [(t, w, t) for t, w in _TYPE_WORDS], fixed.TYPE_WORD, fixed.TYPE_RATIO)
 
 
 def product(questions: DataFrame, key: str = "query_id", text: str = "text", fuzzy: bool = True) -> DataFrame:
     """key, product: that of the longest term which the text holds; else the nearest by words."""
-    low, exact = F.lower(F.coalesce(F.col(text), F.lit(""))), None
-    for term in sorted(fixed.PRODUCT_TERMS, key=len, reverse=True):
-        hit = low.contains(term)
-        exact = F.when(hit, fixed.PRODUCT_TERMS[term]) if exact is None else exact.when(hit, fixed.PRODUCT_TERMS[term])
-    found = questions.withColumn("product", exact)
+    terms = sorted(fixed.PRODUCT_TERMS, key=len, reverse=True)
+    found = _exact(questions, text, terms, [fixed.PRODUCT_TERMS[t] for t in terms], "product")
     if not fuzzy:
         return found.select(key, "product")
-    near = _nearest(found.filter("product is null"), key, text, [("", t, p) for t, p in fixed.PRODUCT_TERMS.items()], fixed.PRODUCT_WORD, fixed.PRODUCT_RATIO)
-    return found.join(near.withColumnRenamed("value", "near"), key, "left").select(key, F.coalesce("product", "near").alias("product"))
+    return _or_nearest(found, key, text, "product", [("", t, p) for t, p in fixed.PRODUCT_TERMS.items()], fixed.PRODUCT_WORD, fixed.PRODUCT_RATIO)
+
+
+def _exact(questions: DataFrame, text: str, terms: list[str], values: list[str], name: str) -> DataFrame:
+    """questions with the value of the first term, in order, that the text holds: all terms in one pass."""
+    held = patterns.terms_held(F.lower(F.coalesce(F.col(text), F.lit(""))), terms)
+    return questions.withColumn("_held", held).withColumn(name, F.get(F.lit(values), F.get("_held", F.lit(0)))).drop("_held")
+
+
+def _or_nearest(found: DataFrame, key: str, text: str, name: str, terms: list[tuple[str, str, str]], least: int, cutoff: float) -> DataFrame:
+    # written once: the exact matches are read by both sides of the join
+    found = settled(found.select(key, text, name), "exact")
+    near = _nearest(found.filter(F.col(name).isNull()), key, text, terms, least, cutoff)
+    return found.join(near.withColumnRenamed("value", "near"), key, "left").select(key, F.coalesce(name, "near").alias(name))
 
 
 def _nearest(questions: DataFrame, key: str, text: str, terms: list[tuple[str, str, str]], least: int, cutoff: float) -> DataFrame:
     """key, value: groups in order, then words in order; of a word's terms the one of highest ratio, then the greater.
 
-    Only distinct words meet the terms (a fixed list); the rows of questions are joined to the outcome.
+    Only distinct words meet the terms, by a join that compares lengths and characters first.
     """
     words = questions.select(F.col(key).alias("key"), F.posexplode(F.filter(T.words_of(F.lower(F.col(text))), lambda w: F.length(w) >= least)).alias("pos", "word"))
     groups = list(dict.fromkeys(g for g, _, _ in terms))
-    listed = F.array(*[F.struct(F.lit(groups.index(g)).alias("turn"), F.lit(t).alias("term"), F.lit(v).alias("value")) for g, t, v in terms])
-    scored = words.select("word").distinct().select("word", F.explode(listed).alias("t")).select("word", "t.*")
-    scored = scored.withColumn("ratio", ratio("word", "term")).filter(F.col("ratio") >= cutoff)
+    listed = questions.sparkSession.createDataFrame([(groups.index(g), t, v) for g, t, v in terms], "turn int, term string, value string")
+    scored = fuzzy_join(words.select("word").distinct(), listed.select("term").distinct(), "word", "term", cutoff).join(F.broadcast(listed), "term")  # a fixed list
     best = scored.groupBy("word", "turn").agg(F.max(F.struct("ratio", "term", "value")).alias("x")).select("word", "turn", "x.value")
     hits = words.join(best, "word").groupBy("key").agg(F.min(F.struct("turn", "pos", "value")).alias("x"))
     return hits.select(F.col("key").alias(key), "x.value")

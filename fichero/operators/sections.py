@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import text as T
+from ..functions.patterns import Openings
 
 HEADER = fixed.SECTION_HEADER
 _MARK = "\x01"
@@ -36,34 +40,63 @@ def numbered(text: Column | str, least: int = 50) -> Column:
     return _first_of_each(F.filter(found, lambda p: F.length(p["text"]) > least))
 
 
+class _Cutter:
+    """Cuts texts by the openings of fixed.SECTION_PATTERNS."""
+
+    def __init__(self, least: int, gap: int):
+        self.least, self.gap = least, gap
+        own = [(n, p) for n, ps in fixed.SECTION_PATTERNS.items() for p in ps]
+        self.owner = [n for n, _ in own]
+        self.openings = Openings([p for _, p in own])
+
+    def cut(self, text: str | None) -> list[dict]:
+        found = self.openings.hits(text or "")
+        first: dict[int, int] = {}
+        for at, numbers in found:
+            for i in numbers:
+                first.setdefault(i, at)
+        out: dict[int, str] = {}
+        for i, start in sorted(first.items()):  # patterns in order, section by section
+            n = self.owner[i]
+            if n in out:
+                continue
+            end = self._end(text, found, start + self.gap - 1, n)
+            body = text[start:end].strip()
+            if len(body) > self.least:
+                out[n] = body
+        return [{"pos": n - 1, "name": fixed.SECTIONS[n], "text": out[n]} for n in sorted(out)]
+
+    def _end(self, text: str, found: list[tuple[int, list[int]]], low: int, n: int) -> int:
+        """Where the nearest opening of another section than n is, from `low` on."""
+        other = lambda numbers: any(self.owner[i] != n for i in numbers)
+        if low < len(text) and other(self.openings.after(text, low)):
+            return low
+        at = bisect_left(found, low, key=lambda f: f[0])
+        return next((f[0] for f in found[at:] if other(f[1])), len(text))
+
+
 def by_keywords(text: Column | str, least: int = 100, gap: int = 200) -> Column:
     """pos, name, text of sections opened by key words, for texts without numbered ones.
 
     A section begins at the first hit of its first pattern that gives more than `least` characters; it ends at the
-    nearest hit of another section's pattern, `gap` characters on or later.
+    nearest hit of another section's pattern, `gap` characters on or later. All patterns are found in one pass; null
+    texts cost nothing.
     """
-    x = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    opening = lambda p: rf"(?iuU)(?:^|\n)\s*{p}"
-    sections = []
-    for number, own in fixed.SECTION_PATTERNS.items():
-        others = F.array(*[F.lit(opening(p)) for n, ps in fixed.SECTION_PATTERNS.items() if n != number for p in ps])
 
-        def cut(p: Column) -> Column:
-            start = F.regexp_instr(x, p)
-            tail = F.substr(x, start + gap)
-            ends = F.filter(F.transform(others, lambda o: F.regexp_instr(tail, o)), lambda e: e > 0)  # noqa: B023
-            end = F.coalesce(start + gap + F.array_min(ends) - 1, F.length(x) + 1)
-            return F.when(start > 0, T.strip(F.substr(x, start, end - start)))
+    @F.pandas_udf("array<struct<pos:int,name:string,text:string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        cutter = _Cutter(least, gap)
+        return pd.Series([cutter.cut(t) if t else [] for t in texts], dtype=object)
 
-        texts = F.filter(F.transform(F.array(*[F.lit(opening(p)) for p in own]), cut), lambda t: F.length(t) > least)
-        sections.append(F.struct(F.lit(number - 1).alias("pos"), F.lit(fixed.SECTIONS[number]).alias("name"), F.get(texts, F.lit(0)).alias("text")))
-    return F.filter(F.array(*sections), lambda s: s["text"].isNotNull())
+    return run(F.col(text) if isinstance(text, str) else text)
 
 
 def sections(text: Column | str) -> Column:
     """Numbered sections, or those by key words where there is none."""
     own = numbered(text)
-    return F.when(F.size(own) > 0, own).otherwise(by_keywords(text))
+    x = F.col(text) if isinstance(text, str) else text
+    # the Python side sees only texts that need it
+    return F.when(F.size(own) > 0, own).otherwise(by_keywords(F.when(F.size(own) == 0, x)))
 
 
 def extract(documents: DataFrame, key: str = "doc_key", text: str = "text", combined_codes: bool = True, percent: bool = True) -> DataFrame:
