@@ -1,14 +1,19 @@
 """Cleaning of extracted tables in long form: doc_key, table_no, row_no, col_no, col_name, value.
 
-Every step is a window over one table, so tables are cleaned independently and in parallel.
+Tables are cleaned independently and in parallel.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.groups import begins, whole_groups
 
 TABLE = ["doc_key", "table_no"]
 SENTINELS = ["", "-", "nan", "None", "null"]
@@ -27,20 +32,128 @@ def _renumber(cells: DataFrame, column: str) -> DataFrame:
     return cells.withColumn(column, F.dense_rank().over(_per().orderBy(column)) - 1)
 
 
-def clean_tables(cells: DataFrame, sparse: float = 0.1, header: float = 0.6) -> DataFrame:
+#: Cells up to which a table is cleaned by one task.
+LARGE = 1_000_000
+_TITLE = r"(?iuU)SECCI[ÓO]N\s*\d+"
+
+
+def _normalised(value: str = "value") -> Column:
+    clean = T.strip(F.regexp_replace(value, r"(?U)\s+", " "))
+    return F.when(~clean.isin(SENTINELS), clean)
+
+
+def _is_title(value: Column | str) -> Column:
+    """Whether a first cell is a section title or a whole number."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.coalesce(value.rlike(_TITLE), F.lit(False)) | F.coalesce(value.rlike(r"^[0-9]+$"), F.lit(False))
+
+
+def clean_tables(cells: DataFrame, sparse: float = 0.1, header: float = 0.6, large: int = LARGE) -> DataFrame:
     """Cells of cleaned tables, renumbered from 0, with the names of promoted headers.
 
     In order: empty rows and columns go; white space is normalised; sentinels become null; rows whose first cell is a
     section title or a whole number go; columns with less than `sparse` of their cells go; a first row filled to
     `header` that is not all numbers becomes the header; generic first names and repeated names are mended.
+
+    Tables meet in one shuffle and are folded whole, all of a batch together; what looks into values is done before, in
+    the JVM. Tables of more than `large` cells are cleaned by windows instead, which spill.
     """
+    big = cells.groupBy(*TABLE).count().filter(F.col("count") > large).select(*TABLE)
+    if big.isEmpty():
+        return _clean_whole(cells, sparse, header)
+    own = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in TABLE]
+    named = big.select(*[F.col(c).alias(f"_{c}") for c in TABLE])
+    return _clean_whole(cells.join(named, own, "left_anti"), sparse, header).unionByName(_clean_by_windows(cells.join(named, own, "left_semi"), sparse, header))
+
+
+_CELL = [*TABLE, "row_no", "col_no", "col_name", "value"]
+
+
+def _clean_whole(cells: DataFrame, sparse: float, header: float) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in whole_groups(batches, TABLE):
+            yield _folded(x, sparse, header)
+
+    value = _normalised()
+    told = cells.select(*TABLE, "row_no", "col_no", "col_name", value.alias("value"), F.col("value").isNotNull().alias("given"))
+    told = told.withColumns({"title": _is_title("value"), "number": F.coalesce(T.is_number("value"), F.lit(False))})
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
+    schema = ", ".join(f"{c} {'int' if c in ('row_no', 'col_no') else kinds[c]}" for c in _CELL)
+    return told.repartition(*TABLE).sortWithinPartitions(*TABLE, "row_no", "col_no").mapInPandas(run, schema)
+
+
+def _dense(group: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The rank of a number among the different numbers of its group, from 0."""
+    pair = np.unique(np.stack([group, number]), axis=1)
+    order = np.lexsort((number, group))
+    g, n = group[order], number[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (n[1:] != n[:-1])
+    rank = np.empty(len(g), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    first = np.searchsorted(pair[0], np.arange(int(group.max(initial=-1)) + 1))
+    return rank - first[group]
+
+
+def _folded(x: pd.DataFrame, sparse: float, header: float) -> pd.DataFrame:
+    """Whole tables, in order of TABLE, row and column, cleaned."""
+    table = np.cumsum(begins(x, TABLE)) - 1
+    row, column = (x[c].to_numpy().astype(np.int64) for c in ("row_no", "col_no"))
+    given, title, number = (x[c].to_numpy().astype(bool) for c in ("given", "title", "number"))
+    value = x["value"].to_numpy(dtype=object)
+    filled = np.array([v is not None for v in value], bool)
+    at = np.arange(len(x))  # cells that are left
+
+    def many(of: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """For each cell left, how many of its line (rows or columns of its table) are `which`."""
+        line = np.unique(np.stack([table[at], of[at]]), axis=1, return_inverse=True)[1].reshape(-1)
+        return np.bincount(line, which[at], minlength=len(at))[line]
+
+    def kinds(of: np.ndarray) -> np.ndarray:
+        """For each cell left, how many different lines its table has."""
+        pair = np.unique(np.stack([table[at], of[at]]), axis=1)
+        return np.bincount(pair[0], minlength=int(table.max(initial=0)) + 1)[table[at]]
+
+    for line in (row, column):
+        at = at[many(line, given) > 0]
+    first = np.zeros(len(x), bool)
+    first[at] = _dense(table[at], column[at]) == 0
+    at = at[many(row, first & title) == 0]
+    rows = np.zeros(len(x), np.int64)
+    rows[at] = kinds(row)
+    at = at[many(column, filled) >= sparse * rows[at]]
+    row[at], column[at] = _dense(table[at], row[at]), _dense(table[at], column[at])
+
+    t, top = table[at], row[at] == 0
+    tables_ = int(table.max(initial=0)) + 1
+    per = lambda which: np.bincount(t, which, minlength=tables_)[t]
+    share = per(top & filled[at]) / np.maximum(1, per(top))
+    promote = (rows[at] > 1) & (share >= header) & (per(top & filled[at] & ~number[at]) > 0)
+    head = {(a, b): v for a, b, v in zip(t[top].tolist()[::-1], column[at][top].tolist()[::-1], value[at][top][::-1])}
+    names = x["col_name"].to_numpy(dtype=object)[at]
+    for i in np.flatnonzero(promote).tolist():
+        c = int(column[at[i]])
+        own = head.get((int(t[i]), c))
+        names[i] = f"Col_{c}" if own is None else own
+        if c == 0 and names[i] in ("0", "Col_0", ""):
+            names[i] = "Concepto"
+    keep = ~(promote & top)
+    at, t, names = at[keep], t[keep], names[keep]
+    row[at] = _dense(t, row[at])
+    if len(at):
+        named = pd.DataFrame({"t": t, "r": row[at], "c": column[at], "n": names})
+        turn = named.sort_values(["t", "r", "c"], kind="stable").groupby(["t", "r", "n"], sort=False, dropna=False).cumcount().reindex(named.index).to_numpy()
+        names = np.array([n if k == 0 else f"{n}_{k}" if n is not None else str(k) for n, k in zip(names, turn.tolist())], dtype=object)
+    out = x.iloc[at][TABLE].reset_index(drop=True)
+    return out.assign(row_no=row[at].astype(np.int32), col_no=column[at].astype(np.int32), col_name=names, value=value[at])
+
+
+def _clean_by_windows(cells: DataFrame, sparse: float, header: float) -> DataFrame:
     cells = _drop_empty(cells)
-    value = T.strip(F.regexp_replace("value", r"(?U)\s+", " "))
-    cells = cells.withColumn("value", F.when(~value.isin(SENTINELS), value))
+    cells = cells.withColumn("value", _normalised())
     cells = _renumber(_renumber(cells, "row_no"), "col_no")
     first = F.first(F.when(F.col("col_no") == 0, F.col("value")), ignorenulls=True).over(_per("row_no"))
-    title = F.coalesce(F.col("_first").rlike(r"(?iuU)SECCI[ÓO]N\s*\d+"), F.lit(False)) | F.coalesce(F.col("_first").rlike(r"^[0-9]+$"), F.lit(False))
-    cells = cells.withColumn("_first", first).filter(~title).drop("_first")
+    cells = cells.withColumn("_first", first).filter(~_is_title("_first")).drop("_first")
     cells = cells.withColumn("_rows", F.dense_rank().over(_per().orderBy("row_no"))).withColumn("_rows", F.max("_rows").over(_per()))
     cells = cells.withColumn("_n", F.count("value").over(_per("col_no"))).filter(F.col("_n") >= sparse * F.col("_rows")).drop("_n")
     cells = _renumber(_renumber(cells, "row_no"), "col_no")
@@ -57,7 +170,7 @@ def clean_tables(cells: DataFrame, sparse: float = 0.1, header: float = 0.6) ->
     cells = cells.withColumn("col_name", F.when(generic, "Concepto").otherwise(F.col("col_name")))
     turn = F.row_number().over(Window.partitionBy(*TABLE, "row_no", "col_name").orderBy("col_no")) - 1
     cells = cells.withColumn("_turn", turn).withColumn("col_name", F.when(F.col("_turn") > 0, F.concat_ws("_", "col_name", "_turn")).otherwise(F.col("col_name")))
-    return _renumber(cells, "row_no").select(*TABLE, "row_no", "col_no", "col_name", "value")
+    return _renumber(cells, "row_no").select(*_CELL)
 
 
 def valid_tables(cells: DataFrame) -> DataFrame:
