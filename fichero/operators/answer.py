@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
 import pandas as pd
@@ -92,7 +93,7 @@ def pictograms(merged: DataFrame, files: DataFrame) -> DataFrame:
     return wanted.join(F.broadcast(first), "pictograma").groupBy("query_id").agg(F.array_sort(F.collect_set("file")).alias("pictogramas"))
 
 
-def answer(requests: DataFrame, chunks: DataFrame, embedder: vectors.Embedder | None = None, generator: Generator | None = None, files: DataFrame | None = None, n_candidates: int = fixed.CANDIDATES, n_final: int = 15, fold: bool = False, fuzzy: bool = True) -> DataFrame:
+def answer(requests: DataFrame, chunks: DataFrame, embedder: vectors.Embedder | None = None, generator: Generator | None = None, files: DataFrame | None = None, n_candidates: int = fixed.CANDIDATES, n_final: int = 15, fold: bool = False, fuzzy: bool = True, search: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """Responses to any number of requests (schemas.REQUEST).
 
     query_id, answer, sources, structured_metadata, pictogramas, metrics, fds_reference, product, query_type.
@@ -100,7 +101,7 @@ def answer(requests: DataFrame, chunks: DataFrame, embedder: vectors.Embedder |
     spark = requests.sparkSession
     # a few rows a request, read by every part of the response: written once, so that plans stay small
     asked = settled(conversation.understood(requests, fuzzy).withColumn("query_vector", vectors.embed("question", embedder)), "asked")
-    hits = settled(retrieval.retrieve(asked, chunks, n_candidates, n_final, fold), "hits")
+    hits = settled(retrieval.retrieve(asked, chunks, n_candidates, n_final, fold, search), "hits")
     merged = settled(metadata.merged(settled(metadata.structured(hits, asked), "metadata")), "merged")
     info = settled(retrieval.product_info(hits, asked, fold), "info")
     files = files if files is not None else spark.createDataFrame([], "name string")

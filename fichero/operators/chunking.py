@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import text as T
 from ..schemas import CHUNK_METADATA
+from ..shared import settled
 
 
 def pack(text: Column | str, size: int = fixed.CHUNK_TOKENS, overlap: int = fixed.OVERLAP_TOKENS, separator: str = "\n\n") -> Column:
@@ -54,10 +55,15 @@ def build(documents: DataFrame, tables: DataFrame | None = None, images: DataFra
 
     documents: doc_key, metadata. tables: doc_key, table_no, text. images: doc_key, image_no, path, name, description.
     last_section: tables and images carry the document's last section instead of "general".
+
+    The metadata travel with the sections, so documents, whose extraction is dear, are computed once; with tables or
+    images, which join them, they are written first.
     """
     m = F.col("metadata")
-    parts = documents.select("doc_key", "metadata", F.inline(m["secciones"]))
-    parts = parts.select("doc_key", F.lit(0).alias("kind_order"), F.col("pos").alias("section_pos"), F.col("name").alias("section"), F.posexplode(pack("text", size, overlap, separator)).alias("part", "body"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("image"))
+    documents = documents if tables is None and images is None else settled(documents, "documents")
+    slim = m.dropFields("secciones")
+    parts = documents.select("doc_key", slim.alias("metadata"), F.inline(m["secciones"]))
+    parts = parts.select("doc_key", "metadata", F.lit(0).alias("kind_order"), F.col("pos").alias("section_pos"), F.col("name").alias("section"), F.posexplode(pack("text", size, overlap, separator)).alias("part", "body"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("image"))
     last = documents.select("doc_key", F.try_element_at(m["secciones"], F.lit(-1))["name"].alias("last")) if last_section else None
     for kind, frame, number, body, path, image in ((1, tables, "table_no", "text", None, None), (2, images, "image_no", "description", "path", "name")):
         if frame is None:
@@ -66,8 +72,9 @@ def build(documents: DataFrame, tables: DataFrame | None = None, images: DataFra
         own = own.join(last, "doc_key", "left") if last_section else own.withColumn("last", F.lit("general"))
         extra = [(F.col(c) if c else F.lit(None).cast("string")).alias(a) for c, a in ((path, "path"), (image, "image"))]
         # each table or image stands alone: its number is its section
-        parts = parts.unionByName(own.select("doc_key", F.lit(kind).alias("kind_order"), F.col(number).cast("int").alias("section_pos"), F.coalesce("last", F.lit("general")).alias("section"), F.lit(0).alias("part"), F.col(body).alias("body"), *extra))
-    chunks = numbered(parts).join(documents.select("doc_key", "metadata"), "doc_key")
+        own = own.join(documents.select("doc_key", slim.alias("metadata")), "doc_key")
+        parts = parts.unionByName(own.select("doc_key", "metadata", F.lit(kind).alias("kind_order"), F.col(number).cast("int").alias("section_pos"), F.coalesce("last", F.lit("general")).alias("section"), F.lit(0).alias("part"), F.col(body).alias("body"), *extra))
+    chunks = numbered(parts)
     kind = F.element_at(F.array(*[F.lit(k) for k in fixed.KINDS]), F.col("kind_order") + 1)
     content = F.when(F.col("kind_order") == 0, T.with_context("body", m["nombre_producto"], "section")).otherwise(F.col("body"))
     chunks = chunks.withColumn("content", content)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,14 +43,15 @@ def finish(hits: DataFrame, n: int = fixed.FINAL) -> DataFrame:
     return hits.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= n)
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, n_candidates: int = fixed.CANDIDATES, n_final: int = fixed.FINAL, fold: bool = False) -> DataFrame:
+def retrieve(queries: DataFrame, chunks: DataFrame, n_candidates: int = fixed.CANDIDATES, n_final: int = fixed.FINAL, fold: bool = False, search: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """query_id, position, id, tipo, similarity, content, metadata of the hits of each query.
 
-    queries: query_id, query_vector and product (null: no filter). chunks: schemas.CHUNK.
+    queries: query_id, query_vector and product (null: no filter). chunks: schemas.CHUNK. search: finds k chunks of
+    each kind for the queries; by default all vectors are read.
     The hits, at most kinds * n_candidates a query, fetch content and metadata by a join on id.
     """
     slim = chunks.select("id", "embedding", F.coalesce("metadata.tipo_contenido", F.lit("texto")).alias("tipo")).filter(F.col("tipo").isin(fixed.KINDS))
-    found = candidates(queries, slim, n_candidates)
+    found = search(queries.select("query_id", "query_vector"), n_candidates) if search is not None else candidates(queries, slim, n_candidates)
     full = found.join(chunks.select("id", "content", "metadata"), "id").join(queries.select("query_id", "product"), "query_id")
     passed = full.filter(product_matches(F.col("metadata.producto"), F.col("product"), fold))
     return finish(passed, n_final).select("query_id", "position", "id", "tipo", "similarity", "content", "metadata")

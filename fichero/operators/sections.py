@@ -93,8 +93,10 @@ def by_keywords(text: Column | str, least: int = 100, gap: int = 200) -> Column:
 
 def sections(text: Column | str) -> Column:
     """Numbered sections, or those by key words where there is none."""
-    own = numbered(text)
-    x = F.col(text) if isinstance(text, str) else text
+    return _or_by_keywords(numbered(text), F.col(text) if isinstance(text, str) else text)
+
+
+def _or_by_keywords(own: Column, x: Column) -> Column:
     # the Python side sees only texts that need it
     return F.when(F.size(own) > 0, own).otherwise(by_keywords(F.when(F.size(own) == 0, x)))
 
@@ -103,6 +105,7 @@ def extract(documents: DataFrame, key: str = "doc_key", text: str = "text", comb
     """doc_key, contenido_texto, metadata (schemas.DOC_METADATA) of cleaned documents."""
     t = F.col("contenido_texto")
     docs = documents.select(F.col(key).alias("doc_key"), T.clean(F.col(text)).alias("contenido_texto"))
+    docs = docs.withColumn("_numbered", numbered(t))
     h, p = T.hazard_codes(t), T.precaution_codes(t)
     metadata = F.struct(
         T.next_line(t, T.PRODUCT_LABEL).alias("nombre_producto"),
@@ -116,6 +119,6 @@ def extract(documents: DataFrame, key: str = "doc_key", text: str = "text", comb
         T.described(t, p, "P", combined_codes).alias("frases_precaucion_detalle"),
         T.components(t, percent).alias("componentes_quimicos"),
         T.properties(t).alias("propiedades_fisicoquimicas"),
-        sections(t).alias("secciones"),
+        _or_by_keywords(F.col("_numbered"), t).alias("secciones"),
     )
     return docs.select("doc_key", "contenido_texto", metadata.alias("metadata"))

@@ -79,13 +79,15 @@ class Engine:
         """
         changed = settled(self.sync(pattern), "changes")
         named = lambda *kinds: changed.filter(F.col("status").isin(*kinds)).select(T.stem("name").alias("doc_key"))
-        if not named("modified", "deleted").isEmpty():
-            self.index.forget(named("modified", "deleted"))
-        work, told = named("new", "modified"), None
+        work, gone, told, chunks = named("new", "modified"), named("modified", "deleted"), None, None
         if not work.isEmpty():
             gold = self.decode(decoders, work, pattern) if decoders else {}
             docs = self.extract(texts=gold["texts"]) if "texts" in gold else self.extract().join(work, "doc_key", "left_semi")
-            told = self.ingest(self.chunk(settled(docs, "documents"), gold.get("cells"), **options))
+            chunks = self.chunk(settled(docs, "documents"), gold.get("cells"), **options)
+        if not gone.isEmpty():  # old chunks go and new ones come in one step
+            told = self.index.replace(gone, chunks)
+        elif chunks is not None:
+            told = self.ingest(chunks)
         sinks.write_manifest(changed.filter("status <> 'deleted'").select("name", "hash", "size"), self.config.path("manifest"))
         files_told = incremental.counts(changed).select(F.lit("archivo").alias("kind"), "status", "count")
         return files_told if told is None else files_told.unionByName(told.select(F.col("tipo_contenido").alias("kind"), "status", "count"))
@@ -120,7 +122,7 @@ class Engine:
     def chat(self, requests: DataFrame, log: bool = False, **options) -> DataFrame:
         """Responses to requests (schemas.REQUEST)."""
         began = time.time()
-        out = answer.answer(requests, self.index.chunks(), self.embedder, self.generator, **options)
+        out = answer.answer(requests, self.index.chunks(), self.embedder, self.generator, search=self.index.nearest, **options)
         if log:
             out = settled(out, "responses")
             sinks.append_metrics(answer.logged(out, requests, (time.time() - began) * 1000), self.config.path("metrics"))

@@ -34,7 +34,9 @@ _PARTS = f"WITH x AS (SELECT *, {_CODES} FROM part), s AS (SELECT *, {_S2} AS s2
 
 
 def _sheets(spark, folder) -> DataFrame:
-    return table(spark, folder, "part").selectExpr("*", *_CODES.split(", ")).select(F.col("p_partkey").cast("string").alias("doc_key"), F.expr(_TEXT).alias("text"))
+    # one small file makes much work: all cores take part
+    parts = table(spark, folder, "part").repartition(spark.sparkContext.defaultParallelism)
+    return parts.selectExpr("*", *_CODES.split(", ")).select(F.col("p_partkey").cast("string").alias("doc_key"), F.expr(_TEXT).alias("text"))
 
 
 def _documents(spark, folder) -> DataFrame:
