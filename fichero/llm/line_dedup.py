@@ -86,9 +86,9 @@ def _level(total: np.ndarray) -> np.ndarray:
     return np.where(total > 1, np.minimum(255, 1 + 4 * np.log2(np.maximum(total, 1))), 0).astype(np.uint8)
 
 
-def rarity(docs: DataFrame, text: str = "text", hashes: Callable[[list[bytes]], np.ndarray] = lambda texts: word_hashes(b"\n".join(texts))[0]) -> np.ndarray:
-    """Level of frequency of every slot of words (or other hashes of texts), over all texts."""
-    blocks, size = 1 << (SLOT_BITS - BLOCK_BITS), 1 << BLOCK_BITS
+def rarity(docs: DataFrame, text: str = "text", hashes: Callable[[list[bytes]], np.ndarray] = lambda texts: word_hashes(b"\n".join(texts))[0], bits: int = SLOT_BITS) -> np.ndarray:
+    """Level of frequency of every slot (2^bits) of words (or other hashes of texts), over all texts."""
+    blocks, size = 1 << (bits - BLOCK_BITS), 1 << BLOCK_BITS
 
     @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +96,7 @@ def rarity(docs: DataFrame, text: str = "text", hashes: Callable[[list[bytes]],
         over: dict[int, int] = {}  # what has left a full byte of the table
         for batch in batches:
             for _, texts in _pieces(batch.column(0)):
-                slot = (hashes(texts) >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
+                slot = (hashes(texts) >> np.uint64(64 - bits)).astype(np.uint32)
                 slot.sort()  # words repeat, so few slots of the table are touched
                 first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])[: len(slot)])
                 n = np.diff(np.append(first, len(slot))) + total[slot[first]]

@@ -30,6 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType
@@ -40,6 +41,8 @@ from .components import components
 from .near_dups import BUCKET, Candidates, by_id, by_size, in_blocks, led, mixed, named, scan, several, shares, shingles, whole_groups
 
 WORDS, PERCENT, ORDERS = 3, 90, 3
+#: Slots of the table of frequencies, a byte each: there are many more shingles than words.
+SLOT_BITS = 27
 #: Members of a list up to which one task reads it whole.
 LIST = 20_000
 #: Bits of the table that names wanted documents.
@@ -126,14 +129,14 @@ def _agree(percent: int):
     return run
 
 
-def sets(docs: DataFrame, level: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def sets(docs: DataFrame, level: Broadcast, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, digest and prefix (of order 0) of every row. level: frequency of slots of tokens."""
 
     def prefix(s: np.ndarray) -> bytes:
         n = len(s)
         if 100 * n < percent * (n + 1):  # matches none but its equals
             return b""
-        slot = level[(s >> np.uint64(64 - line_dedup.SLOT_BITS)).astype(np.int64)]
+        slot = level.value[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
         return s[np.lexsort((s, slot))[: prefix_length(n, percent)]].astype("<u8").tobytes()
 
     @trimmed
@@ -148,7 +151,7 @@ def sets(docs: DataFrame, level: np.ndarray, words: int = WORDS, percent: int =
 _POSTING = ["band", "rep", "n_shingles"]
 
 
-def _postings(classes: DataFrame, level: np.ndarray) -> DataFrame:
+def _postings(classes: DataFrame, level: Broadcast) -> DataFrame:
     """band (a token), rep, n_shingles and hot (whether the list may be too long for a task) of the prefixes of order 0."""
     most = line_dedup._level(np.array([LIST]))[0]
 
@@ -157,7 +160,7 @@ def _postings(classes: DataFrame, level: np.ndarray) -> DataFrame:
             blobs = batch.column(2).to_pylist()
             count = np.array([len(p) // 8 for p in blobs], np.int64)
             token = np.frombuffer(b"".join(blobs), "<u8")
-            hot = level[(token >> np.uint64(64 - line_dedup.SLOT_BITS)).astype(np.int64)] > most
+            hot = level.value[(token >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] > most
             each = lambda i: pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), count).astype(np.int64))  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), each(0), each(1), pa.array(hot)], [*_POSTING, "hot"])
 
@@ -269,7 +272,7 @@ def _next_order(members: DataFrame, marks: DataFrame, order: int) -> DataFrame:
     return fresh.unionByName(members.select(*names).join(helped, ["band", "level"], "left_anti"))
 
 
-def _grouped(docs: DataFrame, narrow: DataFrame, level: np.ndarray, scratch: Scratch, words: int, percent: int, bucket: int) -> DataFrame:
+def _grouped(docs: DataFrame, narrow: DataFrame, level: Broadcast, scratch: Scratch, words: int, percent: int, bucket: int) -> DataFrame:
     """doc_id, n_shingles, component_id of docs (doc_id, text); rows of one id are alike."""
     some = narrow.filter("doc_id is not null and n_shingles > 0")
     repeated = not some.groupBy("doc_id").count().filter("count > 1").isEmpty()
@@ -326,9 +329,10 @@ def _hashed(words: int):
     return run
 
 
-def frequency(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """Level of frequency of every slot of tokens, over all texts (doc_id, text)."""
-    return line_dedup.rarity(docs, "text", lambda texts: np.concatenate([shingles(t, words) for t in texts] or [np.zeros(0, np.uint64)]))
+def frequency(docs: DataFrame, words: int = WORDS) -> Broadcast:
+    """Level of frequency of every slot of tokens, over all texts (doc_id, text): a table of fixed size, sent to all tasks."""
+    every = lambda texts: np.concatenate([shingles(t, words) for t in texts] or [np.zeros(0, np.uint64)])
+    return docs.sparkSession.sparkContext.broadcast(line_dedup.rarity(docs, "text", every, SLOT_BITS))
 
 
 def group(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, bucket: int = BUCKET) -> DataFrame:
