@@ -25,6 +25,7 @@ have as long prefixes and fill tasks of their own. An empty table gives an empty
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -136,7 +137,7 @@ def sets(docs: DataFrame, level: Broadcast, words: int = WORDS, percent: int = P
         n = len(s)
         if 100 * n < percent * (n + 1):  # matches none but its equals
             return b""
-        slot = level.value[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+        slot = level.value.table[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
         return s[np.lexsort((s, slot))[: prefix_length(n, percent)]].astype("<u8").tobytes()
 
     @trimmed
@@ -160,7 +161,7 @@ def _postings(classes: DataFrame, level: Broadcast) -> DataFrame:
             blobs = batch.column(2).to_pylist()
             count = np.array([len(p) // 8 for p in blobs], np.int64)
             token = np.frombuffer(b"".join(blobs), "<u8")
-            hot = level.value[(token >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] > most
+            hot = level.value.table[(token >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] > most
             each = lambda i: pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), count).astype(np.int64))  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), each(0), each(1), pa.array(hot)], [*_POSTING, "hot"])
 
@@ -329,10 +330,21 @@ def _hashed(words: int):
     return run
 
 
+class Levels:
+    """Level of frequency of every slot; it travels and lies on disks compressed."""
+
+    def __init__(self, table: np.ndarray):
+        self.size, self.blob = len(table), pa.compress(table.tobytes(), codec="zstd", asbytes=True)
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        return np.frombuffer(pa.decompress(self.blob, self.size, codec="zstd", asbytes=True), np.uint8)
+
+
 def frequency(docs: DataFrame, words: int = WORDS) -> Broadcast:
-    """Level of frequency of every slot of tokens, over all texts (doc_id, text): a table of fixed size, sent to all tasks."""
+    """Levels of the tokens of all texts (doc_id, text): a table of fixed size, sent to all tasks."""
     every = lambda texts: np.concatenate([shingles(t, words) for t in texts] or [np.zeros(0, np.uint64)])
-    return docs.sparkSession.sparkContext.broadcast(line_dedup.rarity(docs, "text", every, SLOT_BITS))
+    return docs.sparkSession.sparkContext.broadcast(Levels(line_dedup.rarity(docs, "text", every, SLOT_BITS)))
 
 
 def group(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, bucket: int = BUCKET) -> DataFrame:
