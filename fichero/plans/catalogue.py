@@ -713,4 +713,18 @@ def streaming_sync(spark, folder):
     return spark.read.parquet(f"{base}/out").select("doc_id", "source")
 
 
+@query(ORACLE_SQL["context_carry_forward"])
+def session_stream(spark, folder):
+    """The product of earlier turns of each session, by keyed state of a stream of turns that stops when none is left."""
+    from ..streaming import sync
+
+    base = scratch_path(spark, "sessions")
+    asked = _phrases(spark, folder)
+    told = asked.join(analysis.product(asked, fuzzy=False), "query_id").select("session_id", F.col("turn").cast("long").alias("turn"), "product", F.lit(False).alias("reset"))
+    told.write.parquet(f"{base}/in")
+    stream = sync.session_products(sync.arrivals(spark, f"{base}/in", told.schema)).writeStream.format("parquet")
+    stream.option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("session_id", F.col("turn").cast(asked.schema["turn"].dataType).alias("turn"), "product", "context")
+
+
 from . import sheets  # noqa: E402, F401  registers its queries
