@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,37 +13,39 @@ from ..schemas import CHUNK_METADATA
 from ..shared import settled
 
 
-def pack(text: Column | str, size: int = fixed.CHUNK_TOKENS, overlap: int = fixed.OVERLAP_TOKENS, separator: str = "\n\n") -> Column:
-    """Chunks of a text: paragraphs are added while `size` tokens hold, the last ones up to `overlap` begin the next chunk.
+def cuts(tokens: np.ndarray, size: int, overlap: int) -> list[tuple[int, int]]:
+    """First and last (exclusive) paragraph of each chunk, from the paragraphs' tokens.
 
-    A fold over the paragraphs of one text, as an expression. A paragraph beyond `size` is not split.
+    On their running sums each end, and each beginning within the overlap, is one binary search.
     """
-    parts = T.paragraphs(text, separator)
-    strings, zero = F.array().cast("array<string>"), F.lit(0).cast("long")
-    tokens = T.estimate_tokens
-
-    def suffix(current: Column) -> Column:
-        """Trailing paragraphs of at most `overlap` tokens in all, and their tokens."""
-
-        def add(s: Column, p: Column) -> Column:
-            fits = ~s["full"] & (s["n"] + tokens(p) <= overlap)
-            return F.struct(F.when(fits, F.concat(F.array(p), s["kept"])).otherwise(s["kept"]).alias("kept"), F.when(fits, s["n"] + tokens(p)).otherwise(s["n"]).alias("n"), (~fits).alias("full"))
+    total = np.concatenate([[0], np.cumsum(tokens)])
+    out, begin, new, n = [], 0, 0, len(tokens)
+    while new < n:
+        # the first new paragraph is always taken, then all that fit
+        end = max(new + 1, int(np.searchsorted(total, total[begin] + size, "right")) - 1)
+        out.append((begin, end))
+        begin, new = max(begin, int(np.searchsorted(total, total[end] - overlap, "left"))), end
+    return out
 
-        return F.aggregate(F.reverse(current), F.struct(strings.alias("kept"), zero.alias("n"), F.lit(False).alias("full")), add)
 
-    def step(s: Column, p: Column) -> Column:
-        over = (s["n"] + tokens(p) > size) & (F.size(s["current"]) > 0)
-
-        def moved(k: Column) -> Column:
-            return F.struct(F.concat(s["done"], F.array(F.array_join(s["current"], separator))).alias("done"), F.concat(k["kept"], F.array(p)).alias("current"), (k["n"] + tokens(p)).alias("n"))
+def pack(text: Column | str, size: int = fixed.CHUNK_TOKENS, overlap: int = fixed.OVERLAP_TOKENS, separator: str = "\n\n") -> Column:
+    """Chunks of a text: paragraphs are added while `size` tokens hold, the last ones up to `overlap` begin the next chunk.
 
-        # the suffix is bound once, as the element of an array
-        cut = F.get(F.transform(F.array(suffix(s["current"])), moved), F.lit(0))
-        kept = F.struct(s["done"].alias("done"), F.concat(s["current"], F.array(p)).alias("current"), (s["n"] + tokens(p)).alias("n"))
-        return F.when(over, cut).otherwise(kept)
+    A paragraph beyond `size` is not split. Time is in proportion to the text and its chunks.
+    """
 
-    start = F.struct(strings.alias("done"), strings.alias("current"), zero.alias("n"))
-    return F.aggregate(parts, start, step, lambda s: F.when(F.size(s["current"]) > 0, F.concat(s["done"], F.array(F.array_join(s["current"], separator)))).otherwise(s["done"]))
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for parts in texts:
+            if parts is None:
+                out.append(None)
+                continue
+            tokens = np.fromiter((len(p) // fixed.CHARS_PER_TOKEN for p in parts), np.int64, len(parts))
+            out.append([separator.join(parts[a:b]) for a, b in cuts(tokens, size, overlap)])
+        return pd.Series(out, dtype=object)
+
+    return run(T.paragraphs(text, separator))
 
 
 def numbered(chunks: DataFrame, document: str = "doc_key", section: str = "section_pos", order: tuple[str, ...] = ("kind_order", "section_pos", "part")) -> DataFrame:
