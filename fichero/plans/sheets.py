@@ -5,6 +5,7 @@ They run the extraction, the chunks, the index and its jobs as the engine does.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -322,3 +323,45 @@ def session_state(spark, folder):
     turns = table(spark, folder, "conversations").withColumnRenamed("conv_id", "session_id")
     state = turns.select("session_id").distinct().filter("session_id % 2 = 0").withColumn("product", F.lit("Uretano"))
     return conversation.sessions(turns, state).select(F.col("session_id").alias("conv_id"), "turn", "product")
+
+
+# ---------------------------------------------------------------------- answers
+
+class Letters:
+    """An embedder that SQL can follow: how often a text has each letter and digit."""
+
+    SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789"
+    size = len(SIGNS)
+
+    def embed(self, texts: list[str | None]) -> np.ndarray:
+        return np.array([[(t or "").lower().count(c) for c in self.SIGNS] for t in texts], np.float32).reshape(len(texts), self.size)
+
+
+_COUNTED = f"list_transform(string_split('{Letters.SIGNS}', ''), lambda x: CAST(length(lower({{0}})) - length(replace(lower({{0}}), x, '')) AS DOUBLE))"
+_PRODUCT = "CASE p_partkey % 4 WHEN 0 THEN 'Esmalte Uretano' WHEN 1 THEN 'Pintura Texturizada' ELSE 'Otro' END || ' ' || p_brand"
+_ASKED = "CASE s_suppkey % 3 WHEN 0 THEN 'componentes del esmalte uretano ' WHEN 1 THEN 'componentes de la pintura texturizada ' ELSE 'componentes de ' END || s_name"
+
+
+@query(f"""WITH c AS (SELECT p_partkey AS k, 'c' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS id, p_name || ' ' || p_type AS content, {_PRODUCT} AS producto, p_brand, p_partkey % 3 AS kind FROM part),
+q AS (SELECT s_suppkey AS qid, {_ASKED} AS text, CASE s_suppkey % 3 WHEN 0 THEN 'Uretano' WHEN 1 THEN 'Texturizada' END AS product FROM supplier),
+s AS (SELECT q.qid, q.product, c.*, list_cosine_similarity({_COUNTED.format("c.content")}, {_COUNTED.format("q.text")}) AS sim FROM q, c),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid, kind ORDER BY round(sim, 9) DESC, id) AS rank FROM s),
+b AS (SELECT *, CASE WHEN kind = 2 THEN sim * 1.2 ELSE sim END AS boosted FROM r WHERE rank <= 30 AND (product IS NULL OR contains(lower(producto), lower(product)))),
+p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(boosted, 9) DESC, kind, rank, id) AS position FROM b),
+h AS (SELECT * FROM p WHERE position <= 15)
+SELECT 's' || q.qid AS query_id, q.product, count(h.id) AS n, round(coalesce(max(h.boosted) FILTER (position = 1), 0), 6) AS top, max(h.id) FILTER (position = 1) AS best, max(h.producto) FILTER (position = 1) AS producto,
+CASE WHEN q.product IS NOT NULL THEN max(p_brand) FILTER (position = 1) END AS fabricante, CASE WHEN q.product IS NOT NULL THEN max('K' || k) FILTER (position = 1) END AS codigo, count(h.id) FILTER (kind = 0) > 0 AS told
+FROM q LEFT JOIN h USING (qid) GROUP BY q.qid, q.product""")
+def answered_products(spark, folder):
+    """Questions of every supplier about products, answered from chunks of every part: retrieval, product filter, metrics and the facts of the product."""
+    kind = F.element_at(F.array(*[F.lit(k) for k in fixed.KINDS]), (F.col("p_partkey") % 3 + 1).cast("int"))
+    own = {"producto": F.expr(_PRODUCT), "fabricante": F.col("p_brand"), "codigo_producto": F.concat(F.lit("K"), "p_partkey"), "chunk_id": F.col("id"), "seccion": F.lit("s"), "tipo_contenido": kind}
+    parts = table(spark, folder, "part").withColumn("id", F.concat(F.lit("c"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"))).withColumn("content", F.concat_ws(" ", "p_name", "p_type"))
+    fields = StructType.fromDDL(f"m {CHUNK_METADATA}")["m"].dataType
+    m = F.struct(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields.fields])
+    chunks = settled(parts.select("id", "content", vectors.embed("content", Letters()).alias("embedding"), m.alias("metadata")), "chunks")
+    asked = table(spark, folder, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("query_id"), F.concat(F.lit("s"), "s_suppkey").alias("session_id"), F.lit(1).cast("long").alias("turn"), F.expr(_ASKED).alias("text"), F.lit(True).alias("use_context"))
+    out = answer.answer(asked, chunks, Letters(), fuzzy=False)
+    first = F.get("sources", F.lit(0))
+    told = F.col("answer") != fixed.NO_TEXT_ANSWER
+    return out.select("query_id", "product", F.size("sources").cast("long").alias("n"), F.round(F.col("metrics")["top_similarity"], 6).alias("top"), first["chunk_id"].alias("best"), first["producto"].alias("producto"), F.col("fds_reference.fabricante").alias("fabricante"), F.col("fds_reference.codigo").alias("codigo"), told.alias("told"))
