@@ -86,8 +86,21 @@ def _level(total: np.ndarray) -> np.ndarray:
     return np.where(total > 1, np.minimum(255, 1 + 4 * np.log2(np.maximum(total, 1))), 0).astype(np.uint8)
 
 
-def rarity(docs: DataFrame, text: str = "text", hashes: Callable[[list[bytes]], np.ndarray] = lambda texts: word_hashes(b"\n".join(texts))[0], bits: int = SLOT_BITS) -> np.ndarray:
-    """Level of frequency of every slot (2^bits) of words (or other hashes of texts), over all texts."""
+def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """Level of frequency of every slot of words, over all texts."""
+    return unpacked_levels(packed_levels(docs, text, lambda texts: word_hashes(b"\n".join(texts))[0], SLOT_BITS), SLOT_BITS)
+
+
+def unpacked_levels(packed: dict[int, bytes], bits: int) -> np.ndarray:
+    size = 1 << BLOCK_BITS
+    out = np.zeros((1 << (bits - BLOCK_BITS), size), np.uint8)
+    for block, level in packed.items():
+        out[block] = np.frombuffer(pa.decompress(level, size, codec="zstd", asbytes=True), np.uint8)
+    return out.reshape(-1)
+
+
+def packed_levels(docs: DataFrame, text: str, hashes: Callable[[list[bytes]], np.ndarray], bits: int) -> dict[int, bytes]:
+    """Level of frequency of every slot (2^bits) of hashes of texts, over all texts: by block, compressed; blocks of zeros are left out."""
     blocks, size = 1 << (bits - BLOCK_BITS), 1 << BLOCK_BITS
 
     @trimmed
@@ -127,13 +140,10 @@ def rarity(docs: DataFrame, text: str = "text", hashes: Callable[[list[bytes]],
                 one = np.frombuffer(pa.decompress(counts, size, codec="zstd", asbytes=True), np.uint8).astype(np.int64)
                 one[np.frombuffer(often, "<i4")] += np.frombuffer(often_n, "<i8")
                 sums[block] = sums[block] + one if block in sums else one
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_level(s).tobytes() for s in sums.values()], pa.binary())], ["block", "level"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pa.compress(_level(s).tobytes(), codec="zstd", asbytes=True) for s in sums.values()], pa.binary())], ["block", "level"])
 
     counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "block int, counts binary, often binary, often_n binary")
-    out = np.zeros((blocks, size), np.uint8)
-    for r in counted.repartition("block").mapInArrow(add, "block int, level binary").collect():  # SLOTS bytes at most
-        out[r["block"]] = np.frombuffer(r["level"], np.uint8)
-    return out.reshape(-1)
+    return {r["block"]: bytes(r["level"]) for r in counted.repartition("block").mapInArrow(add, "block int, level binary").collect()}  # 2^bits bytes at most, before compression
 
 
 class _Lines:

@@ -331,20 +331,20 @@ def _hashed(words: int):
 
 
 class Levels:
-    """Level of frequency of every slot; it travels and lies on disks compressed."""
+    """Level of frequency of every slot; compressed on the driver, on its way and on disks."""
 
-    def __init__(self, table: np.ndarray):
-        self.size, self.blob = len(table), pa.compress(table.tobytes(), codec="zstd", asbytes=True)
+    def __init__(self, packed: dict[int, bytes]):
+        self.packed = packed
 
     @cached_property
     def table(self) -> np.ndarray:
-        return np.frombuffer(pa.decompress(self.blob, self.size, codec="zstd", asbytes=True), np.uint8)
+        return line_dedup.unpacked_levels(self.packed, SLOT_BITS)
 
 
 def frequency(docs: DataFrame, words: int = WORDS) -> Broadcast:
     """Levels of the tokens of all texts (doc_id, text): a table of fixed size, sent to all tasks."""
     every = lambda texts: np.concatenate([shingles(t, words) for t in texts] or [np.zeros(0, np.uint64)])
-    return docs.sparkSession.sparkContext.broadcast(Levels(line_dedup.rarity(docs, "text", every, SLOT_BITS)))
+    return docs.sparkSession.sparkContext.broadcast(Levels(line_dedup.packed_levels(docs, "text", every, SLOT_BITS)))
 
 
 def group(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, bucket: int = BUCKET) -> DataFrame:
