@@ -5,6 +5,8 @@ All are built-in expressions, so they stay in the JVM and take part in Catalyst'
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ def strip(x: Column | str) -> Column:
     return F.regexp_replace(_col(x), r"(?U)^\s+|\s+$", "")
 
 
+def held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row: lambdas would compute it for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def blank_to_null(x: Column | str) -> Column:
     return F.when(_col(x) == "", None).otherwise(_col(x))
 
@@ -38,7 +45,12 @@ def estimate_tokens(text: Column | str) -> Column:
 
 def paragraphs(text: Column | str, separator: str = "\n\n") -> Column:
     """Stripped parts between separators, without empty ones."""
-    return F.filter(F.transform(F.split(_col(text), separator), strip), lambda p: p != "")
+
+    def stripped(p: Column) -> Column:
+        # most parts have no white space at their ends: two characters tell
+        return F.when(F.concat(F.substring(p, 1, 1), F.substring(p, -1, 1)).rlike(r"(?U)\s"), strip(p)).otherwise(p)
+
+    return F.filter(F.transform(F.split(_col(text), separator), stripped), lambda p: p != "")
 
 
 def with_context(content: Column | str, product: Column | str, section: Column | str) -> Column:
@@ -100,9 +112,10 @@ def components(text: Column | str, percent: bool = True) -> Column:
     percent: a concentration needs a percent sign; otherwise it may swallow the first digit of the next name.
     """
     amount = fixed.CONCENTRATION if percent else fixed.LOOSE_CONCENTRATION
-    pattern = F.lit(rf"(?U){fixed.COMPONENT}(?:\s+{amount})?")
-    each = F.arrays_zip(*[F.regexp_extract_all(_col(text), pattern, F.lit(i)).alias(n) for i, n in ((1, "a"), (2, "b"), (3, "c"))])
-    return F.transform(each, lambda x: F.struct(strip(x["a"]).alias("nombre"), x["b"].alias("cas"), blank_to_null(strip(F.coalesce(x["c"], F.lit("")))).alias("concentracion")))
+    # a line that fails from where it begins, or from where the last component ends, fails from all that follows in it
+    pattern = rf"(?mU)(?:^|\G){fixed.COMPONENT}(?:\s+{amount})?"
+    part = lambda x, i: F.regexp_extract(x, pattern, i)
+    return F.transform(F.regexp_extract_all(_col(text), F.lit(pattern), F.lit(0)), lambda x: F.struct(strip(part(x, 1)).alias("nombre"), part(x, 2).alias("cas"), blank_to_null(strip(part(x, 3))).alias("concentracion")))
 
 
 def properties(text: Column | str) -> Column:

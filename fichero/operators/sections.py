@@ -23,8 +23,7 @@ def _name(number: Column) -> Column:
 
 def _first_of_each(parts: Column) -> Column:
     """Of parts (pos, name, text) those whose name has not come before."""
-    names = F.transform(parts, lambda p: p["name"])
-    return F.filter(parts, lambda p, i: F.array_position(names, p["name"]) == i + 1)
+    return F.filter(parts, lambda p, i: F.array_position(parts["name"], p["name"]) == i + 1)
 
 
 def numbered(text: Column | str, least: int = 50) -> Column:
@@ -32,12 +31,16 @@ def numbered(text: Column | str, least: int = 50) -> Column:
 
     A mark is set before each header, so that one split yields the sections.
     """
+    return T.held(_found(text, least), _first_of_each)
+
+
+def _found(text: Column | str, least: int) -> Column:
+    """Numbered sections, equal numbers included."""
     x = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     marked = F.regexp_replace(x, rf"(?iuU)(?:^|\n)(?={HEADER})", _MARK)
-    parts = F.split(marked, _MARK)
-    parts = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    parts = F.slice(F.split(marked, _MARK), 2, 1 << 30)
     found = F.transform(parts, lambda p, i: F.struct(i.cast("int").alias("pos"), _name(F.regexp_extract(p, "(?iuU)^" + HEADER, 1)).alias("name"), T.strip(F.regexp_replace(p, "(?iuU)^" + HEADER, "")).alias("text")))
-    return _first_of_each(F.filter(found, lambda p: F.length(p["text"]) > least))
+    return F.filter(found, lambda p: F.length(p["text"]) > least)
 
 
 class _Cutter:
@@ -93,32 +96,38 @@ def by_keywords(text: Column | str, least: int = 100, gap: int = 200) -> Column:
 
 def sections(text: Column | str) -> Column:
     """Numbered sections, or those by key words where there is none."""
-    return _or_by_keywords(numbered(text), F.col(text) if isinstance(text, str) else text)
+    return _or_by_keywords(numbered(text), _found(text, 50), F.col(text) if isinstance(text, str) else text)
 
 
-def _or_by_keywords(own: Column, x: Column) -> Column:
+def _or_by_keywords(own: Column, found: Column, x: Column) -> Column:
     # the Python side sees only texts that need it
-    return F.when(F.size(own) > 0, own).otherwise(by_keywords(F.when(F.size(own) == 0, x)))
+    return F.when(F.size(own) > 0, own).otherwise(by_keywords(F.when(F.size(found) == 0, x)))
 
 
-def extract(documents: DataFrame, key: str = "doc_key", text: str = "text", combined_codes: bool = True, percent: bool = True) -> DataFrame:
-    """doc_key, contenido_texto, metadata (schemas.DOC_METADATA) of cleaned documents."""
+def fields(documents: DataFrame, key: str = "doc_key", text: str = "text", combined_codes: bool = True, percent: bool = True) -> DataFrame:
+    """doc_key, contenido_texto and the fields of schemas.DOC_METADATA as columns, of which Spark computes those that are read."""
     t = F.col("contenido_texto")
     docs = documents.select(F.col(key).alias("doc_key"), T.clean(F.col(text)).alias("contenido_texto"))
-    docs = docs.withColumn("_numbered", numbered(t))
-    h, p = T.hazard_codes(t), T.precaution_codes(t)
-    metadata = F.struct(
-        T.next_line(t, T.PRODUCT_LABEL).alias("nombre_producto"),
-        T.next_line(t, T.SUPPLIER_LABEL).alias("proveedor"),
-        T.product_code(t).alias("codigo"),
-        T.issue_date(t).alias("fecha_emision"),
-        T.product_use(t).alias("uso_producto"),
-        h.alias("indicaciones_peligro"),
-        p.alias("frases_precaucion"),
-        T.described(t, h, "H").alias("indicaciones_peligro_detalle"),
-        T.described(t, p, "P", combined_codes).alias("frases_precaucion_detalle"),
-        T.components(t, percent).alias("componentes_quimicos"),
-        T.properties(t).alias("propiedades_fisicoquimicas"),
-        _or_by_keywords(F.col("_numbered"), t).alias("secciones"),
-    )
-    return docs.select("doc_key", "contenido_texto", metadata.alias("metadata"))
+    docs = docs.select("*", numbered(t).alias("_numbered"), T.hazard_codes(t).alias("_h"), T.precaution_codes(t).alias("_p"))
+    h, p = F.col("_h"), F.col("_p")
+    found = {
+        "nombre_producto": T.next_line(t, T.PRODUCT_LABEL),
+        "proveedor": T.next_line(t, T.SUPPLIER_LABEL),
+        "codigo": T.product_code(t),
+        "fecha_emision": T.issue_date(t),
+        "uso_producto": T.product_use(t),
+        "indicaciones_peligro": h,
+        "frases_precaucion": p,
+        "indicaciones_peligro_detalle": T.described(t, h, "H"),
+        "frases_precaucion_detalle": T.described(t, p, "P", combined_codes),
+        "componentes_quimicos": T.components(t, percent),
+        "propiedades_fisicoquimicas": T.properties(t),
+        "secciones": _or_by_keywords(F.col("_numbered"), F.col("_numbered"), t),
+    }
+    return docs.select("doc_key", "contenido_texto", *[c.alias(n) for n, c in found.items()])
+
+
+def extract(documents: DataFrame, key: str = "doc_key", text: str = "text", combined_codes: bool = True, percent: bool = True) -> DataFrame:
+    """doc_key, contenido_texto, metadata (schemas.DOC_METADATA) of cleaned documents. Who reads few fields takes them from `fields`."""
+    docs = fields(documents, key, text, combined_codes, percent)
+    return docs.select("doc_key", "contenido_texto", F.struct(*docs.columns[2:]).alias("metadata"))

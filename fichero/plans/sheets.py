@@ -44,6 +44,10 @@ def _documents(spark, folder) -> DataFrame:
     return sections.extract(_sheets(spark, folder))
 
 
+def _fields(spark, folder) -> DataFrame:
+    return sections.fields(_sheets(spark, folder))
+
+
 def _joined(items, *fields: str) -> F.Column:
     """A list of structs as one text."""
     return F.array_join(F.transform(items, lambda x: F.concat_ws("=", *[x[f] for f in fields])), "|")
@@ -55,22 +59,21 @@ def _joined(items, *fields: str) -> F.Column:
 '2021-03-' || lpad(CAST(p_partkey % 28 + 1 AS VARCHAR), 2, '0') AS dia, 'pintura ' || p_type AS uso, p_type AS estado, p_brand AS color, '7.5' AS ph, (p_partkey % 50) || ' C' AS punto, '1.2 g/cm3' AS densidad FROM s""")
 def sheet_fields(spark, folder):
     """Name, maker, code, date, use and physical properties of every sheet."""
-    m, p = F.col("metadata"), F.col("metadata.propiedades_fisicoquimicas")
-    return _documents(spark, folder).select("doc_key", m["nombre_producto"].alias("nombre"), m["proveedor"].alias("proveedor"), m["codigo"].alias("codigo"), m["fecha_emision"].alias("fecha"), T.parsed_date(m["fecha_emision"]).cast("string").alias("dia"), m["uso_producto"].alias("uso"), p["estado_fisico"].alias("estado"), p["color"].alias("color"), p["ph"].alias("ph"), p["punto_inflamacion"].alias("punto"), p["densidad"].alias("densidad"))
+    p = F.col("propiedades_fisicoquimicas")
+    return _fields(spark, folder).select("doc_key", F.col("nombre_producto").alias("nombre"), F.col("proveedor").alias("proveedor"), F.col("codigo").alias("codigo"), F.col("fecha_emision").alias("fecha"), T.parsed_date(F.col("fecha_emision")).cast("string").alias("dia"), F.col("uso_producto").alias("uso"), p["estado_fisico"].alias("estado"), p["color"].alias("color"), p["ph"].alias("ph"), p["punto_inflamacion"].alias("punto"), p["densidad"].alias("densidad"))
 
 
 @query(f"""{_PARTS} SELECT CAST(p_partkey AS VARCHAR) AS doc_key, CASE WHEN h1 < h2 THEN h1 || ',' || h2 ELSE h2 || ',' || h1 END AS h, 'P210,P301 + P310' AS p,
 CASE WHEN h1 < h2 THEN h1 || '=Arde con ' || p_name || '.|' || h2 || '=Mata peces.' ELSE h2 || '=Mata peces.|' || h1 || '=Arde con ' || p_name || '.' END AS h_detalle, 'P210=Lejos del calor.|P301 + P310=Llamar al centro.' AS p_detalle FROM s""")
 def sheet_codes(spark, folder):
     """Hazard and precaution codes of every sheet, combinations included, and what the sheet says of each."""
-    m = F.col("metadata")
-    return _documents(spark, folder).select("doc_key", F.array_join(m["indicaciones_peligro"], ",").alias("h"), F.array_join(m["frases_precaucion"], ",").alias("p"), _joined(m["indicaciones_peligro_detalle"], "codigo", "descripcion").alias("h_detalle"), _joined(m["frases_precaucion_detalle"], "codigo", "descripcion").alias("p_detalle"))
+    return _fields(spark, folder).select("doc_key", F.array_join(F.col("indicaciones_peligro"), ",").alias("h"), F.array_join(F.col("frases_precaucion"), ",").alias("p"), _joined(F.col("indicaciones_peligro_detalle"), "codigo", "descripcion").alias("h_detalle"), _joined(F.col("frases_precaucion_detalle"), "codigo", "descripcion").alias("p_detalle"))
 
 
 @query(f"{_PARTS} SELECT CAST(p_partkey AS VARCHAR) AS doc_key, 'Xileno ' || p_name || '=1330-20-' || (p_partkey % 10) || '=10% - 20%|Resina=25068-38-6' AS componentes FROM s")
 def sheet_components(spark, folder):
     """Components of every sheet with CAS number and concentration."""
-    return _documents(spark, folder).select("doc_key", _joined(F.col("metadata.componentes_quimicos"), "nombre", "cas", "concentracion").alias("componentes"))
+    return _fields(spark, folder).select("doc_key", _joined(F.col("componentes_quimicos"), "nombre", "cas", "concentracion").alias("componentes"))
 
 
 @query(f"""{_PARTS}, c AS (SELECT p_partkey, unnest([0, 1, 2]) AS i, unnest(['identificacion_peligros', 'composicion_componentes', 'propiedades_fisicas_quimicas']) AS seccion, unnest([s2, s3, s9]) AS body, p_name FROM s),

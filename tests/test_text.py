@@ -99,3 +99,28 @@ def test_small_functions(spark):
     assert one(spark, T.image_description(F.lit("ghs_02.PNG"), "t"), "hola") == "Pictograma de seguridad. Texto visible: hola"
     assert one(spark, T.with_context(F.lit("c"), "t", F.lit("s")), None) == "Documento: None\nSección: s\n\nc"
     assert one(spark, T.parsed_date("t"), "05.03.2021").isoformat() == "2021-03-05" and one(spark, T.parsed_date("t"), "x") is None
+
+
+def test_components_are_found_line_by_line(spark):
+    """As a scan that begins anywhere finds them; long lines without a component cost no more than their length."""
+    import time
+
+    amount = r"([0-9,.-]+%\s*-?\s*[0-9,.-]*%?)"
+    texts = ["Xileno CAS: 1330-20-7 10% - 20% Agua CAS: 7732-18-5\n CAS: 1-2-3 5%", "a\r\nb  \n CAS:\n1-1-1\n2% c CAS: 9-9-9", " CAS: 1-1-1", "x y CAS: 1-1-1 CAS: 2-2-2", "", None, "no CAS: 1-1\nR CAS: 3-3-3 -"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.arrays_zip(*[F.regexp_extract_all("t", F.lit(rf"(?U)(.*?)\s+CAS:\s*([0-9]+-[0-9]+-[0-9]+)(?:\s+{amount})?"), F.lit(i)).alias(n) for i, n in ((1, "a"), (2, "b"), (3, "c"))])
+    want = F.transform(plain, lambda x: F.struct(T.strip(x["a"]).alias("nombre"), x["b"].alias("cas"), T.blank_to_null(T.strip(F.coalesce(x["c"], F.lit("")))).alias("concentracion")))
+    rows = df.select(want.alias("want"), T.components("t").alias("own")).collect()
+    assert sum(len(r["own"] or []) for r in rows) == 9 and all(r["own"] == r["want"] for r in rows)
+    long = spark.range(1).select(F.repeat(F.lit("palabras "), 40_000).alias("t"))
+    began = time.monotonic()
+    assert long.select(T.components("t").alias("c")).first()["c"] == []
+    assert time.monotonic() - began < 20
+
+
+def test_fields_that_nobody_reads_are_pruned(spark):
+    from fichero.operators import sections
+
+    docs = sections.fields(spark.createDataFrame([("a", "Código: C1\nH225 Arde")], "doc_key string, text string"))
+    plan = docs.select("doc_key", F.upper("codigo"), F.lower("codigo"), F.size("indicaciones_peligro"))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "CAS:" not in plan
