@@ -32,20 +32,23 @@ def pack(text: Column | str, size: int = fixed.CHUNK_TOKENS, overlap: int = fixe
     """Chunks of a text: paragraphs are added while `size` tokens hold, the last ones up to `overlap` begin the next chunk.
 
     A paragraph beyond `size` is not split. Time is in proportion to the text and its chunks.
+
+    Python sees the tokens of paragraphs, and only of texts that one chunk does not hold; texts stay in the JVM.
     """
 
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        out = []
-        for parts in texts:
-            if parts is None:
-                out.append(None)
-                continue
-            tokens = np.fromiter((len(p) // fixed.CHARS_PER_TOKEN for p in parts), np.int64, len(parts))
-            out.append([separator.join(parts[a:b]) for a, b in cuts(tokens, size, overlap)])
-        return pd.Series(out, dtype=object)
+    @F.pandas_udf("array<struct<begin:int,count:int>>")
+    def run(counts: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else [{"begin": a + 1, "count": b - a} for a, b in cuts(c, size, overlap)] for c in counts], dtype=object)
+
+    def packed(x: Column) -> Column:
+        whole = F.filter(F.array(F.array_join(x["parts"], separator)), lambda _: F.size(x["parts"]) > 0)
+        return F.when(x["cuts"].isNull(), whole).otherwise(F.transform(x["cuts"], lambda c: F.array_join(F.slice(x["parts"], c["begin"], c["count"]), separator)))
 
-    return run(T.paragraphs(text, separator))
+    x = F.col(text) if isinstance(text, str) else text
+    tokens = T.held(T.paragraphs(x, separator), lambda ps: F.transform(ps, lambda p: F.floor(F.length(p) / fixed.CHARS_PER_TOKEN)))
+    # what is no longer than a chunk is one, whatever its paragraphs
+    long = F.when(F.length(x) >= size * fixed.CHARS_PER_TOKEN, tokens)
+    return F.when(x.isNotNull(), T.held(F.struct(T.paragraphs(x, separator).alias("parts"), run(long).alias("cuts")), packed))
 
 
 def numbered(chunks: DataFrame, document: str = "doc_key", section: str = "section_pos", order: tuple[str, ...] = ("kind_order", "section_pos", "part")) -> DataFrame:
@@ -54,6 +57,10 @@ def numbered(chunks: DataFrame, document: str = "doc_key", section: str = "secti
     return chunks.withColumn("chunk_index", F.row_number().over(whole.orderBy(*order)) - 1).withColumn("total_chunks", F.count(F.lit(1)).over(Window.partitionBy(document, "kind_order", section)).cast("int"))
 
 
+#: What chunks keep of a document's metadata.
+_KEPT = ("nombre_producto", "proveedor", "codigo", "fecha_emision", "componentes_quimicos", "indicaciones_peligro_detalle", "frases_precaucion_detalle")
+
+
 def build(documents: DataFrame, tables: DataFrame | None = None, images: DataFrame | None = None, size: int = fixed.CHUNK_TOKENS, overlap: int = fixed.OVERLAP_TOKENS, separator: str = "\n\n", last_section: bool = False) -> DataFrame:
     """Chunks (schemas.CHUNK without vectors, and doc_key) of extracted documents.
 
@@ -65,7 +72,7 @@ def build(documents: DataFrame, tables: DataFrame | None = None, images: DataFra
     """
     m = F.col("metadata")
     documents = documents if tables is None and images is None else settled(documents, "documents")
-    slim = m.dropFields("secciones")
+    slim = F.struct(*[m[n].alias(n) for n in _KEPT])
     parts = documents.select("doc_key", slim.alias("metadata"), F.inline(m["secciones"]))
     parts = parts.select("doc_key", "metadata", F.lit(0).alias("kind_order"), F.col("pos").alias("section_pos"), F.col("name").alias("section"), F.posexplode(pack("text", size, overlap, separator)).alias("part", "body"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("image"))
     last = documents.select("doc_key", F.try_element_at(m["secciones"], F.lit(-1))["name"].alias("last")) if last_section else None
