@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -58,12 +59,12 @@ def embed(text: Column | str, embedder: Embedder | None = None) -> Column:
     return run(F.col(text) if isinstance(text, str) else text)
 
 
-#: Queries of a block, and bytes of vectors of a shard.
-BLOCK, SHARD_BYTES = 1024, 16 << 20
-#: Bytes of queries up to which they are sent to all tasks.
-SENT_BYTES = 16 << 20
-#: Blocks whose best rows a task keeps while it goes over shards.
-HELD = 64
+#: Queries of a block, bytes of vectors of a shard, and cosines that a task holds at once.
+BLOCK, SHARD_BYTES, TILE = 1024, 4 << 20, 1 << 20
+#: Bytes of queries up to which a single block of them is sent to all tasks; shards of a partition that others meet.
+SENT_BYTES, SHARDS = 16 << 20, 16
+#: Rows of an Arrow batch of vectors, and of one of blocks and shards.
+ROWS, PAIRS = 1000, 1
 
 
 def _packed(rows: DataFrame, most: int | None) -> DataFrame:
@@ -95,68 +96,114 @@ def _packed(rows: DataFrame, most: int | None) -> DataFrame:
 
 
 class _Best:
-    """The k nearest rows of each kind of a block of queries so far."""
+    """The k nearest rows of each kind of a block of queries so far: numbers of queries, ids, similarities, by kind."""
 
     def __init__(self, ids, dim: int, vectors: bytes):
         self.ids, self.dim = list(ids), dim
         self.unit = np.frombuffer(vectors).reshape(len(self.ids), dim)
-        self.rows: pd.DataFrame | None = None
+        self.rows: dict[str | None, pd.DataFrame] = {}
 
     def offer(self, ids, tipos, vectors: bytes, k: int) -> None:
-        cosines = self.unit @ np.frombuffer(vectors).reshape(len(ids), self.dim).T
-        shown, keys, kinds = np.round(cosines, 9), np.asarray(ids), np.array([t if t is not None else "" for t in tipos], object)
-        null = np.array([t is None for t in tipos])
-        parts = [] if self.rows is None else [self.rows]
-        for name, none in {(t, n) for t, n in zip(kinds.tolist(), null.tolist())}:
-            at = np.flatnonzero((kinds == name) & (null == none))
-            own = shown[:, at]
-            # the k greatest, with all ties of the last
-            q, j = np.nonzero(own >= np.partition(own, len(at) - k, 1)[:, [len(at) - k]]) if len(at) > k else np.nonzero(np.ones(own.shape, bool))
-            parts.append(pd.DataFrame({"q": q, "id": keys[at[j]], "tipo": None if none else name, "shown": -own[q, j], "similarity": cosines[q, at[j]]}))
-        self.rows = pd.concat(parts, ignore_index=True).sort_values(["q", "shown", "id"], kind="stable").groupby(["q", "tipo"], dropna=False).head(k)
-
-    def result(self) -> pd.DataFrame:
-        r = self.rows
-        return pd.DataFrame({"query_id": [self.ids[q] for q in r["q"]], "id": r["id"].to_numpy(), "tipo": r["tipo"].to_numpy(), "similarity": r["similarity"].to_numpy()})
+        rows, keys, kinds = np.frombuffer(vectors).reshape(len(ids), self.dim), np.asarray(ids), np.asarray(tipos, object)
+        none = np.array([t is None for t in tipos], bool)
+        for name in set(tipos):
+            at = np.flatnonzero(none if name is None else ~none & (kinds == name))
+            at = at[np.argsort(keys[at], kind="stable")]  # of equal ones the first are the least ids
+            parts = [self.rows[name]] if name in self.rows else []
+            step = max(1, TILE // len(at))
+            for low in range(0, len(self.ids), step):
+                parts.append(self._tile(low, self.unit[low : low + step] @ rows[at].T, keys[at], k))
+            self.rows[name] = pd.concat(parts, ignore_index=True).sort_values(["q", "shown", "id"], kind="stable").groupby("q").head(k)
+
+    @staticmethod
+    def _tile(low: int, cosines: np.ndarray, keys: np.ndarray, k: int) -> pd.DataFrame:
+        """The k nearest rows of each query of a tile; rows are in order of keys, to which ties go."""
+        shown = np.round(cosines, 9)
+        if shown.shape[1] > k:
+            last = np.partition(shown, shown.shape[1] - k, 1)[:, [shown.shape[1] - k]]
+            q, j = np.nonzero(shown >= last)
+            if len(q) > k * len(shown):
+                tied = shown[q, j] == last[q, 0]
+                above = np.bincount(q[~tied], minlength=len(shown))
+                # the turn of each tied row in its query
+                turn = np.cumsum(tied) - 1
+                first = np.zeros(len(shown), np.int64)
+                first[1:] = np.cumsum(np.bincount(q[tied], minlength=len(shown)))[:-1]
+                keep = ~tied | (turn - first[q] + above[q] < k)
+                q, j = q[keep], j[keep]
+        else:
+            q, j = np.nonzero(np.ones(shown.shape, bool))
+        return pd.DataFrame({"q": q + low, "id": keys[j], "shown": -shown[q, j], "similarity": cosines[q, j]})
+
+    def result(self) -> Iterator[pd.DataFrame]:
+        for name, r in self.rows.items():
+            yield pd.DataFrame({"same": [self.ids[q] for q in r["q"]], "id": r["id"].to_numpy(), "tipo": pd.Series([name] * len(r), dtype=object), "similarity": r["similarity"].to_numpy()})
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "query_id", query_vector: str = "query_vector", row_id: str = "id", vector: str = "embedding", kind: str = "tipo") -> DataFrame:
     """query_id, id, tipo, similarity, rank: for each query the k rows of each kind with the greatest cosine.
 
-    Blocks of at most BLOCK queries meet shards of vectors, each packed into one row; up to SENT_BYTES of queries
-    are sent to all tasks, beyond that pairs of partitions are read. A task keeps k rows per query and kind, so
-    only these are shuffled for the final ranks: no pair of vectors becomes a row, and none passes through the driver.
+    Equal vectors are compared once: queries of one vector share their hits, and of rows of one vector and kind only the
+    k least ids can be hits. Blocks of at most BLOCK queries meet shards of vectors, each packed into one row, by pairs of
+    partitions. A task holds TILE cosines and k rows per query of one block and kind, and only these are shuffled for the
+    final ranks: no pair of vectors becomes a row, and none passes through the driver.
     Vectors of other length, null ones and those with null or non-finite components take no part. Ties (to 9
     decimals) go to the lesser id.
     """
     from pyspark.sql import Window
 
+    spark = rows.sparkSession
     id_type, q_type = (f.schema[c].dataType.simpleString() for f, c in ((rows, row_id), (queries, query_id)))
-    # written first, as vectors may come from a model
-    asked = settled(_packed(queries.select(F.col(query_id).alias("id"), F.col(query_vector).alias("v"), F.lit(None).cast("string").alias("tipo")), BLOCK).drop("tipos"), "asked")
-    held = _packed(rows.select(F.col(row_id).alias("id"), F.col(vector).alias("v"), F.col(kind).cast("string").alias("tipo")), None)
-    bytes_asked = asked.agg(F.sum(F.length("vectors"))).first()[0] or 0
+    # bounds what a worker gets at once, while the vectors, which may come from a model, are computed and written
+    with _batches(spark, ROWS):
+        plain = lambda v: F.to_json(F.transform(F.col(v).cast("array<double>"), lambda x: x + F.lit(0.0)))
+        asking = settled(queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("v"), F.md5(plain(query_vector)).alias("same")).filter("query_id is not null and v is not null"), "asking")
+        alone = asking.groupBy("same").agg(F.first("v").alias("v"))
+        asked = settled(_packed(alone.select(F.col("same").alias("id"), "v", F.lit(None).cast("string").alias("tipo")), BLOCK).drop("tipos"), "asked")
+        own = rows.select(F.col(row_id).alias("id"), F.col(vector).alias("v"), F.col(kind).cast("string").alias("tipo"), F.md5(plain(vector)).alias("same")).filter("id is not null and v is not null")
+        least = Window.partitionBy("same", "tipo").orderBy("id")
+        unlike = own.withColumn("_n", F.row_number().over(least)).filter(F.col("_n") <= k)
+        held = settled(_packed(unlike.select("id", "v", "tipo"), None), "held")
+    blocks, bytes_asked = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("vectors")), F.lit(0))).first()
     asked = asked.select(F.monotonically_increasing_id().alias("block"), F.col("ids").alias("asked"), F.col("dim").alias("size"), F.col("vectors").alias("weights"))
-    # beyond that, pairs of partitions are read, each side many times: so the vectors are packed and written once
-    pairs = held.crossJoin(F.broadcast(asked)) if bytes_asked <= SENT_BYTES else settled(held, "held").crossJoin(asked)
+    if blocks <= 1 and bytes_asked <= SENT_BYTES:
+        pairs = held.repartition(spark.sparkContext.defaultParallelism).crossJoin(F.broadcast(asked))
+    else:
+        # each block goes over the shards of a partition before the next one does
+        apart = max(1, -(-held.count() // SHARDS))
+        pairs = asked.repartition(max(1, min(blocks, 4 * spark.sparkContext.defaultParallelism))).hint("shuffle_replicate_nl").crossJoin(held.repartition(apart))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, _Best] = {}
+        number, best = None, None
         for batch in batches:
             for r in batch.itertuples(index=False):
                 if r.size != r.dim:
                     continue
-                if r.block not in best:
-                    if len(best) == HELD:
-                        yield best.pop(next(iter(best))).result()
-                    best[r.block] = _Best(r.asked, r.dim, r.weights)
-                best[r.block].offer(r.ids, r.tipos, r.vectors, k)
-        for one in best.values():
-            yield one.result()
-
-    found = pairs.mapInPandas(run, f"query_id {q_type}, id {id_type}, tipo string, similarity double")
-    order = Window.partitionBy("query_id", "tipo").orderBy(F.round("similarity", 9).desc(), F.col("id"))
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+                if r.block != number:
+                    if best is not None:
+                        yield from best.result()
+                    number, best = r.block, _Best(r.asked, r.dim, r.weights)
+                best.offer(r.ids, r.tipos, r.vectors, k)
+        if best is not None:
+            yield from best.result()
+
+    with _batches(spark, PAIRS):
+        found = settled(pairs.mapInPandas(run, f"same string, id {id_type}, tipo string, similarity double"), "found")
+    order = Window.partitionBy("same", "tipo").orderBy(F.round("similarity", 9).desc(), F.col("id"))
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return asking.select("query_id", "same").join(ranked, "same").select(F.col("query_id").cast(q_type), "id", "tipo", "similarity", "rank")
+
+
+@contextmanager
+def _batches(spark: SparkSession, rows: int):
+    """Arrow batches of that many rows, and the session's own number again afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows if int(before) <= 0 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
