@@ -157,10 +157,11 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "query_
     # bounds what a worker gets at once, while the vectors, which may come from a model, are computed and written
     with _batches(spark, ROWS):
         plain = lambda v: F.to_json(F.transform(F.col(v).cast("array<double>"), lambda x: x + F.lit(0.0)))
-        asking = settled(queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("v"), F.md5(plain(query_vector)).alias("same")).filter("query_id is not null and v is not null"), "asking")
+        asking = settled(queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("v"), F.md5(plain(query_vector)).alias("same")), "asking").filter("query_id is not null and v is not null")
         alone = asking.groupBy("same").agg(F.first("v").alias("v"))
         asked = settled(_packed(alone.select(F.col("same").alias("id"), "v", F.lit(None).cast("string").alias("tipo")), BLOCK).drop("tipos"), "asked")
-        own = rows.select(F.col(row_id).alias("id"), F.col(vector).alias("v"), F.col(kind).cast("string").alias("tipo"), F.md5(plain(vector)).alias("same")).filter("id is not null and v is not null")
+        # written before the filter, which would ask a model a second time
+        own = settled(rows.select(F.col(row_id).alias("id"), F.col(vector).alias("v"), F.col(kind).cast("string").alias("tipo"), F.md5(plain(vector)).alias("same")), "own").filter("id is not null and v is not null")
         least = Window.partitionBy("same", "tipo").orderBy("id")
         unlike = own.withColumn("_n", F.row_number().over(least)).filter(F.col("_n") <= k)
         held = settled(_packed(unlike.select("id", "v", "tipo"), None), "held")
