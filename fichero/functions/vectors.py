@@ -170,9 +170,10 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "query_
     if blocks <= 1 and bytes_asked <= SENT_BYTES:
         pairs = held.repartition(spark.sparkContext.defaultParallelism).crossJoin(F.broadcast(asked))
     else:
-        # each block goes over the shards of a partition before the next one does
-        apart = max(1, -(-held.count() // SHARDS))
-        pairs = asked.repartition(max(1, min(blocks, 4 * spark.sparkContext.defaultParallelism))).hint("shuffle_replicate_nl").crossJoin(held.repartition(apart))
+        # each block goes over the shards of a partition before the next one does; there are tasks for all cores
+        cores, shards = spark.sparkContext.defaultParallelism, held.count()
+        apart = max(1, min(shards, max(-(-shards // SHARDS), -(-2 * cores // blocks))))
+        pairs = asked.repartition(min(blocks, 4 * cores)).hint("shuffle_replicate_nl").crossJoin(held.repartition(apart))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number, best = None, None
