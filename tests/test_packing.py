@@ -44,3 +44,15 @@ def test_a_million_paragraphs():
 def test_same_as_sql(spark, compare):
     assert spark.createDataFrame([(None,), ("",), (" \n\n ",), ("a\n\nb",)], "t string").select(chunking.pack("t").alias("c")).toPandas()["c"].map(lambda c: None if c is None else list(c)).tolist() == [None, [], [], ["a\n\nb"]]
     compare(QUERIES["chunk_pack_overlap"], ORACLE_SQL["chunk_pack_overlap"], f"{DATA}/sf0.001")
+
+
+def test_python_sees_no_texts(spark):
+    """Only counts, of texts longer than a chunk; chunks are those of the cuts."""
+    rnd = random.Random(3)
+    texts = ["\n".join(rnd.choice((" ", "\t", "")) + "x" * rnd.randrange(30) + rnd.choice((" ", " ", "")) for _ in range(rnd.randrange(12))) for _ in range(60)]
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chunking.pack("t", 10, 3, "\n").alias("c"))
+    for r in out.collect():
+        parts = [p for p in (p.strip() for p in r["t"].split("\n")) if p]
+        assert r["c"] == ["\n".join(parts[a:b]) for a, b in fold([len(p) // 4 for p in parts], 10, 3)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "run(CASE WHEN (length(" in plan
