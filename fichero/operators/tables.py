@@ -210,7 +210,7 @@ def shapes(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*TABLE).agg(F.countDistinct("row_no").alias("rows"), F.countDistinct("col_no").alias("columns"), head.alias("headers"))
 
 
-def unpivot(frame: DataFrame, doc_key: str, row_no: str, columns: list[str], table_no: int = 0) -> DataFrame:
+def unpivot(frame: DataFrame, doc_key: str, row_no: str, columns: list[str], table_no: int | Column = 0) -> DataFrame:
     """A wide frame as cells."""
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("col_no"), F.lit(c).alias("col_name"), F.col(c).cast("string").alias("value")) for i, c in enumerate(columns)]))
     return frame.select(F.col(doc_key).cast("string").alias("doc_key"), F.lit(table_no).alias("table_no"), F.col(row_no).cast("int").alias("row_no"), each.alias("c")).select("doc_key", "table_no", "row_no", "c.*")

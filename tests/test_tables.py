@@ -58,3 +58,17 @@ def test_one_exchange_and_empty(spark):
 @pytest.mark.parametrize("name", ["table_long_clean", "table_repeated_names", "table_shapes", "table_validation"])
 def test_same_as_sql(name, compare):
     compare(QUERIES[name], ORACLE_SQL[name], f"{DATA}/sf0.001")
+
+
+@pytest.mark.parametrize("name", ["table_long_clean", "table_to_text", "table_shapes", "table_validation"])
+def test_customers_of_many_orders_with_hardly_a_status(name, spark, tmp_path):
+    import duckdb
+
+    status = {1: ["F"] * 40, 2: ["F"] * 18 + ["O"], 3: ["F"] * 9, 4: ["O", "F", "P"] * 11, 5: ["F"]}
+    rows = [(100 * c + i, c, s, None if i == 2 else f"{i % 5}-LOW") for c, all_ in status.items() for i, s in enumerate(all_)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = con.execute(ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).select(*columns).collect()), key=str) == sorted(want.fetchall(), key=str)
