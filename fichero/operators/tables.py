@@ -8,7 +8,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ _TITLE = r"(?iuU)SECCI[ÓO]N\s*\d+"
 
 
 def _normalised(value: str = "value") -> Column:
-    clean = T.strip(F.regexp_replace(value, r"(?U)\s+", " "))
+    clean = F.trim(F.regexp_replace(value, r"(?U)\s+", " "))  # no other white space is left
     return F.when(~clean.isin(SENTINELS), clean)
 
 
@@ -70,82 +71,114 @@ _CELL = [*TABLE, "row_no", "col_no", "col_name", "value"]
 
 
 def _clean_whole(cells: DataFrame, sparse: float, header: float) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in whole_groups(batches, TABLE):
-            yield _folded(x, sparse, header)
+            yield from _folded(x, sparse, header).to_batches(max_chunksize=10_000)
 
     value = _normalised()
     told = cells.select(*TABLE, "row_no", "col_no", "col_name", value.alias("value"), F.col("value").isNotNull().alias("given"))
     told = told.withColumns({"title": _is_title("value"), "number": F.coalesce(T.is_number("value"), F.lit(False))})
     kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
     schema = ", ".join(f"{c} {'int' if c in ('row_no', 'col_no') else kinds[c]}" for c in _CELL)
-    return told.repartition(*TABLE).sortWithinPartitions(*TABLE, "row_no", "col_no").mapInPandas(run, schema)
+    return told.repartition(*TABLE).sortWithinPartitions(*TABLE, "row_no", "col_no").mapInArrow(run, schema)
+
+
+def _lines(group: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each pair of group and number among the different pairs, and the group of each rank."""
+    if not len(group):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least = int(number.min())
+    span = int(number.max()) - least + 1
+    key = group * span + (number - least)
+    slots = (int(group.max()) + 1) * span
+    if slots <= 8 * len(key) + 1024:  # few gaps: counted, not sorted
+        met = np.zeros(slots, bool)
+        met[key] = True
+        return (np.cumsum(met) - 1)[key], np.flatnonzero(met) // span
+    pairs, line = np.unique(key, return_inverse=True)
+    return line.reshape(-1), pairs // span
 
 
 def _dense(group: np.ndarray, number: np.ndarray) -> np.ndarray:
     """The rank of a number among the different numbers of its group, from 0."""
-    pair = np.unique(np.stack([group, number]), axis=1)
-    order = np.lexsort((number, group))
-    g, n = group[order], number[order]
-    new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1]) | (n[1:] != n[:-1])
-    rank = np.empty(len(g), np.int64)
-    rank[order] = np.cumsum(new) - 1
-    first = np.searchsorted(pair[0], np.arange(int(group.max(initial=-1)) + 1))
-    return rank - first[group]
-
-
-def _folded(x: pd.DataFrame, sparse: float, header: float) -> pd.DataFrame:
-    """Whole tables, in order of TABLE, row and column, cleaned."""
+    line, groups = _lines(group, number)
+    return line - np.searchsorted(groups, np.arange(int(group.max(initial=-1)) + 1))[group]
+
+
+def _folded(x: pa.Table, sparse: float, header: float) -> pa.Table:
+    """Whole tables, in order of TABLE, row and column, cleaned. Values stay in Arrow; only names of columns are made here."""
+    x = x.combine_chunks()
     table = np.cumsum(begins(x, TABLE)) - 1
-    row, column = (x[c].to_numpy().astype(np.int64) for c in ("row_no", "col_no"))
-    given, title, number = (x[c].to_numpy().astype(bool) for c in ("given", "title", "number"))
-    value = x["value"].to_numpy(dtype=object)
-    filled = np.array([v is not None for v in value], bool)
-    at = np.arange(len(x))  # cells that are left
+    row, column, given, title, number = (x[c].to_numpy() for c in ("row_no", "col_no", "given", "title", "number"))
+    row, column = row.astype(np.int64), column.astype(np.int64)
+    filled = x["value"].combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+    at = np.arange(len(table))  # cells that are left
 
     def many(of: np.ndarray, which: np.ndarray) -> np.ndarray:
         """For each cell left, how many of its line (rows or columns of its table) are `which`."""
-        line = np.unique(np.stack([table[at], of[at]]), axis=1, return_inverse=True)[1].reshape(-1)
-        return np.bincount(line, which[at], minlength=len(at))[line]
-
-    def kinds(of: np.ndarray) -> np.ndarray:
-        """For each cell left, how many different lines its table has."""
-        pair = np.unique(np.stack([table[at], of[at]]), axis=1)
-        return np.bincount(pair[0], minlength=int(table.max(initial=0)) + 1)[table[at]]
+        line = _lines(table[at], of[at])[0]
+        return np.bincount(line, which[at])[line]
 
     for line in (row, column):
         at = at[many(line, given) > 0]
-    first = np.zeros(len(x), bool)
+    first = np.zeros(len(table), bool)
     first[at] = _dense(table[at], column[at]) == 0
     at = at[many(row, first & title) == 0]
-    rows = np.zeros(len(x), np.int64)
-    rows[at] = kinds(row)
-    at = at[many(column, filled) >= sparse * rows[at]]
+    rows = np.bincount(_lines(table[at], row[at])[1], minlength=int(table.max(initial=0)) + 1)  # of each table
+    at = at[many(column, filled) >= sparse * rows[table[at]]]
     row[at], column[at] = _dense(table[at], row[at]), _dense(table[at], column[at])
 
     t, top = table[at], row[at] == 0
-    tables_ = int(table.max(initial=0)) + 1
-    per = lambda which: np.bincount(t, which, minlength=tables_)[t]
+    per = lambda which: np.bincount(t, which, minlength=len(rows))[t]
     share = per(top & filled[at]) / np.maximum(1, per(top))
-    promote = (rows[at] > 1) & (share >= header) & (per(top & filled[at] & ~number[at]) > 0)
-    head = {(a, b): v for a, b, v in zip(t[top].tolist()[::-1], column[at][top].tolist()[::-1], value[at][top][::-1])}
-    names = x["col_name"].to_numpy(dtype=object)[at]
-    for i in np.flatnonzero(promote).tolist():
-        c = int(column[at[i]])
-        own = head.get((int(t[i]), c))
-        names[i] = f"Col_{c}" if own is None else own
-        if c == 0 and names[i] in ("0", "Col_0", ""):
-            names[i] = "Concepto"
+    promote = (rows[t] > 1) & (share >= header) & (per(top & filled[at] & ~number[at]) > 0)
+    names = _names(x, at, t, column[at], top, promote, filled)
     keep = ~(promote & top)
-    at, t, names = at[keep], t[keep], names[keep]
+    at, t, names = at[keep], t[keep], names.filter(pa.array(keep))
     row[at] = _dense(t, row[at])
-    if len(at):
-        named = pd.DataFrame({"t": t, "r": row[at], "c": column[at], "n": names})
-        turn = named.sort_values(["t", "r", "c"], kind="stable").groupby(["t", "r", "n"], sort=False, dropna=False).cumcount().reindex(named.index).to_numpy()
-        names = np.array([n if k == 0 else f"{n}_{k}" if n is not None else str(k) for n, k in zip(names, turn.tolist())], dtype=object)
-    out = x.iloc[at][TABLE].reset_index(drop=True)
-    return out.assign(row_no=row[at].astype(np.int32), col_no=column[at].astype(np.int32), col_name=names, value=value[at])
+    out = x.select([*TABLE, "value"]).take(pa.array(at))
+    told = {"row_no": pa.array(row[at].astype(np.int32)), "col_no": pa.array(column[at].astype(np.int32)), "col_name": _told_apart(names, _lines(t, row[at])[0])}
+    return pa.table({c: told.get(c, out[c] if c in out.column_names else None) for c in _CELL})
+
+
+def _names(x: pa.Table, at: np.ndarray, t: np.ndarray, column: np.ndarray, top: np.ndarray, promote: np.ndarray, filled: np.ndarray) -> pa.Array:
+    """The names of the cells left: of their column's cell in the first row where that is the header, else their own."""
+    own = x["col_name"].combine_chunks().take(pa.array(at))
+    if not promote.any():
+        return own
+    cells = np.flatnonzero(promote)
+    line, tables_ = _lines(t[cells], column[cells])
+    number = np.zeros(len(tables_), np.int64)
+    number[line] = column[cells]
+    head = np.full(len(tables_), -1)
+    heads = np.flatnonzero(top[cells])[::-1]  # of several the first
+    head[line[heads]] = at[cells[heads]]
+    named = (head >= 0) & filled[head]
+    said = x["value"].combine_chunks().take(pa.array(head, mask=~named))
+    numbers, which = np.unique(number, return_inverse=True)
+    said = pc.coalesce(said, pa.array([f"Col_{c}" for c in numbers.tolist()], own.type).take(pa.array(which)))
+    generic = pc.and_(pa.array(number == 0), pc.is_in(said, value_set=pa.array(["0", "Col_0", ""], said.type)))
+    said = pc.if_else(generic, pa.scalar("Concepto", said.type), said)
+    place = np.zeros(len(at), np.int64)
+    place[cells] = line
+    return pc.if_else(pa.array(promote), said.take(pa.array(place)), own)
+
+
+def _told_apart(names: pa.Array, row: np.ndarray) -> pa.Array:
+    """Names that a row repeats, with their number. Rows are numbered in order of their cells."""
+    code = pc.fill_null(names.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    key = row * (int(code.max(initial=0)) + 1) + code
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(key), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    if new.all():
+        return names
+    place = np.arange(len(key))
+    turn = np.empty(len(key), np.int64)
+    turn[order] = place - np.maximum.accumulate(np.where(new, place, 0))
+    again = turn > 0
+    said = [f"{n}_{k}" if n is not None else str(k) for n, k in zip(names.filter(pa.array(again)).to_pylist(), turn[again].tolist())]
+    return pc.replace_with_mask(names, pa.array(again), pa.array(said, names.type))
 
 
 def _clean_by_windows(cells: DataFrame, sparse: float, header: float) -> DataFrame:
@@ -173,10 +206,15 @@ def _clean_by_windows(cells: DataFrame, sparse: float, header: float) -> DataFra
     return _renumber(cells, "row_no").select(*_CELL)
 
 
+def valid_keys(cells: DataFrame) -> DataFrame:
+    """Tables of two rows and columns at least, less than three quarters of their cells null."""
+    two = [F.min(c) < F.max(c) for c in ("row_no", "col_no")]
+    return cells.groupBy(*TABLE).agg((two[0] & two[1] & (F.avg(F.col("value").isNull().cast("int")) < 0.75)).alias("valid")).filter("valid").select(*TABLE)
+
+
 def valid_tables(cells: DataFrame) -> DataFrame:
-    """Cells of tables of two rows and columns at least, less than three quarters of them null."""
-    shape = cells.groupBy(*TABLE).agg(F.countDistinct("row_no").alias("r"), F.countDistinct("col_no").alias("c"), F.avg(F.col("value").isNull().cast("int")).alias("nulls"))
-    return cells.join(shape.filter("r >= 2 and c >= 2 and nulls < 0.75").select(*TABLE), TABLE, "left_semi")
+    """Cells of valid tables."""
+    return cells.join(valid_keys(cells), TABLE, "left_semi")
 
 
 def content_hash(cells: DataFrame) -> DataFrame:
@@ -206,8 +244,9 @@ def to_text(cells: DataFrame) -> DataFrame:
 
 def shapes(cells: DataFrame) -> DataFrame:
     """Rows, columns and headers of each table."""
-    head = F.transform(F.array_sort(F.collect_set(F.struct("col_no", "col_name"))), lambda c: c["col_name"])
-    return cells.groupBy(*TABLE).agg(F.countDistinct("row_no").alias("rows"), F.countDistinct("col_no").alias("columns"), head.alias("headers"))
+    names = F.array_sort(F.collect_set(F.struct("col_no", "col_name")))
+    told = cells.groupBy(*TABLE).agg(F.countDistinct("row_no").alias("rows"), names.alias("names"))
+    return told.select(*TABLE, "rows", F.size(F.array_distinct(F.transform("names", lambda c: c["col_no"]))).cast("long").alias("columns"), F.transform("names", lambda c: c["col_name"]).alias("headers"))
 
 
 def unpivot(frame: DataFrame, doc_key: str, row_no: str, columns: list[str], table_no: int | Column = 0) -> DataFrame:

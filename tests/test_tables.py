@@ -72,3 +72,22 @@ def test_customers_of_many_orders_with_hardly_a_status(name, spark, tmp_path):
     want = con.execute(ORACLE_SQL[name])
     columns = [c[0] for c in want.description]
     assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).select(*columns).collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_validation_folds_once_and_joins_nothing(spark):
+    plan = QUERIES["table_validation"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Expand" not in plan
+
+
+def test_arrow_groups_are_whole():
+    import pyarrow as pa
+
+    from fichero.functions.groups import whole_groups
+
+    keys = [None, None, "a", "b", "b", "b", "b", "b", "c", None]
+    batches = pa.table({"k": pa.array(keys, pa.string()), "i": range(10)}).to_batches(max_chunksize=2)
+    for together in (1, 3, 100):
+        parts = [t["k"].to_pylist() for t in whole_groups(iter(batches), ["k"], together)]
+        assert sum(parts, []) == keys
+        assert all(a[-1] != b[0] for a, b in zip(parts, parts[1:]))
+    assert list(whole_groups(iter([]), ["k"])) == []
