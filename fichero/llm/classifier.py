@@ -103,14 +103,16 @@ class Model:
         drawn = np.bincount(labels, minlength=2)
         self.votes = np.array([counts.get(int(y), 0) / drawn[y] for y in labels], np.float32)
         self.votes /= max(1e-9, self.votes.max(initial=0))
-        x = np.zeros((len(rows), TERMS), np.float32)
+        x = np.zeros((len(rows), TERMS), np.float32)  # the driver holds this once, and no copy of it
+        df = np.zeros(TERMS, np.int64)
         for i, (at, value, _) in enumerate(rows):
             x[i, at] = value
-        df = (x > 0).sum(0)
+            df[at] += value > 0
         kinds = np.repeat(KIND_WEIGHT, [WORDS, SHAPES, PAIRS, 2])
         self.weights = (kinds * (np.log((1 + len(rows)) / (1 + df)) + 1)).astype(np.float32)
         x *= self.weights
-        x /= np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
+        for at in range(0, len(rows), 256):
+            x[at : at + 256] /= np.maximum(1e-9, np.linalg.norm(x[at : at + 256], axis=1, keepdims=True))
         self.projection = _right_vectors(x, min(rank, max(1, len(rows))), seed)
         self.vectors = _unit(x @ self.projection)
 
@@ -165,15 +167,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         of = Terms()
         for batch in batches:
             found = [of.counts(t) for t in batch["text"]]
-            yield pd.DataFrame({"key": batch["key"].astype(str), "label": batch["label"], "terms": [a for a, _ in found], "value": [v for _, v in found]})
+            yield pd.DataFrame({"key": batch["key"].astype(str), "label": batch["label"], "terms": [a.astype(np.int16).tobytes() for a, _ in found], "value": [v.tobytes() for _, v in found]})
 
     # the sample's size is bounded, so it is broadcast to the texts
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(drawn), "key")
-    rows = texts.mapInPandas(terms, "key string, label int, terms array<bigint>, value array<float>").collect()
-    best = {}
-    for r in sorted(rows, key=lambda r: (r["key"], list(r["terms"]), list(r["value"]))):
-        best.setdefault(r["key"], (np.array(r["terms"], np.int64), np.array(r["value"], np.float32), r["label"]))
-    return Model(list(best.values()), counts)
+    # packed, as lists of numbers would take the driver many times as much
+    rows = texts.mapInPandas(terms, "key string, label int, terms binary, value binary").collect()
+    best: dict[str, tuple[np.ndarray, np.ndarray, int]] = {}
+    for r in rows:
+        new, old = (np.frombuffer(r["terms"], np.int16), np.frombuffer(r["value"], np.float32), r["label"]), best.get(r["key"])
+        if old is None or [x.tolist() for x in new[:2]] < [x.tolist() for x in old[:2]]:
+            best[r["key"]] = new
+    return Model([best[k] for k in sorted(best)], counts)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -92,3 +92,21 @@ def test_tokens(spark, docs):
         ids = plain.encode(r["text"] or "", add_special_tokens=False).ids
         want[r["doc_id"], tuple(ids), hashlib.sha256(plain.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
     assert Counter((r["doc_id"], tuple(r["ids"]), r["decoded_sha256"]) for r in of(corpus_pipeline.tokens(spark, docs, FOLDER))) == want
+
+
+def test_the_driver_holds_the_sample_once():
+    import tracemalloc
+
+    import numpy as np
+
+    from fichero.llm import classifier
+
+    draw = np.random.default_rng(3)
+    rows = [(np.sort(draw.choice(classifier.TERMS, 200, replace=False)).astype(np.int16), draw.random(200, np.float32), i % 2) for i in range(2000)]
+    tracemalloc.start()
+    try:
+        classifier.Model(rows, {0: 1000, 1: 1000})
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 1.5 * len(rows) * classifier.TERMS * 4
