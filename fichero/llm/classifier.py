@@ -103,18 +103,14 @@ class Model:
         drawn = np.bincount(labels, minlength=2)
         self.votes = np.array([counts.get(int(y), 0) / drawn[y] for y in labels], np.float32)
         self.votes /= max(1e-9, self.votes.max(initial=0))
-        x = np.zeros((len(rows), TERMS), np.float32)  # the driver holds this once, and no copy of it
         df = np.zeros(TERMS, np.int64)
-        for i, (at, value, _) in enumerate(rows):
-            x[i, at] = value
+        for at, value, _ in rows:
             df[at] += value > 0
         kinds = np.repeat(KIND_WEIGHT, [WORDS, SHAPES, PAIRS, 2])
         self.weights = (kinds * (np.log((1 + len(rows)) / (1 + df)) + 1)).astype(np.float32)
-        x *= self.weights
-        for at in range(0, len(rows), 256):
-            x[at : at + 256] /= np.maximum(1e-9, np.linalg.norm(x[at : at + 256], axis=1, keepdims=True))
-        self.projection = _right_vectors(x, min(rank, max(1, len(rows))), seed)
-        self.vectors = _unit(x @ self.projection)
+        sample = _Sample([(at, value * self.weights[at]) for at, value, _ in rows])
+        self.projection = _right_vectors(sample, min(rank, max(1, len(rows))), seed)
+        self.vectors = _unit(sample.times(self.projection))
 
     def embed(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         out = np.zeros((len(rows), self.projection.shape[1]), np.float32)
@@ -144,12 +140,36 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))).astype(np.float32)
 
 
-def _right_vectors(x: np.ndarray, rank: int, seed: int) -> np.ndarray:
+class _Sample:
+    """Rows of length 1 by their terms; the driver holds a block of them at a time as a matrix."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
+        self.rows = [(at, value / max(1e-9, np.linalg.norm(value))) for at, value in rows]
+
+    def blocks(self, size: int = 256) -> Iterator[np.ndarray]:
+        for first in range(0, len(self.rows), size):
+            part = self.rows[first : first + size]
+            x = np.zeros((len(part), TERMS), np.float32)
+            for i, (at, value) in enumerate(part):
+                x[i, at] = value
+            yield x
+
+    def times(self, q: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros((0, q.shape[1]), np.float32), *(x @ q for x in self.blocks())])
+
+    def squared_times(self, q: np.ndarray) -> np.ndarray:
+        total = np.zeros(q.shape)
+        for x in self.blocks():
+            total += x.T @ (x @ q)
+        return total
+
+
+def _right_vectors(sample: _Sample, rank: int, seed: int) -> np.ndarray:
     """Leading right singular vectors, by subspace iteration."""
-    q = np.random.default_rng(seed).standard_normal((x.shape[1], rank + 8)).astype(np.float32)
+    q = np.random.default_rng(seed).standard_normal((TERMS, rank + 8)).astype(np.float32)
     for _ in range(6):
-        q, _ = np.linalg.qr(x.T @ (x @ q))
-    _, _, v = np.linalg.svd(x @ q, full_matrices=False)
+        q = np.linalg.qr(sample.squared_times(q))[0].astype(np.float32)
+    _, _, v = np.linalg.svd(sample.times(q), full_matrices=False)
     return (q @ v.T)[:, :rank].astype(np.float32)
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
-from functools import lru_cache, wraps
+from functools import cached_property, lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,9 +70,30 @@ def small_batches(spark: SparkSession, rows: int = ROWS) -> dict[str, str]:
     return before
 
 
-def marked_slots(slots: DataFrame, bits: int) -> np.ndarray:
-    """A table of 2^bits bits, packed, in which the slots (a column of numbers) are set."""
-    size = 1 << 15
+#: Seconds after which the driver gives memory back with the next table written.
+BETWEEN = 5
+#: Slots of a block of Marks.
+MARKS = 1 << 15
+
+
+class Marks:
+    """A table of 2^bits bits; its blocks are compressed on the driver, on their way and on disks."""
+
+    def __init__(self, packed: dict[int, bytes], bits: int):
+        self.packed, self.bits = packed, bits
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        """The bits, eight a byte."""
+        out = np.zeros(((1 << self.bits) // MARKS, MARKS // 8), np.uint8)
+        for block, marks in self.packed.items():
+            out[block] = np.frombuffer(pa.decompress(marks, MARKS // 8, codec="zstd", asbytes=True), np.uint8)
+        return out.reshape(-1)
+
+
+def marked_slots(slots: DataFrame, bits: int) -> Marks:
+    """A table of 2^bits bits in which the slots (a column of numbers) are set."""
+    size = MARKS
 
     @trimmed
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,14 +103,31 @@ def marked_slots(slots: DataFrame, bits: int) -> np.ndarray:
             block = slot // size
             for b in np.unique(block):
                 own.setdefault(int(b), np.zeros(size, bool))[slot[block == b] % size] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([np.packbits(v).tobytes() for v in own.values()], pa.binary())], ["block", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([pa.compress(np.packbits(v).tobytes(), codec="zstd", asbytes=True) for v in own.values()], pa.binary())], ["block", "bits"])
 
     slot = F.col(slots.columns[0]).cast("long")
     marked = slots.select(slot.alias("slot")).repartition(F.floor(F.col("slot") / size)).mapInArrow(mark, "block int, bits binary")
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in marked.collect():  # 2^bits bits at most
-        out[r["block"] * size // 8 :][: size // 8] = np.frombuffer(r["bits"], np.uint8)
-    return out
+    return Marks({r["block"]: bytes(r["bits"]) for r in marked.collect()}, bits)  # 2^bits bits at most, before compression
+
+
+def give_back(spark: SparkSession) -> str | None:
+    """Let the driver's JVM collect its garbage and give freed memory back to the machine, as `trimmed` does in workers.
+
+    Between steps its heap grows by garbage, and its compiler threads and its collector free much outside the heap,
+    which the C library keeps. That is given back by the JVM's diagnostic command System.trim_native_heap, whose answer
+    is returned; a JVM without it only collects.
+    """
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    jvm.System.gc()
+    args = new(jvm.Object, 4)
+    try:
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        args[2], args[3] = new(jvm.Object, 0), new(jvm.String, 0)
+        # by the public interface, as the server's class is not open to others
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        return None
 
 
 class Scratch:
@@ -100,6 +140,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/fichero-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        self.given = time.monotonic()
         self._fs(self.root)[0].deleteOnExit(self._fs(self.root)[1])
 
     def _fs(self, path: str):
@@ -116,6 +157,8 @@ class Scratch:
         finally:
             for name, value in before.items():
                 self.spark.conf.set(name, value)
+        if time.monotonic() - self.given > BETWEEN:
+            self._give_back()
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._fichero_path = path
@@ -126,8 +169,12 @@ class Scratch:
         fs.delete(where, True)
 
     def release(self) -> None:
-        """Let Spark delete shuffle files of finished steps, instead of at its next garbage collection."""
+        """Let Spark delete shuffle files of finished steps, instead of at its next garbage collection, and the driver give memory back."""
         import gc
 
         gc.collect()
-        self.spark._jvm.System.gc()
+        self._give_back()
+
+    def _give_back(self) -> None:
+        give_back(self.spark)
+        self.given = time.monotonic()

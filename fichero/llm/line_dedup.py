@@ -86,9 +86,9 @@ def _level(total: np.ndarray) -> np.ndarray:
     return np.where(total > 1, np.minimum(255, 1 + 4 * np.log2(np.maximum(total, 1))), 0).astype(np.uint8)
 
 
-def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Level of frequency of every slot of words, over all texts."""
-    return unpacked_levels(packed_levels(docs, text, lambda texts: word_hashes(b"\n".join(texts))[0], SLOT_BITS), SLOT_BITS)
+def rarity(docs: DataFrame, text: str = "text") -> dict[int, bytes]:
+    """Level of frequency of every slot of words, over all texts, as packed_levels gives it."""
+    return packed_levels(docs, text, lambda texts: word_hashes(b"\n".join(texts))[0], SLOT_BITS)
 
 
 def unpacked_levels(packed: dict[int, bytes], bits: int) -> np.ndarray:
@@ -219,15 +219,16 @@ def _line_digests(lines: list[bytes]) -> list[np.ndarray]:
 _LINE = "doc_id long, at long, n int, d0 long, d1 long, b0 long, b1 long, skip int, n_rare int, n_hot int, prefix binary"
 
 
-def line_sets(docs: DataFrame, level: np.ndarray, key: str = "doc_id", text: str = "text", least: int = MIN_TOKENS, threshold: float = THRESHOLD, most: int = LIST) -> DataFrame:
+def line_sets(docs: DataFrame, packed: dict[int, bytes], key: str = "doc_id", text: str = "text", least: int = MIN_TOKENS, threshold: float = THRESHOLD, most: int = LIST) -> DataFrame:
     """One row per line that takes part: its place, size, digest and bitmap of its set, and the tokens of its prefix that may have lists.
 
-    Tokens are in order of rarity: after `skip` ones that occur once, n_rare and n_hot (which may be in more than `most` lines).
+    packed: what `rarity` gives; tasks unpack it. Tokens are in order of rarity: after `skip` ones that occur once, n_rare and n_hot (which may be in more than `most` lines).
     """
     hot = _level(np.array([most]))[0]
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = unpacked_levels(packed, SLOT_BITS)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, texts in _pieces(batch.column(1)):
@@ -494,7 +495,7 @@ def _texts(docs: DataFrame, places: DataFrame, key: str, text: str) -> DataFrame
                 owner = np.repeat(np.arange(len(texts)), count)
                 number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
                 slots = _slots(ids[first + owner].astype(np.int64), number)
-                take = np.flatnonzero(wanted[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1)
+                take = np.flatnonzero(wanted.table[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1)
                 lines: list[bytes] = []
                 ends = np.searchsorted(owner[take], np.arange(len(texts) + 1)).tolist()
                 for text, a, b in zip(texts, ends, ends[1:]):

@@ -199,7 +199,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, words: int, percent: int, repeated
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = slot(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            some = batch.take(pa.array(np.flatnonzero(wanted[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)))
+            some = batch.take(pa.array(np.flatnonzero(wanted.table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)))
             own = [shingles(t.as_py(), words) for t in some.column(1)]
             marks = pa.array([mark(s, percent) if len(s) else None for s in own], pa.binary())
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), marks], ["rep", "text", "mark"])
