@@ -41,10 +41,17 @@ class HashingEmbedder:
 
     def embed(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros((len(texts), self.size), np.float32)
+        slots: dict[str, int] = {}  # of each word: where it counts up, or beyond size where it counts down
         for row, text in zip(out, texts):
+            at = []
             for word in re.findall(r"\w+", (text or "").lower()):
-                h = zlib.crc32(word.encode())
-                row[h % self.size] += 1 if h >> 31 else -1
+                slot = slots.get(word)
+                if slot is None:
+                    h = zlib.crc32(word.encode())
+                    slot = slots[word] = h % self.size + (0 if h >> 31 else self.size)
+                at.append(slot)
+            up = np.bincount(np.array(at, int), minlength=2 * self.size)
+            row[:] = up[: self.size] - up[self.size :]
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
@@ -60,7 +67,7 @@ def embed(text: Column | str, embedder: Embedder | None = None) -> Column:
 
 
 #: Queries of a block, bytes of vectors of a shard, and cosines that a task holds at once.
-BLOCK, SHARD_BYTES, TILE = 1024, 4 << 20, 1 << 20
+BLOCK, SHARD_BYTES, TILE = 2048, 4 << 20, 1 << 20
 #: Bytes of queries up to which a single block of them is sent to all tasks; shards of a partition that others meet.
 SENT_BYTES, SHARDS = 16 << 20, 16
 #: Rows of an Arrow batch of vectors, and of one of blocks and shards.
@@ -95,25 +102,88 @@ def _packed(rows: DataFrame, most: int | None) -> DataFrame:
     return rows.filter("id is not null and v is not null").mapInPandas(run, f"ids array<{kind}>, tipos array<string>, dim int, vectors binary")
 
 
+class _Kind:
+    """The k nearest rows of one kind of a block of queries: columns (numbers of queries, ids, shown, similarities), and each query's k-th so far."""
+
+    def __init__(self, n: int):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.held = self.more = 0
+        self.last = np.full(n, -np.inf)
+
+    def add(self, k: int, *part: np.ndarray) -> None:
+        """Rows that may be among the k; settled as soon as they are as many as all that are to stay."""
+        self.parts.append(part)
+        self.more += len(part[0])
+        if self.more >= max(self.held, k * len(self.last) // 2):
+            self.settle(k)
+
+    def settle(self, k: int) -> None:
+        q, ids, shown, similarity = (np.concatenate(c) for c in zip(*self.parts))
+        n = np.bincount(q, minlength=len(self.last))
+        order, first = np.lexsort((-shown, q)), np.cumsum(n) - n
+        full = n >= k
+        self.last[full] = shown[order[first[full] + k - 1]]
+        keep = shown >= self.last[q]
+        over = np.bincount(q[keep], minlength=len(n)) > k
+        tied = np.flatnonzero(over[q] & (shown == self.last[q]))
+        if len(tied):  # of these only the least ids stay
+            tied = tied[np.lexsort((ids[tied], q[tied]))]
+            above = np.bincount(q[shown > self.last[q]], minlength=len(n))
+            t = np.bincount(q[tied], minlength=len(n))
+            turn = np.arange(len(tied)) - (np.cumsum(t) - t)[q[tied]]
+            keep[tied[turn + above[q[tied]] >= k]] = False
+        self.parts, self.more = [(q[keep], ids[keep], shown[keep], similarity[keep])], 0
+        self.held = len(self.parts[0][0])
+
+
 class _Best:
-    """The k nearest rows of each kind of a block of queries so far: numbers of queries, ids, similarities, by kind."""
+    """The k nearest rows of each kind of a block of queries so far.
+
+    Cosines are taken in single precision first: what stays below a query's k-th so far by more than their error can be
+    no hit. Only the others are computed in double precision, which alone decides.
+    """
 
     def __init__(self, ids, dim: int, vectors: bytes):
         self.ids, self.dim = list(ids), dim
         self.unit = np.frombuffer(vectors).reshape(len(self.ids), dim)
-        self.rows: dict[str | None, pd.DataFrame] = {}
+        self.rough = self.unit.astype(np.float32)
+        # of sums of dim products of rounded numbers, twice over
+        self.error = (dim + 8) * 2.0**-23
+        self.kinds: dict[str | None, _Kind] = {}
+        size = max(TILE, len(self.ids))
+        self.cosines, self.near = np.empty(size, np.float32), np.empty(size, bool)
 
     def offer(self, ids, tipos, vectors: bytes, k: int) -> None:
+        self.k = k
         rows, keys, kinds = np.frombuffer(vectors).reshape(len(ids), self.dim), np.asarray(ids), np.asarray(tipos, object)
+        rough = rows.astype(np.float32)
         none = np.array([t is None for t in tipos], bool)
+        step = max(1, TILE // len(self.ids))
         for name in set(tipos):
+            kind = self.kinds.setdefault(name, _Kind(len(self.ids)))
             at = np.flatnonzero(none if name is None else ~none & (kinds == name))
+            for low in range(0, len(at), step):
+                self._offer(kind, rows, rough, keys, at[low : low + step])
+
+    def _offer(self, kind: _Kind, rows: np.ndarray, rough: np.ndarray, keys: np.ndarray, at: np.ndarray) -> None:
+        shape = len(self.ids), len(at)
+        cells = shape[0] * shape[1]
+        cosines, near = self.cosines[:cells].reshape(shape), self.near[:cells].reshape(shape)
+        np.matmul(self.rough, rough[at].T, out=cosines)
+        np.greater_equal(cosines, np.nextafter((kind.last - self.error).astype(np.float32), np.float32(-np.inf))[:, None], out=near)
+        if np.count_nonzero(near) > cells // 16:  # the first rows, or ties
             at = at[np.argsort(keys[at], kind="stable")]  # of equal ones the first are the least ids
-            parts = [self.rows[name]] if name in self.rows else []
-            step = max(1, TILE // len(at))
-            for low in range(0, len(self.ids), step):
-                parts.append(self._tile(low, self.unit[low : low + step] @ rows[at].T, keys[at], k))
-            self.rows[name] = pd.concat(parts, ignore_index=True).sort_values(["q", "shown", "id"], kind="stable").groupby("q").head(k)
+            found = self._tile(0, self.unit @ rows[at].T, keys[at], self.k)
+            kind.add(self.k, found["q"].to_numpy(), found["id"].to_numpy(), -found["shown"].to_numpy(), found["similarity"].to_numpy())
+            return
+        q, j = np.divmod(np.flatnonzero(near), shape[1])
+        some = max(1, TILE // (4 * self.dim))
+        for low in range(0, len(q), some):
+            own, row = q[low : low + some], at[j[low : low + some]]
+            similarity = np.einsum("ij,ij->i", self.unit[own], rows[row])
+            shown = np.round(similarity, 9)
+            keep = shown >= kind.last[own]
+            kind.add(self.k, own[keep], keys[row[keep]], shown[keep], similarity[keep])
 
     @staticmethod
     def _tile(low: int, cosines: np.ndarray, keys: np.ndarray, k: int) -> pd.DataFrame:
@@ -136,8 +206,10 @@ class _Best:
         return pd.DataFrame({"q": q + low, "id": keys[j], "shown": -shown[q, j], "similarity": cosines[q, j]})
 
     def result(self) -> Iterator[pd.DataFrame]:
-        for name, r in self.rows.items():
-            yield pd.DataFrame({"same": [self.ids[q] for q in r["q"]], "id": r["id"].to_numpy(), "tipo": pd.Series([name] * len(r), dtype=object), "similarity": r["similarity"].to_numpy()})
+        for name, kind in self.kinds.items():
+            kind.settle(self.k)
+            q, ids, _, similarity = kind.parts[0]
+            yield pd.DataFrame({"same": [self.ids[i] for i in q], "id": ids, "tipo": pd.Series([name] * len(q), dtype=object), "similarity": similarity})
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "query_id", query_vector: str = "query_vector", row_id: str = "id", vector: str = "embedding", kind: str = "tipo") -> DataFrame:
@@ -159,10 +231,13 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "query_
         plain = lambda v: F.to_json(F.transform(F.col(v).cast("array<double>"), lambda x: x + F.lit(0.0)))
         asking = settled(queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("v"), F.md5(plain(query_vector)).alias("same")), "asking").filter("query_id is not null and v is not null")
         alone = asking.groupBy("same").agg(F.first("v").alias("v"))
-        asked = settled(_packed(alone.select(F.col("same").alias("id"), "v", F.lit(None).cast("string").alias("tipo")), BLOCK).drop("tipos"), "asked")
+        # full blocks, however many partitions there were: a block reads all shards
+        dealt = alone.repartition(max(1, -(-10 * asking.select("same").distinct().count() // (9 * BLOCK))))
+        asked = settled(_packed(dealt.select(F.col("same").alias("id"), "v", F.lit(None).cast("string").alias("tipo")), BLOCK).drop("tipos"), "asked")
         # written before the filter, which would ask a model a second time
-        own = settled(rows.select(F.col(row_id).alias("id"), F.col(vector).alias("v"), F.col(kind).cast("string").alias("tipo"), F.md5(plain(vector)).alias("same")), "own").filter("id is not null and v is not null")
-        least = Window.partitionBy("same", "tipo").orderBy("id")
+        own = settled(rows.select(F.col(row_id).alias("id"), F.col(vector).alias("v"), F.col(kind).cast("string").alias("tipo")), "own").filter("id is not null and v is not null")
+        # told apart by the vector itself, behind a number that is sorted faster
+        least = Window.partitionBy(F.xxhash64("v"), "v", "tipo").orderBy("id")
         unlike = own.withColumn("_n", F.row_number().over(least)).filter(F.col("_n") <= k)
         held = settled(_packed(unlike.select("id", "v", "tipo"), None), "held")
     blocks, bytes_asked = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("vectors")), F.lit(0))).first()

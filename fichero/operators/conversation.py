@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import settled
 from . import analysis
 
 
@@ -33,7 +34,8 @@ def understood(requests: DataFrame, fuzzy: bool = True) -> DataFrame:
     given = once.select(requests.columns).withColumn("text", F.coalesce("text", F.lit("")))
     detected = given.join(analysis.product(given, fuzzy=fuzzy).withColumnRenamed("product", "_own"), "query_id")
     told = carried(detected, "_own").withColumn("context", F.when(F.coalesce("use_context", F.lit(True)), F.col("context")))
-    told = told.withColumn("question", T.enriched("text", "context"))
+    # written once: both of what follows read it, and it holds a join by likeness of words
+    told = settled(told.withColumn("question", T.enriched("text", "context")), "told")
     typed = analysis.query_type(told, text="question", fuzzy=fuzzy)
     named = analysis.product(told, text="question", fuzzy=fuzzy).withColumnRenamed("product", "detected")
     return told.drop("_own").join(typed, "query_id").join(named, "query_id").withColumn("product", F.coalesce("detected", "context"))
