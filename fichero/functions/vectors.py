@@ -68,6 +68,8 @@ def embed(text: Column | str, embedder: Embedder | None = None) -> Column:
 
 #: Queries of a block, bytes of vectors of a shard, and cosines that a task holds at once.
 BLOCK, SHARD_BYTES, TILE = 2048, 4 << 20, 1 << 20
+#: Cosines of single precision that are looked through while a core's cache holds them.
+CACHED = 1 << 18
 #: Bytes of queries up to which a single block of them is sent to all tasks; shards of a partition that others meet.
 SENT_BYTES, SHARDS = 16 << 20, 16
 #: Rows of an Arrow batch of vectors, and of one of blocks and shards.
@@ -150,15 +152,14 @@ class _Best:
         # of sums of dim products of rounded numbers, twice over
         self.error = (dim + 8) * 2.0**-23
         self.kinds: dict[str | None, _Kind] = {}
-        size = max(TILE, len(self.ids))
-        self.cosines, self.near = np.empty(size, np.float32), np.empty(size, bool)
+        self.cosines, self.near = np.empty(CACHED, np.float32), np.empty(CACHED, bool)
 
     def offer(self, ids, tipos, vectors: bytes, k: int) -> None:
         self.k = k
         rows, keys, kinds = np.frombuffer(vectors).reshape(len(ids), self.dim), np.asarray(ids), np.asarray(tipos, object)
         rough = rows.astype(np.float32)
         none = np.array([t is None for t in tipos], bool)
-        step = max(1, TILE // len(self.ids))
+        step = max(1, min(CACHED, TILE // len(self.ids)))
         for name in set(tipos):
             kind = self.kinds.setdefault(name, _Kind(len(self.ids)))
             at = np.flatnonzero(none if name is None else ~none & (kinds == name))
@@ -166,17 +167,24 @@ class _Best:
                 self._offer(kind, rows, rough, keys, at[low : low + step])
 
     def _offer(self, kind: _Kind, rows: np.ndarray, rough: np.ndarray, keys: np.ndarray, at: np.ndarray) -> None:
-        shape = len(self.ids), len(at)
-        cells = shape[0] * shape[1]
-        cosines, near = self.cosines[:cells].reshape(shape), self.near[:cells].reshape(shape)
-        np.matmul(self.rough, rough[at].T, out=cosines)
-        np.greater_equal(cosines, np.nextafter((kind.last - self.error).astype(np.float32), np.float32(-np.inf))[:, None], out=near)
-        if np.count_nonzero(near) > cells // 16:  # the first rows, or ties
+        floor = np.nextafter((kind.last - self.error).astype(np.float32), np.float32(-np.inf))[:, None]
+        across, n, turn = rough[at].T, len(at), CACHED // len(at)
+        hits, found = [], 0
+        for low in range(0, len(self.ids), turn):
+            asked = self.rough[low : low + turn]
+            cosines, near = (x[: len(asked) * n].reshape(len(asked), n) for x in (self.cosines, self.near))
+            np.matmul(asked, across, out=cosines)
+            np.greater_equal(cosines, floor[low : low + turn], out=near)
+            hits.append(np.flatnonzero(near) + low * n)
+            found += len(hits[-1])
+            if found > len(self.ids) * n // 16:
+                break
+        if found > len(self.ids) * n // 16:  # the first rows, or ties
             at = at[np.argsort(keys[at], kind="stable")]  # of equal ones the first are the least ids
-            found = self._tile(0, self.unit @ rows[at].T, keys[at], self.k)
-            kind.add(self.k, found["q"].to_numpy(), found["id"].to_numpy(), -found["shown"].to_numpy(), found["similarity"].to_numpy())
+            best = self._tile(0, self.unit @ rows[at].T, keys[at], self.k)
+            kind.add(self.k, best["q"].to_numpy(), best["id"].to_numpy(), -best["shown"].to_numpy(), best["similarity"].to_numpy())
             return
-        q, j = np.divmod(np.flatnonzero(near), shape[1])
+        q, j = np.divmod(np.concatenate(hits), n)
         some = max(1, TILE // (4 * self.dim))
         for low in range(0, len(q), some):
             own, row = q[low : low + some], at[j[low : low + some]]

@@ -53,3 +53,38 @@ def test_copies_of_queries_and_rows(spark, monkeypatch):
             best = sorted((-cos[j], r[0]) for j, r in enumerate(rows) if r[2] == kind)[:4]
             want += [(i, j, kind, n) for n, (_, j) in enumerate(best, 1)]
     assert sorted(((q, i, None if pd.isna(t) else t, n) for q, i, t, n in got[["query_id", "id", "tipo", "rank"]].itertuples(index=False)), key=str) == sorted(want, key=str)
+
+
+def test_single_precision_spares_all_but_near_rows(monkeypatch):
+    """Double precision decides, also between cosines that single precision cannot tell apart, but is spent on few rows."""
+    rnd = np.random.default_rng(7)
+    rows = vectors.unit(rnd.normal(size=(6000, 16)))
+    rows[3000:3600] = vectors.unit(rows[:1] + 1e-4 * rnd.normal(size=(600, 16)))  # cosines to the first query differ from the eighth decimal on
+    asked, kinds, k, spent = vectors.unit(np.vstack([rows[:1], rnd.normal(size=(63, 16))])), np.array(["a", None])[np.arange(6000) % 2], 5, []
+    tile = vectors._Best._tile
+    monkeypatch.setattr(vectors, "TILE", 1 << 14)
+    monkeypatch.setattr(vectors._Best, "_tile", staticmethod(lambda low, cosines, *rest: spent.append(cosines.size) or tile(low, cosines, *rest)))
+    best = vectors._Best(range(64), 16, asked.tobytes())
+    for low in range(0, 6000, 1000):
+        ids = [f"{i:04d}" for i in range(low, low + 1000)]
+        best.offer(ids, list(kinds[low : low + 1000]), rows[low : low + 1000].tobytes(), k)
+    assert sum(spent) < 64 * 6000 / 5
+    got = {(q, i, None if pd.isna(t) else t) for part in best.result() for q, i, t in part[["same", "id", "tipo"]].itertuples(index=False)}
+    shown = np.round(asked @ rows.T, 9)
+    want = {(q, f"{i:04d}", t) for q in range(64) for t in ("a", None) for i in sorted((j for j in range(6000) if kinds[j] == t), key=lambda j: (-shown[q, j], j))[:k]}
+    assert got == want
+
+
+def test_words_are_hashed_once_with_the_same_vectors(monkeypatch):
+    import zlib
+
+    calls, crc = [], zlib.crc32
+    monkeypatch.setattr(vectors.zlib, "crc32", lambda b: calls.append(b) or crc(b))
+    got = vectors.HashingEmbedder(8).embed(["uno dos uno", None, "Dos tres dos dos"])
+    want = np.zeros((3, 8))
+    for row, words in zip(want, (["uno", "dos", "uno"], [], ["dos", "tres", "dos", "dos"])):
+        for w in words:
+            h = crc(w.encode())
+            row[h % 8] += 1 if h >> 31 else -1
+    assert len(calls) == 3 and got.dtype == np.float32
+    assert np.allclose(got, want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-12), atol=1e-7)
